@@ -5,62 +5,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.regex import NOT_AFTER_WORD, NOT_BEFORE_WORD
+from paperloom.functions.regex import NOT_AFTER_WORD, NOT_BEFORE_WORD, let
 
-RECORD = "array<struct<original:string,placeholder:string,pattern_type:string>>"
+RECORDS = "array<struct<original:string,placeholder:string,pattern_type:string>>"
 
 
 def _java(pattern: str, bounded: bool) -> str:
     return f"{NOT_AFTER_WORD}{pattern}{NOT_BEFORE_WORD}" if bounded else pattern
 
 
-ANY_PII = "|".join(f"(?:{_java(p, bounded)})" for p, _, _, bounded in rules.PII_PATTERNS)
-
-
-def _numbered(label: str, offset: Column):
-    """Placeholder text for the i-th match (from 0) of a label that already has ``offset`` placeholders."""
-    return lambda i: F.concat(F.lit(f"[{label}_"), (offset + i + 1).cast("string"), F.lit("]"))
-
-
-def _rejoin(pieces: Column, matches: Column, placeholder) -> Column:
-    """The pieces between the matches, glued together with placeholders."""
-    count = F.size(matches)
-    return F.array_join(F.transform(pieces, lambda x, i: F.when(i < count, F.concat(x, placeholder(i))).otherwise(x)), "")
-
-
-def _records(matches: Column, placeholder, kind: str) -> Column:
-    return F.transform(
-        matches,
-        lambda m, i: F.struct(m.alias("original"), placeholder(i).alias("placeholder"), F.lit(kind).alias("pattern_type")),
+def _possible(text: Column, kind: str) -> Column:
+    """A cheap necessary condition: an address has an '@', every other kind four digits in a row."""
+    return text.contains("@") if kind == "email" else text.rlike("[0-9]{4}")
+
+
+def _mask_step(state: Column, pattern: str, label: str, kind: str) -> Column:
+    """Replace every match of one pattern; ``state`` carries the text and the records so far."""
+    found = let(
+        state,
+        lambda s: F.struct(
+            s["text"].alias("text"),
+            s["records"].alias("records"),
+            F.when(_possible(s["text"], kind), F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("hits"),
+            # a label shared by two patterns keeps one running number
+            F.size(F.filter(s["records"], lambda r: r["placeholder"].startswith(f"[{label}_"))).alias("used"),
+        ),
     )
 
+    def replaced(s: Column) -> Column:
+        placeholder = lambda i: F.concat(F.lit(f"[{label}_"), (s["used"] + i + 1).cast("string"), F.lit("]"))
+        pieces = F.transform(
+            F.split(s["text"], pattern, -1),
+            lambda x, i: F.when(i < F.size(s["hits"]), F.concat(x, placeholder(i))).otherwise(x),
+        )
+        records = F.transform(
+            s["hits"],
+            lambda m, i: F.struct(m.alias("original"), placeholder(i).alias("placeholder"), F.lit(kind).alias("pattern_type")),
+        )
+        none = F.size(s["hits"]) == 0
+        return F.struct(
+            F.when(none, s["text"]).otherwise(F.array_join(pieces, "")).alias("text"),
+            F.when(none, s["records"]).otherwise(F.concat(s["records"], records)).alias("records"),
+        )
+
+    return let(found, replaced)
+
+
+def masked_text(text: Column) -> Column:
+    """S-16: struct(text, records) after the ordered patterns; most texts stop at the cheap condition."""
+    start = F.struct(text.alias("text"), F.array().cast(RECORDS).alias("records"))
+    state = start
+    for pattern, label, kind, bounded in rules.PII_PATTERNS:
+        state = _mask_step(state, _java(pattern, bounded), label, kind)
+    return F.when(_possible(text, "email") | _possible(text, "digits"), state).otherwise(start)
+
 
 def mask_pii(df: DataFrame, text: str = "text", out: str = "masked", records: str = "pii_records") -> DataFrame:
-    """S-16: apply the ordered patterns; each label counts its own placeholders across patterns.
-
-    A row without any hit costs one scan. For the others every pattern splits the text at its matches
-    and joins the pieces around ``[label_n]``; each step is its own projection, so no step is repeated.
-    """
-    df = df.withColumn("_hit", F.col(text).rlike(ANY_PII)).withColumn("_t0", F.col(text))
-    seen: dict[str, list[str]] = {}
-    found_columns = []
-    for step, (pattern, label, kind, bounded) in enumerate(rules.PII_PATTERNS, start=1):
-        java = _java(pattern, bounded)
-        source, target, found = F.col(f"_t{step - 1}"), f"_t{step}", f"_m{step}"
-        none = F.array().cast("array<string>")
-        df = df.withColumn(found, F.when(F.col("_hit"), F.regexp_extract_all(source, F.lit(java), F.lit(0))).otherwise(none))
-        earlier = seen.get(label, [])
-        offset = sum([F.size(c) for c in earlier], F.lit(0))
-        seen[label] = earlier + [found]
-        placeholder = _numbered(label, offset)
-        masked = _rejoin(F.split(source, java, -1), F.col(found), placeholder)
-        df = df.withColumn(target, F.when(F.size(found) > 0, masked).otherwise(source))
-        found_columns.append(_records(F.col(found), placeholder, kind))
-    last = f"_t{len(rules.PII_PATTERNS)}"
-    helpers = ["_hit"] + [f"_t{i}" for i in range(len(rules.PII_PATTERNS) + 1)] + [
-        f"_m{i}" for i in range(1, len(rules.PII_PATTERNS) + 1)
-    ]
-    return df.withColumns({out: F.col(last), records: F.concat(*found_columns).cast(RECORD)}).drop(*helpers)
+    """S-16 on a table: adds the cleaned text and the replacement records."""
+    masked = df.withColumn("_masked", masked_text(F.col(text)))
+    return masked.withColumns({out: F.col("_masked.text"), records: F.col("_masked.records")}).drop("_masked")
 
 
 def restore_pii(text: Column, records: Column) -> Column:
@@ -81,7 +86,7 @@ def has_pii(records: Column) -> Column:
 def pii_counts(masked: DataFrame, records: str = "pii_records") -> DataFrame:
     """S-18: how many values of each type were masked."""
     return (
-        masked.select(F.explode(F.col(f"{records}.pattern_type")).alias("pattern_type"))
-        .groupBy("pattern_type")
+        masked.select(F.explode(F.col(records)).alias("record"))
+        .groupBy(F.col("record.pattern_type").alias("pattern_type"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -1,54 +1,68 @@
 """Text quality score and bands (X-07, X-08)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.regex import SPACE, first_match, strip
-
-
-def with_quality_score(df: DataFrame, text: str = "text", out: str = "quality", lang: str = "heb") -> DataFrame:
-    """X-07: four tiered signals, weighted; blank text scores 0.
-
-    The counts are materialised in one projection so that the text is scanned once per signal.
-    """
-    clean = "_clean"
-    df = df.withColumn(clean, strip(F.coalesce(F.col(text), F.lit(""))))
-    c = F.col(clean)
-    df = df.withColumns(
-        {
-            "_chars": F.length(c),
-            "_hebrew": F.regexp_count(c, F.lit("[\u0590-\u05FF]")),
-            "_alpha": F.regexp_count(c, F.lit(r"\p{L}")),
-            "_solid": F.length(F.regexp_replace(c, f"{SPACE}+", "")),
-            "_words": F.regexp_count(c, F.lit(r"[^\s\p{Z}]+")),
-            "_noise": F.length(c) - F.length(F.regexp_replace(c, rules.CONSONANT_RUN, "")),
-            "_lines": F.regexp_count(c, F.lit("\n")) + 1,
-        }
-    )
-    col, lit = F.col, F.lit
-    # every divisor is guarded; the guards only spare empty texts
-    ratio = F.when(col("_alpha") > 0, col("_hebrew") / F.greatest(col("_alpha"), lit(1))).otherwise(lit(0.0))
-    if lang == "heb":
-        script = first_match([(ratio >= t, lit(s)) for t, s in rules.HEBREW_RATIO_TIERS], lit(rules.HEBREW_RATIO_FLOOR))
-    else:
-        script = lit(rules.NEUTRAL_LANG_SCORE)
-    mean = col("_solid") / F.greatest(col("_words"), lit(1))
-    length = first_match(
-        [((mean >= lo) & (mean <= hi), lit(s)) for lo, hi, s in rules.WORD_LENGTH_TIERS], lit(rules.WORD_LENGTH_FLOOR)
+from paperloom.functions.regex import SPACE, first_match, let, strip
+
+
+def _without(text: Column, part: str) -> Column:
+    return F.replace(text, F.lit(part), F.lit(""))
+
+
+def _counts(text: Column) -> Column:
+    """Counts by removing long runs: far fewer matches than one per character."""
+    single_spaced = F.regexp_replace(text, rf"{SPACE}{{2,}}|[\s\p{{Z}}&&[^ ]]", " ")
+    return let(
+        single_spaced,
+        lambda spaced: F.struct(
+            F.length(text).alias("chars"),
+            F.length(F.regexp_replace(text, "[^֐-׿]+", "")).alias("hebrew"),
+            # the letter count only matters where there is Hebrew at all
+            F.when(text.rlike("[֐-׿]"), F.length(F.regexp_replace(text, r"\P{L}+", ""))).otherwise(F.lit(0)).alias("letters"),
+            F.length(_without(spaced, " ")).alias("solid"),
+            (F.length(spaced) - F.length(_without(spaced, " ")) + 1).alias("words"),
+            (F.length(text) - F.length(F.regexp_replace(text, rules.CONSONANT_RUN, ""))).alias("run_chars"),
+            (F.length(text) - F.length(_without(text, "\n")) + 1).alias("lines"),
+        ),
     )
-    noise = col("_noise") / F.greatest(col("_chars"), lit(1))
-    runs = first_match([(noise < t, lit(s)) for t, s in rules.CONSONANT_TIERS], lit(rules.CONSONANT_FLOOR))
-    lines = first_match(
-        [(col("_lines") >= 3, lit(1.0)), (col("_lines") == 2, lit(0.7)), (col("_chars") < 100, lit(0.6))], lit(0.3)
+
+
+def _script_signal(n: Column, lang: str) -> Column:
+    if lang != "heb":
+        return F.lit(rules.NEUTRAL_LANG_SCORE)
+    share = F.when(n["letters"] > 0, n["hebrew"] / F.greatest(n["letters"], F.lit(1))).otherwise(F.lit(0.0))
+    return first_match([(share >= t, F.lit(s)) for t, s in rules.HEBREW_RATIO_TIERS], F.lit(rules.HEBREW_RATIO_FLOOR))
+
+
+def _word_signal(n: Column) -> Column:
+    mean = n["solid"] / F.greatest(n["words"], F.lit(1))
+    return first_match([(mean.between(lo, hi), F.lit(s)) for lo, hi, s in rules.WORD_LENGTH_TIERS], F.lit(rules.WORD_LENGTH_FLOOR))
+
+
+def _noise_signal(n: Column) -> Column:
+    share = n["run_chars"] / F.greatest(n["chars"], F.lit(1))
+    return first_match([(share < t, F.lit(s)) for t, s in rules.CONSONANT_TIERS], F.lit(rules.CONSONANT_FLOOR))
+
+
+def _line_signal(n: Column) -> Column:
+    return first_match(
+        [(n["lines"] >= 3, F.lit(1.0)), (n["lines"] == 2, F.lit(0.7)), (n["chars"] < 100, F.lit(0.6))], F.lit(0.3)
     )
-    w = rules.QUALITY_WEIGHTS
-    score = script * w[0] + length * w[1] + runs * w[2] + lines * w[3]
-    helper = [clean, "_chars", "_hebrew", "_alpha", "_solid", "_words", "_noise", "_lines"]
-    return df.withColumn(
-        out, F.when(col("_chars") == 0, lit(0.0)).otherwise(F.greatest(lit(0.0), F.least(lit(1.0), score)))
-    ).drop(*helper)
+
+
+def quality_score(text: Column, lang: str = "heb") -> Column:
+    """X-07: four tiered signals, weighted, in [0, 1]; blank text scores 0."""
+
+    def score(n: Column) -> Column:
+        signals = [_script_signal(n, lang), _word_signal(n), _noise_signal(n), _line_signal(n)]
+        weighted = [s * F.lit(w) for s, w in zip(signals, rules.QUALITY_WEIGHTS)]
+        total = weighted[0] + weighted[1] + weighted[2] + weighted[3]
+        return F.when(n["chars"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+
+    return let(strip(F.coalesce(text, F.lit(""))), lambda clean: let(_counts(clean), score))
 
 
 def quality_band(score: Column) -> Column:

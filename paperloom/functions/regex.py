@@ -17,6 +17,11 @@ NOT_AFTER_WORD = rf"(?<!{WORD})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"
 WORD_EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 SPACE = r"[\s\p{Z}]"
+# every character that counts as white space when a text is trimmed
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 _NAMED_GROUP = re.compile(r"\(\?P<(\w+)>")
 _ANY_GROUP = re.compile(r"\((?!\?)|\(\?P<(\w+)>")
@@ -50,7 +55,7 @@ def capture(text: Column, pattern: str, group: int = 1, ignore_case: bool = True
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def first_group(text: Column, patterns: list[str]) -> Column:
@@ -81,3 +86,12 @@ def literal_map(mapping: dict[str, str]) -> Column:
 
 def literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
+
+
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``v`` evaluated once.
+
+    A lambda variable keeps an intermediate value from being copied into every place that reads it when
+    the optimizer merges projections or pushes a filter through them.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -168,7 +168,7 @@ PII_PATTERNS = [
     (r"[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{1,7}", "כרטיס", "credit_card", False),
     (r"(?:\+?972)[2-9][0-9]{7,8}", "טלפון", "phone", False),
     (r"0[2-9][0-9]{7,8}", "טלפון", "phone", False),
-    (r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]{2,}", "אימייל", "email", False),
+    (r"[\p{L}\p{N}_.-]++@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]{2,}", "אימייל", "email", False),
     (r"[0-9]{2,3}[-/][0-9]{6,9}", "חשבון בנק", "bank_account", False),
     (r"[0-9]{9}", "ת.ז.", "israeli_id", True),
 ]

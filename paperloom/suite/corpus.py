@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions.pii import has_pii, mask_pii, pii_counts, restore_pii
-from paperloom.functions.quality import quality_band, with_quality_score
+from paperloom.functions.quality import quality_band, quality_score
 from paperloom.suite.registry import query
 from paperloom.suite.shapes import table
 
@@ -14,7 +14,7 @@ def _mask_sql() -> str:
     """The ordered masks as one chain of CTEs: split at the matches, join the pieces around placeholders."""
     steps = ["t0 AS (SELECT doc_id, text AS original, text AS t, 0 AS n_phone, CAST([] AS VARCHAR[]) AS kinds FROM documents)"]
     for i, (pattern, label, kind, bounded) in enumerate(rules.PII_PATTERNS, start=1):
-        p = (r"\b" + pattern + r"\b" if bounded else pattern).replace("'", "''")
+        p = (r"\b" + pattern + r"\b" if bounded else pattern).replace("++", "+").replace("'", "''")
         offset = "n_phone" if kind == "phone" else "0"
         steps.append(
             f"""t{i} AS (SELECT doc_id, original,
@@ -85,12 +85,12 @@ def _quality_sql(column: str = "text", source: str = "documents", key: str = "do
 
 @query("x07_quality_score", _quality_sql())
 def x07(spark, sf):
-    return with_quality_score(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "quality")
+    return table(spark, sf, "documents").select("doc_id", quality_score(F.col("text")).alias("quality"))
 
 
 @query("x07_quality_score_neutral", _quality_sql(lang="other"))
 def x07_neutral(spark, sf):
-    return with_quality_score(table(spark, sf, "documents").select("doc_id", "text"), lang="other").select("doc_id", "quality")
+    return table(spark, sf, "documents").select("doc_id", quality_score(F.col("text"), lang="other").alias("quality"))
 
 
 @query(
@@ -99,5 +99,5 @@ def x07_neutral(spark, sf):
     FROM ({_quality_sql()}) GROUP BY 1""",
 )
 def x08(spark, sf):
-    scored = with_quality_score(table(spark, sf, "documents").select("doc_id", "text"))
+    scored = table(spark, sf, "documents").select(quality_score(F.col("text")).alias("quality"))
     return scored.groupBy(quality_band(F.col("quality")).alias("band")).agg(F.count(F.lit(1)).alias("n"))

@@ -273,7 +273,7 @@ def s26(spark, sf):
       CASE note_id % 6 WHEN 0 THEN strftime(day, '%d/%m/%Y') WHEN 1 THEN strftime(day, '%d.%m.%Y') END AS birth_date,
       CASE note_id % 6 WHEN 2 THEN 'Noa' || note_id END AS id_name,
       CASE note_id % 6 WHEN 2 THEN CAST(200000 + note_id AS VARCHAR) END AS id_number,
-      CASE note_id % 6 WHEN 3 THEN 'Ahuza ' || note_id WHEN 4 THEN 'Rehov Herzl' END AS location,
+      CASE note_id % 6 WHEN 3 THEN 'Ahuza ' || note_id WHEN 4 THEN 'רחוב הרצל' END AS location,
       CASE WHEN note_id % 6 IN (3, 4) THEN CAST(1000 + note_id AS VARCHAR) END AS code FROM px_notes""",
     ("notes",),
 )

@@ -452,7 +452,7 @@ def notes(d):
       CASE {k} % 4 WHEN 0 THEN concat(' לדנה', {n}, ' - Fix door ', {n}, ' ') WHEN 1 THEN concat('עבור  Noa', {n}, ': call') WHEN 2 THEN concat('Buy milk ', {n}) ELSE 'לא' END AS title,
       CASE {k} % 5 WHEN 0 THEN concat('עד ', {d.iso(day)}, ' דחוף') WHEN 1 THEN concat('title Paint wall ', {n}, ' due ', {d.iso(day)}, ' LOW') WHEN 2 THEN 'priority normal, high' WHEN 3 THEN concat('כותרת שם ', {n}) ELSE 'nothing to change' END AS changes,
       CASE {k} % 5 WHEN 0 THEN concat('ארנונה ', {n}, ', חודשי, ', {d.text(f'1 + {k} % 31')}) WHEN 1 THEN concat('gym ', {n}, ' , שבועי') WHEN 2 THEN concat('rent ב-', {d.text(f'1 + {k} % 28')}, ' בחודש') WHEN 3 THEN concat('tax ', {n}, ', שנתי, soon') ELSE concat('walk ', {n}, ', often') END AS recurring,
-      CASE {k} % 6 WHEN 0 THEN concat('Dana', {n}, ' was born on ', {d.dmy(day)}) WHEN 1 THEN concat('יוסי נולד ב ', {d.dots(day)}) WHEN 2 THEN concat('Noa', {n}, ' id number: ', {d.text(f'200000 + {k}')}) WHEN 3 THEN concat('Ahuza ', {n}, ' building code is ', {d.text(f'1000 + {k}')}) WHEN 4 THEN concat('building code of Rehov Herzl: ', {d.text(f'1000 + {k}')}) ELSE 'nothing stated' END AS statement,
+      CASE {k} % 6 WHEN 0 THEN concat('Dana', {n}, ' was born on ', {d.dmy(day)}) WHEN 1 THEN concat('יוסי נולד ב ', {d.dots(day)}) WHEN 2 THEN concat('Noa', {n}, ' id number: ', {d.text(f'200000 + {k}')}) WHEN 3 THEN concat('Ahuza ', {n}, ' building code is ', {d.text(f'1000 + {k}')}) WHEN 4 THEN concat('קוד בניין של רחוב הרצל: ', {d.text(f'1000 + {k}')}) ELSE 'nothing stated' END AS statement,
       CASE {k} % 4 WHEN 0 THEN concat(' ', {n}, ' ') WHEN 1 THEN concat({n}, 'x') WHEN 2 THEN '' ELSE concat({n}, '.0') END AS number_text,
       {day} AS day, {k} % 2 = 0 AS flag
     FROM {d.t('orders')}
