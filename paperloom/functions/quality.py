@@ -14,7 +14,7 @@ def _without(text: Column, part: str) -> Column:
 
 def _counts(text: Column) -> Column:
     """Counts by removing long runs: far fewer matches than one per character."""
-    single_spaced = F.regexp_replace(text, rf"{SPACE}{{2,}}|[\s\p{{Z}}&&[^ ]]", " ")
+    single_spaced = F.regexp_replace(text, f"{SPACE}+", " ")
     return let(
         single_spaced,
         lambda spaced: F.struct(

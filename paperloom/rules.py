@@ -308,6 +308,7 @@ SALARY_MONEY_KEYS = [
 SALARY_KEYS = SALARY_TEXT_KEYS + SALARY_MONEY_KEYS
 SALARY_CRITICAL_KEYS = ["pay_month", "gross_salary", "net_salary"]
 SALARY_STRONG_CONFIDENCE = 0.6
+SALARY_PASS_LABELS = ["haiku_text", "sonnet_text"]
 SALARY_EXTENDED = {
     "employee_id": ("text", [r"מספר\s+זהות\s*\n?\s*([0-9]{5,9})", r"ת\.?ז\.?\s*[:：]?\s*([0-9]{5,9})"]),
     "employer_id": ("text", [r"חברה\s*[:：]?\s*([0-9]{5,9})"]),
