@@ -218,7 +218,6 @@ def recipe_facts(answers: DataFrame, answer: str = "answer") -> DataFrame:
 def salary_payload(answer: Column) -> Column:
     """F-08: struct of the salary keys and a clamped confidence; NULL where the reply holds no JSON object."""
     schema = ", ".join(f"{k} string" for k in [*rules.SALARY_KEYS, "confidence"])
-    body = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
 
     def coerce(p: Column) -> Column:
         texts = [strip(p[k]).alias(k) for k in rules.SALARY_TEXT_KEYS]
@@ -226,7 +225,8 @@ def salary_payload(answer: Column) -> Column:
         sure = F.coalesce(p["confidence"].try_cast("double"), F.lit(0.0))
         return F.struct(*texts, *money, F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"))
 
-    return F.when(F.try_parse_json(body).isNotNull(), let(F.from_json(body, schema), coerce))
+    parsed = lambda body: F.when(F.try_parse_json(body).isNotNull(), let(F.from_json(body, schema), coerce))
+    return let(F.regexp_extract(answer, r"(?s)\{.*\}", 0), parsed)
 
 
 def strong_enough(payload: Column) -> Column:
@@ -239,12 +239,14 @@ def strong_enough(payload: Column) -> Column:
 def better_payload(first: Column, second: Column) -> Column:
     """F-09: struct(payload, model): the first pass if strong, else the second if strong or at least as confident."""
     sure = lambda p: F.coalesce(p["confidence"], F.lit(0.0))
-    use_first = strong_enough(first)
-    use_second = ~use_first & second.isNotNull() & (strong_enough(second) | (sure(second) >= sure(first)))
-    return F.struct(
-        F.when(use_second, second).otherwise(first).alias("payload"),
-        F.when(use_second, F.lit(rules.SALARY_PASS_LABELS[1])).otherwise(F.lit(rules.SALARY_PASS_LABELS[0])).alias("model"),
-    )
+
+    def choose(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        use_b = ~strong_enough(a) & b.isNotNull() & (strong_enough(b) | (sure(b) >= sure(a)))
+        label_a, label_b = rules.SALARY_PASS_LABELS
+        return F.struct(F.when(use_b, b).otherwise(a).alias("payload"), F.when(use_b, F.lit(label_b)).otherwise(F.lit(label_a)).alias("model"))
+
+    return let(F.struct(first.alias("a"), second.alias("b")), choose)
 
 
 def plain_number(value: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "scalars", "corpus", "intake",
+    "scalars", "corpus", "intake", "classification", "extraction", "merging",
 ]
 
 

@@ -20,7 +20,10 @@ def query(name: str, sql: str | None = None, shapes_used: tuple[str, ...] = ())
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = shapes.with_clause(shapes_used) + sql.strip()
+            prefix, body = shapes.with_clause(shapes_used), sql.strip()
+            if prefix and body.startswith("WITH "):  # the shapes already open the WITH clause
+                prefix, body = prefix.rstrip() + ",\n", body[5:]
+            ORACLES[name] = prefix + body
         return fn
 
     return add
