@@ -48,9 +48,23 @@ def group_count(pattern: str) -> int:
     return re.compile(re.sub(r"\\p\{\w\}", "a", pattern)).groups
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``v`` evaluated once.
+
+    A lambda variable keeps an intermediate value from being copied into every place that reads it when
+    the optimizer merges projections or pushes a filter through them.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def non_blank(value: Column) -> Column:
+    """NULL for ''; the value is computed once, however costly it is."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def capture(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
     """The group's text, NULL where the pattern or the group did not match."""
-    return F.nullif(F.regexp_extract(text, dialect(pattern, ignore_case), group), F.lit(""))
+    return non_blank(F.regexp_extract(text, dialect(pattern, ignore_case), group))
 
 
 def strip(text: Column) -> Column:
@@ -64,7 +78,7 @@ def first_group(text: Column, patterns: list[str]) -> Column:
     for pattern in patterns:
         groups = [capture(text, pattern, g) for g in range(1, group_count(pattern) + 1)]
         value = groups[0] if len(groups) == 1 else F.coalesce(*groups)
-        found.append(F.nullif(strip(value), F.lit("")))
+        found.append(non_blank(strip(value)))
     return F.coalesce(*found)
 
 
@@ -86,12 +100,3 @@ def literal_map(mapping: dict[str, str]) -> Column:
 
 def literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
-
-
-def let(value: Column, body) -> Column:
-    """``body(v)`` with ``v`` evaluated once.
-
-    A lambda variable keeps an intermediate value from being copied into every place that reads it when
-    the optimizer merges projections or pushes a filter through them.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.regex import capture, dialect, first_match, literal_map, strip
+from paperloom.functions.regex import capture, dialect, first_match, let, literal_map, non_blank, strip
 
 MONEY = "decimal(18,2)"
 QUANTITY = "decimal(18,3)"
@@ -13,12 +13,12 @@ QUANTITY = "decimal(18,3)"
 
 def parse_amount(value: Column, as_type: str = MONEY) -> Column:
     """S-01: drop thousands separators; NULL when it is no number."""
-    return F.nullif(strip(F.replace(value, F.lit(","), F.lit(""))), F.lit("")).try_cast(as_type)
+    return strip(F.replace(value, F.lit(","), F.lit(""))).try_cast(as_type)
 
 
 def parse_int(value: Column) -> Column:
     """S-02."""
-    return F.nullif(strip(value), F.lit("")).try_cast("int")
+    return let(strip(value), lambda v: F.when(v.rlike("^[+-]?[0-9]+$"), v.try_cast("int")))
 
 
 def _date_from(year: Column, month: Column, day: Column) -> Column:
@@ -28,35 +28,37 @@ def _date_from(year: Column, month: Column, day: Column) -> Column:
 
 def parse_date(value: Column) -> Column:
     """S-03: ISO (dashed or compact), then D/M/Y, then D.M.Y; a two-digit year is taken literally."""
-    text = strip(value)
     shapes = [
         (r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$", (1, 2, 3)),
         (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", (1, 2, 3)),
         (r"^([0-9]{1,2})\s*/\s*([0-9]{1,2})\s*/\s*([0-9]{1,4})$", (3, 2, 1)),
         (r"^([0-9]{1,2})\s*\.\s*([0-9]{1,2})\s*\.\s*([0-9]{1,4})$", (3, 2, 1)),
     ]
-    return F.coalesce(
-        *[
-            F.when(text.rlike(p), _date_from(*[F.regexp_extract(text, p, g) for g in groups]))
-            for p, groups in shapes
-        ]
-    )
+
+    def by_shape(text: Column) -> Column:
+        return first_match([(text.rlike(p), _date_from(*[F.regexp_extract(text, p, g) for g in groups])) for p, groups in shapes])
+
+    return let(strip(value), by_shape)
 
 
 def parse_iso_date(value: Column) -> Column:
     """ISO only: the display-name fallback accepts nothing else."""
     p = r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})$"
-    ok = value.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})$")
-    return F.when(ok, _date_from(*[F.regexp_extract(value, p, g) for g in (1, 2, 3)]))
+    ok = lambda v: v.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})$")
+    return let(value, lambda v: F.when(ok(v), _date_from(*[F.regexp_extract(v, p, g) for g in (1, 2, 3)])))
 
 
 def pay_period(value: Column) -> Column:
     """S-04: struct(pay_year, pay_month) from YYYY-MM or MM-YYYY (separators - / .)."""
-    text = strip(value)
     year_first, month_first = r"^([0-9]{4})[-/.]([0-9]{1,2})$", r"^([0-9]{1,2})[-/.]([0-9]{4})$"
-    year = F.coalesce(capture(text, year_first, 1), capture(text, month_first, 2)).try_cast("int")
-    month = F.coalesce(capture(text, year_first, 2), capture(text, month_first, 1)).try_cast("int")
-    return F.struct(year.alias("pay_year"), F.when(month.between(1, 12), month).alias("pay_month"))
+
+    def parts(text: Column) -> Column:
+        year = F.coalesce(capture(text, year_first, 1), capture(text, month_first, 2)).try_cast("int")
+        month = F.coalesce(capture(text, year_first, 2), capture(text, month_first, 1)).try_cast("int")
+        in_year = let(month, lambda m: F.when(m.between(1, 12), m))
+        return F.struct(year.alias("pay_year"), in_year.alias("pay_month"))
+
+    return let(strip(value), parts)
 
 
 def year_tag(doc_date: Column, filename: Column) -> Column:
@@ -113,7 +115,7 @@ def phone_candidates(raw: Column) -> Column:
     world = F.when(digits.startswith("0") & (F.length(digits) == 10), F.concat(F.lit("972"), F.substring(digits, 2, 9)))
     plus = lambda c: F.concat(F.lit("+"), c)
     spellings = F.array(
-        F.nullif(raw, F.lit("")), F.nullif(F.substring_index(raw, "@", 1), F.lit("")), digits, plus(digits),
+        non_blank(raw), non_blank(F.substring_index(raw, "@", 1)), digits, plus(digits),
         local, plus(local), world, plus(world),
     )
     none = F.array().cast("array<string>")

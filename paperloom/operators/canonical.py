@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.regex import capture, first_group, let, literal_array, literal_map, strip
+from paperloom.functions.regex import capture, first_group, let, literal_array, literal_map, non_blank, strip
 from paperloom.functions.scalars import (
     MONEY, QUANTITY, merge_tags, normalize_tag, parse_amount, parse_date, parse_iso_date, pay_period, year_tag,
 )
@@ -25,7 +25,7 @@ def promote_facts(documents: DataFrame, facts: DataFrame, threshold: float = rul
     Facts are folded per document before the join, so a document with very many facts costs one row there.
     """
     value = strip(F.col("fact_value"))
-    parsed = {"vendor": F.nullif(value, F.lit("")), "amount": parse_amount(value), "currency": F.nullif(value, F.lit("")), "doc_date": parse_date(value)}
+    parsed = {"vendor": non_blank(value), "amount": parse_amount(value), "currency": non_blank(value), "doc_date": parse_date(value)}
     column_of = rules.PROMOTION_MAP
     first = [
         F.min_by(parsed[c], F.when((F.col("fact_key") == k) & parsed[c].isNotNull(), F.col("fact_seq"))).alias(f"_{c}")
@@ -58,7 +58,7 @@ def _typed(text: Column, fields: dict[str, tuple[str, list[str]]]) -> list[Colum
 
 def _reasons(*cases: tuple[Column, str]) -> Column:
     """Comma list of the reasons that hold; NULL when none does."""
-    return F.nullif(F.concat_ws(",", *[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in cases]), F.lit(""))
+    return non_blank(F.concat_ws(",", *[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in cases]))
 
 
 def utility_bills(documents: DataFrame, facts: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def utility_bills(documents: DataFrame, facts: DataFrame) -> DataFrame:
         F.col("document_id").alias("doc_id"), F.col("amount").alias("_amount"), F.col("currency").alias("_currency")
     )
     text = F.coalesce(F.col("raw_text"), F.lit(""))
-    meta = lambda k: F.nullif(strip(F.try_element_at(F.col("issuer_metadata"), F.lit(k))), F.lit(""))
+    meta = lambda k: non_blank(strip(F.try_element_at(F.col("issuer_metadata"), F.lit(k))))
     rows = documents.join(money, "doc_id", "left").withColumns(
         {
             "provider_slug": F.coalesce(meta("provider_slug"), F.lit("")),
@@ -136,7 +136,7 @@ def employee_address(text: Column, employee: Column) -> Column:
     """The address line that follows the employee's name and house number, up to a known town."""
     quoted = F.concat(F.lit("(?iud)\\Q"), F.replace(employee, F.lit("\\E"), F.lit("")), F.lit("\\E" + rules.EMPLOYEE_ADDRESS_TAIL))
     found = F.call_function("regexp_extract", text, quoted, F.lit(1))
-    return F.when(F.coalesce(employee, F.lit("")) != "", F.nullif(strip(found), F.lit("")))
+    return F.when(F.coalesce(employee, F.lit("")) != "", non_blank(strip(found)))
 
 
 def salary_slips(documents: DataFrame, facts: DataFrame) -> DataFrame:

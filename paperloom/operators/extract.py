@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions.regex import (
-    NOT_AFTER_WORD, NOT_BEFORE_WORD, dialect, first_match, let, literal_array, strip,
+    NOT_AFTER_WORD, NOT_BEFORE_WORD, dialect, first_match, let, literal_array, non_blank, strip,
 )
 from paperloom.functions.scalars import chunk_text, excerpt
 
@@ -46,7 +46,7 @@ def amount_facts(text: Column) -> Column:
     pattern = dialect(rules.AMOUNT_PATTERN)
 
     def amount_of(hit: Column) -> Column:
-        digits = F.coalesce(F.nullif(F.regexp_extract(hit, pattern, 1), F.lit("")), F.regexp_extract(hit, pattern, 2))
+        digits = F.coalesce(non_blank(F.regexp_extract(hit, pattern, 1)), F.regexp_extract(hit, pattern, 2))
         return F.replace(digits, F.lit(","), F.lit(""))
 
     def locate(hits: Column) -> Column:
@@ -84,9 +84,10 @@ def regex_facts(text: Column) -> Column:
 
 def fact_rows(documents: DataFrame, facts: str = "facts", doc_type: str = "doc_type") -> DataFrame:
     """F-12: an array of facts per document -> fact rows with their position and defaults."""
+    # the outer form keeps the array from being computed again for a pushed-down emptiness test
     exploded = documents.select(
-        F.col("doc_id").alias("document_id"), F.col(doc_type).alias("fact_type"), F.posexplode(facts).alias("fact_seq", "f")
-    )
+        F.col("doc_id").alias("document_id"), F.col(doc_type).alias("fact_type"), F.posexplode_outer(facts).alias("fact_seq", "f")
+    ).filter(F.col("f").isNotNull())
     return exploded.select(
         "document_id", F.col("fact_seq").cast("long").alias("fact_seq"), "fact_type", "f.fact_key", "f.fact_value",
         F.coalesce("f.confidence", F.lit(0.5)).alias("confidence"), F.coalesce("f.source_excerpt", F.lit("")).alias("source_excerpt"),
@@ -144,7 +145,7 @@ def answer_items(answers: DataFrame, answer: str = "answer") -> DataFrame:
     ``answers``: document_id, fact_type, chunk_id, <answer>.
     """
     listed = answers.select(
-        "document_id", "fact_type", "chunk_id", F.posexplode(F.from_json(_json_array(F.col(answer)), _ANSWER_FACTS)).alias("pos", "f")
+        "document_id", "fact_type", "chunk_id", F.posexplode_outer(F.from_json(_json_array(F.col(answer)), _ANSWER_FACTS)).alias("pos", "f")
     )
     return listed.select(
         "document_id", "fact_type", (F.col("chunk_id").cast("long") * 1_000_000 + F.col("pos")).alias("fact_seq"), "f.fact_key",
@@ -196,7 +197,7 @@ def recipe_facts(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """
     fields = ",".join(f"{k}:string" for k in rules.RECIPE_KEYS)
     listed = answers.select("document_id", F.from_json(_json_array(F.col(answer)), f"array<struct<{fields}>>").alias("recipes"))
-    one = listed.select("document_id", (F.size("recipes") > 1).alias("many"), F.posexplode("recipes").alias("no", "r"))
+    one = listed.select("document_id", (F.size("recipes") > 1).alias("many"), F.posexplode_outer("recipes").alias("no", "r"))
     name = strip(F.coalesce("r.recipe_name", F.lit("")))
     quote = F.when(F.col("many"), excerpt(name)).otherwise(F.lit(""))
     facts = F.array(
@@ -208,7 +209,7 @@ def recipe_facts(answers: DataFrame, answer: str = "answer") -> DataFrame:
             for k in rules.RECIPE_KEYS
         ]
     )
-    rows = one.filter(name != "").select("document_id", "no", F.posexplode(facts).alias("pos", "f"))
+    rows = one.filter(name != "").select("document_id", "no", F.posexplode_outer(facts).alias("pos", "f"))
     return rows.filter(F.col("f.fact_value") != "").select(
         "document_id", (F.col("no").cast("long") * len(rules.RECIPE_KEYS) + F.col("pos")).alias("fact_seq"),
         F.lit("recipe").alias("fact_type"), "f.*",
@@ -261,7 +262,7 @@ def payload_facts(slips: DataFrame, payload: str = "payload") -> DataFrame:
     value = lambda k: p[k] if k in rules.SALARY_TEXT_KEYS else plain_number(p[k])
     fields = F.array(*[F.struct(F.lit(k).alias("fact_key"), value(k).alias("fact_value")) for k in rules.SALARY_KEYS])
     rows = slips.filter(p.isNotNull()).select(
-        F.col("doc_id").alias("document_id"), p["confidence"].alias("confidence"), F.posexplode(fields).alias("pos", "f")
+        F.col("doc_id").alias("document_id"), p["confidence"].alias("confidence"), F.posexplode_outer(fields).alias("pos", "f")
     )
     return rows.filter(F.col("f.fact_value").isNotNull()).select(
         "document_id", F.col("pos").cast("long").alias("fact_seq"), F.lit("salary_slip").alias("fact_type"), "f.fact_key", "f.fact_value",
@@ -294,7 +295,7 @@ def memory_items(answers: DataFrame, answer: str = "answer") -> DataFrame:
     listed = F.from_json(
         F.when(text.startswith("["), text), "array<struct<content:string,category:string,memory_type:string,confidence:string>>"
     )
-    rows = answers.select(*[c for c in answers.columns if c != answer], F.posexplode(listed).alias("item_no", "f"))
+    rows = answers.select(*[c for c in answers.columns if c != answer], F.posexplode_outer(listed).alias("item_no", "f"))
     return rows.select(
         *[c for c in answers.columns if c != answer], "item_no", strip(F.coalesce("f.content", F.lit(""))).alias("content"),
         F.coalesce("f.category", F.lit("context")).alias("category"), F.coalesce("f.memory_type", F.lit("short")).alias("memory_type"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.regex import first_match, strip
+from paperloom.functions.regex import first_match, non_blank, strip
 from paperloom.functions.scalars import normalize_phone, valid_phone
 
 _CONTENT = "body:string,text:string,caption:string,conversation:string,contentText:string,selectedDisplayText:string"
@@ -22,7 +22,7 @@ _INNER_KEYS = ["extendedTextMessage", "imageMessage", "documentMessage", "templa
 
 
 def _non_blank(value: Column) -> Column:
-    return F.nullif(strip(value), F.lit(""))
+    return non_blank(strip(value))
 
 
 def _texts(node: Column) -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import canonical as M
 from paperloom.operators import classify as C
+from paperloom.session import cut_lineage
 from paperloom.sources.tables import upsert
 from paperloom.suite.extraction import CHOSEN, chosen_payloads
 from paperloom.suite.intake import NAME_SQL
@@ -62,7 +63,8 @@ def m03(spark, sf):
 
 
 def _bill_documents(spark, sf):
-    docs = C.resolve_or_classify(load(spark, sf, "bills"))
+    # stored once, as a pipeline stores its documents between classification and the typed tables
+    docs = cut_lineage(C.resolve_or_classify(load(spark, sf, "bills")), "classified")
     return docs.withColumns(
         {
             "issuer_metadata": F.col("issuer.metadata"), "amount": F.col("true_total"), "currency": F.lit(None).cast("string"),
