@@ -90,8 +90,9 @@ def check_permissions(requests: DataFrame, members: DataFrame, grants: DataFrame
     ``requests``: request_id, phone, resource, action (read/write).
     """
     who = members_by_phone(requests, members, hot_rows=hot_rows)
-    active = members.filter("is_active").select("member_id", "role")
-    rows = who.join(active, "member_id", "left").join(F.broadcast(grants), ["role", "resource"], "left")
+    active = members.filter("is_active").select("member_id", F.col("role").alias("_role"))
+    given = F.broadcast(grants.withColumnRenamed("role", "_role"))  # a few rows per role
+    rows = who.join(active, "member_id", "left").join(given, ["_role", "resource"], "left")
     allowed = first_match([(F.col("action") == "read", F.col("can_read")), (F.col("action") == "write", F.col("can_write"))])
     return rows.select(*requests.columns, "member_id", F.coalesce(allowed, F.lit(False)).alias("allowed"))
 

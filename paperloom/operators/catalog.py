@@ -336,9 +336,9 @@ def fallback_search(documents: DataFrame, member: int, text: str, limit: int = 2
     ranks = F.array_compact(F.array(*[F.when(F.coalesce(hit(w), F.lit(False)), F.lit(i)) for i, w in enumerate(terms)]))
     marked = own.withColumn("_ranks", ranks).filter(F.size("_ranks") > 0)
     best = marked.agg(F.min(F.array_min("_ranks")).alias("_best"))
-    found = marked.join(F.broadcast(best), F.array_contains("_ranks", F.col("_best")))
+    found = marked.withColumn("_rank", F.explode("_ranks")).join(F.broadcast(best), F.col("_rank") == F.col("_best"))
     term = F.element_at(F.array(*[F.lit(w) for w in terms]), F.col("_best") + 1)
-    return found.orderBy(*_newest()).limit(limit).withColumn("term", term).drop("_ranks", "_best")
+    return found.orderBy(*_newest()).limit(limit).withColumn("term", term).drop("_ranks", "_rank", "_best")
 
 
 def add_tag(documents: DataFrame, targets: DataFrame) -> DataFrame:
