@@ -19,6 +19,26 @@ def fact_map(facts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def row_facts(keys: list[str], facts: str = "facts") -> Column:
+    """M-01 inside the row: struct of the last non-empty value per key of an array of facts; no shuffle."""
+    value = lambda k: F.try_element_at(F.filter(facts, lambda f: (f["fact_key"] == k) & (f["fact_value"] != "")), F.lit(-1))["fact_value"]
+    return F.struct(*[value(k).alias(k) for k in keys])
+
+
+def promote_in_row(documents: DataFrame, facts: str = "facts", threshold: float = rules.PROMOTE_CONFIDENCE) -> DataFrame:
+    """M-02 for documents that still carry their facts as an array: the same rule without a join."""
+    parse = {
+        "vendor": lambda v: non_blank(strip(v)), "currency": lambda v: non_blank(strip(v)), "amount": lambda v: parse_amount(strip(v)),
+        "doc_date": parse_date,
+    }
+
+    def first(key: str, column: str) -> Column:
+        sure = F.filter(facts, lambda f: (f["fact_key"] == key) & (f["confidence"] >= threshold))
+        return F.get(F.filter(F.transform(sure, lambda f: parse[column](f["fact_value"])), lambda v: v.isNotNull()), F.lit(0))
+
+    return documents.withColumns({c: F.coalesce(c, first(k, c)) for k, c in rules.PROMOTION_MAP.items()})
+
+
 def promote_facts(documents: DataFrame, facts: DataFrame, threshold: float = rules.PROMOTE_CONFIDENCE) -> DataFrame:
     """M-02: fill empty document columns from confident facts; the first fact that parses wins.
 
@@ -61,17 +81,22 @@ def _reasons(*cases: tuple[Column, str]) -> Column:
     return non_blank(F.concat_ws(",", *[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in cases]))
 
 
-def utility_bills(documents: DataFrame, facts: DataFrame) -> DataFrame:
+def utility_bills(documents: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """M-04: utility-bill rows; only bills of a known provider and service (M-05) are returned.
 
     ``documents``: doc_id, uploaded_by, source, raw_text, issuer_metadata (map), amount, currency, class_confidence, review_state.
     """
-    money = fact_map(facts, ["amount", "currency"]).select(
-        F.col("document_id").alias("doc_id"), F.col("amount").alias("_amount"), F.col("currency").alias("_currency")
-    )
+    if facts is None:
+        own = row_facts(["amount", "currency"])
+        known = documents.withColumns({"_amount": own["amount"], "_currency": own["currency"]})
+    else:
+        money = fact_map(facts, ["amount", "currency"]).select(
+            F.col("document_id").alias("doc_id"), F.col("amount").alias("_amount"), F.col("currency").alias("_currency")
+        )
+        known = documents.join(money, "doc_id", "left")
     text = F.coalesce(F.col("raw_text"), F.lit(""))
     meta = lambda k: non_blank(strip(F.try_element_at(F.col("issuer_metadata"), F.lit(k))))
-    rows = documents.join(money, "doc_id", "left").withColumns(
+    rows = known.withColumns(
         {
             "provider_slug": F.coalesce(meta("provider_slug"), F.lit("")),
             "provider_name": F.coalesce(meta("provider_name"), F.lit("")),
@@ -178,12 +203,16 @@ _POLICY_KEYS = [
 ]
 
 
-def _with_fact_map(documents: DataFrame, facts: DataFrame, doc_type: str, keys: list[str]) -> DataFrame:
+def _with_fact_map(documents: DataFrame, facts: DataFrame | None, doc_type: str, keys: list[str]) -> DataFrame:
     """Documents of one type that have any non-empty fact, with their fact map as ``f``.
 
-    A row exists as soon as any fact has a value, even one that fills no column here.
+    A row exists as soon as any fact has a value, even one that fills no column here. Without a fact table the documents'
+    own ``facts`` arrays are read.
     """
     value = F.col("fact_value")
+    if facts is None:
+        own = documents.filter((F.col("doc_type") == doc_type) & F.exists("facts", lambda f: f["fact_value"] != ""))
+        return own.withColumn("f", row_facts(keys))
     folded = facts.filter(value != "").groupBy(F.col("document_id").alias("doc_id")).agg(
         *[F.max_by(value, F.when(F.col("fact_key") == k, F.col("fact_seq"))).alias(k) for k in keys]
     )
@@ -191,7 +220,7 @@ def _with_fact_map(documents: DataFrame, facts: DataFrame, doc_type: str, keys:
     return documents.filter(F.col("doc_type") == doc_type).join(folded, "doc_id")
 
 
-def contracts(documents: DataFrame, facts: DataFrame) -> DataFrame:
+def contracts(documents: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """M-07: contract rows; none for a document without facts."""
     f = lambda k: F.col(f"f.{k}")
     return _with_fact_map(documents, facts, "contract", _CONTRACT_KEYS).select(
@@ -205,7 +234,7 @@ def contracts(documents: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def insurance_policies(documents: DataFrame, facts: DataFrame) -> DataFrame:
+def insurance_policies(documents: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """M-08: policy rows; none for a document without facts."""
     f = lambda k: F.col(f"f.{k}")
     return _with_fact_map(documents, facts, "insurance", _POLICY_KEYS).select(

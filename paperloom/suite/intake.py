@@ -145,7 +145,7 @@ def i08(spark, sf):
     return first.join(final, "message_id").select("message_id", "filename", "final_name", "source", "review_state")
 
 
-def _payloads(spark, sf):
+def payload_events(turns):
     """Conversation turns as message events; ids, senders and texts sit on different paths."""
     c = F.col
     k = c("conv_id") * 100 + c("turn")
@@ -171,7 +171,11 @@ def _payloads(spark, sf):
         data.alias("_data"),
     )
     event = F.when(c("role") == "system", F.lit("session.status")).otherwise(F.lit("message"))
-    return table(spark, sf, "conversations").select(k.alias("k"), F.to_json(F.struct(event.alias("event"), payload.alias("payload"))).alias("body"))
+    return turns.select(k.alias("k"), F.to_json(F.struct(event.alias("event"), payload.alias("payload"))).alias("body"))
+
+
+def _payloads(spark, sf):
+    return payload_events(table(spark, sf, "conversations"))
 
 
 _PAYLOAD_SQL = """
