@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least one partition per core, for work that costs far more than moving the rows.
+
+    A few files with one row group each give few tasks, however large the cluster. A scan that already has enough
+    partitions, as every large table has, is returned unchanged. Call it on a scan, before anything is joined.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -7,7 +7,7 @@ from paperloom import rules
 from paperloom.functions.pii import has_pii, mask_pii, pii_counts, restore_pii
 from paperloom.functions.quality import quality_band, quality_score
 from paperloom.suite.registry import query
-from paperloom.suite.shapes import table
+from paperloom.suite.shapes import texts
 
 
 def _mask_sql() -> str:
@@ -32,7 +32,7 @@ def _mask_sql() -> str:
     _mask_sql() + "SELECT doc_id, t AS masked, CAST(len(kinds) AS INTEGER) AS n, array_to_string(kinds, ',') AS kinds FROM t6",
 )
 def s16(spark, sf):
-    masked = mask_pii(table(spark, sf, "documents").select("doc_id", "text"))
+    masked = mask_pii(texts(spark, sf))
     return masked.select(
         "doc_id", "masked", F.size("pii_records").alias("n"), F.array_join(F.col("pii_records.pattern_type"), ",").alias("kinds")
     )
@@ -40,7 +40,7 @@ def s16(spark, sf):
 
 @query("s17_restore_pii", "SELECT doc_id, text AS restored FROM documents")
 def s17(spark, sf):
-    masked = mask_pii(table(spark, sf, "documents").select("doc_id", "text"))
+    masked = mask_pii(texts(spark, sf))
     return masked.select("doc_id", restore_pii(F.col("masked"), F.col("pii_records")).alias("restored"))
 
 
@@ -49,7 +49,7 @@ def s17(spark, sf):
     _mask_sql() + "SELECT pattern_type, count(*) AS n FROM (SELECT unnest(kinds) AS pattern_type FROM t6) GROUP BY 1",
 )
 def s18_counts(spark, sf):
-    return pii_counts(mask_pii(table(spark, sf, "documents").select("doc_id", "text")))
+    return pii_counts(mask_pii(texts(spark, sf)))
 
 
 @query(
@@ -57,7 +57,7 @@ def s18_counts(spark, sf):
     _mask_sql() + "SELECT doc_id, len(kinds) > 0 AS has_pii FROM t6",
 )
 def s18_flag(spark, sf):
-    masked = mask_pii(table(spark, sf, "documents").select("doc_id", "text"))
+    masked = mask_pii(texts(spark, sf))
     return masked.select("doc_id", has_pii(F.col("pii_records")).alias("has_pii"))
 
 
@@ -85,12 +85,12 @@ def _quality_sql(column: str = "text", source: str = "documents", key: str = "do
 
 @query("x07_quality_score", _quality_sql())
 def x07(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", quality_score(F.col("text")).alias("quality"))
+    return texts(spark, sf).select("doc_id", quality_score(F.col("text")).alias("quality"))
 
 
 @query("x07_quality_score_neutral", _quality_sql(lang="other"))
 def x07_neutral(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", quality_score(F.col("text"), lang="other").alias("quality"))
+    return texts(spark, sf).select("doc_id", quality_score(F.col("text"), lang="other").alias("quality"))
 
 
 @query(
@@ -99,5 +99,5 @@ def x07_neutral(spark, sf):
     FROM ({_quality_sql()}) GROUP BY 1""",
 )
 def x08(spark, sf):
-    scored = table(spark, sf, "documents").select(quality_score(F.col("text")).alias("quality"))
+    scored = texts(spark, sf).select(quality_score(F.col("text")).alias("quality"))
     return scored.groupBy(quality_band(F.col("quality")).alias("band")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,12 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom import rules
+from paperloom.session import spread
+
+# texts on which regexes run: spread over the cores before the work starts
+HEAVY_SHAPES = {"documents", "bills", "slips", "messages"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The real corpus, spread for regex work."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _quoted(values: list[str]) -> str:
     return ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
 
@@ -137,26 +146,17 @@ def shape(*tables: str):
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The shape as a DataFrame."""
     tables, fn = SHAPES[name]
-    needed = {t: (load(spark, sf, t[3:]) if t.startswith("px_") else table(spark, sf, t)) for t in tables}
+    needed = {t: table(spark, sf, t) for t in tables}
+    if name in HEAVY_SHAPES:
+        needed[tables[0]] = spread(needed[tables[0]])
     return spark.sql(fn(SparkDialect()), **needed)
 
 
 def with_clause(names: tuple[str, ...]) -> str:
-    """WITH px_<name> AS (...) for the SQL check; shapes a shape builds on come first."""
-    ordered: list[str] = []
-
-    def visit(name: str) -> None:
-        for t in SHAPES[name][0]:
-            if t.startswith("px_"):
-                visit(t[3:])
-        if name not in ordered:
-            ordered.append(name)
-
-    for name in names:
-        visit(name)
-    if not ordered:
+    """WITH px_<name> AS (...) for the SQL check."""
+    if not names:
         return ""
-    return "WITH " + ",\n".join(f"px_{n} AS ({SHAPES[n][1](DuckDialect())})" for n in ordered) + "\n"
+    return "WITH " + ",\n".join(f"px_{n} AS ({SHAPES[n][1](DuckDialect())})" for n in names) + "\n"
 
 
 PHRASES = [
