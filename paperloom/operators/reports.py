@@ -65,25 +65,20 @@ def active_members(members: DataFrame) -> DataFrame:
 def morning_briefing(
     members: DataFrame, tasks: DataFrame, patterns: DataFrame, documents: DataFrame, bugs: DataFrame, as_of: Column
 ) -> DataFrame:
-    """R-06: one row per member. Counts fold per member before the join; household-wide figures are one broadcast row."""
+    """R-06: one row per member. Counts fold per member before the join; household-wide figures are scalar subqueries."""
     open_tasks = tasks.filter(F.col("status") == "open").groupBy(F.col("assigned_to").alias("member_id")).agg(F.count(F.lit(1)).alias("open_tasks"))
     recent = documents.filter(F.col("created_at") >= F.timestamp_add("DAY", F.lit(-7), as_of)).groupBy(
         F.col("uploaded_by").alias("member_id")
     ).agg(F.count(F.lit(1)).alias("recent_documents"))
-    upcoming = patterns.filter("is_active").agg(
-        F.count(F.lit(1)).alias("active_patterns"),
-        F.min_by(F.struct("title", "next_due_date"), F.struct("next_due_date", "pattern_id")).alias("_next"),
-    )
-    # both sides of this join hold exactly one row
-    household = upcoming.withColumn("_one", F.lit(1)).join(
-        bugs.agg(F.count_if(F.col("status") == "open").alias("_bugs")).withColumn("_one", F.lit(1)), "_one"
-    )
-    rows = members.join(open_tasks, "member_id", "left").join(recent, "member_id", "left").withColumn("_one", F.lit(1))
-    rows = rows.join(F.broadcast(household), "_one")
+    active = patterns.filter("is_active")
+    count = active.agg(F.count(F.lit(1))).scalar()
+    upcoming = active.agg(F.min_by(F.struct("title", "next_due_date"), F.struct("next_due_date", "pattern_id"))).scalar()
+    broken = bugs.agg(F.count_if(F.col("status") == "open")).scalar()
+    rows = members.join(open_tasks, "member_id", "left").join(recent, "member_id", "left").withColumn("_next", upcoming)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(
-        "member_id", zero("open_tasks"), "active_patterns", zero("recent_documents"),
-        F.when(F.col("role") == "parent", F.col("_bugs")).alias("open_bugs"), F.col("_next.title").alias("next_title"),
+        "member_id", zero("open_tasks"), count.alias("active_patterns"), zero("recent_documents"),
+        F.when(F.col("role") == "parent", broken).alias("open_bugs"), F.col("_next.title").alias("next_title"),
         F.datediff(F.col("_next.next_due_date"), F.to_date(as_of)).alias("next_in_days"),
     )
 
