@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -14,6 +16,9 @@ from paperloom.functions.scalars import fact_category
 from paperloom.operators.access import may_read_category, resolve_people
 from paperloom.operators.classify import worth_remembering
 
+# what runs in Python workers travels by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Up to this many rules are broadcast; more go through a shuffle join in chunks of this size.
 RULE_CHUNK = 500
 

@@ -1,9 +1,11 @@
 """Rate limit and inactivity (W-02, W-05)."""
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,6 +32,10 @@ def mark_limited(
     return counted.filter(F.col("_slot") == F.col("_own")).withColumn("limited", F.col("in_window") > most).drop("_at", "_own", "_slot")
 
 
+# what runs in Python workers travels by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class RateLimiter(StatefulProcessor):
     """Keeps the arrival times of one phone that still lie in the window."""
 

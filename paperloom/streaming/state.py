@@ -1,9 +1,11 @@
 """Conversation state, pending confirmations and task signals (W-03, W-04, W-06)."""
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +14,10 @@ from paperloom import rules
 from paperloom.functions.regex import first_match
 from paperloom.operators.skew import HOT_ROWS, carry, lookup, previous
 
+# what runs in Python workers travels by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+DOWNGRADE_SIGNALS = list(rules.DOWNGRADE_SIGNALS)
 FIELDS = ["last_intent", "last_entity_type", "last_entity_id", "last_action", "context"]
 STATE_SCHEMA = (
     "member_id bigint, last_intent string, last_entity_type string, last_entity_id bigint, last_action string, context string, "
@@ -108,7 +114,7 @@ def task_signals(messages: DataFrame, bucket_seconds: int = 86_400) -> DataFrame
     known = carry(marked, "member_id", "ts", "event_id", F.col("_explicit"), "_last", bucket_seconds, include_current=False)
     after = F.when(F.col("_last") == "tool_completed", F.lit("post_tool_chat")).otherwise(F.col("_last"))
     signal = F.coalesce("_explicit", after)
-    return known.withColumns({"signal": signal, "downgrade": F.coalesce(signal.isin(rules.DOWNGRADE_SIGNALS), F.lit(False))}).drop("_explicit", "_last")
+    return known.withColumns({"signal": signal, "downgrade": F.coalesce(signal.isin(DOWNGRADE_SIGNALS), F.lit(False))}).drop("_explicit", "_last")
 
 
 class SignalTracker(StatefulProcessor):
@@ -131,7 +137,7 @@ class SignalTracker(StatefulProcessor):
                 if group is not None and group != row["detected"]:
                     signal = "topic_shift"
                 group = row["intent_group"]
-                down = signal in rules.DOWNGRADE_SIGNALS
+                down = signal in DOWNGRADE_SIGNALS
                 out.append((row["event_id"], key[0], signal, down))
                 if down and row["raised_tier"]:
                     signal, group = None, None
