@@ -86,7 +86,8 @@ def has_pii(records: Column) -> Column:
 def pii_counts(masked: DataFrame, records: str = "pii_records") -> DataFrame:
     """S-18: how many values of each type were masked."""
     return (
-        masked.select(F.explode(F.col(records)).alias("record"))
+        masked.select(F.explode_outer(F.col(records)).alias("record"))
+        .filter(F.col("record").isNotNull())
         .groupBy(F.col("record.pattern_type").alias("pattern_type"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
