@@ -14,9 +14,11 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
 STATE_STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(name: str = "paperloom", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -40,21 +42,41 @@ def local_session(name: str = "paperloom", cores: str | int = "*", shuffle_parti
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a
-    temporary folder made and recorded in the session.
+    The cluster names it in ``spark.checkpoint.dir``. A local session without that setting (tests, a laptop) gets a
+    temporary folder; any other session without it is an error, since executors could not see one another's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: survives lost executors, unlike a cache."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and read it back: survives lost executors, unlike a cache.
+
+    The write's own shuffle files go as soon as the table stands, so a chain of such steps needs the disk of its
+    largest step only. ``drop_table`` removes the table when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` made."""
+    context = table.sparkSession.sparkContext
+    folders = {name.rpartition("/")[0] for name in table.inputFiles()}
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:
