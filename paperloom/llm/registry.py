@@ -1,9 +1,11 @@
 """The registered queries of this subpackage: one per operator, over its whole table."""
 from __future__ import annotations
 
-from paperloom.llm import quality
+from paperloom.llm import neardup, pieces, quality
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_simhash_neardup": neardup.query,
+    "op10_sentencepiece": pieces.query,
 }
 ORACLES = {"op1_quality_rules": quality.ORACLE}

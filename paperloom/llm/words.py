@@ -5,7 +5,8 @@ blocks of about ``BLOCK`` bytes, so memory follows the block (or the longest sin
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,14 @@ LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = []
+
+
+def once(key: tuple, make: Callable):
+    """One value per worker process: this code travels by value, so its own globals would live for one task only."""
+    store = sys.__dict__.setdefault("_paperloom_llm", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
 
 
 @dataclass
@@ -78,11 +86,12 @@ def cut(first: int, data: np.ndarray, offsets: np.ndarray) -> Block:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, SLICE + 1)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (_BASE, _INVERSE)]
-    return _POWERS[0], _POWERS[1]
+    size = SLICE + 1 if n <= SLICE else n + 1
+
+    def make() -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (_BASE, _INVERSE))
+
+    return once(("powers",), make) if n <= SLICE else make()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
