@@ -1,11 +1,12 @@
 """The registered queries of this subpackage: one per operator, over its whole table."""
 from __future__ import annotations
 
-from paperloom.llm import neardup, packing, pieces, quality
+from paperloom.llm import neardup, packing, pieces, pii, quality
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_simhash_neardup": neardup.query,
+    "op5_pii": pii.query,
     "op9_best_fit_packing": packing.query,
     "op10_sentencepiece": pieces.query,
 }
