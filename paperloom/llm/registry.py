@@ -1,13 +1,14 @@
 """The registered queries of this subpackage: one per operator, over its whole table."""
 from __future__ import annotations
 
-from paperloom.llm import langid, neardup, packing, pieces, pii, quality
+from paperloom.llm import langid, lm, neardup, packing, pieces, pii, quality
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_simhash_neardup": neardup.query,
     "op3_language_id": langid.query,
     "op5_pii": pii.query,
+    "op6_lm_score": lm.query,
     "op9_best_fit_packing": packing.query,
     "op10_sentencepiece": pieces.query,
 }
