@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: one per operator, over its whole table."""
 from __future__ import annotations
 
-from paperloom.llm import langid, lm, neardup, packing, pieces, pii, quality, substring
+from paperloom.llm import fingerprint, langid, lm, neardup, packing, pieces, pii, quality, substring
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_language_id": langid.query,
     "op5_pii": pii.query,
     "op6_lm_score": lm.query,
+    "op7_fingerprints": fingerprint.query,
     "op8_substring_dedup": substring.query,
     "op9_best_fit_packing": packing.query,
     "op10_sentencepiece": pieces.query,
