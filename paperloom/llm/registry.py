@@ -1,12 +1,13 @@
 """The registered queries of this subpackage: one per operator, over its whole table."""
 from __future__ import annotations
 
-from paperloom.llm import fingerprint, langid, lm, neardup, packing, pieces, pii, quality, substring
+from paperloom.llm import fingerprint, langid, lm, neardup, packing, pieces, pii, quality, rollup, substring
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_simhash_neardup": neardup.query,
     "op3_language_id": langid.query,
+    "op4_token_rollup": rollup.query,
     "op5_pii": pii.query,
     "op6_lm_score": lm.query,
     "op7_fingerprints": fingerprint.query,
