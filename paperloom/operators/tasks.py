@@ -4,7 +4,7 @@ A change is a row of a change table; the newest change per key wins. ``as_of`` i
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
@@ -22,11 +22,15 @@ def create_tasks(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tasks, audit
 
 
-def mark_duplicate_requests(requests: DataFrame, tasks: DataFrame, seconds: int = rules.DUPLICATE_TASK_SECONDS) -> DataFrame:
+def mark_duplicate_requests(
+    requests: DataFrame, tasks: DataFrame, seconds: int = rules.DUPLICATE_TASK_SECONDS, row_id: str = "request_id"
+) -> DataFrame:
     """T-02: add ``duplicate``: an open task with the same title and creator was created within ``seconds`` before.
 
-    Tasks fold to the first and last creation per (title, creator, time slot); a request then looks into its own slot and the
-    one before, so no pairs of requests and tasks are formed.
+    An accepted request is such a task for the requests after it; a refused one is not. Stored tasks fold to the first and
+    last creation per (title, creator, time slot), and a request looks into its own slot and the one before. Among
+    requests only those can meet that follow each other without a pause over ``seconds``: each such run is folded in
+    time order. No pairs are formed.
     """
     micros = F.unix_micros("created_at")
     width = seconds * 1_000_000
@@ -35,12 +39,25 @@ def mark_duplicate_requests(requests: DataFrame, tasks: DataFrame, seconds: int
     slots = tasks.filter((F.col("status") == "open") & F.col("created_by").isNotNull()).groupBy(*key, slot.alias("_slot")).agg(
         F.min(micros).alias("_first"), F.max(micros).alias("_last")
     )
-    probe = requests.withColumns({"_slot": slot, "_at": micros})
+    probe = requests.select(row_id, *key, slot.alias("_slot"), micros.alias("_at"))
     same = slots.select(*key, "_slot", F.col("_first").alias("_same_first"))
     before = slots.select(*key, (F.col("_slot") + 1).alias("_slot"), F.col("_last").alias("_prior_last"))
-    joined = probe.join(same, [*key, "_slot"], "left").join(before, [*key, "_slot"], "left")
-    hit = (F.col("_same_first") <= F.col("_at")) | (F.col("_prior_last") >= F.col("_at") - width)
-    return joined.withColumn("duplicate", F.coalesce(hit, F.lit(False))).select(*requests.columns, "duplicate")
+    named = probe.filter(F.col("title").isNotNull() & F.col("created_by").isNotNull() & F.col("_at").isNotNull())
+    joined = named.join(same, [*key, "_slot"], "left").join(before, [*key, "_slot"], "left")
+    stored = F.coalesce((F.col("_same_first") <= F.col("_at")) | (F.col("_prior_last") >= F.col("_at") - width), F.lit(False))
+    order = Window.partitionBy(*key).orderBy("_at", row_id)
+    paused = F.coalesce(F.col("_at") - F.lag("_at").over(order) > width, F.lit(True))
+    runs = joined.select(row_id, *key, "_at", stored.alias("_stored"), paused.cast("int").alias("_paused"))
+    runs = runs.withColumn("_run", F.sum("_paused").over(order))
+    grouped = runs.groupBy(*key, "_run").agg(F.sort_array(F.collect_list(F.struct("_at", row_id, "_stored"))).alias("_rows"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(requests.dtypes)[row_id]}>").alias("taken"))
+    free = lambda acc, r: ~r["_stored"] & (acc["last"].isNull() | (acc["last"] < r["_at"] - width))
+    fold = lambda acc, r: F.when(
+        free(acc, r), F.struct(r["_at"].alias("last"), F.array_append(acc["taken"], r[row_id]).alias("taken"))
+    ).otherwise(acc)
+    judged = grouped.select("_rows", F.aggregate("_rows", start, fold)["taken"].alias("_taken"))
+    marks = judged.select(F.explode(F.transform("_rows", lambda r: F.struct(r[row_id].alias(row_id), (~F.array_contains("_taken", r[row_id])).alias("duplicate")))).alias("m"))
+    return requests.join(marks.select("m.*"), row_id, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).select(*requests.columns, "duplicate")
 
 
 def priority_rank(priority: Column) -> Column:
@@ -57,37 +74,33 @@ def list_tasks(tasks: DataFrame, status: str = "open", assigned_to: int | None =
     return found.orderBy(priority_rank(F.col("priority")), F.col("due_date").asc_nulls_last(), "task_id")
 
 
-def _latest_change(changes: DataFrame, value: str) -> DataFrame:
-    row = F.struct(F.col(value), "actor_id", "changed_at", "change_id")
-    newest = changes.filter(F.col(value).isNotNull()).groupBy("task_id").agg(F.max_by(row, F.struct("changed_at", "change_id")).alias("_c"))
-    return newest.select("task_id", "_c")
-
-
 def update_status(tasks: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """T-04: apply the newest status per task; completion time is set once, when a task becomes done.
+    """T-04: apply all changes of a batch; the newest status stays, completion time is that of the first ``done``.
 
-    ``changes``: change_id, task_id, new_status, actor_id, changed_at. Also returns one audit row per applied change.
+    ``changes``: change_id, task_id, new_status, actor_id, changed_at. Also returns one audit row per change.
     """
-    joined = tasks.join(_latest_change(changes, "new_status"), "task_id", "left")
-    new = F.col("_c.new_status")
-    done_at = F.when((new == "done") & F.col("completed_at").isNull(), F.col("_c.changed_at")).otherwise(F.col("completed_at"))
-    updated = joined.withColumns({"status": F.coalesce(new, "status"), "completed_at": done_at}).drop("_c")
-    applied = joined.filter(F.col("_c").isNotNull())
-    audit = audit_rows(
-        applied, F.col("created_by"), "task_status_updated", "task", F.col("task_id"), F.struct(new.alias("new_status")), F.col("_c.changed_at")
+    known = changes.filter(F.col("new_status").isNotNull())
+    folded = known.groupBy("task_id").agg(
+        F.max_by("new_status", F.struct("changed_at", "change_id")).alias("_new"), F.min(F.when(F.col("new_status") == "done", F.col("changed_at"))).alias("_done")
     )
+    joined = tasks.join(folded, "task_id", "left")
+    updated = joined.withColumns({"status": F.coalesce("_new", "status"), "completed_at": F.coalesce("completed_at", "_done")}).drop("_new", "_done")
+    applied = known.join(tasks.select("task_id", "created_by"), "task_id")
+    audit = audit_rows(applied, F.col("created_by"), "task_status_updated", "task", F.col("task_id"), F.struct("new_status"), F.col("changed_at"))
     return updated, audit
 
 
 def reassign(tasks: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """T-05: apply the newest assignee per task; audit rows carry the previous and the new one."""
-    joined = tasks.join(_latest_change(changes, "new_assignee"), "task_id", "left")
-    new = F.col("_c.new_assignee")
-    updated = joined.withColumn("assigned_to", F.coalesce(new, "assigned_to")).drop("_c")
-    details = F.struct(F.col("assigned_to").cast("string").alias("previous_assignee"), new.cast("string").alias("new_assignee"))
-    audit = audit_rows(
-        joined.filter(F.col("_c").isNotNull()), F.col("_c.actor_id"), "task_reassigned", "task", F.col("task_id"), details, F.col("_c.changed_at")
+    """T-05: apply all reassignments of a batch; one audit row each, with the assignee before and after it."""
+    known = changes.filter(F.col("new_assignee").isNotNull())
+    newest = known.groupBy("task_id").agg(F.max_by("new_assignee", F.struct("changed_at", "change_id")).alias("_new"))
+    updated = tasks.join(newest, "task_id", "left").withColumn("assigned_to", F.coalesce("_new", "assigned_to")).drop("_new")
+    before = F.lag("new_assignee").over(Window.partitionBy("task_id").orderBy("changed_at", "change_id"))
+    applied = known.withColumn("_before", before).join(tasks.select("task_id", "assigned_to"), "task_id")
+    details = F.struct(
+        F.coalesce("_before", "assigned_to").cast("string").alias("previous_assignee"), F.col("new_assignee").cast("string").alias("new_assignee")
     )
+    audit = audit_rows(applied, F.col("actor_id"), "task_reassigned", "task", F.col("task_id"), details, F.col("changed_at"))
     return updated, audit
 
 
@@ -125,7 +138,7 @@ def due_patterns(patterns: DataFrame, as_of: Column) -> DataFrame:
 def generate_tasks(patterns: DataFrame, as_of: Column, run_at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """T-11: (tasks, updated patterns, audit). Every due pattern yields one task and advances one period per run.
 
-    A task's id is the pattern id with the run day, so running a day twice creates nothing new under an upsert.
+    A task's id is the pattern id with the due day, so running a day twice creates nothing new under an upsert.
     """
     due = due_patterns(patterns, as_of)
     day = F.date_format("next_due_date", "yyyyMMdd").cast("long")

@@ -53,7 +53,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, purpose: str = "stage", compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: survives lost executors, unlike a cache.
 
     The write's own shuffle files go as soon as the table stands, so a chain of such steps needs the disk of its
@@ -64,7 +64,7 @@ def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
     before = spark.conf.get(SHUFFLE_CLEANUP)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").parquet(path, compression=compression)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

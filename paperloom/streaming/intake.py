@@ -1,11 +1,12 @@
 """Message and document intake as streams (W-01, W-07)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.ingest import new_documents
-from paperloom.session import shared_folder
 from paperloom.sources.messages import parse_messages
 
 
@@ -14,27 +15,36 @@ def accepted_messages(raw: DataFrame, body: str = "body") -> DataFrame:
     return parse_messages(raw, body).filter(F.col("reason").isNull()).drop("reason")
 
 
-def ingest_stream(stream: DataFrame, catalog_path: str, purpose: str = "ingest", trigger: dict | None = None):
+def _run_key(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to; made on its first start, kept beside it from then on."""
+    path = f"{checkpoint.rstrip('/')}-run"
+    spark.createDataFrame([(uuid.uuid4().hex,)], "run string").coalesce(1).write.mode("ignore").json(path)
+    return spark.read.schema("run string").json(path).first()["run"]
+
+
+def ingest_stream(stream: DataFrame, catalog_path: str, checkpoint: str, trigger: dict | None = None):
     """W-07: append the documents that are neither in the catalog nor earlier in the stream; returns the started query.
 
-    Each micro-batch is one folder of the catalog, written under its batch number: a batch that is run again after a failure
-    replaces its own folder and does not see itself as already stored. The catalog, not stream state, remembers the hashes,
-    so nothing has to be kept in memory and no watermark can forget a document.
+    ``checkpoint`` names the run: starting again with it goes on where it stopped, another one is another run on the same
+    catalog. Each micro-batch is one folder, ``run=<key>/batch=<number>``: a batch that is run again after a failure
+    replaces its own folder only, and does not see itself as already stored. The catalog, not stream state, remembers
+    the hashes, so nothing has to be kept in memory and no watermark can forget a document.
     """
     spark = stream.sparkSession
-    schema = stream.schema
+    schema_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    run = _run_key(spark, checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        catalog = spark.read.schema(f"{schema_ddl}, batch bigint").parquet(catalog_path).filter(F.col("batch") < batch_id).drop("batch")
-        fresh = new_documents(batch, catalog)
-        fresh.write.mode("overwrite").parquet(f"{catalog_path}/batch={batch_id}")
-
-    schema_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    # the catalog folder exists from the start, with an empty batch
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{catalog_path}/batch=-1")
-    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", shared_folder(spark, purpose))
+        catalog = batch.sparkSession.read.schema(f"{schema_ddl}, run string, batch bigint").parquet(catalog_path)
+        others = catalog.filter(~((F.col("run") == run) & (F.col("batch") == batch_id))).drop("run", "batch")
+        fresh = new_documents(batch, others)
+        fresh.write.mode("overwrite").parquet(f"{catalog_path}/run={run}/batch={batch_id}")
+
+    # the run's folder exists from the start, with an empty batch
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{catalog_path}/run={run}/batch=-1")
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_catalog(spark, catalog_path: str) -> DataFrame:
-    return spark.read.parquet(catalog_path).drop("batch")
+def read_catalog(spark: SparkSession, catalog_path: str) -> DataFrame:
+    return spark.read.parquet(catalog_path).drop("run", "batch")

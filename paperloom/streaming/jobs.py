@@ -23,10 +23,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(STATE_STORE_SETTING, ROCKSDB_PROVIDER)
 
 
-def run_to_files(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Process everything available, then stop; the output files and the checkpoint lie in the shared folder."""
+def run_to_files(stream: DataFrame, purpose: str, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Process everything available, then stop. Output files and checkpoint lie below ``base``, and a start with the same
+    ``base`` goes on where the last one stopped; without it a fresh place in the shared folder is taken."""
     spark = stream.sparkSession
-    base = shared_folder(spark, purpose)
+    base = base or shared_folder(spark, purpose)
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()

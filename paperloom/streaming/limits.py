@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import sys
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,36 +39,45 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class RateLimiter(StatefulProcessor):
-    """Keeps the arrival times of one phone that still lie in the window."""
+    """Keeps the arrival times of one phone that still lie in the window.
 
-    def __init__(self, seconds: int, most: int) -> None:
-        self.width, self.most = seconds * 1_000_000, most
+    A phone's rows of a micro-batch come in several frames in no order, so they are put in order together; what the source
+    admits to a micro-batch bounds them. A row older than the state (late, from an earlier time than a former
+    micro-batch) counts against what is still kept, as a message judged on arrival.
+    """
+
+    def __init__(self, seconds: int, most: int, idle_seconds: int) -> None:
+        self.width, self.most, self.idle = seconds * 1_000_000, most, idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at bigint")
+        # a phone that falls silent leaves no state behind
+        self.recent = handle.getListState("recent", "at bigint", ttlDurationMs=self.idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [at for (at,) in self.recent.get()] if self.recent.exists() else []
-        for frame in rows:
-            frame = frame.sort_values(["at", "event_id"])
-            counts = []
-            for at in frame["at"]:
-                kept = [t for t in kept if t > at - self.width] + [at]
-                counts.append(len(kept))
-            yield pd.DataFrame(
-                {"phone": key[0], "event_id": frame["event_id"].to_numpy(), "in_window": counts, "limited": [n > self.most for n in counts]}
-            )
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
+        kept = deque(sorted(at for (at,) in self.recent.get())) if self.recent.exists() else deque()
+        counts = []
+        for at in frame["at"].tolist():
+            while kept and kept[0] <= at - self.width:
+                kept.popleft()
+            kept.append(at) if not kept or kept[-1] <= at else kept.insert(bisect_right(kept, at), at)
+            counts.append(len(kept))
         self.recent.put([(int(t),) for t in kept])
+        yield pd.DataFrame(
+            {"phone": key[0], "event_id": frame["event_id"].to_numpy(), "in_window": counts, "limited": [n > self.most for n in counts]}
+        )
 
     def close(self) -> None:
         pass
 
 
-def limited_stream(stream: DataFrame, seconds: int = rules.RATE_WINDOW_SECONDS, most: int = rules.RATE_MAX_MESSAGES) -> DataFrame:
-    """W-02 on a stream of phone, event_id, ts: each message is judged on arrival."""
+def limited_stream(
+    stream: DataFrame, seconds: int = rules.RATE_WINDOW_SECONDS, most: int = rules.RATE_MAX_MESSAGES, idle_seconds: int = 86_400
+) -> DataFrame:
+    """W-02 on a stream of phone, event_id, ts: each message is judged on arrival. State goes after ``idle_seconds`` without one."""
     keyed = stream.select("phone", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return keyed.groupBy("phone").transformWithStateInPandas(
-        RateLimiter(seconds, most), "phone string, event_id bigint, in_window bigint, limited boolean", "Append", "None"
+        RateLimiter(seconds, most, max(idle_seconds, 2 * seconds)), "phone string, event_id bigint, in_window bigint, limited boolean", "Append", "ProcessingTime"
     )
 
 

@@ -47,6 +47,14 @@ def latest_state(updates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> list[dict]:
+    """A key's rows of a micro-batch in order: they come in several frames. The source's admission limit bounds them.
+
+    A row that arrives in a later micro-batch than a newer one is applied on arrival.
+    """
+    return pd.concat(list(frames), ignore_index=True).sort_values(by).to_dict("records")
+
+
 class ConversationState(StatefulProcessor):
     """One member's state row; emits it after every micro-batch that touched it."""
 
@@ -56,19 +64,18 @@ class ConversationState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [*FIELDS, "pending_confirmation", "pending_action", "updated_at"]
         now = dict(zip(names, self.state.get())) if self.state.exists() else dict.fromkeys(names) | {"pending_confirmation": False}
-        for frame in rows:
-            for row in frame.sort_values(["ts", "update_id"]).to_dict("records"):
-                value = lambda c: None if pd.isna(row[c]) else row[c]
-                if row["kind"] == "clear":
-                    now = dict.fromkeys(names) | {"pending_confirmation": False}
-                else:
-                    now.update({c: value(c) for c in FIELDS if value(c) is not None})
-                    flag, action = bool(value("pending_confirmation")), value("pending_action")
-                    if flag or action is not None:
-                        now["pending_confirmation"] = flag
-                    if action is not None:
-                        now["pending_action"] = action
-                now["updated_at"] = row["ts"]
+        for row in _in_order(rows, ["ts", "update_id"]):
+            value = lambda c: None if pd.isna(row[c]) else row[c]
+            if row["kind"] == "clear":
+                now = dict.fromkeys(names) | {"pending_confirmation": False}
+            else:
+                now.update({c: value(c) for c in FIELDS if value(c) is not None})
+                flag, action = bool(value("pending_confirmation")), value("pending_action")
+                if flag or action is not None:
+                    now["pending_confirmation"] = flag
+                if action is not None:
+                    now["pending_action"] = action
+            now["updated_at"] = row["ts"]
         if now["last_entity_id"] is not None:
             now["last_entity_id"] = int(now["last_entity_id"])
         self.state.update(tuple(now[n] for n in names))
@@ -125,23 +132,22 @@ class SignalTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         signal, group = self.state.get() if self.state.exists() else (None, None)
-        for frame in rows:
-            out = []
-            for row in frame.sort_values(["ts", "event_id"]).to_dict("records"):
-                if row["tool_used"]:
-                    signal = "tool_completed"
-                elif signal == "tool_completed":
-                    signal = "post_tool_chat"
-                if row["completion"]:
-                    signal = "user_done"
-                if group is not None and group != row["detected"]:
-                    signal = "topic_shift"
-                group = row["intent_group"]
-                down = signal in DOWNGRADE_SIGNALS
-                out.append((row["event_id"], key[0], signal, down))
-                if down and row["raised_tier"]:
-                    signal, group = None, None
-            yield pd.DataFrame(out, columns=["event_id", "member_id", "signal", "downgrade"])
+        out = []
+        for row in _in_order(rows, ["ts", "event_id"]):
+            if row["tool_used"]:
+                signal = "tool_completed"
+            elif signal == "tool_completed":
+                signal = "post_tool_chat"
+            if row["completion"]:
+                signal = "user_done"
+            if group is not None and group != row["detected"]:
+                signal = "topic_shift"
+            group = row["intent_group"]
+            down = signal in DOWNGRADE_SIGNALS
+            out.append((row["event_id"], key[0], signal, down))
+            if down and row["raised_tier"]:
+                signal, group = None, None
+        yield pd.DataFrame(out, columns=["event_id", "member_id", "signal", "downgrade"])
         self.state.update((signal, group))
 
     def close(self) -> None:

@@ -41,17 +41,30 @@ def t01(spark, sf):
     return joined.select("task_id", "status", "priority", "actor_id", "action", "details")
 
 
+_REQUESTS = """SELECT task_id * 2 + n AS request_id, title, created_by, created_at + (100000 + n * 432000) * INTERVAL 1 SECOND AS created_at FROM px_tasks CROSS JOIN (VALUES (0), (1)) v(n)"""
+
+
 @query(
     "t02_duplicate_requests",
-    """WITH t AS (SELECT task_id, title, created_by, status, created_at FROM px_tasks), r AS (SELECT task_id AS request_id, title, created_by, created_at + INTERVAL 100000 SECOND AS created_at FROM px_tasks)
-    SELECT request_id, bool_or(t.task_id IS NOT NULL) AS duplicate FROM r LEFT JOIN t ON t.title = r.title AND t.created_by = r.created_by AND t.status = 'open'
-      AND t.created_at <= r.created_at AND t.created_at >= r.created_at - INTERVAL 30 DAY GROUP BY 1""",
+    f"""WITH RECURSIVE q AS ({_REQUESTS}), s AS (
+      SELECT q.*, EXISTS (SELECT 1 FROM px_tasks t WHERE t.title = q.title AND t.created_by = q.created_by AND t.status = 'open' AND t.created_at <= q.created_at
+        AND t.created_at >= q.created_at - INTERVAL 8 DAY) AS stored, row_number() OVER (PARTITION BY title, created_by ORDER BY created_at, request_id) AS rn FROM q WHERE created_by IS NOT NULL),
+    g AS (SELECT s.*, stored AS duplicate, CASE WHEN NOT stored THEN created_at END AS taken FROM s WHERE rn = 1
+      UNION ALL SELECT s.*, s.stored OR coalesce(g.taken >= s.created_at - INTERVAL 8 DAY, false),
+        CASE WHEN s.stored OR coalesce(g.taken >= s.created_at - INTERVAL 8 DAY, false) THEN g.taken ELSE s.created_at END
+      FROM g JOIN s ON s.title = g.title AND s.created_by = g.created_by AND s.rn = g.rn + 1)
+    SELECT request_id, duplicate FROM g UNION ALL SELECT request_id, false FROM q WHERE created_by IS NULL""",
     ("tasks",),
 )
 def t02(spark, sf):
+    """Every task's title is asked for again, twice, five days apart."""
     tasks = load(spark, sf, "tasks")
-    requests = tasks.select(F.col("task_id").alias("request_id"), "title", "created_by", F.timestamp_add("SECOND", F.lit(100000), F.col("created_at")).alias("created_at"))
-    return T.mark_duplicate_requests(requests, tasks, seconds=30 * 86400).select("request_id", "duplicate")
+    again = tasks.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    requests = again.select(
+        (F.col("task_id") * 2 + F.col("n")).alias("request_id"), "title", "created_by",
+        F.timestamp_add("SECOND", (F.lit(100000) + F.col("n") * 432000).cast("int"), F.col("created_at")).alias("created_at"),
+    )
+    return T.mark_duplicate_requests(requests, tasks, seconds=8 * 86400).select("request_id", "duplicate")
 
 
 @query(
@@ -77,18 +90,22 @@ def t03_order(spark, sf):
 
 @query(
     "t04_update_status",
-    f"""SELECT task_id, coalesce(new_status, status) AS status, strftime(CASE WHEN new_status = 'done' AND completed_at IS NULL THEN changed_at ELSE completed_at END, '%Y-%m-%d %H:%M:%S') AS completed_at
-    FROM px_tasks LEFT JOIN px_task_changes USING (task_id)""",
+    """WITH c AS (SELECT task_id, max_by(new_status, (changed_at, change_id)) AS s, min(CASE WHEN new_status = 'done' THEN changed_at END) AS d, count(*) AS n FROM px_task_changes GROUP BY 1)
+    SELECT task_id, coalesce(s, status) AS status, strftime(coalesce(completed_at, d), '%Y-%m-%d %H:%M:%S') AS completed_at, coalesce(n, 0) AS audited
+    FROM px_tasks LEFT JOIN c USING (task_id)""",
     ("tasks", "task_changes"),
 )
 def t04(spark, sf):
-    updated, _ = T.update_status(load(spark, sf, "tasks"), load(spark, sf, "task_changes"))
-    return updated.select("task_id", "status", _stamp("completed_at"))
+    updated, audit = T.update_status(load(spark, sf, "tasks"), load(spark, sf, "task_changes"))
+    rows = audit.groupBy(F.col("resource_id").alias("task_id")).agg(F.count(F.lit(1)).alias("n"))
+    return updated.join(rows, "task_id", "left").select("task_id", "status", _stamp("completed_at"), F.coalesce("n", F.lit(0)).cast("long").alias("audited"))
 
 
 @query(
     "t05_reassign",
-    """SELECT task_id, new_assignee AS assigned_to, actor_id, '{"previous_assignee":"' || assigned_to || '","new_assignee":"' || new_assignee || '"}' AS details FROM px_tasks JOIN px_task_changes USING (task_id)""",
+    """SELECT task_id, last_value(new_assignee) OVER (PARTITION BY task_id ORDER BY changed_at, change_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS assigned_to, actor_id,
+      '{"previous_assignee":"' || coalesce(lag(new_assignee) OVER (PARTITION BY task_id ORDER BY changed_at, change_id), assigned_to) || '","new_assignee":"' || new_assignee || '"}' AS details
+    FROM px_tasks JOIN px_task_changes USING (task_id)""",
     ("tasks", "task_changes"),
 )
 def t05(spark, sf):

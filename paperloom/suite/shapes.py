@@ -257,15 +257,15 @@ def tasks(d):
 
 @shape("orders")
 def task_changes(d):
-    """One change event per third order: a new status and a new assignee for the task of the same key."""
+    """Change events of every third task: one each, a second for every sixth, a third for every ninth."""
     k = "o_orderkey"
-    return f"""
-    SELECT o_orderkey AS task_id, o_orderkey AS change_id,
-      {d.pick(['done', 'archived', 'in_progress', 'open'], f'{k} % 4')} AS new_status,
-      o_custkey % 37 AS new_assignee, o_custkey % 11 AS actor_id,
-      {d.stamp(d.seconds('o_orderdate', '200000'))} AS changed_at
-    FROM {d.t('orders')} WHERE {k} % 3 = 0
-    """
+    one = lambda nth, cond, after: f"""
+    SELECT o_orderkey AS task_id, o_orderkey * 4 + {nth} AS change_id,
+      {d.pick(['done', 'archived', 'in_progress', 'open'], f'({k} + {nth} * {k} % 7) % 4')} AS new_status,
+      (o_custkey + {nth} * 5) % 37 AS new_assignee, (o_custkey + {nth}) % 11 AS actor_id,
+      {d.stamp(d.seconds('o_orderdate', after))} AS changed_at
+    FROM {d.t('orders')} WHERE {cond}"""
+    return " UNION ALL ".join([one(0, f"{k} % 3 = 0", "200000"), one(1, f"{k} % 6 = 0", "203600"), one(2, f"{k} % 9 = 0", "207200")])
 
 
 @shape("part")
