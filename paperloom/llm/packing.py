@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,6 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 BLOCK = 12 << 20
+CACHED = 400_000  # words whose ids a worker keeps
 GRAIN = 16  # lengths are rounded up to this in the program
 SHORT = 16  # lengths up to capacity / SHORT fill gaps instead
 STEP = 0.3
@@ -65,11 +67,17 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def token_ids(tokenizer, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids in a row, each followed by ``end``, and the texts' offsets."""
     words, codes, rows = distinct_words(texts)
-    lists: list[list[int]] = []
-    for i in range(0, len(words), 20_000):
-        lists += [e.ids for e in tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-    width = np.array([len(x) for x in lists], np.int64)
-    ids = np.fromiter((i for x in lists for i in x), np.uint32, int(width.sum()))
+    known = W.once(("words", tokenizer), dict)
+    lists = [known.get(w) for w in words]
+    new = [i for i, x in enumerate(lists) if x is None]
+    for k in range(0, len(new), 20_000):
+        part = new[k : k + 20_000]
+        for i, e in zip(part, tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+            lists[i] = array("I", e.ids).tobytes()
+    for i in new[: max(0, CACHED - len(known))]:
+        known[words[i]] = lists[i]
+    width = np.array([len(x) // 4 for x in lists], np.int64)
+    ids = np.frombuffer(b"".join(lists), np.uint32)
     own = width[codes]
     total = np.append(0, np.cumsum(own))
     flat = ids[np.repeat((np.cumsum(width) - width)[codes] - total[:-1], own) + np.arange(total[-1])] if len(codes) else ids
@@ -250,7 +258,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     shared = spark.sparkContext.broadcast(_places(plan(histogram, capacity), capacity))  # bounded by the plan, not by the rows
-    ranked = found.join(shifts, ["part", "length"]).withColumn("sequence_id", F.col("place") + F.col("shift")).drop("shift", "place", "part")
+    ranked = found.join(shifts.hint("merge"), ["part", "length"]).withColumn("sequence_id", F.col("place") + F.col("shift")).drop("shift", "place", "part")
     schema = ranked.withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
