@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import StringType
 
 from paperloom import rules
 from paperloom.functions.regex import capture, contains_any, dialect, first_match, literal_map, strip
@@ -19,67 +19,87 @@ from paperloom.operators.classify import worth_remembering
 # what runs in Python workers travels by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Up to this many rules are broadcast; more go through a shuffle join in chunks of this size.
-RULE_CHUNK = 500
-
-
 def default_rules(spark: SparkSession) -> DataFrame:
     """The seeded global rules: pattern, exclusion_type, member_id (NULL = everyone), is_active."""
     rows = [(p, kind, None, True) for p, kind in rules.MEMORY_EXCLUSIONS]
     return spark.createDataFrame(rows, "pattern string, exclusion_type string, member_id bigint, is_active boolean")
 
 
-@F.pandas_udf(BooleanType())
-def _compiles(pattern: pd.Series) -> pd.Series:
-    """Runs over the rule table only: SQL has no way to test a pattern without failing on a bad one."""
-
-    def ok(p: str) -> bool:
-        try:
-            return re.compile(p) is not None
-        except re.error:
-            return False
+def java_pattern(pattern: str) -> str | None:
+    """A member's regex, written for Python, in Java's spelling; None if it does not compile.
 
-    return pattern.map(ok)
+    ``(?U)`` gives classes, word edges and case folding their Unicode meaning, ``(?d)`` makes only a line feed a line end. Group
+    names lose what Java does not allow in them, and signs that Java reads as set operators are escaped inside a class.
+    """
+    try:
+        names = {name: f"g{number}" for name, number in re.compile(pattern).groupindex.items()}
+    except (re.error, OverflowError, RecursionError):
+        return None
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        two, one = pattern[at : at + 2], pattern[at]
+        if one == "\\":
+            out.append("\\z" if two == "\\Z" and not inside else two)
+            at += 2
+        elif inside:
+            first = at == opened
+            if one == "]" and not first:
+                inside = False
+            out.append("\\" + one if one in "[&" or one == "]" and first else one)
+            at += 1
+        elif one == "[":
+            inside, negated = True, pattern[at + 1 : at + 2] == "^"
+            out.append("[^" if negated else "[")
+            at += 2 if negated else 1
+            opened = at
+        elif named := re.match(r"\(\?P<(\w+)>|\(\?P=(\w+)\)", pattern[at:]):
+            out.append(f"(?<{names[named[1]]}>" if named[1] else rf"\k<{names[named[2]]}>")
+            at += named.end()
+        else:
+            out.append(one)
+            at += 1
+    return "(?dU)" + "".join(out)
+
+
+@F.pandas_udf(StringType())
+def _java(pattern: pd.Series) -> pd.Series:
+    """Runs over the rule table only."""
+    return pattern.map(lambda p: None if p is None else java_pattern(p))
 
 
 def _usable(rule_table: DataFrame) -> DataFrame:
-    """Active keyword and regex rules; a regex that does not compile is ignored, like a rule of another type."""
+    """Active keyword and regex rules. A regex is ignored, like a rule of another type, if it is not valid for its writer
+    (Python) or for the engine that will run it: one member's rule must not end everybody's job."""
     active = rule_table.filter(F.col("is_active"))
-    keyword = active.filter(F.col("exclusion_type") == "keyword")
-    regex = active.filter(F.col("exclusion_type") == "regex").filter(_compiles("pattern"))
-    both = keyword.unionByName(regex)
-    return both.select(F.coalesce(F.col("member_id"), F.lit(-1)).cast("long").alias("_scope"), F.struct("pattern", "exclusion_type").alias("_rule"))
+    keyword = active.filter(F.col("exclusion_type") == "keyword").withColumn("pattern", F.lower("pattern"))
+    regex = active.filter(F.col("exclusion_type") == "regex").withColumn("pattern", _java("pattern"))
+    # NULL where Java cannot compile the pattern
+    regex = regex.filter(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull())
+    both = keyword.unionByName(regex).filter(F.col("pattern").isNotNull())
+    return both.select(F.col("member_id").cast("long").alias("_scope"), F.struct("pattern", "exclusion_type").alias("_rule"))
 
 
 def _matches(packed: Column, content: Column) -> Column:
-    hit = lambda r: F.when(r["exclusion_type"] == "keyword", F.contains(F.lower(content), F.lower(r["pattern"]))).otherwise(
-        F.rlike(content, r["pattern"])
-    )
+    hit = lambda r: F.when(r["exclusion_type"] == "keyword", F.contains(F.lower(content), r["pattern"])).otherwise(F.rlike(content, r["pattern"]))
     return F.coalesce(F.exists(packed, hit), F.lit(False))
 
 
 def mark_excluded(contents: DataFrame, rule_table: DataFrame, key: str, content: str = "content", member: str = "member_id") -> DataFrame:
-    """P-01: add ``excluded``: a global rule or one of the member's own matches the content.
+    """P-01: add ``excluded``: a global rule or one of the member's own matches the content. Each row decides for itself.
 
-    A rule table is configuration and normally tiny: when its checked size allows, each scope's rules travel as one
-    broadcast array and the contents are not shuffled. Beyond that the contents meet the rules chunk by chunk
-    through an equality join on (scope, chunk).
+    The global rules are one array that the plan computes once and hands to every task, so contents do not move for them.
+    Members' rules, an array per member, are joined on the member as Spark sees fit; rows without a member, which have
+    none, are spread over the join. No job runs before the result is asked for.
     """
     usable = _usable(rule_table)
-    total = usable.limit(RULE_CHUNK + 1).count()
-    if total <= RULE_CHUNK:
-        packed = F.broadcast(usable.groupBy("_scope").agg(F.collect_list("_rule").alias("_rules")))
-        rows = contents.withColumn("_everyone", F.lit(-1).cast("long"))
-        rows = rows.join(packed.select(F.col("_scope").alias("_everyone"), F.col("_rules").alias("_global")), "_everyone", "left")
-        rows = rows.join(packed.select(F.col("_scope").alias(member), F.col("_rules").alias("_own")), member, "left")
-        both = _matches(F.col("_global"), F.col(content)) | _matches(F.col("_own"), F.col(content))
-        return rows.withColumn("excluded", both).drop("_everyone", "_global", "_own")
-    chunks = -(-usable.count() // RULE_CHUNK)
-    packed = usable.withColumn("_chunk", F.pmod(F.xxhash64("_rule"), F.lit(chunks))).groupBy("_scope", "_chunk").agg(F.collect_list("_rule").alias("_rules"))
-    probes = contents.select(key, F.col(content).alias("_content"), F.explode(F.array(F.lit(-1).cast("long"), F.col(member).cast("long"))).alias("_scope"))
-    probes = probes.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    hits = probes.join(packed, ["_scope", "_chunk"]).filter(_matches(F.col("_rules"), F.col("_content"))).select(key).distinct()
-    return contents.join(hits.withColumn("excluded", F.lit(True)), key, "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+    everyone = usable.filter(F.col("_scope").isNull()).agg(F.collect_list("_rule").alias("r")).scalar()
+    own = usable.filter(F.col("_scope").isNotNull()).groupBy("_scope").agg(F.collect_list("_rule").alias("_own")).withColumn("_none", F.lit(False))
+    rows = contents.withColumns(
+        {"_everyone": everyone, "_none": F.col(member).isNull(), "_scope": F.coalesce(F.col(member).cast("long"), F.xxhash64(key))}
+    )
+    joined = rows.join(own, ["_scope", "_none"], "left")
+    both = _matches(F.col("_everyone"), F.col(content)) | _matches(F.col("_own"), F.col(content))
+    return joined.withColumn("excluded", both).drop("_everyone", "_scope", "_none", "_own")
 
 
 def memory_category(category: Column) -> Column:

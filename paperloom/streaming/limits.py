@@ -46,12 +46,12 @@ class RateLimiter(StatefulProcessor):
     micro-batch) counts against what is still kept, as a message judged on arrival.
     """
 
-    def __init__(self, seconds: int, most: int, idle_seconds: int) -> None:
-        self.width, self.most, self.idle = seconds * 1_000_000, most, idle_seconds * 1000
+    def __init__(self, seconds: int, most: int) -> None:
+        self.width, self.most = seconds * 1_000_000, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # a phone that falls silent leaves no state behind
-        self.recent = handle.getListState("recent", "at bigint", ttlDurationMs=self.idle)
+        self.handle = handle
+        self.recent = handle.getListState("recent", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
@@ -63,21 +63,30 @@ class RateLimiter(StatefulProcessor):
             kept.append(at) if not kept or kept[-1] <= at else kept.insert(bisect_right(kept, at), at)
             counts.append(len(kept))
         self.recent.put([(int(t),) for t in kept])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((kept[-1] + self.width) // 1000 + 1)
         yield pd.DataFrame(
             {"phone": key[0], "event_id": frame["event_id"].to_numpy(), "in_window": counts, "limited": [n > self.most for n in counts]}
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A phone that has been silent for a window leaves no state behind."""
+        self.recent.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def limited_stream(
-    stream: DataFrame, seconds: int = rules.RATE_WINDOW_SECONDS, most: int = rules.RATE_MAX_MESSAGES, idle_seconds: int = 86_400
+    stream: DataFrame, seconds: int = rules.RATE_WINDOW_SECONDS, most: int = rules.RATE_MAX_MESSAGES, delay: str = "1 hour"
 ) -> DataFrame:
-    """W-02 on a stream of phone, event_id, ts: each message is judged on arrival. State goes after ``idle_seconds`` without one."""
-    keyed = stream.select("phone", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    """W-02 on a stream of phone, event_id, ts: each message is judged on arrival; ``delay`` is how late one may arrive."""
+    timed = stream.select("phone", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    keyed = timed.withColumn("at", F.unix_micros("ts"))
     return keyed.groupBy("phone").transformWithStateInPandas(
-        RateLimiter(seconds, most, max(idle_seconds, 2 * seconds)), "phone string, event_id bigint, in_window bigint, limited boolean", "Append", "ProcessingTime"
+        RateLimiter(seconds, most), "phone string, event_id bigint, in_window bigint, limited boolean", "Append", "EventTime"
     )
 
 

@@ -46,7 +46,7 @@ _REQUESTS = """SELECT task_id * 2 + n AS request_id, title, created_by, created_
 
 @query(
     "t02_duplicate_requests",
-    f"""WITH RECURSIVE q AS ({_REQUESTS}), s AS (
+    f"""WITH RECURSIVE q AS MATERIALIZED ({_REQUESTS}), s AS MATERIALIZED (
       SELECT q.*, EXISTS (SELECT 1 FROM px_tasks t WHERE t.title = q.title AND t.created_by = q.created_by AND t.status = 'open' AND t.created_at <= q.created_at
         AND t.created_at >= q.created_at - INTERVAL 8 DAY) AS stored, row_number() OVER (PARTITION BY title, created_by ORDER BY created_at, request_id) AS rn FROM q WHERE created_by IS NOT NULL),
     g AS (SELECT s.*, stored AS duplicate, CASE WHEN NOT stored THEN created_at END AS taken FROM s WHERE rn = 1

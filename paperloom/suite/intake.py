@@ -33,11 +33,19 @@ def i01(spark, sf):
     )
 
 
-@query("i01_binary_files")
+_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+@query(
+    "i01_binary_files",
+    f"""SELECT t || '.parquet' AS filename, '.parquet' AS extension, 'other' AS file_class, true AS has_bytes, true AS hashed
+    FROM (VALUES {", ".join(f"('{t}')" for t in _TABLES)}) v(t)""",
+)
 def i01_files(spark, sf):
     """The table files themselves, read as binary files."""
     stubs = S.document_stubs(S.read_files(spark, sf, "*.parquet"))
-    return stubs.select("filename", "extension", "length", "file_class", "file_hash")
+    hashed = F.length("file_hash") == 64
+    return stubs.select("filename", "extension", "file_class", (F.col("length") > 0).alias("has_bytes"), hashed.alias("hashed"))
 
 
 @query(
@@ -151,7 +159,15 @@ def payload_events(turns):
     k = c("conv_id") * 100 + c("turn")
     phone = F.lpad((c("conv_id") % 900).cast("string"), 8, "0")
     body = c("text")
-    nested = F.struct(F.struct(body.alias("text")).alias("extendedTextMessage"))
+    blank, none = F.lit(" "), F.lit(None).cast("string")
+    caption = F.struct(body.alias("caption"))
+    level = F.struct(F.struct(caption.alias("videoMessage")).alias("message"))
+    # the text stands in a conversation field, one, three or five levels down, or in a list
+    nested = F.struct(
+        F.when(k % 10 == 0, body).when(k % 10 == 5, blank).alias("conversation"), F.when(k % 10 == 1, F.struct(body.alias("text"))).alias("extendedTextMessage"),
+        F.when(k % 10 == 2, level).alias("ephemeralMessage"), F.when((k % 10 > 3) & (k % 2 == 0), F.struct(level.alias("inner"), none.alias("x"))).alias("deeper"),
+        F.when((k % 10 == 3) | ((k % 10 >= 5) & (k % 2 == 1)), F.array(blank, body)).alias("parts"),
+    )
     data = F.struct(
         F.struct(
             F.when(k % 4 == 0, F.concat(F.lit("9725"), phone, F.lit("@s.net"))).alias("remoteJidAlt"),

@@ -41,15 +41,17 @@ def test_assignees(spark):
     ]
 
 
-def test_exclusion_rules_small_and_large_table(spark, monkeypatch):
-    contents = spark.createDataFrame([(1, 7, "My PASSWORD is x"), (2, 7, "tea 17"), (3, 8, "tea 17"), (4, 8, "credentials"), (5, None, "plain")], "memory_id bigint, member_id bigint, content string")
-    own = spark.createDataFrame([("tea [0-9]+7$", "regex", 7, True), ("(broken", "regex", None, True), ("plain", "keyword", None, False)], "pattern string, exclusion_type string, member_id bigint, is_active boolean")
-    table = P.default_rules(spark).unionByName(own)
-    expected = {1: True, 2: True, 3: False, 4: False, 5: False}
-    small = {r["memory_id"]: r["excluded"] for r in P.mark_excluded(contents, table, "memory_id").collect()}
-    monkeypatch.setattr(P, "RULE_CHUNK", 2)
-    large = {r["memory_id"]: r["excluded"] for r in P.mark_excluded(contents, table, "memory_id").collect()}
-    assert small == large == expected
+def test_exclusion_rules(spark):
+    rows = [(1, 7, "My PASSWORD is x"), (2, 7, "tea 17"), (3, 8, "tea 17"), (4, 8, "credentials"), (5, None, "plain"), (None, 8, "my password"), (6, 9, "nothing"), (6, 9, "my password"), (7, 9, "coffee"), (8, 10, "a]b"), (9, 10, "\u0663 cups")]
+    contents = spark.createDataFrame(rows, "memory_id bigint, member_id bigint, content string")
+    own = [("tea [0-9]+7$", "regex", 7, True), ("(broken", "regex", None, True), ("plain", "keyword", None, False), ("(?P<a_b>cof)(?P<c>f)ee(?P=c)?", "regex", 9, True), ("[]x[]b", "regex", 10, True), (r"^\d cups\Z", "regex", 10, True), (r"\p{L}+", "regex", 10, True)]
+    expected = {(1, 7): [True], (2, 7): [True], (3, 8): [False], (4, 8): [False], (5, None): [False], (None, 8): [True], (6, 9): [False, True], (7, 9): [True], (8, 10): [True], (9, 10): [True]}
+    for more in ([], [(f"never{i} [0-9]{{3}}", "regex", i % 3 or None, True) for i in range(700)]):
+        table = P.default_rules(spark).unionByName(spark.createDataFrame(own + more, "pattern string, exclusion_type string, member_id bigint, is_active boolean"))
+        got = {}
+        for r in P.mark_excluded(contents, table, "memory_id").collect():
+            got.setdefault((r["memory_id"], r["member_id"]), []).append(r["excluded"])
+        assert {k: sorted(v) for k, v in got.items()} == expected
 
 
 def test_duplicate_requests_against_pairs(spark):
@@ -59,9 +61,29 @@ def test_duplicate_requests_against_pairs(spark):
     t = spark.createDataFrame(tasks, "task_id bigint, title string, created_by bigint, status string, created_at timestamp")
     r = spark.createDataFrame(requests, "request_id bigint, title string, created_by bigint, created_at timestamp")
     got = {x["request_id"]: x["duplicate"] for x in T.mark_duplicate_requests(r, t).collect()}
-    for rid, title, _, at in requests:
-        hit = any(s == "open" and ti == title and at - dt.timedelta(seconds=300) <= c <= at for _, ti, _, s, c in tasks)
+    stored = [(ti, c) for _, ti, _, s, c in tasks if s == "open"]
+    for rid, title, _, at in requests:  # one after the other, as they come
+        hit = any(ti == title and at - dt.timedelta(seconds=300) <= c <= at for ti, c in stored)
         assert got[rid] == hit
+        if not hit:
+            stored.append((title, at))
+
+
+def test_changes_of_one_task_in_one_batch(spark):
+    at = lambda h: dt.datetime(2026, 1, 1, h)
+    tasks = spark.createDataFrame([(1, 5, 3, "open", None), (2, 5, None, "open", None)], "task_id bigint, created_by bigint, assigned_to bigint, status string, completed_at timestamp")
+    changes = spark.createDataFrame(
+        [(10, 1, "done", None, 9, at(1)), (11, 1, "archived", 4, 9, at(2)), (12, 1, None, 6, 8, at(3)), (13, 7, "done", 1, 9, at(1)), (14, 2, None, 6, 8, at(3))],
+        "change_id bigint, task_id bigint, new_status string, new_assignee bigint, actor_id bigint, changed_at timestamp",
+    )
+    updated, audit = T.update_status(tasks, changes)
+    assert {r["task_id"]: (r["status"], r["completed_at"]) for r in updated.collect()} == {1: ("archived", at(1)), 2: ("open", None)}
+    assert sorted((r["resource_id"], r["details"]) for r in audit.collect()) == [(1, '{"new_status":"archived"}'), (1, '{"new_status":"done"}')]
+    updated, audit = T.reassign(tasks, changes)
+    assert {r["task_id"]: r["assigned_to"] for r in updated.collect()} == {1: 6, 2: 6}
+    assert sorted((r["resource_id"], r["actor_id"], r["details"]) for r in audit.collect()) == [
+        (1, 8, '{"previous_assignee":"4","new_assignee":"6"}'), (1, 9, '{"previous_assignee":"3","new_assignee":"4"}'), (2, 8, '{"new_assignee":"6"}')
+    ]
 
 
 def test_carry_equals_a_walk_in_time_order(spark):

@@ -55,12 +55,44 @@ def test_downgrade_of_a_raised_tier_clears_the_signals(spark):
     assert got == {0: ("tool_completed", False), 1: ("post_tool_chat", True), 2: (None, False)}
 
 
-def test_ingest_stream_remembers_earlier_batches(spark):
-    folder, path = shared_folder(spark, "files"), shared_folder(spark, "catalog")
+def test_ingest_stream_over_starts(spark):
+    """Several files, a second start of the same run, another run on the same catalog, and a batch that was cut off."""
+    folder, path, checkpoint = shared_folder(spark, "files"), shared_folder(spark, "catalog"), shared_folder(spark, "ingest")
     schema = "doc_id bigint, uploaded_by bigint, file_hash string"
-    spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 2, "a"), (4, 1, "")], schema).coalesce(1).write.mode("append").parquet(folder)
-    spark.createDataFrame([(5, 1, "a"), (6, 1, "b"), (7, 1, "")], schema).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    intake.ingest_stream(stream, path).awaitTermination()
-    stored = sorted(r["doc_id"] for r in intake.read_catalog(spark, path).collect())
-    assert stored in ([1, 3, 4, 6, 7], [3, 4, 5, 6, 7])  # whichever file the source took first
+    add = lambda rows, to: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(to)
+    add([(1, 1, "a"), (2, 1, "a"), (3, 2, "a"), (4, 1, "")], folder)
+    read = lambda at: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+    stored = lambda: sorted(r["doc_id"] for r in intake.read_catalog(spark, path).collect())
+    intake.ingest_stream(read(folder), path, checkpoint).awaitTermination()
+    assert stored() == [1, 3, 4]
+    add([(5, 1, "a"), (6, 1, "b"), (7, 1, "")], folder)
+    run = spark.read.schema("run string").json(f"{checkpoint}-run").first()["run"]
+    add([(6, 1, "b"), (99, 1, "z")], f"{path}/run={run}/batch=1")  # left behind by a batch that did not finish
+    intake.ingest_stream(read(folder), path, checkpoint).awaitTermination()
+    assert stored() == [1, 3, 4, 6, 7]
+    other = shared_folder(spark, "files")
+    add([(8, 1, "b"), (9, 3, "b")], other)
+    intake.ingest_stream(read(other), path, shared_folder(spark, "ingest")).awaitTermination()
+    assert stored() == [1, 3, 4, 6, 7, 9]
+    intake.ingest_stream(read(folder), path, checkpoint).awaitTermination()
+    assert stored() == [1, 3, 4, 6, 7, 9]
+
+
+def test_order_across_small_frames(spark):
+    """More rows of a key than fit into one frame, out of order: the streams equal their batch forms."""
+    start, folder = dt.datetime(2026, 1, 1), shared_folder(spark, "frames")
+    rows = [(i, 1, "p", start + dt.timedelta(seconds=100 * i), i % 3 == 0, i % 5 == 0, "ab"[i % 2], "ab"[i % 7 % 2], False) for i in range(60)]
+    schema = "event_id bigint, member_id bigint, phone string, ts timestamp, tool_used boolean, completion boolean, detected string, intent_group string, raised_tier boolean"
+    events = spark.createDataFrame(rows[::-1], schema)
+    events.coalesce(1).write.parquet(f"{folder}/a")
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/a")
+    jobs.use_rocksdb(spark)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        limited = {r["event_id"]: (r["in_window"], r["limited"]) for r in jobs.run_to_files(limits.limited_stream(stream, 250, 2), "limits").collect()}
+        signals = {r["event_id"]: (r["signal"], r["downgrade"]) for r in jobs.run_to_files(state.signal_stream(stream), "signals").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert limited == {r["event_id"]: (r["in_window"], r["limited"]) for r in limits.mark_limited(events, 250, 2).collect()}
+    assert signals == {r["event_id"]: (r["signal"], r["downgrade"]) for r in state.task_signals(events).collect()}
