@@ -31,8 +31,9 @@ TRAINING = 500
 ORDERS = (2, 3, 4)
 RIDGE = 1e-2
 SHARPNESS = 4.0
-BLOCK = 8 << 20
-ROWS = 128
+BLOCK = 2 << 20
+ROWS = 64
+SALTS = 64
 UNKNOWN = "und"
 
 
@@ -104,7 +105,9 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 def _sample(labelled: DataFrame, each: int) -> DataFrame:
     """(lang, order, text): of each language, the ``each`` distinct texts of least hash. Only hashes are sorted."""
     hashes = labelled.select("lang", F.xxhash64("text").alias("h")).distinct()
-    first = hashes.withColumn("order", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("order") <= each)
+    least = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    parts = hashes.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("order", least("lang", "salt")).where(F.col("order") <= each)
+    first = parts.select("lang", "h", least("lang").alias("order")).where(F.col("order") <= each)  # of SALTS * each rows at most
     picked = cut_lineage(first, "langid-sample")
     rows = labelled.withColumn("h", F.xxhash64("text")).join(picked, ["lang", "h"])
     return rows.groupBy("lang", "h", "order").agg(F.first("text").alias("text")).select("lang", "order", "text")
