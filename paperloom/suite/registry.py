@@ -21,6 +21,8 @@ def query(name: str, sql: str | None = None, shapes_used: tuple[str, ...] = ())
         QUERIES[name] = fn
         if sql is not None:
             prefix, body = shapes.with_clause(shapes_used), sql.strip()
+            if prefix and body.startswith("WITH RECURSIVE "):
+                prefix, body = prefix.replace("WITH ", "WITH RECURSIVE ", 1), "WITH " + body[len("WITH RECURSIVE "):]
             if prefix and body.startswith("WITH "):  # the shapes already open the WITH clause
                 prefix, body = prefix.rstrip() + ",\n", body[5:]
             ORACLES[name] = prefix + body
