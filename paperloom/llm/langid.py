@@ -94,12 +94,15 @@ def kernel(texts: pa.Array, grams: np.ndarray, landmarks: np.ndarray) -> np.ndar
 
 def has_letter(texts: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script; ASCII settles nearly all."""
-    data, offsets = W.flat(texts)
-    low = data | 32
-    out = W.row_sums((low >= 97) & (low <= 122), offsets) > 0
-    for i in np.flatnonzero(~out & (W.row_sums(data >= 128, offsets) > 0)).tolist():
-        out[i] = any(c.isalpha() for c in texts[i].as_py())
-    return out
+    found = [np.zeros(0, bool)]
+    for part in row_blocks(texts, BLOCK):
+        data, offsets = W.flat(part)
+        low = data | 32
+        out = W.row_sums((low >= 97) & (low <= 122), offsets) > 0
+        for i in np.flatnonzero(~out & (W.row_sums(data >= 128, offsets) > 0)).tolist():
+            out[i] = any(c.isalpha() for c in part[i].as_py())
+        found.append(out)
+    return np.concatenate(found)
 
 
 def _sample(labelled: DataFrame, each: int) -> DataFrame:

@@ -143,5 +143,7 @@ def covered(starts: np.ndarray, size: int, n_words: int) -> np.ndarray:
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out, filled = np.zeros(len(offsets) - 1, np.int64), np.diff(offsets) > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(values, offsets[:-1][filled], dtype=np.int64)
+    return out
