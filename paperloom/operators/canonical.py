@@ -9,6 +9,7 @@ from paperloom.functions.regex import capture, first_group, let, literal_array,
 from paperloom.functions.scalars import (
     MONEY, QUANTITY, merge_tags, normalize_tag, parse_amount, parse_date, parse_iso_date, pay_period, year_tag,
 )
+from paperloom.operators.extract import FACT
 
 
 def fact_map(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,7 +26,27 @@ def row_facts(keys: list[str], facts: str = "facts") -> Column:
     return F.struct(*[value(k).alias(k) for k in keys])
 
 
-def promote_in_row(documents: DataFrame, facts: str = "facts", threshold: float = rules.PROMOTE_CONFIDENCE) -> DataFrame:
+def no_facts() -> Column:
+    return F.array().cast(f"array<{FACT}>")
+
+
+def employer_in_row(facts: Column, threshold: float = rules.SALARY_PROMOTE_CONFIDENCE) -> Column:
+    """M-03 for a slip that carries its facts: the first confident employer name."""
+    sure = F.filter(facts, lambda f: (f["fact_key"] == "employer_name") & (f["confidence"] >= threshold) & (strip(f["fact_value"]) != ""))
+    return strip(F.get(sure, F.lit(0))["fact_value"])
+
+
+def names_in_row(doc_type: Column, vendor: Column, doc_date: Column, facts: Column) -> tuple[Column, Column]:
+    """M-13's vendor and date for a document that carries its facts: the first usable fact fills a gap."""
+    of = lambda key: F.filter(facts, lambda f: (f["fact_key"] == key) & (strip(f["fact_value"]) != ""))
+    party = F.get(F.filter(facts, lambda f: (f["fact_key"] == "counterparty") & (f["fact_value"] != "")), F.lit(0))["fact_value"]
+    days = F.filter(F.transform(of("source_date"), lambda f: parse_iso_date(f["fact_value"])), lambda d: d.isNotNull())
+    recipes = of("recipe_name")
+    lone = F.when((doc_type == "recipe") & (F.size(recipes) == 1), F.get(recipes, F.lit(0))["fact_value"])
+    return F.coalesce(F.nullif(vendor, F.lit("")), party, lone, vendor), F.coalesce(doc_date, F.get(days, F.lit(0)))
+
+
+def promote_in_row(documents: DataFrame, facts: str | Column = "facts", threshold: float = rules.PROMOTE_CONFIDENCE) -> DataFrame:
     """M-02 for documents that still carry their facts as an array: the same rule without a join."""
     parse = {
         "vendor": lambda v: non_blank(strip(v)), "currency": lambda v: non_blank(strip(v)), "amount": lambda v: parse_amount(strip(v)),
@@ -164,18 +185,24 @@ def employee_address(text: Column, employee: Column) -> Column:
     return F.when(F.coalesce(employee, F.lit("")) != "", non_blank(strip(found)))
 
 
-def salary_slips(documents: DataFrame, facts: DataFrame) -> DataFrame:
-    """M-06: salary-slip rows: the structured payload first, facts second, extended fields from the text.
+def salary_slips(documents: DataFrame, facts: DataFrame | None) -> DataFrame:
+    """M-06: salary-slip rows: the structured payload first, facts second, extended fields from the text. Without a fact
+    table the documents' own ``facts`` arrays are read.
 
     ``documents``: doc_id, uploaded_by, source, raw_text, vendor, currency, review_state, payload (struct or NULL).
     """
-    known = fact_map(facts, [*rules.SALARY_KEYS, "currency"])
-    known = known.select(F.col("document_id").alias("doc_id"), *[F.col(k).alias(f"_{k}") for k in [*rules.SALARY_KEYS, "currency"]])
+    keys = [*rules.SALARY_KEYS, "currency"]
+    if facts is None:
+        own = row_facts(keys)
+        joined = documents.withColumns({f"_{k}": own[k] for k in keys})
+    else:
+        known = fact_map(facts, keys).select(F.col("document_id").alias("doc_id"), *[F.col(k).alias(f"_{k}") for k in keys])
+        joined = documents.join(known, "doc_id", "left")
     p = F.col("payload")
     text = F.coalesce(F.col("raw_text"), F.lit(""))
     present = lambda k: F.nullif(p[k], F.lit("")) if k in rules.SALARY_TEXT_KEYS else F.when(p[k] != 0, p[k])
     money = lambda k: F.coalesce(present(k).cast(MONEY), parse_amount(F.col(f"_{k}"))).alias(k)
-    rows = documents.join(known, "doc_id", "left").withColumns(
+    rows = joined.withColumns(
         {
             "employee_name": F.coalesce(present("employee_name"), F.col("_employee_name")),
             "_period": pay_period(F.coalesce(present("pay_month"), F.col("_pay_month"))),

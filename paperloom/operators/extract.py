@@ -256,6 +256,18 @@ def plain_number(value: Column) -> Column:
     return F.regexp_replace(text, r"\.$", ".0")
 
 
+def payload_fact_array(payload: Column) -> Column:
+    """F-10 inside the slip's own row: the present fields as an array of facts, empty without a payload."""
+    value = lambda k: payload[k] if k in rules.SALARY_TEXT_KEYS else plain_number(payload[k])
+    fields = F.array(
+        *[
+            F.struct(F.lit(k).alias("fact_key"), value(k).alias("fact_value"), payload["confidence"].alias("confidence"), F.lit("").alias("source_excerpt"))
+            for k in rules.SALARY_KEYS
+        ]
+    ).cast(f"array<{FACT}>")
+    return F.coalesce(F.when(payload.isNotNull(), F.filter(fields, lambda f: f["fact_value"].isNotNull())), F.array().cast(f"array<{FACT}>"))
+
+
 def payload_facts(slips: DataFrame, payload: str = "payload") -> DataFrame:
     """F-10: the present fields of a payload as fact rows, all with the payload's confidence."""
     p = F.col(payload)

@@ -12,18 +12,29 @@ from pyspark.sql import functions as F
 from paperloom.functions.quality import quality_score
 from paperloom.operators import canonical as M
 from paperloom.operators.classify import resolve_or_classify
-from paperloom.operators.extract import fact_rows, regex_facts
+from paperloom.operators.extract import better_payload, fact_rows, payload_fact_array, payload_metadata, regex_facts, salary_payload
 from paperloom.session import cut_lineage
 from paperloom.sources.files import extension, text_expected
 
 
-def read_texts(documents: DataFrame, answer: str | None = None) -> DataFrame:
-    """Class, issuer, text quality and regex facts of every text; written once.
+SLIP = "salary_slip"
 
-    ``documents``: doc_id, uploaded_by, source, filename, raw_text, created_at (+ a model's class answer).
+
+def read_texts(documents: DataFrame, answer: str | None = None, slip_answers: tuple[str, str] | None = None) -> DataFrame:
+    """Class, issuer, text quality, salary payload and facts of every text; written once.
+
+    ``documents``: doc_id, uploaded_by, source, filename, raw_text, created_at (+ a model's class answer, + a model's two
+    answers about salary slips). A slip's facts are those of its payload; all other texts have the pattern facts.
     """
     classed = resolve_or_classify(documents, answer)
-    read = classed.withColumns({"facts": regex_facts(F.col("raw_text")), "text_quality": quality_score(F.col("raw_text"))})
+    slip = F.col("category") == SLIP
+    first, second = slip_answers or (None, None)
+    reply = lambda c: salary_payload(F.when(slip, F.col(c)) if c else F.lit(None).cast("string"))
+    chosen = better_payload(reply(first), reply(second))
+    # a step of its own, so that the answers are parsed once
+    read = classed.withColumn("_chosen", chosen).withColumns({"payload": F.col("_chosen.payload"), "payload_model": F.col("_chosen.model")}).drop("_chosen")
+    facts = F.when(slip, payload_fact_array(F.col("payload"))).otherwise(regex_facts(F.when(~slip, F.col("raw_text"))))
+    read = read.withColumns({"facts": facts, "text_quality": quality_score(F.col("raw_text"))})
     return cut_lineage(read, "texts")
 
 
@@ -36,28 +47,39 @@ def catalog_documents(read: DataFrame) -> DataFrame:
             "currency": none("string"), "doc_date": none("date"), "ai_summary": none("string"),
         }
     )
-    c = F.col
-    state = M.review(c("confidence"), text_expected(extension(c("filename"))), c("raw_text"), F.size("facts"), c("ai_summary"))
-    docs = M.promote_in_row(start).withColumn("_r", state)
+    c, slip = F.col, F.col("doc_type") == SLIP
+    general = M.review(c("confidence"), text_expected(extension(c("filename"))), c("raw_text"), F.size("facts"), c("ai_summary"))
+    docs = M.promote_in_row(start, F.when(slip, M.no_facts()).otherwise(c("facts"))).withColumn("_r", general)
+    docs = docs.withColumn("vendor", F.when(slip, M.employer_in_row(c("facts"))).otherwise(c("vendor")))
+    vendor, day = M.names_in_row(c("doc_type"), c("vendor"), c("doc_date"), c("facts"))
     docs = docs.withColumns(
         {
-            "display_name": M.display_name(c("doc_type"), c("vendor"), c("doc_date")), "review_state": c("_r.review_state"),
-            "failed_signals": c("_r.failed_signals"), "issuer_metadata": c("issuer.metadata"),
+            "display_name": M.display_name(c("doc_type"), vendor, day),
+            "review_state": F.when(slip, M.salary_review_state(c("payload"))).otherwise(c("_r.review_state")),
+            "failed_signals": F.when(slip, F.array().cast("array<string>")).otherwise(c("_r.failed_signals")), "issuer_metadata": c("issuer.metadata"),
+            "extraction_metadata": payload_metadata(c("payload"), c("payload_model")),
         }
     )
     return docs.withColumn(
         "tags", M.auto_tags(F.lit(None).cast("array<string>"), c("doc_type"), c("vendor"), c("review_state"), c("doc_date"), c("filename"), F.array(c("doc_type")))
-    ).drop("_r", "issuer", "category")
+    ).drop("_r", "issuer", "category", "payload_model")
 
 
-def build_library(documents: DataFrame, answer: str | None = None) -> dict[str, DataFrame]:
-    """The catalog, the fact table and the typed tables of a batch of texts."""
-    docs = catalog_documents(read_texts(documents, answer))
-    bills = docs.filter(F.col("doc_type").isin("electricity_bill", "water_bill"))
+def build_library(documents: DataFrame, answer: str | None = None, slip_answers: tuple[str, str] | None = None) -> dict[str, DataFrame]:
+    """The catalog, the fact table and the typed tables of a batch of texts.
+
+    Bills fill gaps of their own documents; only documents of bill types are joined for that.
+    """
+    docs = catalog_documents(read_texts(documents, answer, slip_answers))
+    is_bill = F.col("doc_type").isin("electricity_bill", "water_bill")
+    billed = docs.filter(is_bill)
+    bills = M.storable_bills(M.utility_bills(billed))
+    slips = docs.filter(F.col("doc_type") == SLIP)
     return {
-        "documents": docs,
+        "documents": docs.filter(~is_bill).unionByName(M.write_back_bills(billed, bills).select(*docs.columns)).drop("payload"),
         "document_facts": fact_rows(docs),
-        "utility_bills": M.storable_bills(M.utility_bills(bills)),
+        "utility_bills": bills,
+        "salary_slips": M.salary_slips(slips, None),
         "contracts": M.contracts(docs),
         "insurance_policies": M.insurance_policies(docs),
     }

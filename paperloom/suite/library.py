@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import catalog as Q
 from paperloom.plans.documents import build_library
 from paperloom.suite.classification import _KEYWORDS
+from paperloom.suite.extraction import CHOSEN
 from paperloom.suite.registry import query
 from paperloom.suite.shapes import load
 
@@ -13,14 +14,15 @@ RAW = ["doc_id", "uploaded_by", "source", "filename", "raw_text", "created_at"]
 
 _READ = f"""SELECT *, CASE WHEN by_name IS NOT NULL THEN by_name WHEN sheet THEN 'other' WHEN by_text IS NOT NULL THEN by_text ELSE 'other' END AS category,
     CASE WHEN by_name IS NOT NULL THEN 0.9 WHEN sheet THEN 0.3 WHEN by_text IS NOT NULL THEN 0.8 ELSE 0.0 END AS conf, doc_id % 11 <> 0 AS has_text FROM ({_KEYWORDS})"""
-# a document without text has no facts either
-_STATE = "CASE WHEN conf >= 0.5 AND has_text THEN 'auto_verified' ELSE 'needs_review' END"
+# a document without text has no facts either; a salary slip without a model's answers has none and waits for review
+_STATE = "CASE WHEN conf >= 0.5 AND has_text AND category <> 'salary_slip' THEN 'auto_verified' ELSE 'needs_review' END"
+_FACTS = "has_text AND category <> 'salary_slip'"
 
 
 @query(
     "library_stats",
     f"""WITH r AS ({_READ}) SELECT 'total_documents' AS metric, count(*) AS value FROM r UNION ALL SELECT 'needs_review', count(*) FROM r WHERE {_STATE} = 'needs_review'
-    UNION ALL SELECT 'type:' || category, count(*) FROM r GROUP BY category UNION ALL SELECT 'document_facts', 3 * count(*) FROM r WHERE has_text UNION ALL SELECT 'utility_bills', 0
+    UNION ALL SELECT 'type:' || category, count(*) FROM r GROUP BY category UNION ALL SELECT 'document_facts', 3 * count(*) FROM r WHERE {_FACTS} UNION ALL SELECT 'utility_bills', 0 UNION ALL SELECT 'salary_slips', count(*) FROM r WHERE category = 'salary_slip'
     UNION ALL SELECT 'contracts', count(*) FROM r WHERE has_text AND category = 'contract' UNION ALL SELECT 'insurance_policies', count(*) FROM r WHERE has_text AND category = 'insurance'""",
     ("documents",),
 )
@@ -31,9 +33,9 @@ def library_stats(spark, sf):
 
 @query(
     "library_documents",
-    f"""WITH r AS ({_READ}) SELECT doc_id, category AS doc_type, CAST(CASE WHEN has_text THEN true_amount END AS DOUBLE) AS amount, CASE WHEN has_text THEN true_date END AS doc_date,
-      CASE WHEN has_text THEN 'ILS' END AS currency, {_STATE} AS review_state,
-      concat_ws('|', category, {_STATE}, CASE WHEN has_text THEN CAST(year(true_date) AS VARCHAR) ELSE nullif('', '') END) AS tags FROM r""",
+    f"""WITH r AS ({_READ}) SELECT doc_id, category AS doc_type, CAST(CASE WHEN {_FACTS} THEN true_amount END AS DOUBLE) AS amount, CASE WHEN {_FACTS} THEN true_date END AS doc_date,
+      CASE WHEN {_FACTS} THEN 'ILS' END AS currency, {_STATE} AS review_state,
+      concat_ws('|', category, {_STATE}, CASE WHEN {_FACTS} THEN CAST(year(true_date) AS VARCHAR) ELSE nullif('', '') END) AS tags FROM r""",
     ("documents",),
 )
 def library_documents(spark, sf):
@@ -54,3 +56,35 @@ def library_bills(spark, sf):
     return build_library(raw)["utility_bills"].select(
         "document_id", "service_type", "account_number", "bill_number", "issue_date", "period_start", "period_end"
     )
+
+
+@query(
+    "library_bill_documents",
+    """SELECT doc_id, CASE WHEN true_service IS NOT NULL THEN true_issue_date END AS billed_date, true_service IS NOT NULL AS named FROM px_bills""",
+    ("bills",),
+)
+def library_bill_documents(spark, sf):
+    """What a bill writes back into its own document."""
+    raw = load(spark, sf, "bills").select("doc_id", "uploaded_by", "source", "filename", "raw_text", F.lit(None).cast("timestamp").alias("created_at"))
+    library = build_library(raw)
+    bills = library["utility_bills"].select(F.col("document_id").alias("doc_id"), "issue_date", "provider_name")
+    docs = library["documents"].join(bills, "doc_id", "left")
+    return docs.select("doc_id", F.col("issue_date").alias("billed_date"), F.coalesce(F.col("vendor") == F.col("provider_name"), F.lit(False)).alias("named"))
+
+
+@query(
+    "library_salary_slips",
+    f"""SELECT doc_id AS document_id, CASE WHEN valid THEN true_employee END AS employee_name, CASE WHEN valid THEN true_employer END AS employer_name,
+      CASE WHEN valid THEN true_gross END AS gross_salary, CASE WHEN valid AND has_net THEN true_net END AS net_salary,
+      CASE WHEN valid AND conf >= 0.6 AND has_net THEN 'auto_verified' ELSE 'needs_review' END AS review_state, CAST(doc_id % 77 AS VARCHAR) AS department
+    FROM ({CHOSEN})""",
+    ("slips",),
+)
+def library_salary_slips(spark, sf):
+    raw = load(spark, sf, "slips").select(
+        "doc_id", "uploaded_by", "source", F.concat(F.lit("scan"), F.col("doc_id"), F.lit(".pdf")).alias("filename"), "raw_text",
+        F.lit(None).cast("timestamp").alias("created_at"), "first_answer", "second_answer",
+    )
+    slips = build_library(raw, slip_answers=("first_answer", "second_answer"))["salary_slips"]
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return slips.select("document_id", "employee_name", "employer_name", number("gross_salary"), number("net_salary"), "review_state", "department")
