@@ -406,18 +406,20 @@ def _bugs(spark, sf):
 
 _BUGS = "SELECT event_id AS bug_id, user_id AS reported_by, list_value('open', 'fixed', 'duplicate')[1 + event_id % 3] AS status, ts AS created_at FROM events WHERE event_type = 'error'"
 _REPORT_DAY = "2024-01-10"
+_TASK_SHIFT = 8230  # days from the orders' time to that of the conversations, so that some tasks are of the report day
 
 
 @query(
     "r01_activity_counts",
     f"""SELECT 'conversations_today' AS metric, count(*) AS value FROM px_messages WHERE ts >= DATE '{_REPORT_DAY}'
     UNION ALL SELECT 'errors_today', count(*) FROM px_messages WHERE ts >= DATE '{_REPORT_DAY}' AND contains(message_out, '{rules.ERROR_REPLY}')
-    UNION ALL SELECT 'tasks_today', count(*) FROM px_tasks WHERE created_at >= DATE '{_REPORT_DAY}' UNION ALL SELECT 'open_tasks', count(*) FROM px_tasks WHERE status = 'open'
+    UNION ALL SELECT 'tasks_today', count(*) FROM px_tasks WHERE created_at + INTERVAL {_TASK_SHIFT} DAY >= DATE '{_REPORT_DAY}' UNION ALL SELECT 'open_tasks', count(*) FROM px_tasks WHERE status = 'open'
     UNION ALL SELECT 'bugs_today', count(*) FROM ({_BUGS}) WHERE created_at >= DATE '{_REPORT_DAY}' UNION ALL SELECT 'open_bugs', count(*) FROM ({_BUGS}) WHERE status = 'open'""",
     ("messages", "tasks"),
 )
 def r01(spark, sf):
-    return R.activity_counts(load(spark, sf, "messages"), load(spark, sf, "tasks"), _bugs(spark, sf), F.lit(f"{_REPORT_DAY} 15:00:00").cast("timestamp"))
+    tasks = load(spark, sf, "tasks").withColumn("created_at", F.timestamp_add("DAY", F.lit(_TASK_SHIFT), F.col("created_at")))
+    return R.activity_counts(load(spark, sf, "messages"), tasks, _bugs(spark, sf), F.lit(f"{_REPORT_DAY} 15:00:00").cast("timestamp"))
 
 
 @query(
