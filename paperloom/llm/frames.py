@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.llm import words as W
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -24,6 +26,7 @@ def append(docs: DataFrame, compute: Callable[[pa.RecordBatch, int], dict], fiel
     names = [f.name for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         for batch in batches:
             if batch.num_rows:
                 new = compute(batch, at)

@@ -122,6 +122,7 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, training: int = TRAIN
     sample = cut_lineage(_sample(labelled, training), "langid-texts")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         for batch in batches:
             letters = has_letter(batch.column("text"))
             sets = [np.unique(word_grams(w)[0]) if (w := distinct_words(pa.array([t]))[0]) else np.zeros(0, np.uint64) for t in batch.column("text").to_pylist()]
@@ -139,6 +140,7 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, training: int = TRAIN
     marks /= np.sqrt(np.maximum(marks.sum(0), 1))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         for batch in batches:
             k = kernel(batch.column("text"), grams, marks)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(k.astype(np.float64)), pa.list_(pa.float64()))], names=["lang", "k"])

@@ -139,6 +139,7 @@ def shard_links(tree: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.
 
 def _search_shards(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         for batch in batches:
             a, b = [], []
             for tree, queries in zip(batch.column("tree"), batch.column("queries")):

@@ -36,7 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 BLOCK = 12 << 20
-CACHED = 400_000  # words whose ids a worker keeps
+CACHED = 200_000  # words whose ids a worker keeps
 GRAIN = 16  # lengths are rounded up to this in the program
 SHORT = 16  # lengths up to capacity / SHORT fill gaps instead
 STEP = 0.3
@@ -96,6 +96,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             done = 0
@@ -262,6 +263,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     schema = ranked.withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         table, heads = shared.value
         # one increasing key for (length, first rank), so that one search finds every row
         lengths = np.repeat(np.arange(capacity + 1), np.diff(heads))

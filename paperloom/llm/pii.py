@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm import words as W
 from paperloom.llm.boost import Trees, isotonic
 from paperloom.llm.frames import append, documents, restore
 from paperloom.session import cut_lineage
@@ -129,6 +130,7 @@ def examples(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, label, order, features) of every candidate of ``docs`` that is a base span or touches none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         for batch in batches:
             rows = []
             for _, own in _worth(batch.column(0)):
@@ -202,13 +204,13 @@ def spelt(spans: list) -> str:
 
 def spans(docs: DataFrame, models: dict, text: str = "text") -> DataFrame:
     """``docs`` as c0, c1, ... with n_email, n_ip, n_card, n_phone (base), base, spans and the redacted text (null: unchanged)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # trees of a fixed size
+    shared = W.share(docs.sparkSession, models)  # trees of a fixed size
 
     def compute(batch: pa.RecordBatch, at: int) -> dict:
         n = batch.num_rows
         out = {f"n_{k}": np.zeros(n, np.int64) for k in KINDS} | {"base": [""] * n, "spans": [""] * n, "redacted": [None] * n}
         for i, own in _worth(batch.column(at)):
-            base, found = find(own, shared.value)
+            base, found = find(own, shared())
             if found:
                 for kind, _, _ in base:
                     out[f"n_{kind}"][i] += 1

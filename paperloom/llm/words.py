@@ -5,12 +5,16 @@ blocks of about ``BLOCK`` bytes, so memory follows the block (or the longest sin
 """
 from __future__ import annotations
 
+import ctypes
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 BLOCK = 1 << 22
 SLICE = 1 << 20
@@ -33,6 +37,31 @@ def once(key: tuple, make: Callable):
     return store[key]
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """A broadcast of ``value`` with the code of its classes, so that executors need no copy of this package."""
+    packed, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not held:
+            held.append(pickle.loads(packed.value))
+        return held[0]
+
+    return get
+
+
+def lean() -> None:
+    """Let a worker give large arrays back to the system as soon as they are freed; workers live on between tasks."""
+
+    def settle() -> bool:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return bool(ctypes.CDLL(None).mallopt(-3, 1 << 20))  # glibc: arrays over 1 MB are mapped on their own
+        except (OSError, AttributeError):
+            return False
+
+    once(("lean",), settle)
+
+
 @dataclass
 class Block:
     """Rows ``first .. first + n`` of a batch: their bytes, the rows' byte offsets, and the words' byte spans."""
