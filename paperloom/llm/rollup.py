@@ -145,7 +145,8 @@ def history(docs: DataFrame) -> list[tuple[int, DataFrame]]:
         F.col("c0").alias("doc_id"), F.col("c1").alias("source"), F.col("c2").alias("lang"), F.col("c3").alias("digest"), "n_tokens"
     )
     counted = cut_lineage(counted, "rollup-counts")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # a table of its own, so that the join can split a text with very many copies
+    first = cut_lineage(counted.groupBy("digest").agg(F.min("doc_id").alias("first")), "rollup-first")
     copies = cut_lineage(counted.join(first, "digest").where(F.col("doc_id") > F.col("first")).drop("first", "digest"), "rollup-copies")
     shorter = docs.select("doc_id", "source", "lang", without_repeated_lines(F.col("text")).alias("text"), F.length("text").alias("was")).where(F.length("text") < F.col("was"))
     revised = count_tokens(shorter.select("doc_id", "source", "lang", "text")).select(
