@@ -33,11 +33,11 @@ from paperloom.session import cut_lineage, drop_table
 
 SIZE = 13
 GRAM = 4
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 INDEX_BYTES = 32 << 20
 INDEX_BLOCKS = 64
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-ENTRIES = "part int, chunk long, keys binary, seconds binary, least binary, most binary"
+ENTRIES = "part int, chunk long, keys binary, seconds binary, least binary, many binary"
 
 
 def chunks(docs: DataFrame, text: str) -> DataFrame:
@@ -47,6 +47,7 @@ def chunks(docs: DataFrame, text: str) -> DataFrame:
     fields = ", ".join(f"c{i} array<{kind}>" for i, (_, kind) in enumerate(docs.dtypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
             row = 0
@@ -101,7 +102,7 @@ def _packed(values: list[np.ndarray]) -> pa.Array:
 
 
 def _entries(chunk: int, keys: np.ndarray, seconds: np.ndarray | None, docs: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A row per index block: the chunk's distinct keys in it, with their least and greatest doc_id."""
+    """A row per index block: the chunk's distinct keys in it, with their least doc_id and whether another one has them too."""
     _, heads, keys, seconds, docs = _grouped(keys, seconds, docs)
     least, most = (np.minimum.reduceat(docs, heads), np.maximum.reduceat(docs, heads)) if len(heads) else (docs, docs)
     keys, seconds = keys[heads], None if seconds is None else seconds[heads]
@@ -110,24 +111,28 @@ def _entries(chunk: int, keys: np.ndarray, seconds: np.ndarray | None, docs: np.
     used = np.flatnonzero(np.diff(cuts))
     of = lambda v: _packed([v[cuts[p] : cuts[p + 1]] for p in used])
     return pa.RecordBatch.from_arrays(
-        [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk, np.int64)), of(keys), of(seconds) if seconds is not None else pa.nulls(len(used), pa.binary()), of(least), of(most)],
-        names=["part", "chunk", "keys", "seconds", "least", "most"],
+        [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk, np.int64)), of(keys), of(seconds) if seconds is not None else pa.nulls(len(used), pa.binary()), of(least), of((least < most).astype(np.uint8))],
+        names=["part", "chunk", "keys", "seconds", "least", "many"],
     )
 
 
 def _index(table: pa.Table) -> pa.Table:
     """One index block: to each chunk those of its keys that an earlier or later document holds, with the least doc_id."""
+    W.lean()
     read = lambda name, kind: [np.frombuffer(b, kind) for b in table.column(name).to_pylist() if b is not None]
     lists = read("keys", np.uint64)
     seconds = read("seconds", np.uint64)
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in lists])
-    _, heads, keys, seconds, chunk, least, most = _grouped(
-        np.concatenate(lists), np.concatenate(seconds) if seconds else None, chunk, np.concatenate(read("least", np.int64)), np.concatenate(read("most", np.int64))
+    _, heads, keys, seconds, chunk, least, many = _grouped(
+        np.concatenate(lists), np.concatenate(seconds) if seconds else None, chunk, np.concatenate(read("least", np.int64)), np.concatenate(read("many", np.uint8))
     )
     group = np.cumsum(np.bincount(heads, minlength=len(keys))) - 1
-    first, last = np.minimum.reduceat(least, heads)[group], np.maximum.reduceat(most, heads)[group]
+    first = np.minimum.reduceat(least, heads)[group]
     # anchors: wherever two documents meet; windows: only for chunks that hold a later document
-    hit = np.flatnonzero(first < (last if seconds is None else most))
+    if seconds is None:
+        hit = np.flatnonzero((first < np.maximum.reduceat(least, heads)[group]) | (np.maximum.reduceat(many, heads)[group] > 0))
+    else:
+        hit = np.flatnonzero((first < least) | (many > 0))
     order = hit[np.argsort(chunk[hit], kind="stable")]
     names, cuts = np.unique(chunk[order], return_index=True)
     cuts = np.append(cuts, len(order))
@@ -206,12 +211,13 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     at, of = f"c{names.index(text)}", f"c{names.index(key)}"
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(INDEX_BLOCKS, -(-size // INDEX_BYTES))
-    stored = cut_lineage(chunks(docs, text), "substring-chunks")
+    stored = cut_lineage(chunks(docs, text), "substring-chunks", "zstd")
 
     def windows(row: pa.Table | pa.RecordBatch, i: int = 0) -> Windows:
         return Windows(pa.array(row.column(at)[i].values), row.column(of)[i].values)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         for batch in batches:
             for i, chunk in enumerate(batch.column("chunk").to_pylist()):
                 w = windows(batch, i)
@@ -223,6 +229,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     shared = cut_lineage(shared, "substring-anchors")
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        W.lean()
         w = windows(left)
         chosen = np.flatnonzero(np.isin(w.anchor, _joined(right, "keys", np.uint64)))
         first, second = w.keys(chosen)
@@ -234,6 +241,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     columns = [f"c{i}" for i in range(len(names))]
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        W.lean()
         found = _cut(windows(left), right)
         return pa.table({c: left.column(c).combine_chunks().flatten() for c in columns} | found)
 
