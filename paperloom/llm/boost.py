@@ -65,12 +65,13 @@ class Trees:
         return self.start + sum((self._values(t, b) for t in self.trees), np.zeros(len(x)))
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing step function nearest to ``y`` over ``score``: steps' first scores and their values."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        blocks.append([s, v, 1.0])
+    for s, v, w in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        blocks.append([s, v * w, w])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             _, v2, n2 = blocks.pop()
             blocks[-1][1] += v2

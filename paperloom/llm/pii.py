@@ -3,12 +3,19 @@
 Base spans (email, ip, card, phone) follow the fixed patterns and checks and always stay. High-recall generators propose
 overlapping candidates of the same kinds in looser spellings (other separators, no plus sign, "at" and "dot" written
 out). Trees see format features (digit counts, groups, separators, Luhn, octets) and context features (words before, the
-characters around), but not what only the strict spelling has. They learn from the candidates of all documents, or of a
-hash sample of at most ``SAMPLE`` per kind when there are more: candidates that are base spans are positive, those that
-touch none are unlabelled and count as negative. On a held-out third an isotonic fit turns scores into probabilities
-and each kind gets the lowest threshold at which at least ``PRECISION`` of the selected are base spans; a kind without
-such a threshold, or with too few examples, adds nothing. Selected candidates that touch a base span or a better
-candidate are dropped.
+characters around), but not what only the strict spelling has. Candidates that are base spans are positive; those that
+touch none are unlabelled, not negative: real ones in loose spellings are among them. The trees learn labelled against
+unlabelled from the candidates of two thirds of the hashes, or of a hash sample of at most ``SAMPLE`` per kind (half of each)
+when there are more.
+
+All candidates of the held-out third are scored and counted by score and label, and an isotonic fit turns scores into
+the share of base spans. Base spans are taken as a fair sample of all real ones (Elkan and Noto), so the share among the
+held-out candidates that score like the better half of the base spans is the share of real ones that are spelt strictly;
+divided by it, a share becomes the probability of being real. Each kind gets the lowest threshold at which the selected
+are real with ``PRECISION`` on average and more likely than not at the margin, however many of them are new. Where base
+spans are fewer than half of that upper part and hardly more frequent there than among all candidates, the trees cannot
+tell them from the rest, and the kind adds nothing; nor does a kind with too few examples. Selected candidates that touch a
+base span or a better candidate are dropped.
 
 Null text is empty: no spans. Offsets are code points, end exclusive. Long texts are searched whole in linear time.
 Repeated rows are answered one by one. Only doc_id and text are read; other columns pass through ``redact`` unchanged.
@@ -49,6 +56,8 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[\x20./_\- –]{0,3}[0-9]){10,23}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:\+|00)?[(]?[0-9](?:[\x20()./\- –]{0,3}[0-9]){6,18}(?![0-9])"),
 }
+_SPELT_AT = re.compile(r" ?[(\[]at[)\]] ?| at ", re.I)
+_SPELT_DOT = re.compile(r" ?[(\[]dot[)\]] ?| dot ", re.I)
 _WORDS = {
     "email": "mail e-mail email contact write correo courriel kontakt adresse address",
     "ip": "ip host server address adresse client login node from",
@@ -95,8 +104,15 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return [(k, m.start(), m.end()) for k in kinds for m in _LOOSE[k].finditer(text)]
 
 
+def _plain(kind: str, span: str) -> str:
+    """The span without its spelling: "@" and "." for what is written out, one space between groups of digits."""
+    if kind == "email":
+        return _SPELT_DOT.sub(".", _SPELT_AT.sub("@", span))
+    return " ".join(_DIGITS.findall(span.lstrip("(").removeprefix("00") if kind == "phone" else span))
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    span, before, after = text[start:end], text[max(0, start - 48) : start], text[end : end + 2]
+    span, before, after = _plain(kind, text[start:end]), text[max(0, start - 48) : start], text[end : end + 2]
     groups = _DIGITS.findall(span)
     digits = "".join(groups)
     octets = [min(int(g[-6:]), 999) if len(g) < 7 else 999 for g in groups]
@@ -105,13 +121,13 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     for w in words:
         if w in _LEXICON:
             hints[_LEXICON[w]] += 1
-    domain = re.split(r"@|\bat\b", span, maxsplit=1)[-1]
+    domain = span.rpartition("@")[2]
     last = re.findall(r"[\w-]+", span)[-1] if span else ""
     return [
         len(digits), len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, max(map(len, groups), default=0), min(map(len, groups), default=0),
         float(12 <= len(digits) <= 19 and luhn(digits)), max(octets, default=0), sum(c.isalpha() for c in span), len(set(digits)), int(digits[:1] or 0),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "+-./#"), float(after[:1] in "-/%"), float(after[:1] in ".,;:)"),
-        len(re.findall(r"\.| dot |[(\[]dot[)\]]", domain, re.I)), len(last), float(last.isalpha()), float(len(span.lstrip("+( "))), *hints,
+        domain.count("."), len(last), float(last.isalpha()), float(len(span)), *hints,
     ]
 
 
@@ -149,24 +165,76 @@ def examples(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "kind string, label boolean, order long, features array<double>")
 
 
+def graded(score: np.ndarray) -> np.ndarray:
+    """Scores in steps of 1/64, so that those of any number of candidates are counted in few groups."""
+    return np.floor(np.clip(score, -32, 32) * 64) / 64
+
+
+def _held() -> F.Column:
+    """A third of the candidates; the order is a hash of the candidate, so copies are on the same side."""
+    return F.col("order") % 3 == 0
+
+
+def held_out(found: DataFrame, trees: dict[str, Trees]) -> DataFrame:
+    """(kind, score, label, n): how many of all held-out candidates have each graded score."""
+    shared = W.share(found.sparkSession, trees)  # trees of a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
+        for batch in batches:
+            kinds = np.array(batch.column("kind").to_pylist(), object)
+            values, score = batch.column("features"), np.zeros(batch.num_rows)
+            for kind in set(kinds.tolist()):
+                own = np.flatnonzero(kinds == kind)
+                score[own] = graded(shared()[kind].score(values.take(pa.array(own)).flatten().to_numpy().reshape(len(own), -1)))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(score), batch.column("label")], names=["kind", "score", "label"])
+
+    held = found.where(_held() & F.col("kind").isin(list(trees))).select("kind", "label", "features")
+    return held.mapInArrow(run, "kind string, score double, label boolean").groupBy("kind", "score", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def calibrated(score: np.ndarray, strict: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Isotonic steps, probabilities and the threshold, from the counts of base spans and unlabelled by ascending score."""
+    total = strict + other
+    above, above_all = strict[::-1].cumsum()[::-1], total[::-1].cumsum()[::-1]
+    at = np.flatnonzero(2 * above >= above[0])[-1]
+    spelt_strictly = above[at] / above_all[at]
+    if spelt_strictly < 0.5 and spelt_strictly < 1.5 * above[0] / above_all[0]:
+        return None
+    steps, values = isotonic(score, strict / total, total)
+    values = values / spelt_strictly
+    own = values[np.maximum(np.searchsorted(steps, score, "right") - 1, 0)]
+    for t in np.unique(values):
+        chosen = own >= t
+        if t > 0.5 and strict[chosen].sum() >= PRECISION * spelt_strictly * total[chosen].sum():
+            return steps, np.minimum(values, 1), float(min(t, 1))
+    return None
+
+
 def train(found: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[Trees, np.ndarray, np.ndarray, float]]:
     """By kind: the trees, the isotonic steps and values, and the threshold on the probability."""
     found = cut_lineage(found, "pii-examples")
-    models = {}
+    sizes = found.groupBy("kind", _held().alias("held"), "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = {(r["kind"], r["held"], r["label"]): r["n"] for r in sizes}
+    trees = {}
     for kind in KINDS:
-        rows = found.where(F.col("kind") == kind).orderBy("order", "label", F.col("features").cast("string")).limit(sample).collect()
-        x, y = np.array([r["features"] for r in rows], float), np.array([r["label"] for r in rows], float)
-        held = np.arange(len(y)) % 3 == 0  # the order is a hash, so this is a random third
-        if min(y[held].sum(), y[~held].sum()) < LEAST or y[~held].all():
+        strict, other = n.get((kind, False, True), 0), n.get((kind, False, False), 0)
+        if min(strict, n.get((kind, True, True), 0)) < LEAST or not other:
             continue
-        trees = Trees().fit(x[~held], y[~held])
-        score = trees.score(x[held])
-        steps, values = isotonic(score, y[held])
-        found_at = np.sort(np.unique(values))
-        p = values[np.maximum(np.searchsorted(steps, score, "right") - 1, 0)]
-        good = [t for t in found_at if t > 0.5 and y[held][p >= t].mean() >= PRECISION]
-        if good:
-            models[kind] = (trees, steps, values, float(good[0]))
+        rows = []
+        for label, most in ((True, max(sample // 2, sample - other)), (False, max(sample // 2, sample - strict))):
+            own = found.where(~_held() & (F.col("kind") == kind) & (F.col("label") == label))
+            rows += own.orderBy("order", F.col("features").cast("string")).limit(most).collect()
+        trees[kind] = Trees().fit(np.array([r["features"] for r in rows], float), np.array([r["label"] for r in rows], float))
+    counts: dict[str, dict[float, list[int]]] = {kind: {} for kind in trees}
+    for r in held_out(found, trees).collect() if trees else []:  # a few thousand scores at most
+        counts[r["kind"]].setdefault(r["score"], [0, 0])[not r["label"]] += r["n"]
+    models = {}
+    for kind, own in counts.items():
+        score = np.array(sorted(own))
+        strict, other = np.array([own[s] for s in score.tolist()]).T
+        if (fitted := calibrated(score, strict, other)) is not None:
+            models[kind] = (trees[kind], *fitted)
     return models
 
 
@@ -178,7 +246,7 @@ def find(text: str, models: dict) -> tuple[list, list]:
     for kind in {c[0] for c in loose}:
         own = [c for c in loose if c[0] == kind]
         trees, steps, values, least = models[kind]
-        score = trees.score(np.array([features(text, *c) for c in own], float))
+        score = graded(trees.score(np.array([features(text, *c) for c in own], float)))
         p = values[np.maximum(np.searchsorted(steps, score, "right") - 1, 0)]
         chosen += [(-p[i], KINDS.index(kind), c) for i, c in enumerate(own) if p[i] >= least]
     added: list = []

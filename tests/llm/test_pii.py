@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from paperloom.llm import pii
@@ -82,6 +83,51 @@ def test_trees_add_looser_spellings_and_redact(spark):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+def loosely_spelt(rng, k):
+    """A text, the kind of its number and that number's place; three of ten numbers are spelt loosely, every other text holds none."""
+    filler = lambda: " ".join("".join(rng.choice("etaoin") for _ in range(5)) for _ in range(6))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    loose, head = rng.random() < 0.3, filler()
+    if k % 4 == 0:
+        own = f"{'' if loose else '+'}1 ({number(3)}) 555-{number(4)}"
+        return f"{head} call {own} {filler()}", "phone", len(head) + 6, len(head) + 6 + len(own), loose
+    if k % 4 == 1:
+        first = "4" + number(14)
+        digits = next(first + c for c in "0123456789" if pii.luhn(first + c))
+        own = ("." if loose else " ").join(digits[i : i + 4] for i in range(0, 16, 4))
+        return f"{head} card {own} {filler()}", "card", len(head) + 6, len(head) + 6 + len(own), loose
+    if k % 4 == 2:
+        return f"{head} order {number(2)}-{number(2)}-{number(4)} and page {number(7)} {filler()}", None, 0, 0, False
+    return f"{head} invoice {number(4)}.{number(4)}.{number(4)}.{number(4)}.{number(3)} {filler()}", None, 0, 0, False
+
+
+def test_threshold_does_not_cap_what_is_new(spark):
+    rng = random.Random(5)
+    rows = [loosely_spelt(rng, k) for k in range(4000)]
+    docs = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "doc_id long, text string")
+    # a sample far below the candidates: the threshold is taken over all of them
+    for sample in (pii.SAMPLE, 400):
+        models = pii.train(pii.examples(docs), sample)
+        assert {"phone", "card"} <= set(models)
+        found = {"phone": [0, 0], "card": [0, 0]}
+        wrong = 0
+        for text, kind, a, b, loose in rows:
+            _, spans = pii.find(text, models)
+            if loose:
+                found[kind][0] += any(x <= a and b <= y for _, x, y in spans)
+                found[kind][1] += 1
+            wrong += kind is None and bool(spans)
+        assert all(n > 250 and hit >= 0.9 * n for hit, n in found.values()), found
+        assert wrong <= 0.05 * sum(n for _, n in found.values())
+
+
+def test_kind_that_cannot_be_told_apart_adds_nothing():
+    score, flat = np.arange(40) / 64, np.full(40, 10)
+    assert pii.calibrated(score, flat, 4 * flat) is None
+    steps, values, least = pii.calibrated(score, np.where(score < 0.4, 0, 70), np.where(score < 0.4, 90, 30))
+    assert values[np.searchsorted(steps, 0.6, "right") - 1] >= least > values[np.searchsorted(steps, 0.1, "right") - 1]
+
+
 def test_query(spark, sf):
     got = {r.doc_id: r for r in pii.query(spark, sf).collect()}
     for r in pq.read_table(f"{sf}/documents.parquet").to_pylist():
