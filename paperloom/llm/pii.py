@@ -48,8 +48,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-# What a text must hold to be looked at, and the loose spellings
-_WORTH = r"[0-9@]|(?i:dot)"
+# What a text must hold for a loose e-mail address and to be looked at (also read by Arrow, whose \w is ASCII), and the loose spellings
+_AT = r"@|(?i:[(\[]at[)\]]| at [^ .\n]{1,64}(?:\.[^ .\n]| ?[(\[]dot| dot ))"
+_WORTH = rf"[0-9]|{_AT}"
 _LOOSE = {
     "email": re.compile(r"[\w.%+-]{1,64}(?:@| ?[(\[]at[)\]] ?| at )[\w-]{1,64}(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[\w-]{1,64}){1,6}", re.I),
     "ip": re.compile(r"(?<![0-9])[0-9]{1,5}(?:(?:\.|,| ?\. ?|\[\.\]| ?[(\[]dot[)\]] ?| dot )[0-9]{1,5}){3}(?![0-9])", re.I),
@@ -99,8 +100,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    digits, written = _DIGITS.search(text), re.search(r"dot", text, re.I)
-    kinds = ([] if not ("@" in text or written) else ["email"]) + (["ip", "card", "phone"] if digits else [])
+    kinds = (["email"] if re.search(_AT, text) else []) + (["ip", "card", "phone"] if _DIGITS.search(text) else [])
     return [(k, m.start(), m.end()) for k in kinds for m in _LOOSE[k].finditer(text)]
 
 

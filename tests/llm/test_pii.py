@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from paperloom.llm import pii
@@ -83,6 +84,17 @@ def test_trees_add_looser_spellings_and_redact(spark):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+def test_gate_lets_every_loose_spelling_through():
+    domains = [f"example{dot}com" for dot in (".", " dot ", "(dot)", " [dot] ", " (DOT)")] + ["exämple.com", "пример.рф", "a-b.c.d"]
+    spelt = [f"jane.roe{at}{domain}" for at in ("@", " at ", " AT ", "(at)", "[at]", " (at) ", " [At] ") for domain in domains]
+    spelt += ["4111.1111-1111/1111", "1 (774) 555-1544", "10 dot 1 dot 2 dot 3"]
+    for own in spelt:
+        text = f"write to {own} for more"
+        kinds = [k for k, pattern in pii._LOOSE.items() if pattern.search(text)]
+        assert kinds and {k for k, _, _ in pii.candidates(text)} == set(kinds), text
+        assert pii._worth(pa.array([None, text, "we met at home. Then we left"])) == [(1, text)]
+
+
 def loosely_spelt(rng, k):
     """A text, the kind of its number and that number's place; three of ten numbers are spelt loosely, every other text holds none."""
     filler = lambda: " ".join("".join(rng.choice("etaoin") for _ in range(5)) for _ in range(6))
