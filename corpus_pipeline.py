@@ -33,8 +33,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as token pieces, each with its sequence and the place in it."""
-    return packing.packed(docs)
+    """Every document as token pieces, each with its ids, its sequence and the place in it."""
+    return packing.packed(docs, with_ids=True)
 
 
 STAGES = [

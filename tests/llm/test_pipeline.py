@@ -1,14 +1,18 @@
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from paperloom.llm import packing, pii, quality
 from paperloom.llm.frames import documents
 from tests.llm import brute
+from tests.llm.test_packing import PATH
 from tests.llm.test_substring import expected
 
 
@@ -57,6 +61,24 @@ def test_run(spark, sf):
     assert max(ends.values()) <= packing.CAPACITY
 
 
+def test_last_stage_gives_the_training_sequences(spark, sf):
+    docs = documents(spark, sf)
+    rows = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, sf).collect()
+    tokenizer, own, filled = Tokenizer.from_file(PATH), {}, {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        own.setdefault(r.doc_id, []).extend(r.ids)
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for r in docs.collect():
+        assert own[r.doc_id] == [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+
+
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
     assert sorted(names) == sorted(f"op{k}" for k in range(1, 11))
