@@ -1,9 +1,9 @@
-"""Repeated passages, by Relative Lempel-Ziv factors against the indexed corpus.
+"""Repeated passages, by an anchored exact index of word windows over the whole corpus.
 
-The reference is the corpus itself, cut by hash into index blocks; a document is parsed greedily against all of them: a
-factor starts at a word whose window of ``SIZE`` words starts in an earlier document (smaller doc_id) and grows word by
-word while the window that ends it is found as well. Each window's hash names the one block that can hold it, so every
-block is consulted and factor ends are exact to the word. Factors have ``SIZE`` words at least; their words go.
+Every window of ``SIZE`` words that starts in an earlier document (smaller doc_id) as well is a hit. Hits that overlap or
+touch are joined to one factor, whose words go. This is not a Lempel-Ziv parse: no place in a reference is kept, so the
+hits of one factor may come from different documents. The words removed are those of all hits, exact to the word. The
+index is cut into blocks by hash; each window's hash names the one block that can hold it.
 
 Not every window is looked up. A window's anchor is the least hash of its ``GRAM``-word grams, so equal windows have equal
 anchors, and a run of windows shares one. Round 1 indexes the anchors (about a fifth of the words) and keeps those that
@@ -149,7 +149,7 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
 
 
 def factors(found: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Greedy parse: (first word, end) of each factor from the first words of found windows, by row."""
+    """(first word, end) of each run of found windows that overlap or touch, from their first words, by row."""
     if not len(found):
         return np.zeros((0, 2), np.int64)
     new = np.ones(len(found), bool)
