@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: one per operator, over its whole table."""
 from __future__ import annotations
 
-from paperloom.llm import fingerprint, langid, lm, neardup, packing, pieces, pii, quality, rollup, substring
+from paperloom.llm import bpe, fingerprint, langid, lm, neardup, packing, pieces, pii, quality, rollup, substring
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op8_substring_dedup": substring.query,
     "op9_best_fit_packing": packing.query,
     "op10_sentencepiece": pieces.query,
+    "op11_byte_bpe": bpe.query,
 }
 ORACLES = {"op1_quality_rules": quality.ORACLE, "op8_substring_dedup": substring.ORACLE}
