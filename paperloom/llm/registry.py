@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: one per operator, over its whole table."""
 from __future__ import annotations
 
-from paperloom.llm import bpe, fingerprint, langid, lm, neardup, packing, pieces, pii, quality, resample, rollup, substring
+from paperloom.llm import align, bpe, fingerprint, langid, lm, neardup, packing, pieces, pii, quality, resample, rollup, substring
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op10_sentencepiece": pieces.query,
     "op11_byte_bpe": bpe.query,
     "op12_resample": resample.query,
+    "op13_align": align.query,
 }
 ORACLES = {"op1_quality_rules": quality.ORACLE, "op8_substring_dedup": substring.ORACLE, "op12_resample": resample.ORACLE}
