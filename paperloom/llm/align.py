@@ -22,6 +22,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,9 +39,9 @@ from paperloom.llm.pieces import row_blocks
 from paperloom.llm.tables import Table
 from paperloom.session import cut_lineage
 
-BLOCK = 8 << 20
-TOGETHER = 128  # units to a string
-AT_ONCE = 64  # strings to a call
+BLOCK = 6 << 20
+TOGETHER = 256  # units to a string
+AT_ONCE = 16  # strings to a call
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 # What may follow the space that begins a unit: no white space of any kind, judged by the first byte alone.
@@ -55,7 +56,7 @@ class Both:
     def __init__(self, path_a: str, path_b: str):
         from tokenizers import Tokenizer
 
-        a, b = bpe.load(path_a), pieces.load(path_b)
+        a, b = bpe.ByteVocabulary(path_a), pieces.load(path_b)
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.a.post_processor is not None or self.a.truncation or self.a.padding:
@@ -72,32 +73,36 @@ class Both:
         """Ids, exact byte ends (counted through all texts), and token counts of the texts."""
         ids, ends, sure, counts, shift = [], [], [], [], 0
         for text, e in zip(texts, self.a.encode_batch(texts, add_special_tokens=False)):
-            span = np.array(e.offsets, np.int64).reshape(-1, 2)
-            if text.isascii():
-                place = span[:, 1]
+            own = e.ids
+            span = np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * len(own))
+            data = text.encode()
+            if len(data) == len(text):
+                place = span[1::2]
             else:
-                data = np.frombuffer(text.encode(), np.uint8)
-                place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[span[:, 1]]
-            ids.append(np.array(e.ids, np.int64))
-            sure.append(np.append(span[1:, 0] >= span[:-1, 1], True)[: len(span)])
+                place = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))[span[1::2]]
+            ids += own
+            sure.append(np.append(span[2::2] >= span[1:-1:2], True)[: len(own)])
             ends.append(place + shift)
-            counts.append(len(span))
-            shift += len(text.encode())
-        ids = np.concatenate(ids)
-        return ids, refine(np.concatenate(ends), np.concatenate(sure), self.width_a[ids]), np.array(counts)
+            counts.append(len(own))
+            shift += len(data)
+        ids = np.array(ids, np.int32)
+        return ids, refine(np.concatenate(ends).astype(np.int32), np.concatenate(sure), self.width_a[ids]), np.array(counts)
 
     def spans_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same for texts that begin with the space that this side adds by itself."""
-        found, counts, shifts, shift = [], [], [], 0
+        ids, ends, counts, shifts, shift = [], [], [], [], 0
         for text, message in zip(texts, self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)):
-            found += [(p.id, p.begin, p.end) for p in message.pieces]
-            counts.append(len(message.pieces))
+            pieces_of = list(message.pieces)
+            ids += [p.id for p in pieces_of]
+            ends += [p.end for p in pieces_of]
+            counts.append(len(pieces_of))
             shifts.append(shift + 1)
             shift += len(text.encode())
-        flat = np.array(found, np.int64).reshape(-1, 3)
-        ids = flat[:, 0]
-        sure = ~self.is_byte[ids] | (flat[:, 1] < flat[:, 2])
-        return ids, refine(flat[:, 2] + np.repeat(shifts, counts), sure, self.width_b[ids]), np.array(counts)
+        ids, ends = np.array(ids, np.int32), np.array(ends, np.int32)
+        first = np.zeros(len(ids), bool)
+        first[(np.cumsum(counts) - counts)[np.array(counts) > 0]] = True
+        empty = ends == np.where(first, 0, np.append(np.int32(0), ends[:-1]))  # spans follow one another: this one ends where it begins
+        return ids, refine((ends + np.repeat(shifts, counts)).astype(np.int32), ~(self.is_byte[ids] & empty), self.width_b[ids]), np.array(counts)
 
     @staticmethod
     def spell(table: tuple[np.ndarray, np.ndarray], width: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -125,7 +130,7 @@ class Pairs:
         self.table = Table(keys, np.arange(len(keys), dtype=np.int32))
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.table.get(a * self.n_b + b)
+        return self.table.get(a.astype(np.int64) * self.n_b + b)
 
     def best(self, counts: np.ndarray) -> np.ndarray:
         """Which pairs have the highest count of their B id."""
@@ -141,7 +146,7 @@ def refine(ends: np.ndarray, sure: np.ndarray, width: np.ndarray) -> np.ndarray:
     total, place = np.cumsum(width), np.arange(len(ends))
     last = np.maximum.accumulate(np.where(sure, place, -1))
     known, decoded = np.where(last >= 0, ends[last], 0), np.where(last >= 0, total[last], 0)
-    return np.where(sure, ends, known + total - decoded)
+    return np.where(sure, ends, known + total - decoded).astype(ends.dtype)
 
 
 def load(path_a: str, path_b: str) -> Both:
@@ -191,11 +196,11 @@ def encode_units(both: Both, distinct: pa.Array) -> Spans:
     many = int(regular.sum())
     edges = np.unique(np.concatenate((np.arange(0, many, TOGETHER), np.arange(many, n + 1))))
     raw = data.tobytes()
-    strings = [raw[starts[i] : starts[j]].decode() for i, j in zip(edges[:-1], edges[1:])]
     whole = np.ones(n, bool)
     parts = []
-    for k in range(0, len(strings), AT_ONCE):
-        some, own = strings[k : k + AT_ONCE], edges[k : k + AT_ONCE + 1]
+    for k in range(0, len(edges) - 1, AT_ONCE):
+        own = edges[k : k + AT_ONCE + 1]
+        some = [raw[starts[i] : starts[j]].decode() for i, j in zip(own, own[1:])]
         first, last = starts[own[0]], starts[own[-1]]
         a, a_ends, a_counts = both.spans_a(some)
         b, b_ends, b_counts = both.spans_b(some)
@@ -208,13 +213,15 @@ def encode_units(both: Both, distinct: pa.Array) -> Spans:
                     whole[own[s]] = keep_a[i : i + x] = keep_b[j : j + y] = False
                 i, j = i + x, j + y
             a, a_ends, b, b_ends = a[keep_a], a_ends[keep_a], b[keep_b], b_ends[keep_b]
-        parts.append((a, a_ends + first, b, b_ends + first))
-    a, a_ends, b, b_ends = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(4))
+        parts.append((a, a_ends + np.int32(first), b, b_ends + np.int32(first)))
+    a, a_ends, b, b_ends = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int32)]) for i in range(4))
+    del parts, raw, text
     back = np.argsort(order)  # units in the order of the dictionary again
     a_places, b_places = np.searchsorted(a_ends, starts, "right"), np.searchsorted(b_ends, starts, "right")
     if not np.array_equal(a_ends[a_places[1:][whole] - 1], starts[1:][whole]) or not np.array_equal(b_ends[b_places[1:][whole] - 1], starts[1:][whole]):
         raise ValueError("a unit does not end with a token of both sides")
-    a_ends, b_ends = a_ends - np.repeat(starts[:-1], np.diff(a_places)), b_ends - np.repeat(starts[:-1], np.diff(b_places))
+    base = starts[:-1].astype(np.int32)
+    a_ends, b_ends = a_ends - np.repeat(base, np.diff(a_places)), b_ends - np.repeat(base, np.diff(b_places))
     (a_at, a_places), (b_at, b_places) = gather(a_places, back), gather(b_places, back)
     return Spans(a[a_at], a_ends[a_at], a_places, b[b_at], b_ends[b_at], b_places, np.append(0, np.cumsum(np.diff(starts)[back])), whole[back])
 

@@ -51,13 +51,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class BytePairs:
-    """A byte-level vocabulary as arrays: merges, the tokens' suffix automaton, and the pattern's classes."""
+class ByteVocabulary:
+    """The tokens of a byte-level vocabulary as bytes, and its merges."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, before = spec["model"], spec["pre_tokenizer"]
@@ -66,34 +64,52 @@ class BytePairs:
             raise ValueError("a byte-level model with the usual pattern, without normalisation or dropout is needed")
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with rules of their own are not supported")
-        self.cutter = Tokenizer.from_file(path).pre_tokenizer
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters, vocabulary = byte_letters(), model["vocab"]
-        self.size = 1 + max([*vocabulary.values(), *self.special.values()])
+        self.ids = list(vocabulary.values())
+        self.size = 1 + max([*self.ids, *self.special.values()])
         self.text = [b""] * self.size
         for name, i in vocabulary.items():
             self.text[i] = bytes(letters[c] for c in name)
         for name, i in self.special.items():
             self.text[i] = name.encode()
         self.width = np.array([len(t) for t in self.text], np.int32)
-        self.rank, self.left, self.right = (np.full(self.size, -1, np.int32) for _ in range(3))
+        self.text_bytes = np.frombuffer(b"".join(self.text), np.uint8)
+        self.text_start = np.cumsum(self.width, dtype=np.int64) - self.width
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        ends = np.array([[vocabulary[a], vocabulary[b], vocabulary[a + b]] for a, b in pairs], np.int64).reshape(-1, 3)
-        ranks = np.arange(len(ends), dtype=np.int32)
-        if len(np.unique(ends[:, 2])) != len(ends) or (np.bincount(ends[:, 2], minlength=self.size) + (self.width == 1))[list(vocabulary.values())].min() < 1:
+        self.merges = np.array([[vocabulary[a], vocabulary[b], vocabulary[a + b]] for a, b in pairs], np.int64).reshape(-1, 3)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for, in a row."""
+        length = self.width[ids].astype(np.int64)
+        return self.text_bytes[np.repeat(self.text_start[ids] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.spell(np.array(ids, np.int64)).tobytes().decode(errors="replace")
+
+
+class BytePairs(ByteVocabulary):
+    """The merges as arrays, the tokens' suffix automaton, and the pattern's classes."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer
+
+        self.cutter = Tokenizer.from_file(path).pre_tokenizer
+        self.rank, self.left, self.right = (np.full(self.size, -1, np.int32) for _ in range(3))
+        ends, ranks = self.merges, np.arange(len(self.merges), dtype=np.int32)
+        if len(np.unique(ends[:, 2])) != len(ends) or (np.bincount(ends[:, 2], minlength=self.size) + (self.width == 1))[self.ids].min() < 1:
             raise ValueError("every token must be a byte or come from one merge")
         self.rank[ends[:, 2]], self.left[ends[:, 2]], self.right[ends[:, 2]] = ranks, ends[:, 0], ends[:, 1]
         self.pairs = Table(ends[:, 0] * self.size + ends[:, 1], ranks)
         merged = np.flatnonzero(self.rank >= 0)
         whole = np.zeros(self.size, bool)  # tokens that their own bytes are encoded as: no others can come out
-        whole[[i for i in vocabulary.values() if self.width[i] == 1]] = True
+        whole[[i for i in self.ids if self.width[i] == 1]] = True
         fits = self.compatible(self.left[merged], self.right[merged], self.rank[merged])
         for i, ok in sorted(zip(merged.tolist(), fits.tolist()), key=lambda x: self.rank[x[0]]):
             whole[i] = ok and whole[self.left[i]] and whole[self.right[i]]
         self._automaton(np.flatnonzero(whole).tolist())
         self.classes = np.zeros(0x110000, np.uint8)
-        self.text_bytes = np.frombuffer(b"".join(self.text), np.uint8)
-        self.text_start = np.cumsum(self.width, dtype=np.int64) - self.width
         self.scalars = None
 
     def _automaton(self, tokens: list[int]) -> None:
@@ -286,14 +302,6 @@ class BytePairs:
         found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(raw))
         return found, np.searchsorted(starts, offsets)
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes that ids stand for, in a row."""
-        length = self.width[ids].astype(np.int64)
-        return self.text_bytes[np.repeat(self.text_start[ids] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-
-    def decode(self, ids: list[int]) -> str:
-        return self.spell(np.array(ids, np.int64)).tobytes().decode(errors="replace")
-
 
 def cuts(points: np.ndarray, kinds: np.ndarray, border: np.ndarray) -> np.ndarray:
     """Which characters begin a word. ``border``: characters that begin a text (or a part between special tokens)."""
