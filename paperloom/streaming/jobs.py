@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from paperloom.session import ROCKSDB_PROVIDER, STATE_STORE_SETTING, shared_folder
 
+MAX_BYTES = str(64 << 30)  # of files in a micro-batch
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table as a file stream; the schema comes from the table, so nothing is inferred from new files."""
+
+def stream_table(spark: SparkSession, folder: str, name: str, bytes_per_batch: str = MAX_BYTES) -> DataFrame:
+    """A Parquet table as a file stream; the schema comes from the table, so nothing is inferred from new files.
+
+    A micro-batch admits files of about ``bytes_per_batch`` (at least one), which also bounds what one key can bring at once.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:

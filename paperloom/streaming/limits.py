@@ -2,10 +2,9 @@
 from __future__ import annotations
 
 import sys
-from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -14,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paperloom import rules
 from paperloom.operators.skew import previous
+from paperloom.streaming.ordered import KeyOrder
 
 
 def mark_limited(
@@ -38,12 +38,15 @@ def mark_limited(
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+PACKED = 1 << 16  # arrival times in one entry of the state
+
+
 class RateLimiter(StatefulProcessor):
-    """Keeps the arrival times of one phone that still lie in the window.
+    """Keeps the arrival times of one phone that still lie in the window, packed into entries of bounded size.
 
-    A phone's rows of a micro-batch come in several frames in no order, so they are put in order together; what the source
-    admits to a micro-batch bounds them. A row older than the state (late, from an earlier time than a former
-    micro-batch) counts against what is still kept, as a message judged on arrival.
+    A phone's rows of a micro-batch are put in order in state (``KeyOrder``) and judged range by range on arrays: what is
+    in memory follows a range and the window, not the micro-batch. A row older than the state (late, from an earlier time
+    than a former micro-batch) counts against what is still kept, as a message judged on arrival.
     """
 
     def __init__(self, seconds: int, most: int) -> None:
@@ -51,24 +54,25 @@ class RateLimiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", "at bigint")
+        self.recent = handle.getListState("recent", "times binary")
+        self.order = KeyOrder(handle, "unordered", "at", "event_id")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
-        kept = deque(sorted(at for (at,) in self.recent.get())) if self.recent.exists() else deque()
-        counts = []
-        for at in frame["at"].tolist():
-            while kept and kept[0] <= at - self.width:
-                kept.popleft()
-            kept.append(at) if not kept or kept[-1] <= at else kept.insert(bisect_right(kept, at), at)
-            counts.append(len(kept))
-        self.recent.put([(int(t),) for t in kept])
+        stored = [np.frombuffer(t, np.int64) for (t,) in self.recent.get()] if self.recent.exists() else []
+        before = np.sort(np.concatenate(stored)) if stored else np.zeros(0, np.int64)
+        own = np.zeros(0, np.int64)  # of this micro-batch, in the window of its newest row
+        for frame in self.order.frames(rows):
+            at = frame["at"].to_numpy().astype("int64")
+            reach = np.concatenate((own, at))
+            edge = at - self.width
+            counts = len(before) - np.searchsorted(before, edge, "right") + len(own) + np.arange(1, len(at) + 1) - np.searchsorted(reach, edge, "right")
+            own = reach[np.searchsorted(reach, at[-1] - self.width, "right") :]
+            yield pd.DataFrame({"phone": key[0], "event_id": frame["event_id"].to_numpy(), "in_window": counts, "limited": counts > self.most})
+        kept = np.sort(np.concatenate((before[np.searchsorted(before, own[-1] - self.width, "right") :], own)))
+        self.recent.put([(kept[i : i + PACKED].tobytes(),) for i in range(0, len(kept), PACKED)])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((kept[-1] + self.width) // 1000 + 1)
-        yield pd.DataFrame(
-            {"phone": key[0], "event_id": frame["event_id"].to_numpy(), "in_window": counts, "limited": [n > self.most for n in counts]}
-        )
+        self.handle.registerTimer(int(kept[-1] + self.width) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A phone that has been silent for a window leaves no state behind."""

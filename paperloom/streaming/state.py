@@ -4,6 +4,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from paperloom import rules
 from paperloom.functions.regex import first_match
 from paperloom.operators.skew import HOT_ROWS, carry, lookup, previous
+from paperloom.streaming.ordered import KeyOrder
 
 # what runs in Python workers travels by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,16 +49,12 @@ def latest_state(updates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> list[dict]:
-    """A key's rows of a micro-batch in order: they come in several frames. The source's admission limit bounds them.
+class ConversationState(StatefulProcessor):
+    """One member's state row; emits it after every micro-batch that touched it.
 
-    A row that arrives in a later micro-batch than a newer one is applied on arrival.
+    Frames need no order: of each frame only the newest clear and the newest value of each field are kept, so memory does
+    not follow the rows. Rows of a later micro-batch come after those of an earlier one.
     """
-    return pd.concat(list(frames), ignore_index=True).sort_values(by).to_dict("records")
-
-
-class ConversationState(StatefulProcessor):
-    """One member's state row; emits it after every micro-batch that touched it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", STATE_SCHEMA.replace("member_id bigint, ", ""))
@@ -64,18 +62,30 @@ class ConversationState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [*FIELDS, "pending_confirmation", "pending_action", "updated_at"]
         now = dict(zip(names, self.state.get())) if self.state.exists() else dict.fromkeys(names) | {"pending_confirmation": False}
-        for row in _in_order(rows, ["ts", "update_id"]):
-            value = lambda c: None if pd.isna(row[c]) else row[c]
-            if row["kind"] == "clear":
-                now = dict.fromkeys(names) | {"pending_confirmation": False}
-            else:
-                now.update({c: value(c) for c in FIELDS if value(c) is not None})
-                flag, action = bool(value("pending_confirmation")), value("pending_action")
-                if flag or action is not None:
-                    now["pending_confirmation"] = flag
-                if action is not None:
-                    now["pending_action"] = action
-            now["updated_at"] = row["ts"]
+        cleared, newest, last = None, {}, None
+        for frame in rows:
+            frame = frame.sort_values(["ts", "update_id"], ignore_index=True)
+            place = lambda i: (frame["ts"].iat[i], frame["update_id"].iat[i])
+            last = place(-1) if last is None else max(last, place(-1))
+            clear = frame["kind"] == "clear"
+            if clear.any():
+                at = place(int(np.flatnonzero(clear.to_numpy())[-1]))
+                cleared = at if cleared is None else max(cleared, at)
+            flag, action = frame["pending_confirmation"].fillna(False).astype(bool), frame["pending_action"]
+            given = {c: (frame[c].notna(), frame[c]) for c in FIELDS}
+            given |= {"pending_confirmation": (flag | action.notna(), flag), "pending_action": (action.notna(), action)}
+            for c, (there, values) in given.items():
+                found = np.flatnonzero((there & ~clear).to_numpy())
+                if len(found):
+                    i = int(found[-1])
+                    if c not in newest or newest[c][0] < place(i):
+                        newest[c] = (place(i), values.iat[i])
+        if cleared is not None:
+            now = dict.fromkeys(names) | {"pending_confirmation": False}
+        for c, (at, value) in newest.items():
+            if cleared is None or at > cleared:
+                now[c] = value
+        now["pending_confirmation"], now["updated_at"] = bool(now["pending_confirmation"]), last[0]
         if now["last_entity_id"] is not None:
             now["last_entity_id"] = int(now["last_entity_id"])
         self.state.update(tuple(now[n] for n in names))
@@ -125,29 +135,36 @@ def task_signals(messages: DataFrame, bucket_seconds: int = 86_400) -> DataFrame
 
 
 class SignalTracker(StatefulProcessor):
-    """One member's last signal and intent group; a downgrade of a raised tier clears both."""
+    """One member's last signal and intent group; a downgrade of a raised tier clears both.
+
+    The member's rows of a micro-batch are put in order in state (``KeyOrder``); memory follows a range of them.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("signals", "signal string, intent_group string")
+        self.order = KeyOrder(handle, "unordered", "ts", "event_id")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         signal, group = self.state.get() if self.state.exists() else (None, None)
-        out = []
-        for row in _in_order(rows, ["ts", "event_id"]):
-            if row["tool_used"]:
-                signal = "tool_completed"
-            elif signal == "tool_completed":
-                signal = "post_tool_chat"
-            if row["completion"]:
-                signal = "user_done"
-            if group is not None and group != row["detected"]:
-                signal = "topic_shift"
-            group = row["intent_group"]
-            down = signal in DOWNGRADE_SIGNALS
-            out.append((row["event_id"], key[0], signal, down))
-            if down and row["raised_tier"]:
-                signal, group = None, None
-        yield pd.DataFrame(out, columns=["event_id", "member_id", "signal", "downgrade"])
+        for frame in self.order.frames(rows):
+            signals, downs = [], []
+            columns = [frame[c].tolist() for c in ("tool_used", "completion", "detected", "intent_group", "raised_tier")]
+            for tool_used, completion, detected, intent_group, raised_tier in zip(*columns):
+                if tool_used:
+                    signal = "tool_completed"
+                elif signal == "tool_completed":
+                    signal = "post_tool_chat"
+                if completion:
+                    signal = "user_done"
+                if group is not None and group != detected:
+                    signal = "topic_shift"
+                group = intent_group
+                down = signal in DOWNGRADE_SIGNALS
+                signals.append(signal)
+                downs.append(down)
+                if down and raised_tier:
+                    signal, group = None, None
+            yield pd.DataFrame({"event_id": frame["event_id"].to_numpy(), "member_id": key[0], "signal": pd.Series(signals, dtype=object), "downgrade": downs})
         self.state.update((signal, group))
 
     def close(self) -> None:

@@ -96,3 +96,49 @@ def test_order_across_small_frames(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert limited == {r["event_id"]: (r["in_window"], r["limited"]) for r in limits.mark_limited(events, 250, 2).collect()}
     assert signals == {r["event_id"]: (r["signal"], r["downgrade"]) for r in state.task_signals(events).collect()}
+
+
+def test_one_key_with_many_rows_in_a_micro_batch(spark, monkeypatch):
+    """Frames in no order, sorted through the state in many ranges, with equal times: the streams equal their batch forms."""
+    from paperloom.streaming import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK", 32)
+    monkeypatch.setattr(ordered, "TOGETHER", 1000)
+    k = F.col("event_id")
+    events = spark.range(20_000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("member_id"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.pmod(F.xxhash64("id"), F.lit(9000)) * 1_000_000).alias("ts"),
+    ).select(
+        "*", F.col("member_id").cast("string").alias("phone"), (k % 3 == 0).alias("tool_used"), (k % 17 == 0).alias("completion"),
+        F.when(k % 4 == 0, F.lit("a")).otherwise(F.lit("b")).alias("detected"), F.when(k % 5 == 0, F.lit("a")).otherwise(F.lit("b")).alias("intent_group"),
+        F.lit(False).alias("raised_tier"), F.lit("x").alias("event_type"), F.lit("p").alias("props"), F.col("member_id").alias("user_id"),
+    )
+    folder = shared_folder(spark, "hot")
+    events.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(f"{folder}/a")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/a")
+    jobs.use_rocksdb(spark)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        limited = {r["event_id"]: (r["in_window"], r["limited"]) for r in jobs.run_to_files(limits.limited_stream(stream, 60, 20), "limits").collect()}
+        signals = {r["event_id"]: (r["signal"], r["downgrade"]) for r in jobs.run_to_files(state.signal_stream(stream), "signals").collect()}
+        states = {tuple(r) for r in jobs.run_to_files(state.state_stream(_updates(stream)), "state").drop("updated_at").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert limited == {r["event_id"]: (r["in_window"], r["limited"]) for r in limits.mark_limited(events, 60, 20).collect()}
+    assert signals == {r["event_id"]: (r["signal"], r["downgrade"]) for r in state.task_signals(events).collect()}
+    assert states == {tuple(r) for r in state.latest_state(_updates(events)).drop("updated_at").collect()}
+
+
+def test_rate_limit_over_micro_batches(spark):
+    """The window reaches into the micro-batch before; a message that comes late is judged on arrival."""
+    start, folder = dt.datetime(2026, 1, 1), shared_folder(spark, "batches")
+    schema = "event_id bigint, phone string, ts timestamp"
+    at = lambda s: start + dt.timedelta(seconds=s)
+    write(spark, [(1, "p", at(0)), (2, "p", at(50)), (3, "p", at(100))], schema, folder, "a.parquet")
+    write(spark, [(4, "p", at(110)), (5, "p", at(70)), (6, "p", at(400))], schema, folder, "b.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    jobs.use_rocksdb(spark)
+    got = {r["event_id"]: r["in_window"] for r in jobs.run_to_files(limits.limited_stream(stream, 60, 2), "limits").collect()}
+    # 5 is late: both messages that are kept (50 and 100) count; for 4 the one at 50 is gone, 5 counts
+    assert got == {1: 1, 2: 2, 3: 2, 4: 3, 5: 3, 6: 1}
