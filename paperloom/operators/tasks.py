@@ -4,14 +4,23 @@ A change is a row of a change table; the newest change per key wins. ``as_of`` i
 """
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from paperloom import rules
 from paperloom.functions.regex import first_match
 from paperloom.functions.scalars import advance_date
 from paperloom.operators.reports import audit_rows
 
+# what runs in Python workers travels by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def create_tasks(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """T-01: new task rows and their audit rows. ``requests``: task_id, title, created_by, created_at and optional task columns."""
@@ -22,42 +31,112 @@ def create_tasks(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tasks, audit
 
 
+SLOTS = 64  # slots of a block: a run of requests is folded block by block
+
+
+def _stored_times(tasks: DataFrame, key: list[str], width: int, span: int) -> DataFrame:
+    """(key, _block, _task): creation times of open tasks, of each window the first and the last, in every block they reach.
+
+    No request lies between two windows' ends without one of these being the nearest before it or within ``width``.
+    """
+    micros = F.unix_micros("created_at")
+    held = tasks.filter((F.col("status") == "open") & F.col("title").isNotNull() & F.col("created_by").isNotNull() & F.col("created_at").isNotNull())
+    ends = held.groupBy(*key, F.floor(micros / width).alias("_slot")).agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"))
+    times = ends.select(*key, F.explode(F.array("_first", "_last")).alias("_task"))
+    block = lambda t: F.floor(t / span)
+    return times.select(*key, "_task", F.explode(F.array_distinct(F.array(block(F.col("_task")), block(F.col("_task") + width)))).alias("_block"))
+
+
+def block_summary(times: np.ndarray, width: int) -> list[tuple[int, int | None]]:
+    """What a block of requests makes of the last accepted time before it: rows (from, last accepted after it).
+
+    ``times``: the block's requests that no stored task refuses, in order. A row holds for incoming times from its first
+    value on, up to the next row's; the second value is None where the block accepts nothing.
+    """
+    n = len(times)
+    after = np.searchsorted(times, times + width, "right")  # the next that may be accepted
+    last = np.where(after < n, after, np.arange(n))
+    while True:  # follow all at once, in doubling steps, to the end of the block
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    reach = min(n, int(np.searchsorted(times, times[0] + width, "right")) + 1)
+    starts = [NEVER, *(times[: reach - 1] - width).tolist()]
+    ends: list[int | None] = times[last[:reach]].tolist()
+    if reach == n:
+        starts.append(int(times[-1]) - width)
+        ends.append(None)
+    return [(s, e) for i, (s, e) in enumerate(zip(starts, ends)) if not i or e != ends[i - 1]]
+
+
+NEVER = -(1 << 62)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("since", LongType()), StructField("last", LongType())])))
+def _summaries(times: pd.Series, width: pd.Series) -> pd.Series:
+    rows = lambda t, w: [{"since": s, "last": e} for s, e in block_summary(np.asarray(t, np.int64), int(w))]
+    return pd.Series([None if t is None else rows(t, w) for t, w in zip(times, width)], dtype=object)
+
+
 def mark_duplicate_requests(
-    requests: DataFrame, tasks: DataFrame, seconds: int = rules.DUPLICATE_TASK_SECONDS, row_id: str = "request_id"
+    requests: DataFrame, tasks: DataFrame, seconds: int = rules.DUPLICATE_TASK_SECONDS, row_id: str = "request_id", slots: int = SLOTS
 ) -> DataFrame:
     """T-02: add ``duplicate``: an open task with the same title and creator was created within ``seconds`` before.
 
-    An accepted request is such a task for the requests after it; a refused one is not. Stored tasks fold to the first and
-    last creation per (title, creator, time slot), and a request looks into its own slot and the one before. Among
-    requests only those can meet that follow each other without a pause over ``seconds``: each such run is folded in
-    time order. No pairs are formed.
+    An accepted request is such a task for the requests after it; a refused one is not. No pairs are formed, and no run of
+    requests meets in one task: requests of a title and creator fold block by block, ``slots`` windows each, in time order.
+    A block accepts at most one request a window, and two stored tasks a window tell whether one is near, so what it
+    remembers is bounded. Only a block with a free request in its
+    first window can depend on the block before. Of these, and of what lies in front of them, short summaries ("given the
+    last accepted time before, which is the last after") are combined along the key; then they fold like the others.
     """
-    micros = F.unix_micros("created_at")
-    width = seconds * 1_000_000
-    slot = F.floor(micros / width)
     key = ["title", "created_by"]
-    slots = tasks.filter((F.col("status") == "open") & F.col("created_by").isNotNull()).groupBy(*key, slot.alias("_slot")).agg(
-        F.min(micros).alias("_first"), F.max(micros).alias("_last")
+    width = seconds * 1_000_000
+    span = width * slots
+    probe = requests.select(F.struct(*requests.columns).alias("_row"), row_id, *key, F.unix_micros("created_at").alias("_at"))
+    whole = F.col("title").isNotNull() & F.col("created_by").isNotNull() & F.col("_at").isNotNull()
+    asked = probe.filter(whole).select(*key, F.floor(F.col("_at") / span).alias("_block"), F.struct("_at", row_id, "_row").alias("_request"))
+    events = asked.withColumn("_task", F.lit(None).cast("long")).unionByName(_stored_times(tasks, key, width, span), allowMissingColumns=True)
+    blocks = events.groupBy(*key, "_block").agg(F.array_sort(F.collect_list("_request")).alias("_rows"), F.collect_list("_task").alias("_tasks"))
+    blocks = blocks.filter(F.size("_rows") > 0)
+    stored = lambda at: F.exists("_tasks", lambda t: (t <= at) & (t >= at - width))
+    blocks = blocks.withColumn("_free", F.filter(F.transform("_rows", lambda r: r["_at"]), lambda at: ~stored(at)))
+    depends = F.coalesce(F.try_element_at("_free", F.lit(1)) <= F.col("_block") * span + width, F.lit(False))
+
+    def fold(before: Column) -> Column:
+        start = F.struct(before.cast("long").alias("last"), F.array().cast("array<bigint>").alias("taken"))
+        late = lambda acc, at: acc["last"].isNull() | (acc["last"] < at - width)
+        step = lambda acc, at: F.when(late(acc, at), F.struct(at.alias("last"), F.array_append(acc["taken"], at).alias("taken"))).otherwise(acc)
+        return F.aggregate("_free", start, step)
+
+    # what stands in a block's last window, and the summaries of the blocks that depend on it
+    tail = F.when(F.element_at("_free", -1) >= (F.col("_block") + 1) * span - width, fold(F.lit(None))["last"])
+    ends = blocks.filter(F.size("_free") > 0).select(*key, "_block", F.when(~depends, tail).alias("last"), F.when(depends, F.col("_free")).alias("_times"))
+    ends = ends.filter(F.col("last").isNotNull() | F.col("_times").isNotNull())
+    steps = ends.select(*key, F.struct("_block", "last", _summaries("_times", F.lit(width)).alias("summary")).alias("s"))
+    steps = steps.groupBy(*key).agg(F.array_sort(F.collect_list("s")).alias("_steps"))
+
+    def along(acc: Column, step: Column) -> Column:
+        before = F.when(acc["block"] == step["_block"] - 1, acc["last"])
+        passed = F.element_at(F.filter(step["summary"], lambda s: s["since"] <= F.coalesce(before, F.lit(NEVER))), -1)["last"]
+        known = F.array_append(acc["known"], F.struct(step["_block"].alias("_block"), before.alias("_before")))
+        return F.when(
+            step["summary"].isNull(), F.struct(step["_block"].alias("block"), step["last"].alias("last"), acc["known"].alias("known"))
+        ).otherwise(F.struct(step["_block"].alias("block"), passed.alias("last"), known.alias("known")))
+
+    start = F.struct(
+        F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("last"),
+        F.array().cast("array<struct<_block: bigint, _before: bigint>>").alias("known"),
     )
-    probe = requests.select(row_id, *key, slot.alias("_slot"), micros.alias("_at"))
-    same = slots.select(*key, "_slot", F.col("_first").alias("_same_first"))
-    before = slots.select(*key, (F.col("_slot") + 1).alias("_slot"), F.col("_last").alias("_prior_last"))
-    named = probe.filter(F.col("title").isNotNull() & F.col("created_by").isNotNull() & F.col("_at").isNotNull())
-    joined = named.join(same, [*key, "_slot"], "left").join(before, [*key, "_slot"], "left")
-    stored = F.coalesce((F.col("_same_first") <= F.col("_at")) | (F.col("_prior_last") >= F.col("_at") - width), F.lit(False))
-    order = Window.partitionBy(*key).orderBy("_at", row_id)
-    paused = F.coalesce(F.col("_at") - F.lag("_at").over(order) > width, F.lit(True))
-    runs = joined.select(row_id, *key, "_at", stored.alias("_stored"), paused.cast("int").alias("_paused"))
-    runs = runs.withColumn("_run", F.sum("_paused").over(order))
-    grouped = runs.groupBy(*key, "_run").agg(F.sort_array(F.collect_list(F.struct("_at", row_id, "_stored"))).alias("_rows"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(requests.dtypes)[row_id]}>").alias("taken"))
-    free = lambda acc, r: ~r["_stored"] & (acc["last"].isNull() | (acc["last"] < r["_at"] - width))
-    fold = lambda acc, r: F.when(
-        free(acc, r), F.struct(r["_at"].alias("last"), F.array_append(acc["taken"], r[row_id]).alias("taken"))
-    ).otherwise(acc)
-    judged = grouped.select("_rows", F.aggregate("_rows", start, fold)["taken"].alias("_taken"))
-    marks = judged.select(F.explode(F.transform("_rows", lambda r: F.struct(r[row_id].alias(row_id), (~F.array_contains("_taken", r[row_id])).alias("duplicate")))).alias("m"))
-    return requests.join(marks.select("m.*"), row_id, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).select(*requests.columns, "duplicate")
+    known = steps.filter(F.exists("_steps", lambda s: s["summary"].isNotNull())).select(*key, F.explode(F.aggregate("_steps", start, along)["known"]).alias("k"))
+    folded = blocks.join(known.select(*key, "k._block", "k._before"), [*key, "_block"], "left").select("_rows", fold(F.col("_before"))["taken"].alias("_taken"))
+    # of several requests at an accepted time the first is the one; a stored task that refuses one refuses all of them
+    first = lambda r, i: (i == 0) | (F.try_element_at("_rows", i)["_at"] != r["_at"])
+    accepted = lambda r, i: F.array_contains("_taken", r["_at"]) & first(r, i)
+    marked = F.transform("_rows", lambda r, i: F.struct(r["_row"].alias("row"), (~accepted(r, i)).alias("duplicate")))
+    none = requests.filter(~F.coalesce(F.col("title").isNotNull() & F.col("created_by").isNotNull() & F.col("created_at").isNotNull(), F.lit(False)))
+    return folded.select(F.explode(marked).alias("m")).select("m.row.*", "m.duplicate").unionByName(none.withColumn("duplicate", F.lit(False)))
 
 
 def priority_rank(priority: Column) -> Column:
