@@ -94,9 +94,10 @@ def mark_duplicate_requests(
     key = ["title", "created_by"]
     width = seconds * 1_000_000
     span = width * slots
-    probe = requests.select(F.struct(*requests.columns).alias("_row"), row_id, *key, F.unix_micros("created_at").alias("_at"))
-    whole = F.col("title").isNotNull() & F.col("created_by").isNotNull() & F.col("_at").isNotNull()
-    asked = probe.filter(whole).select(*key, F.floor(F.col("_at") / span).alias("_block"), F.struct("_at", row_id, "_row").alias("_request"))
+    whole = F.coalesce(F.col("title").isNotNull() & F.col("created_by").isNotNull() & F.col("created_at").isNotNull(), F.lit(False))
+    at = F.unix_micros("created_at")
+    rest = [c for c in requests.columns if c not in (*key, row_id)]
+    asked = requests.filter(whole).select(*key, F.floor(at / span).alias("_block"), F.struct(at.alias("_at"), row_id, *rest).alias("_request"))
     events = asked.withColumn("_task", F.lit(None).cast("long")).unionByName(_stored_times(tasks, key, width, span), allowMissingColumns=True)
     blocks = events.groupBy(*key, "_block").agg(F.array_sort(F.collect_list("_request")).alias("_rows"), F.collect_list("_task").alias("_tasks"))
     blocks = blocks.filter(F.size("_rows") > 0)
@@ -130,13 +131,13 @@ def mark_duplicate_requests(
         F.array().cast("array<struct<_block: bigint, _before: bigint>>").alias("known"),
     )
     known = steps.filter(F.exists("_steps", lambda s: s["summary"].isNotNull())).select(*key, F.explode(F.aggregate("_steps", start, along)["known"]).alias("k"))
-    folded = blocks.join(known.select(*key, "k._block", "k._before"), [*key, "_block"], "left").select("_rows", fold(F.col("_before"))["taken"].alias("_taken"))
+    folded = blocks.join(known.select(*key, "k._block", "k._before"), [*key, "_block"], "left").select(*key, "_rows", fold(F.col("_before"))["taken"].alias("_taken"))
     # of several requests at an accepted time the first is the one; a stored task that refuses one refuses all of them
     first = lambda r, i: (i == 0) | (F.try_element_at("_rows", i)["_at"] != r["_at"])
     accepted = lambda r, i: F.array_contains("_taken", r["_at"]) & first(r, i)
-    marked = F.transform("_rows", lambda r, i: F.struct(r["_row"].alias("row"), (~accepted(r, i)).alias("duplicate")))
-    none = requests.filter(~F.coalesce(F.col("title").isNotNull() & F.col("created_by").isNotNull() & F.col("created_at").isNotNull(), F.lit(False)))
-    return folded.select(F.explode(marked).alias("m")).select("m.row.*", "m.duplicate").unionByName(none.withColumn("duplicate", F.lit(False)))
+    marked = F.transform("_rows", lambda r, i: F.struct(r.alias("row"), (~accepted(r, i)).alias("duplicate")))
+    out = folded.select(*key, F.explode(marked).alias("m")).select(*key, "m.row.*", "m.duplicate").select(*requests.columns, "duplicate")
+    return out.unionByName(requests.filter(~whole).withColumn("duplicate", F.lit(False)))
 
 
 def priority_rank(priority: Column) -> Column:
