@@ -44,27 +44,29 @@ def t01(spark, sf):
 _REQUESTS = """SELECT task_id * 2 + n AS request_id, title, created_by, created_at + (100000 + n * 432000) * INTERVAL 1 SECOND AS created_at FROM px_tasks CROSS JOIN (VALUES (0), (1)) v(n)"""
 
 
-@query(
-    "t02_duplicate_requests",
-    f"""WITH RECURSIVE q AS MATERIALIZED ({_REQUESTS}), s AS MATERIALIZED (
+def _requests(tasks):
+    again = tasks.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    return again.select(
+        (F.col("task_id") * 2 + F.col("n")).alias("request_id"), "title", "created_by",
+        F.timestamp_add("SECOND", (F.lit(100000) + F.col("n") * 432000).cast("int"), F.col("created_at")).alias("created_at"),
+    )
+
+
+_DUPLICATE_REQUESTS = f"""WITH RECURSIVE q AS MATERIALIZED ({_REQUESTS}), s AS MATERIALIZED (
       SELECT q.*, EXISTS (SELECT 1 FROM px_tasks t WHERE t.title = q.title AND t.created_by = q.created_by AND t.status = 'open' AND t.created_at <= q.created_at
         AND t.created_at >= q.created_at - INTERVAL 8 DAY) AS stored, row_number() OVER (PARTITION BY title, created_by ORDER BY created_at, request_id) AS rn FROM q WHERE created_by IS NOT NULL),
     g AS (SELECT s.*, stored AS duplicate, CASE WHEN NOT stored THEN created_at END AS taken FROM s WHERE rn = 1
       UNION ALL SELECT s.*, s.stored OR coalesce(g.taken >= s.created_at - INTERVAL 8 DAY, false),
         CASE WHEN s.stored OR coalesce(g.taken >= s.created_at - INTERVAL 8 DAY, false) THEN g.taken ELSE s.created_at END
       FROM g JOIN s ON s.title = g.title AND s.created_by = g.created_by AND s.rn = g.rn + 1)
-    SELECT request_id, duplicate FROM g UNION ALL SELECT request_id, false FROM q WHERE created_by IS NULL""",
-    ("tasks",),
-)
+    SELECT request_id, duplicate FROM g UNION ALL SELECT request_id, false FROM q WHERE created_by IS NULL"""
+
+
+@query("t02_duplicate_requests", _DUPLICATE_REQUESTS, ("tasks",))
 def t02(spark, sf):
     """Every task's title is asked for again, twice, five days apart."""
     tasks = load(spark, sf, "tasks")
-    again = tasks.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
-    requests = again.select(
-        (F.col("task_id") * 2 + F.col("n")).alias("request_id"), "title", "created_by",
-        F.timestamp_add("SECOND", (F.lit(100000) + F.col("n") * 432000).cast("int"), F.col("created_at")).alias("created_at"),
-    )
-    return T.mark_duplicate_requests(requests, tasks, seconds=8 * 86400).select("request_id", "duplicate")
+    return T.mark_duplicate_requests(_requests(tasks), tasks, seconds=8 * 86400).select("request_id", "duplicate")
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom import rules
 from paperloom.session import spread
+from paperloom.streaming import jobs
 
 # texts on which regexes run: spread over the cores before the work starts
 HEAVY_SHAPES = {"documents", "bills", "slips", "messages"}
@@ -152,6 +153,12 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.sql(fn(SparkDialect()), **needed)
 
 
+def load_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The shape of one table as a stream."""
+    tables, fn = SHAPES[name]
+    return spark.sql(fn(SparkDialect()), **{t: jobs.stream_table(spark, sf, t) for t in tables})
+
+
 def with_clause(names: tuple[str, ...]) -> str:
     """WITH px_<name> AS (...) for the SQL check."""
     if not names:

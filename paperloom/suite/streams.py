@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from paperloom.operators import tasks as T
 from paperloom.plans.daily import run_daily
 from paperloom.session import shared_folder
-from paperloom.streaming import intake, jobs, limits, state
-from paperloom.suite.household import AS_OF_DAY, _DUE, _NEXT
+from paperloom.streaming import intake, jobs, limits, requests, state
+from paperloom.suite.household import AS_OF_DAY, _DUE, _DUPLICATE_REQUESTS, _NEXT, _requests
 from paperloom.suite.intake import _PAYLOAD_SQL, payload_events
 from paperloom.suite.registry import query
-from paperloom.suite.shapes import load, table
+from paperloom.suite.shapes import load, load_stream, table
 
 
 @query(
@@ -189,3 +189,8 @@ def w09(spark, sf):
     return jobs.run_to_files(jobs.daily_counts(jobs.stream_table(spark, sf, "events"), "ts", F.col("event_type")), "daily-counts")
 
 
+@query("t02_duplicate_requests_stream", _DUPLICATE_REQUESTS, ("tasks",))
+def t02_stream(spark, sf):
+    jobs.use_rocksdb(spark)
+    asked = _requests(load_stream(spark, sf, "tasks"))
+    return jobs.run_to_files(requests.duplicate_request_stream(asked, load(spark, sf, "tasks"), 8 * 86400), "requests")
