@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 import sys
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -14,11 +15,15 @@ from paperloom import rules
 from paperloom.functions.regex import capture, contains_any, dialect, first_match, literal_map, strip
 from paperloom.functions.scalars import fact_category
 from paperloom.operators.access import may_read_category, resolve_people
+from paperloom.operators import rule_index
 from paperloom.operators.classify import worth_remembering
 
 # what runs in Python workers travels by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+FEW_RULES = 500  # global rules, or rules of one member, that are kept as one array
+
+
 def default_rules(spark: SparkSession) -> DataFrame:
     """The seeded global rules: pattern, exclusion_type, member_id (NULL = everyone), is_active."""
     rows = [(p, kind, None, True) for p, kind in rules.MEMORY_EXCLUSIONS]
@@ -70,36 +75,55 @@ def _java(pattern: pd.Series) -> pd.Series:
 def _usable(rule_table: DataFrame) -> DataFrame:
     """Active keyword and regex rules. A regex is ignored, like a rule of another type, if it is not valid for its writer
     (Python) or for the engine that will run it: one member's rule must not end everybody's job."""
-    active = rule_table.filter(F.col("is_active"))
+    active = rule_table.filter(F.col("is_active")).withColumn("written", F.col("pattern"))
     keyword = active.filter(F.col("exclusion_type") == "keyword").withColumn("pattern", F.lower("pattern"))
     regex = active.filter(F.col("exclusion_type") == "regex").withColumn("pattern", _java("pattern"))
     # NULL where Java cannot compile the pattern
     regex = regex.filter(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull())
     both = keyword.unionByName(regex).filter(F.col("pattern").isNotNull())
-    return both.select(F.col("member_id").cast("long").alias("_scope"), F.struct("pattern", "exclusion_type").alias("_rule"))
+    return both.select(F.col("member_id").cast("long").alias("scope"), "pattern", "written", "exclusion_type")
 
 
 def _matches(packed: Column, content: Column) -> Column:
-    hit = lambda r: F.when(r["exclusion_type"] == "keyword", F.contains(F.lower(content), r["pattern"])).otherwise(F.rlike(content, r["pattern"]))
+    hit = lambda r: rule_index.holds(content, r["pattern"], r["exclusion_type"])
     return F.coalesce(F.exists(packed, hit), F.lit(False))
 
 
-def mark_excluded(contents: DataFrame, rule_table: DataFrame, key: str, content: str = "content", member: str = "member_id") -> DataFrame:
+def mark_excluded(
+    contents: DataFrame, rule_table: DataFrame, key: str, content: str = "content", member: str = "member_id", few: int = FEW_RULES
+) -> DataFrame:
     """P-01: add ``excluded``: a global rule or one of the member's own matches the content. Each row decides for itself.
 
-    The global rules are one array that the plan computes once and hands to every task, so contents do not move for them.
-    Members' rules, an array per member, are joined on the member as Spark sees fit; rows without a member, which have
-    none, are spread over the join. No job runs before the result is asked for.
+    The rules are counted first. Up to ``few`` global rules are one array that the plan computes once and hands to every
+    task, so contents do not move for them; up to ``few`` rules a member are an array per member, joined on the member as
+    Spark sees fit (rows without a member, which have none, are spread over the join). Beyond that the rules of that side
+    are filed by a piece of their text and meet only contents that hold it (``rule_index``): no row holds all rules.
     """
-    usable = _usable(rule_table)
-    everyone = usable.filter(F.col("_scope").isNull()).agg(F.collect_list("_rule").alias("r")).scalar()
-    own = usable.filter(F.col("_scope").isNotNull()).groupBy("_scope").agg(F.collect_list("_rule").alias("_own")).withColumn("_none", F.lit(False))
-    rows = contents.withColumns(
-        {"_everyone": everyone, "_none": F.col(member).isNull(), "_scope": F.coalesce(F.col(member).cast("long"), F.xxhash64(key))}
-    )
-    joined = rows.join(own, ["_scope", "_none"], "left")
-    both = _matches(F.col("_everyone"), F.col(content)) | _matches(F.col("_own"), F.col(content))
-    return joined.withColumn("excluded", both).drop("_everyone", "_scope", "_none", "_own")
+    active = rule_table.filter(F.col("is_active")).groupBy(F.col("member_id").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    counts = active.agg(F.max(F.when(F.col("m").isNull(), F.col("n"))).alias("everyone"), F.max(F.when(F.col("m").isNotNull(), F.col("n"))).alias("own")).first()
+    usable, is_global = _usable(rule_table), F.col("scope").isNull()
+    filed, out, hits = None, contents, []
+    packed = F.collect_list(F.struct("pattern", "exclusion_type"))
+    if (counts["everyone"] or 0) <= few:
+        out = out.withColumn("_everyone", usable.filter(is_global).agg(packed.alias("r")).scalar())
+        hits.append(_matches(F.col("_everyone"), F.col(content)))
+    else:
+        filed = usable.filter(is_global)
+    if (counts["own"] or 0) > few:
+        filed = usable.filter(~is_global) if filed is None else usable
+    elif counts["own"]:
+        own = usable.filter(~is_global).groupBy(F.col("scope").alias("_scope")).agg(packed.alias("_own")).withColumn("_none", F.lit(False))
+        rows = out.withColumns({"_none": F.col(member).isNull(), "_scope": F.coalesce(F.col(member).cast("long"), F.xxhash64(key))})
+        out = rows.join(own, ["_scope", "_none"], "left").drop("_scope", "_none")
+        hits.append(_matches(F.col("_own"), F.col(content)))
+    if filed is not None:
+        scope, digest = F.col(member).cast("long"), F.sha2(F.col(content), 256)
+        texts = contents.filter(F.col(content).isNotNull()).select(scope.alias("scope"), digest.alias("digest"), F.col(content).alias("content"))
+        found = rule_index.matched(texts.dropDuplicates(["scope", "digest"]), filed).withColumn("_hit", F.lit(True))
+        out = out.withColumn("_digest", digest)
+        out = out.join(found, F.col("_digest").eqNullSafe(found["digest"]) & scope.eqNullSafe(found["scope"]), "left").drop("scope", "digest", "_digest")
+        hits.append(F.coalesce("_hit", F.lit(False)))
+    return out.withColumn("excluded", reduce(lambda a, b: a | b, hits, F.lit(False))).drop("_everyone", "_own", "_hit")
 
 
 def memory_category(category: Column) -> Column:

@@ -257,6 +257,21 @@ def p01(spark, sf):
     return P.mark_excluded(load(spark, sf, "memories"), _rules_with_own(spark, sf), "memory_id").select("memory_id", "excluded")
 
 
+@query(
+    "p01_exclusion_many_rules",
+    "SELECT memory_id, EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 9 = 0 AND contains(content, ' ' || o_orderkey)) AS excluded FROM px_memories",
+    ("memories",),
+)
+def p01_many(spark, sf):
+    """Every ninth order's number is a global rule: they are filed by a piece of their text."""
+    numbers = table(spark, sf, "orders").filter(F.col("o_orderkey") % 9 == 0)
+    rule_table = numbers.select(
+        F.concat(F.lit(" "), F.col("o_orderkey").cast("string")).alias("pattern"), F.lit("keyword").alias("exclusion_type"), F.lit(None).cast("long").alias("member_id"),
+        F.lit(True).alias("is_active"),
+    )
+    return P.mark_excluded(load(spark, sf, "memories"), rule_table, "memory_id").select("memory_id", "excluded")
+
+
 _CATEGORY = "CASE category WHEN 'task' THEN 'context' WHEN 'reminder' THEN 'context' WHEN 'note' THEN 'fact' WHEN 'mystery' THEN 'context' ELSE category END"
 _EXPIRES = "CASE memory_type WHEN 'short' THEN created_at + INTERVAL 7 DAY WHEN 'medium' THEN created_at + INTERVAL 90 DAY WHEN 'long' THEN created_at + INTERVAL 365 DAY END"
 

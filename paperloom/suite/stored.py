@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from paperloom.plans import reprocess as R
 from paperloom.session import shared_folder
+from paperloom.sources import hash_index as H
+from paperloom.sources import versions
+from paperloom.suite.intake import _DUPLICATES, _batch_and_catalog
 from paperloom.suite.library import _FACTS, _READ, _STATE
 from paperloom.suite.registry import query
 from paperloom.suite.shapes import load
@@ -74,3 +77,36 @@ def i13_tables(spark, sf):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.select("table_name", "n_before", "n_after")
+
+
+def _indexed(spark, sf):
+    """A catalog of the stored documents, with its index, and the batch that comes in."""
+    incoming, held = _batch_and_catalog(spark, sf)
+    root = shared_folder(spark, "catalog")
+    H.create_catalog(spark, root, held.schema, buckets=16, blocks=256)
+    return H.add_documents(spark, root, held), incoming
+
+
+@query(
+    "i06_indexed_duplicates",
+    f"""WITH {_DUPLICATES}, kept AS (SELECT * FROM owned WHERE NOT stored OR owner = doc_id)
+    SELECT doc_id, CASE WHEN owner <> doc_id THEN owner END AS existing_id FROM kept WHERE NOT stored""",
+)
+def i06_indexed(spark, sf):
+    version, incoming = _indexed(spark, sf)
+    return H.judge(version, incoming)[0].select("doc_id", "existing_id")
+
+
+@query(
+    "i06_index_possible",
+    """WITH d AS (SELECT DISTINCT doc_id % 3 AS uploaded_by, sha256(text) AS h, source IN ('src1', 'src2', 'src3') AS stored FROM documents)
+    SELECT count(*) AS known, count(*) AS known_possible FROM (SELECT uploaded_by, h FROM d WHERE stored INTERSECT SELECT uploaded_by, h FROM d WHERE NOT stored)""",
+)
+def i06_possible(spark, sf):
+    """No stored key is ruled out by the filters."""
+    version, incoming = _indexed(spark, sf)
+    keys = incoming.select(*H.KEY).distinct()
+    known = keys.join(version.read("hashes"), H.KEY, "left_semi")
+    possible = H.possible_keys(version, keys, versions.touched(keys, H.KEY, version.buckets))
+    marked = known.select(*H.KEY).join(possible.withColumn("_possible", F.lit(True)), H.KEY, "left")
+    return marked.agg(F.count(F.lit(1)).alias("known"), F.count("_possible").alias("known_possible"))
