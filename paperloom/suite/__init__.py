@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "scalars", "corpus", "intake", "classification", "extraction", "merging", "catalog", "access", "household", "streams", "library", "stored",
+    "scalars", "corpus", "intake", "classification", "extraction", "merging", "catalog", "access", "household", "streams", "library", "stored", "finance",
 ]
 
 

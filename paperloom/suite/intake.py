@@ -1,16 +1,23 @@
 """Sources, ingestion and extractor routing (I-*, X-01 ... X-06, X-09)."""
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.operators import ingest, routing
+from paperloom.sources import extractors
 from paperloom.sources import files as S
 from paperloom.sources import tables as T
 from paperloom.sources.messages import parse_messages
 from paperloom.suite.registry import query
 from paperloom.suite.shapes import load, table
 
+# the extractors below travel by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _UUID = "2e7797c9-1b2c-4d5e-8f90-4f0d9a81554e_"
 
 
@@ -361,6 +368,53 @@ def x02(spark, sf):
     return routing.best_candidate(_candidates(spark, sf), docs)
 
 
+class _Strict(extractors.PlainText):
+    """Plain text only where the file name says so."""
+
+    def process(self, file):
+        if not file.path.endswith(".txt"):
+            raise ValueError("not a text file")
+        return super().process(file)
+
+
+def _page_files(spark, sf):
+    """Web pages as files: two of three under a markup name, the others as text; every eleventh is empty."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("/in/page"), k.cast("string"), F.when(k % 3 == 0, F.lit(".txt")).otherwise(F.lit(".html")))
+    body = F.when(k % 11 == 0, F.lit(" ")).when(k % 5 == 0, F.lit("no tags here")).otherwise(F.col("html"))
+    return table(spark, sf, "pages").select(k.alias("doc_id"), name.alias("path"), F.lit("other").alias("doc_type"), F.encode(body, "UTF-8").alias("content"))
+
+
+_PAGE_CASES = """SELECT page_id AS doc_id, page_id % 3 = 0 AS plain_file, CASE WHEN page_id % 11 = 0 THEN ' ' WHEN page_id % 5 = 0 THEN 'no tags here' ELSE html END AS body FROM pages"""
+
+
+@query(
+    "x02_extractors",
+    f"""SELECT doc_id, CASE WHEN trim(body) = '' THEN 'all_failed' WHEN regexp_matches(body, '<[a-zA-Z/!]') THEN 'accepted' WHEN plain_file THEN 'accepted' ELSE 'all_failed' END AS outcome,
+      CASE WHEN trim(body) = '' THEN 'fallthrough' WHEN regexp_matches(body, '<[a-zA-Z/!]') THEN 'bedrock_vision' WHEN plain_file THEN 'tesseract' ELSE 'fallthrough' END AS processor,
+      CASE WHEN trim(body) = '' THEN 0.0::DOUBLE WHEN regexp_matches(body, '<[a-zA-Z/!]') THEN 0.8::DOUBLE WHEN plain_file THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence
+    FROM ({_PAGE_CASES})""",
+)
+def x02_extractors(spark, sf):
+    """Two registered extractors under the names of the route: text files first, then markup."""
+    registered = {"tesseract": _Strict(), "bedrock_vision": extractors.Markup()}
+    return extractors.extract_texts(_page_files(spark, sf), registered).select("doc_id", "outcome", "processor", "confidence")
+
+
+@query(
+    "x02_extractor_tries",
+    f"""WITH c AS (SELECT *, regexp_matches(body, '<[a-zA-Z/!]') AS marked, trim(body) <> '' AS filled FROM ({_PAGE_CASES}))
+    SELECT processor, failed, count(*) AS n FROM (
+      SELECT 'tesseract' AS processor, NOT plain_file AS failed FROM c
+      UNION ALL SELECT 'bedrock_vision', NOT marked FROM c WHERE NOT (plain_file AND filled AND NOT marked)) GROUP BY ALL""",
+)
+def x02_tries(spark, sf):
+    """The second extractor sees only what the first could not read."""
+    registered = {"tesseract": _Strict(), "bedrock_vision": extractors.Markup()}
+    tries = extractors.candidates(_page_files(spark, sf), registered)
+    return tries.groupBy("processor", F.col("error").isNotNull().alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "x03_quality_fallback",
     """SELECT doc_id, CASE WHEN alt THEN 'alt ' || doc_id ELSE 'first ' || doc_id END AS raw_text, CASE WHEN alt THEN s2 ELSE s1 END AS text_quality,
