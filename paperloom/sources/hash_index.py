@@ -75,6 +75,12 @@ def judge(version: Version, batch: DataFrame) -> tuple[DataFrame, set[int]]:
     return split_duplicates(batch, stored_keys(version, keys, buckets)), buckets
 
 
+def index_changes(version: Version, fresh: DataFrame) -> list[Change]:
+    """What new documents add to the index."""
+    named = fresh.filter(F.col("file_hash") != "")
+    return [Change("hashes", named), Change("filters", _filter_rows(version, _distinct_keys(named), version.properties["blocks"]))]
+
+
 def add_documents(spark: SparkSession, root: str, batch: DataFrame, marker: tuple[str, int] | None = None, attempts: int = 10) -> Version:
     """Store the documents of a batch that neither the catalog nor an earlier row of the batch holds. ``marker``: see ``commit``."""
     batch = batch.persist()  # judged, indexed and written: recomputed where an executor is lost
@@ -85,12 +91,8 @@ def add_documents(spark: SparkSession, root: str, batch: DataFrame, marker: tupl
                 return version
             judged, buckets = judge(version, batch)
             fresh = judged.filter(F.col("existing_id").isNull()).drop("existing_id")
-            named = fresh.filter(F.col("file_hash") != "")
-            changes = [
-                Change("documents", fresh), Change("hashes", named), Change("filters", _filter_rows(version, _distinct_keys(named), version.properties["blocks"])),
-            ]
             try:
-                return versions.commit(version, changes, reads={"hashes": buckets, "filters": buckets}, marker=marker)
+                return versions.commit(version, [Change("documents", fresh), *index_changes(version, fresh)], reads={"hashes": buckets, "filters": buckets}, marker=marker)
             except Conflict:
                 if attempt + 1 == attempts:
                     raise

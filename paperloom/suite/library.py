@@ -88,3 +88,60 @@ def library_salary_slips(spark, sf):
     slips = build_library(raw, slip_answers=("first_answer", "second_answer"))["salary_slips"]
     number = lambda c: F.col(c).cast("double").alias(c)
     return slips.select("document_id", "employee_name", "employer_name", number("gross_salary"), number("net_salary"), "review_state", "department")
+
+
+def _fact_answers(docs):
+    """A model's answer about every document: a list of facts, of which every fifth is cut off."""
+    k, word = F.col("doc_id"), lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    fact = lambda key, value: F.struct(F.lit(key).alias("fact_key"), value.alias("fact_value"), F.lit("0.7").alias("confidence"), F.lit("").alias("source_excerpt"))
+    end = F.date_format(F.date_add("true_date", 365), "yyyy-MM-dd")
+    facts = F.to_json(
+        F.array(
+            fact("contract_type", word("type ", k % 4)), fact("counterparty", word("Party ", k % 50)), fact("contract_end_date", end), fact("amount", F.lit("1.00")),
+            fact("policy_number", word("P-", k)), fact("insurance_type", word("kind ", k % 3)), fact("coverage_limit", word(k % 1000, ".50")),
+        )
+    )
+    answer = F.when(k % 5 == 0, F.substring(facts, 1, 40)).otherwise(F.concat(F.lit("Here:\n"), facts))
+    return docs.select(k.alias("document_id"), F.lit(0).alias("chunk_id"), answer.alias("answer"))
+
+
+def _answered_library(spark, sf):
+    docs = load(spark, sf, "documents")
+    return build_library(docs.select(*RAW), fact_answers=_fact_answers(docs))
+
+
+_ANSWERED = "doc_id % 5 <> 0"
+
+
+@query(
+    "library_contracts",
+    f"""WITH r AS ({_READ}) SELECT doc_id AS document_id, CASE WHEN {_ANSWERED} THEN 'type ' || (doc_id % 4) END AS contract_type, CASE WHEN {_ANSWERED} THEN 'Party ' || (doc_id % 50) END AS counterparty,
+      true_date AS contract_date, CASE WHEN {_ANSWERED} THEN true_date + 365 END AS end_date, CAST(true_amount AS DOUBLE) AS amount FROM r WHERE has_text AND category = 'contract'""",
+    ("documents",),
+)
+def library_contracts(spark, sf):
+    rows = _answered_library(spark, sf)["contracts"]
+    return rows.select("document_id", "contract_type", "counterparty", "contract_date", "end_date", F.col("amount").cast("double").alias("amount"))
+
+
+@query(
+    "library_policies",
+    f"""WITH r AS ({_READ}) SELECT doc_id AS document_id, CASE WHEN {_ANSWERED} THEN 'kind ' || (doc_id % 3) END AS insurance_type, CASE WHEN {_ANSWERED} THEN 'P-' || doc_id END AS policy_number,
+      CASE WHEN {_ANSWERED} THEN 'Party ' || (doc_id % 50) END AS insurer, CASE WHEN {_ANSWERED} THEN (doc_id % 1000) + 0.5::DOUBLE END AS coverage_limit, true_date AS policy_date
+    FROM r WHERE has_text AND category = 'insurance'""",
+    ("documents",),
+)
+def library_policies(spark, sf):
+    rows = _answered_library(spark, sf)["insurance_policies"]
+    return rows.select("document_id", "insurance_type", "policy_number", "insurer", F.col("coverage_limit").cast("double").alias("coverage_limit"), "policy_date")
+
+
+@query(
+    "library_outcome",
+    f"""WITH r AS ({_READ}) SELECT doc_id, CASE WHEN has_text AND NOT {_ANSWERED} THEN 'partial' ELSE 'complete' END AS result, CASE WHEN has_text AND NOT {_ANSWERED} THEN 2 ELSE 3 END AS steps_ok,
+      CASE WHEN has_text AND NOT {_ANSWERED} THEN 'fact_extraction' ELSE '' END AS failed FROM r WHERE category IN ('contract', 'insurance')""",
+    ("documents",),
+)
+def library_outcome(spark, sf):
+    docs = _answered_library(spark, sf)["documents"].filter(F.col("doc_type").isin("contract", "insurance"))
+    return docs.select("doc_id", "outcome.result", "outcome.steps_ok", "outcome.failed")

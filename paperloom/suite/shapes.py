@@ -154,9 +154,9 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def load_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The shape of one table as a stream."""
+    """The shape with its first table as a stream; other tables are read as they are."""
     tables, fn = SHAPES[name]
-    return spark.sql(fn(SparkDialect()), **{t: jobs.stream_table(spark, sf, t) for t in tables})
+    return spark.sql(fn(SparkDialect()), **{t: table(spark, sf, t) if i else jobs.stream_table(spark, sf, t) for i, t in enumerate(tables)})
 
 
 def with_clause(names: tuple[str, ...]) -> str:

@@ -4,13 +4,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.plans import reprocess as R
+from paperloom.plans.stream import library_stream
 from paperloom.session import shared_folder
 from paperloom.sources import hash_index as H
 from paperloom.sources import versions
 from paperloom.suite.intake import _DUPLICATES, _batch_and_catalog
 from paperloom.suite.library import _FACTS, _READ, _STATE
 from paperloom.suite.registry import query
-from paperloom.suite.shapes import load
+from paperloom.suite.shapes import load, load_stream
 
 # The first extraction of every third document read nothing; every eighth document has no file and cannot be read again.
 _READ_AT = {
@@ -110,3 +111,22 @@ def i06_possible(spark, sf):
     possible = H.possible_keys(version, keys, versions.touched(keys, H.KEY, version.buckets))
     marked = known.select(*H.KEY).join(possible.withColumn("_possible", F.lit(True)), H.KEY, "left")
     return marked.agg(F.count(F.lit(1)).alias("known"), F.count("_possible").alias("known_possible"))
+
+
+@query(
+    "library_stream",
+    f"""WITH r AS ({_READ}), k AS (SELECT *, min(doc_id) FILTER (NOT has_text) OVER (PARTITION BY uploaded_by) AS first_blank FROM r)
+    SELECT doc_id, category AS doc_type, {_STATE} AS review_state, CASE WHEN {_FACTS} THEN 3 ELSE 0 END::BIGINT AS n_facts, 'complete' AS result FROM k WHERE has_text OR doc_id = first_blank""",
+    ("documents",),
+)
+def library_stream_query(spark, sf):
+    """The plan over a stream, in two runs on one library: blank texts are copies of each other, the second run brings nothing new."""
+    docs = load_stream(spark, sf, "documents").withColumns({"file_path": F.lit(None).cast("string"), "file_hash": F.sha2("raw_text", 256)})
+    docs = docs.select(*R.INPUT, "file_hash")
+    root = shared_folder(spark, "library")
+    for part in (docs, docs.filter(F.col("doc_id") % 20 == 0)):
+        library_stream(part, root, shared_folder(spark, "ingest"), buckets=8, blocks=256).awaitTermination()
+    library = versions.latest(spark, root)
+    facts = library.read("document_facts").groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = library.read("documents").select("doc_id", "doc_type", "review_state", "outcome.result").join(facts, "doc_id", "left")
+    return rows.select("doc_id", "doc_type", "review_state", F.coalesce("n", F.lit(0)).alias("n_facts"), "result")
