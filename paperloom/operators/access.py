@@ -66,21 +66,27 @@ def role_grants(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rules.ROLE_GRANTS, "role string, resource string, can_read boolean, can_write boolean")
 
 
-def members_by_phone(requests: DataFrame, members: DataFrame, phone: str = "phone", hot_rows: int = HOT_ROWS) -> DataFrame:
+def members_by_phone(
+    requests: DataFrame, members: DataFrame, phone: str = "phone", hot_rows: int = HOT_ROWS, also: dict[str, Column] | None = None
+) -> DataFrame:
     """A-07: add ``member_id``: among the spellings' matches the canonical ones, then the oldest, then the lowest id.
 
-    Each distinct phone is resolved once, so one caller with very many requests costs one row there.
+    Each distinct phone is resolved once, so one caller with very many requests costs one row there. ``also``: further values
+    of the member to bring along under a name, so that no second join on the member is needed.
     """
+    also = also or {}
     distinct = requests.groupBy(F.col(phone)).agg(F.count(F.lit(1)).alias("copies"))
     spelled = distinct.select(phone, "copies", F.explode(phone_candidates(F.col(phone))).alias("spelling"))
     known = members.select(
-        F.col("phone").alias("spelling"), "member_id", "created_at", canonical_phone(F.col("phone")).alias("canonical")
+        F.col("phone").alias("spelling"), "member_id", "created_at", canonical_phone(F.col("phone")).alias("canonical"),
+        *[value.alias(name) for name, value in also.items()],
     )
     order = F.struct(
         (F.col("canonical") != canonical_phone(F.col(phone))).alias("foreign"), F.col("created_at").isNull().alias("undated"),
         F.col("created_at"), F.col("member_id").cast("string").alias("id_text"),
     )
-    best = spelled.join(known, "spelling").groupBy(phone, "copies").agg(F.min_by("member_id", order).alias("member_id"))
+    found = spelled.join(known, "spelling").groupBy(phone, "copies").agg(F.min_by(F.struct("member_id", *also), order).alias("m"))
+    best = found.select(phone, "copies", "m.*")
     return lookup(requests, best, [phone], "copies", "request_id", hot_rows)
 
 
@@ -89,10 +95,9 @@ def check_permissions(requests: DataFrame, members: DataFrame, grants: DataFrame
 
     ``requests``: request_id, phone, resource, action (read/write).
     """
-    who = members_by_phone(requests, members, hot_rows=hot_rows)
-    active = members.filter("is_active").select("member_id", F.col("role").alias("_role"))
+    who = members_by_phone(requests, members, hot_rows=hot_rows, also={"_role": F.when(F.col("is_active"), F.col("role"))})
     given = F.broadcast(grants.withColumnRenamed("role", "_role"))  # a few rows per role
-    rows = who.join(active, "member_id", "left").join(given, ["_role", "resource"], "left")
+    rows = who.join(given, ["_role", "resource"], "left")
     allowed = first_match([(F.col("action") == "read", F.col("can_read")), (F.col("action") == "write", F.col("can_write"))])
     return rows.select(*requests.columns, "member_id", F.coalesce(allowed, F.lit(False)).alias("allowed"))
 

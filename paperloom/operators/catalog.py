@@ -201,19 +201,20 @@ def answer_questions(questions: DataFrame, documents: DataFrame, facts: DataFram
     ``questions``: question_id, doc_id, question[, <answer>]. A document's facts fold to one array of its first
     fact per key before the join; fact keys are a small closed set, so the array is short.
     """
+    is_recipe = F.col("fact_type") == "recipe"
     first = facts.groupBy(F.col("document_id").alias("doc_id"), "fact_key").agg(
         F.min_by(F.struct("fact_seq", "fact_value", F.coalesce("confidence", F.lit(0.5)).alias("confidence")), "fact_seq").alias("f"),
+        F.max(F.coalesce(is_recipe, F.lit(False))).alias("cooked"), F.min_by("fact_value", F.when(is_recipe, F.col("fact_seq"))).alias("step"),
+        F.collect_list(F.when(is_recipe & (F.col("fact_key") == "recipe_name"), F.struct("fact_seq", "fact_value"))).alias("names"),
     )
+    of = lambda key, value: F.max(F.when(F.col("fact_key") == key, value))
     folded = first.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("f.fact_seq").alias("seq"), F.col("fact_key").alias("key"), F.col("f.fact_value").alias("value"), F.col("f.confidence").alias("confidence")))).alias("facts")
-    )
-    recipes = facts.filter(F.col("fact_type") == "recipe").groupBy(F.col("document_id").alias("doc_id")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("fact_key") == "recipe_name", F.struct("fact_seq", "fact_value"))))["fact_value"].alias("dishes"),
-        F.min_by("fact_value", F.when(F.col("fact_key") == "instructions", F.col("fact_seq"))).alias("howto"),
-        F.min_by("fact_value", F.when(F.col("fact_key") == "ingredients", F.col("fact_seq"))).alias("ingredients"),
+        F.array_sort(F.collect_list(F.struct(F.col("f.fact_seq").alias("seq"), F.col("fact_key").alias("key"), F.col("f.fact_value").alias("value"), F.col("f.confidence").alias("confidence")))).alias("facts"),
+        F.when(F.max("cooked"), F.coalesce(of("recipe_name", F.array_sort("names")["fact_value"]), F.array().cast("array<string>"))).alias("dishes"),
+        of("instructions", F.col("step")).alias("howto"), of("ingredients", F.col("step")).alias("ingredients"),
     )
     fields = documents.select("doc_id", "doc_type", "vendor", "amount", "doc_date", "ai_summary", "display_name")
-    rows = questions.join(fields, "doc_id").join(folded, "doc_id", "left").join(recipes, "doc_id", "left")
+    rows = questions.join(fields, "doc_id").join(folded, "doc_id", "left")
     rows = rows.withColumns({"_q": F.lower("question"), "_field": question_field(F.col("question"))})
     q, field = F.col("_q"), F.col("_field")
 
@@ -319,8 +320,8 @@ def document_recipes(facts: DataFrame, documents: DataFrame, member: int, doc_id
 def fallback_search(documents: DataFrame, member: int, text: str, limit: int = 20) -> DataFrame:
     """Q-19: documents for the first word of the list that finds any, else for the text without its question word.
 
-    One pass marks which of the words (and the rest of the text) a document contains; the winning word is a
-    one-row aggregate.
+    One scan: a document's rank is that of the first word (or the rest of the text) it contains. The newest of the least ranks
+    come out of a top-``limit``, and of these few rows those of the least rank stay.
     """
     words = [w for w in rules.FALLBACK_WORDS if w in text]
     rest = text.strip()
@@ -333,12 +334,11 @@ def fallback_search(documents: DataFrame, member: int, text: str, limit: int = 2
     if not terms:
         return own.limit(0).withColumn("term", F.lit(None).cast("string"))
     hit = lambda w: _like("filename", w) | _like("display_name", w) | _like("raw_text", w)
-    ranks = F.array_compact(F.array(*[F.when(F.coalesce(hit(w), F.lit(False)), F.lit(i)) for i, w in enumerate(terms)]))
-    marked = own.withColumn("_ranks", ranks).filter(F.size("_ranks") > 0)
-    best = marked.agg(F.min(F.array_min("_ranks")).alias("_best"))
-    found = marked.withColumn("_rank", F.explode("_ranks")).join(F.broadcast(best), F.col("_rank") == F.col("_best"))
-    term = F.element_at(F.array(*[F.lit(w) for w in terms]), F.col("_best") + 1)
-    return found.orderBy(*_newest()).limit(limit).withColumn("term", term).drop("_ranks", "_rank", "_best")
+    rank = F.coalesce(*[F.when(hit(w), F.lit(i)) for i, w in enumerate(terms)])
+    top = own.withColumn("_rank", rank).filter(F.col("_rank").isNotNull()).orderBy("_rank", *_newest()).limit(limit)
+    best = F.min("_rank").over(Window.partitionBy(F.lit(0)))  # over at most ``limit`` rows
+    term = F.element_at(F.array(*[F.lit(w) for w in terms]), F.col("_rank") + 1)
+    return top.withColumn("_best", best).filter(F.col("_rank") == F.col("_best")).orderBy(*_newest()).withColumn("term", term).drop("_rank", "_best")
 
 
 def add_tag(documents: DataFrame, targets: DataFrame) -> DataFrame:

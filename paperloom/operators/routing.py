@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions.quality import quality_band
-from paperloom.functions.regex import contains_any, first_match, literal_array, strip
+from paperloom.functions.regex import contains_any, first_match, let, literal_array, strip
 from paperloom.sources.files import base_name, extension
 
 
@@ -88,27 +88,29 @@ def merge_batches(batches: DataFrame) -> DataFrame:
     """X-04: one result per document from its page batches.
 
     ``batches``: doc_id, batch_no, raw_text, tables (array), entities (map), page_confidences (array), page_count, lang.
-    The text of one document is one string by definition; everything else is folded before it is gathered.
+    One aggregation: a document's batches are few and its text is one string by definition; of each entity the first value stays.
     """
-    entities = (
-        batches.select("doc_id", "batch_no", F.posexplode("entities").alias("pos", "key", "value"))
-        .filter((F.col("key") != "") & (F.coalesce(F.col("value"), F.lit("")) != ""))
-        .groupBy("doc_id", "key").agg(F.min_by("value", F.struct("batch_no", "pos")).alias("value"))
-        .groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("entities"))
-    )
     has_text = F.coalesce(F.col("raw_text"), F.lit("")) != ""
     real = F.filter(F.col("page_confidences"), lambda c: c.isNotNull() & (c != 0))
     merged = batches.withColumns({"_sum": F.aggregate(real, F.lit(0.0), lambda a, c: a + c), "_n": F.size(real)}).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.when(has_text, F.struct("batch_no", "raw_text")))).alias("texts"),
         F.array_sort(F.collect_list(F.struct("batch_no", "tables"))).alias("table_parts"),
+        F.array_sort(F.collect_list(F.struct("batch_no", F.map_entries("entities").alias("entries")))).alias("entity_parts"),
         F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.sum("page_count").alias("page_count"),
         F.min_by("lang", F.when(F.coalesce(F.col("lang"), F.lit("")) != "", F.col("batch_no"))).alias("lang"),
     )
-    return merged.join(entities, "doc_id", "left").select(
+    filled = lambda e: (e["key"] != "") & (F.coalesce(e["value"], F.lit("")) != "")
+    entries = F.filter(F.flatten(F.filter(F.col("entity_parts.entries"), lambda x: x.isNotNull())), filled)
+
+    def first_of_each(e: Column) -> Column:
+        keys = F.array_sort(F.array_distinct(F.transform(e, lambda x: x["key"])))
+        return F.when(F.size(e) > 0, F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(e, lambda x: x["key"] == k)[0]["value"])))
+
+    return merged.select(
         "doc_id",
         F.array_join(F.col("texts.raw_text"), "\n\n").alias("raw_text"),
         F.flatten(F.col("table_parts.tables")).alias("tables"),
-        "entities",
+        let(entries, first_of_each).alias("entities"),
         F.when(F.col("_n") > 0, F.col("_sum") / F.greatest(F.col("_n"), F.lit(1))).otherwise(F.lit(0.0)).alias("confidence"),
         "page_count", "lang",
     )
