@@ -93,14 +93,12 @@ def merge_batches(batches: DataFrame) -> DataFrame:
     has_text = F.coalesce(F.col("raw_text"), F.lit("")) != ""
     real = F.filter(F.col("page_confidences"), lambda c: c.isNotNull() & (c != 0))
     merged = batches.withColumns({"_sum": F.aggregate(real, F.lit(0.0), lambda a, c: a + c), "_n": F.size(real)}).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(has_text, F.struct("batch_no", "raw_text")))).alias("texts"),
-        F.array_sort(F.collect_list(F.struct("batch_no", "tables"))).alias("table_parts"),
-        F.array_sort(F.collect_list(F.struct("batch_no", F.map_entries("entities").alias("entries")))).alias("entity_parts"),
+        F.array_sort(F.collect_list(F.struct("batch_no", F.when(has_text, F.col("raw_text")).alias("text"), "tables", F.map_entries("entities").alias("entries")))).alias("parts"),
         F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.sum("page_count").alias("page_count"),
         F.min_by("lang", F.when(F.coalesce(F.col("lang"), F.lit("")) != "", F.col("batch_no"))).alias("lang"),
     )
     filled = lambda e: (e["key"] != "") & (F.coalesce(e["value"], F.lit("")) != "")
-    entries = F.filter(F.flatten(F.filter(F.col("entity_parts.entries"), lambda x: x.isNotNull())), filled)
+    entries = F.filter(F.flatten(F.filter(F.col("parts.entries"), lambda x: x.isNotNull())), filled)
 
     def first_of_each(e: Column) -> Column:
         keys = F.array_sort(F.array_distinct(F.transform(e, lambda x: x["key"])))
@@ -108,8 +106,8 @@ def merge_batches(batches: DataFrame) -> DataFrame:
 
     return merged.select(
         "doc_id",
-        F.array_join(F.col("texts.raw_text"), "\n\n").alias("raw_text"),
-        F.flatten(F.col("table_parts.tables")).alias("tables"),
+        F.array_join(F.col("parts.text"), "\n\n").alias("raw_text"),
+        F.flatten(F.col("parts.tables")).alias("tables"),
         let(entries, first_of_each).alias("entities"),
         F.when(F.col("_n") > 0, F.col("_sum") / F.greatest(F.col("_n"), F.lit(1))).otherwise(F.lit(0.0)).alias("confidence"),
         "page_count", "lang",
