@@ -80,3 +80,14 @@ def test_knapsack_is_exact():
             best[c] = max(best[c - 1], *(best[c - k] + values[k] for k in range(1, c + 1)))
         got, taken = packing.knapsack(values)
         assert abs(got - best[n]) < 1e-9 and sum(k * v for k, v in taken.items()) <= n and abs(sum(values[k] * v for k, v in taken.items()) - got) < 1e-9
+
+
+def test_words_together_equal_words_alone():
+    """Many words in one call give each word the ids that it has alone, whatever they hold."""
+    library, rng = Tokenizer.from_file(PATH), random.Random(8)
+    letters = ["a", "B", "é", "e\u0301", "\u0301", "İ", "ß", "Σ", "中", "🙂", "'s", "'LL", "1", "½", "-", "...", "\xa0", "\u3000", "\x00", "<|endoftext|>", "\u200d", "ﬁ", "ñ", "क्ष"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    own = packing.load(PATH)
+    for word, ids in zip(words, packing.encode_words(own, words), strict=True):
+        assert np.frombuffer(ids, np.uint32).tolist() == library.encode(word, add_special_tokens=False).ids, word
+    assert packing.encode_words(own, []) == []
