@@ -6,7 +6,8 @@ and each distinct segment of a block is encoded once. All segments lie in flat n
 every segment's lowest pair rank (best score) by a segmented minimum, merges its leftmost non-overlapping occurrences at
 once, and compacts; segments without a pair leave. The library merges one occurrence at a time: merging several at once
 differs only if a merge makes a pair of equal or lower rank, so such segments (seen beforehand) merge their leftmost
-occurrence only in that round. Characters outside the vocabulary become byte pieces.
+occurrence only in that round. A segment of over ``LONG`` symbols (runs of spaces, text without spaces) merges by a queue of
+pairs, in time in proportion to its length but for a logarithm. Characters outside the vocabulary become byte pieces.
 
 Decoding: ids to bytes through flat tables, minus the space in front. Null text is empty: no ids, an empty text. Texts
 are encoded whole; memory follows ``BLOCK`` bytes of text, or the longest one. Only doc_id and text are read.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +33,8 @@ MODEL = "piece_bpe_32k.model"
 BLOCK = 12 << 20
 SPACE = "▁"
 NONE = np.uint32(0xFFFFFFFF)
+LONG = 512  # symbols of a segment that merges by a queue instead of rounds
+MEMO = 1 << 20  # pairs that the queue remembers
 
 
 class Pieces:
@@ -73,6 +77,7 @@ class Pieces:
                 if a is not None and b is not None:
                     keys.append(a * self.size + b)
                     merged.append(i)
+        self.known: dict[int, tuple[int, int]] = {}
         self.bits = max(16, (len(keys) * 6).bit_length())
         self.keys, self.merged = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         for key, i, slot in zip(keys, merged, self._slot(np.array(keys, np.int64)).tolist()):
@@ -112,6 +117,15 @@ class Pieces:
         n = len(starts) - 1
         owner = np.arange(n)
         done_owner, done_symbols = [], []
+        lengths = np.diff(starts)
+        if n and lengths.max() > LONG:
+            for w in np.flatnonzero(lengths > LONG).tolist():
+                found = self.merge_long(symbols[starts[w] : starts[w + 1]])
+                done_owner.append(np.full(len(found), w))
+                done_symbols.append(found)
+            short = lengths <= LONG
+            symbols, owner = symbols[np.repeat(short, lengths)], owner[short]
+            starts = np.append(0, np.cumsum(lengths[short]))
         while len(symbols):
             first = starts[:-1]
             word = np.repeat(np.arange(len(first)), np.diff(starts))
@@ -148,6 +162,50 @@ class Pieces:
         order = np.argsort(whose, kind="stable")
         return found[order], np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=n))))
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """One long segment: a queue of pairs by rank and place. Rounds would look at all of it for each rank that occurs."""
+        n = len(symbols)
+        ranks = self.ranks(self.pair(symbols[:-1], symbols[1:]))
+        at = np.flatnonzero(ranks != NONE)
+        queue = ((ranks[at].astype(np.int64) << 32) + at).tolist()
+        heapq.heapify(queue)
+        own, after, before = symbols.tolist(), [*range(1, n), -1], [*range(-1, n - 1)]
+        if len(self.known) > MEMO:
+            self.known.clear()
+        known, size = self.known, self.size
+
+        def offer(a: int, b: int) -> tuple[int, int]:
+            """The symbol that a pair merges to and its rank; (-1, -1) for none."""
+            if own[a] < 0 or own[b] < 0:
+                return -1, -1
+            key = own[a] * size + own[b]
+            found = known.get(key)
+            if found is None:
+                merged = int(self.pair(np.array([own[a]], np.int32), np.array([own[b]], np.int32))[0])
+                found = known[key] = (merged, int(self.rank[merged]) if merged >= 0 else -1)
+            return found
+
+        gone = bytearray(n)
+        while queue:
+            rank, a = divmod(heapq.heappop(queue), 1 << 32)
+            b = -1 if gone[a] else after[a]
+            if b < 0:
+                continue
+            merged, now = offer(a, b)
+            if now != rank:
+                continue  # one of the two has merged since
+            own[a], gone[b], after[a] = merged, 1, after[b]
+            if after[b] >= 0:
+                before[after[b]] = a
+                rank = offer(a, after[a])[1]
+                if rank >= 0:
+                    heapq.heappush(queue, (rank << 32) + a)
+            if before[a] >= 0:
+                rank = offer(before[a], a)[1]
+                if rank >= 0:
+                    heapq.heappush(queue, (rank << 32) + before[a])
+        return np.array([s for s, out in zip(own, gone) if not out], np.int32)
+
     def _safe(self, symbols: np.ndarray, word: np.ndarray, pairs: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
         """``at`` without the later merges of a segment in which one of several would make a pair that goes before them."""
         several = np.flatnonzero(np.bincount(word[at], minlength=len(least))[word[at]] > 1)

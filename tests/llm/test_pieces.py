@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -59,3 +60,19 @@ def test_query(spark, sf):
         ids = library.encode(r["text"] or "")
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert got[r["doc_id"]] == (len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids)))
+
+
+def test_long_segments_take_time_in_proportion(monkeypatch):
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.load(PATH)
+    rng = random.Random(3)
+    texts = [c * 100_000 for c in " \t\n-=_7ax"] + ["".join(rng.choice(a) for _ in range(100_000)) for a in ("etaoinshr", "中文的一是了", "ab", "0123456789")]
+    began = time.time()
+    got = pieces.encode(own, pa.array(texts))
+    assert time.time() - began < 60
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == library.encode(text), text[:10]
+    # the queue alone gives what rounds give
+    monkeypatch.setattr(pieces, "LONG", 0)
+    texts = ODD + random_texts(200)
+    for text, ids in zip(texts, pieces.encode(own, pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode(text), text
