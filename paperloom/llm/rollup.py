@@ -5,7 +5,9 @@ tokenizer version) is turned into signed deltas against what the store says of t
 tables: the documents' new entries and the batch's deltas, summed by (source, lang, tokenizer). Totals are the sum of all
 deltas; they never reread documents. ``commit`` is idempotent by batch id: a batch counts from the moment its deltas
 stand complete (Spark's _SUCCESS, written last); a committed batch is left alone, an unfinished one is written anew.
-``compact`` folds committed deltas into one table, again in a batch of its own.
+Batches count in the order of their ids, in whatever order they come: of a document that a batch with a greater id has
+settled already, a late batch changes no total. Entries lie in buckets of documents, and a batch reads only its own ones.
+``compact`` folds committed deltas into one table, which names the batches that it holds.
 
 The last change of a document (by ``seq``; ties: the greater count, a delete last) within a batch wins. An insert of a
 known document is a revision; a revision of an unknown one is an insert; a delete of an unknown one does nothing. A
@@ -28,8 +30,9 @@ from paperloom.session import cut_lineage, shared_folder
 TOKENIZER = "byte_bpe_50k.tiktoken"
 VERSION = "byte_bpe_50k/1"
 BLOCK = 4 << 20
+BUCKETS = 64
 KEYS = ("source", "lang", "tokenizer")
-ENTRY = "doc_id long, tokenizer string, source string, lang string, n_tokens long, present boolean, batch long"
+ENTRY = "doc_id long, tokenizer string, source string, lang string, n_tokens long, present boolean"
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -77,13 +80,17 @@ class Rollup:
     def _tables(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{kind}/batch={b}" for b in batches])
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{kind}")  # folder names are columns
+        return reader.parquet(*[f"{self.folder}/{kind}/batch={b}" for b in batches])
 
-    def entries(self) -> DataFrame:
-        """(doc_id, tokenizer, source, lang, n_tokens, present): the newest entry of each document and tokenizer."""
+    def entries(self, buckets: list[int] | None = None) -> DataFrame:
+        """(doc_id, tokenizer, source, lang, n_tokens, present, batch): the newest entry of each document and tokenizer."""
         batches = [b for b in self.committed() if b >= 0]
-        newest = self._tables("entries", ENTRY, batches).groupBy("doc_id", "tokenizer")
-        return newest.agg(F.max_by(F.struct("source", "lang", "n_tokens", "present"), "batch").alias("e")).select("doc_id", "tokenizer", "e.*")
+        rows = self._tables("entries", f"{ENTRY}, bucket int, batch long", batches)
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets)) if buckets else rows.limit(0)
+        newest = rows.groupBy("doc_id", "tokenizer")
+        return newest.agg(F.max_by(F.struct("source", "lang", "n_tokens", "present", "batch"), "batch").alias("e")).select("doc_id", "tokenizer", "e.*")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply (op, seq, doc_id, source, lang, tokenizer, n_tokens) once under the id ``batch``; whether it was new."""
@@ -96,35 +103,41 @@ class Rollup:
         order = F.struct(F.col("seq"), F.col("op") == "delete", count, F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
         state = F.struct("source", "lang", count.alias("n_tokens"), (F.col("op") != "delete").alias("present"))
         last = changes.groupBy("doc_id", "tokenizer").agg(F.max_by(state, order).alias("e")).select("doc_id", "tokenizer", "e.*")
-        fresh = last.withColumn("batch", F.lit(batch).cast("long"))
-        fresh.select(*[n.split()[0] for n in ENTRY.split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/entries/batch={batch}")
-        fresh = self.spark.read.schema(ENTRY).parquet(f"{self.folder}/entries/batch={batch}")
-        known = self.entries().withColumnsRenamed({c: f"old_{c}" for c in ("doc_id", "tokenizer", "source", "lang", "n_tokens", "present")})
-        old = known.join(
-            fresh, F.col("old_doc_id").eqNullSafe(F.col("doc_id")) & F.col("old_tokenizer").eqNullSafe(F.col("tokenizer")), "left_semi"
-        ).where("old_present")
-        plus = fresh.where("present").select(*KEYS, F.lit(1).alias("d"), F.col("n_tokens").alias("t"))
-        minus = old.select(F.col("old_source"), F.col("old_lang"), F.col("old_tokenizer"), F.lit(-1), -F.col("old_n_tokens"))
-        deltas = plus.unionAll(minus).groupBy(*KEYS).agg(F.sum("d").cast("long").alias("n_docs"), F.sum("t").cast("long").alias("n_tokens"))
+        fresh = last.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+        names = [n.split()[0] for n in ENTRY.split(", ")]
+        fresh.select(*names, "bucket").hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/entries/batch={batch}")
+        fresh = self._tables("entries", f"{ENTRY}, bucket int", [batch])
+        own = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
+        known = self.entries(own).withColumnsRenamed({c: f"old_{c}" for c in ("doc_id", "tokenizer", "source", "lang", "n_tokens", "present", "batch")})
+        both = fresh.join(known, F.col("old_doc_id").eqNullSafe(F.col("doc_id")) & F.col("old_tokenizer").eqNullSafe(F.col("tokenizer")), "left")
+        both = both.where(F.col("old_batch").isNull() | (F.col("old_batch") < batch))  # others are settled by a later batch
+        signed = lambda there, sign, *columns: F.when(there, F.struct(*[F.col(c).alias(k) for c, k in zip(columns, KEYS)], F.lit(sign).alias("d"), (F.col(columns[3]) * sign).alias("t")))
+        plus = signed(F.col("present"), 1, "source", "lang", "tokenizer", "n_tokens")
+        minus = signed(F.col("old_present"), -1, "old_source", "old_lang", "old_tokenizer", "old_n_tokens")
+        rows = both.select(F.explode(F.array_compact(F.array(plus, minus))).alias("s")).select("s.*")
+        deltas = rows.groupBy(*KEYS).agg(F.sum("d").cast("long").alias("n_docs"), F.sum("t").cast("long").alias("n_tokens"))
         deltas.write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}")
         return True
 
+    def _fold(self) -> tuple[int, set[int]]:
+        """The newest fold (0: none) and the batches that it holds."""
+        fold = min([0, *self.committed()])
+        return fold, {r.held for r in self._tables("folded", "held long", [fold] if fold else []).collect()}
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of the documents present."""
-        done = self.committed()
-        folded = [b for b in done if b < 0][:1]  # the newest fold has the least id
-        upto = -folded[0] - 1 if folded else -1
-        rows = self._tables("deltas", DELTA, folded + [b for b in done if b > upto])
+        fold, held = self._fold()
+        rows = self._tables("deltas", DELTA, ([fold] if fold else []) + [b for b in self.committed() if b >= 0 and b not in held])
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def compact(self) -> None:
-        """Fold the deltas of all batches up to the last committed one; later totals read the fold and what follows it.
-
-        Batches must be committed in the order of their ids from here on.
-        """
+        """Fold the deltas of all committed batches; later totals read the fold and the batches that it does not hold."""
+        fold, held = self._fold()
         done = [b for b in self.committed() if b >= 0]
-        if done:
-            self.totals().write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={-done[-1] - 1}")
+        if set(done) - held:
+            folded = self.spark.createDataFrame([(b,) for b in done], "held long").coalesce(1)
+            folded.write.mode("overwrite").parquet(f"{self.folder}/folded/batch={fold - 1}")
+            self.totals().write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={fold - 1}")
 
 
 def changes(docs: DataFrame, op: str, seq: int) -> DataFrame:

@@ -82,3 +82,34 @@ def test_query(spark, sf):
             state[(r["doc_id"], rollup.VERSION)] = (r["source"], r["lang"], len(encode(text)))
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.query(spark, sf).collect()}
     assert got == summed(state)
+
+
+def test_batches_in_any_order(spark):
+    """Late batches, also after a compaction: the totals are those of all batches in the order of their ids."""
+    rng = random.Random(11)
+    store, committed = rollup.Rollup(spark, shared_folder(spark, "rollup-test")), {}
+    for step, batch in enumerate([3, 0, 5, 1, 2, 4]):
+        rows = [
+            (rng.choice(["insert", "delete", "revise"]), 0, rng.choice([None, *range(15)]), rng.choice(["a", "b", None]), "en", "t", rng.choice([None, 10, 20, 30]))
+            for _ in range(12)
+        ]
+        assert store.commit(batch, spark.createDataFrame(rows, SCHEMA))
+        committed[batch] = rows
+        state = {}
+        for b in sorted(committed):
+            play(state, committed[b])
+        assert totals(store) == summed(state)
+        if step in (2, 4):
+            store.compact()
+            assert totals(store) == summed(state)
+    store.compact()
+    assert totals(store) == summed(state) and all(n >= 0 and t >= 0 for n, t in totals(store).values())
+
+
+def test_a_small_batch_reads_its_own_buckets(spark):
+    store = rollup.Rollup(spark, shared_folder(spark, "rollup-test"))
+    many = spark.range(500).selectExpr("'insert' op", "0 seq", "id doc_id", "'a' source", "'en' lang", "'t' tokenizer", "1L n_tokens", "'extra' present")
+    assert store.commit(0, many) and totals(store) == {("a", "en", "t"): (500, 500)}
+    plan = store.entries([3, 9])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and store.entries([3, 9]).count() < 60
+    assert store.commit(1, spark.createDataFrame([("delete", 0, 7, None, None, "t", None)], SCHEMA)) and totals(store) == {("a", "en", "t"): (499, 499)}
