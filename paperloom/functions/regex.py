@@ -48,6 +48,58 @@ def group_count(pattern: str) -> int:
     return re.compile(re.sub(r"\\p\{\w\}", "a", pattern)).groups
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a regex must contain, as far as that is plain from the outside; else empty.
+
+    Only what stands outside of groups, classes and alternatives counts, and no character that may be left out.
+    """
+    if re.search(r"\(\?[a-zA-Z]*[ix]", pattern):  # other letter case or free spacing: nothing is literal
+        return ""
+    runs, run, at, depth, n = [], "", 0, 0, len(pattern)
+    while at < n:
+        one, atom = pattern[at], None
+        if one == "\\":
+            escaped = pattern[at + 1 : at + 2]
+            if escaped and not escaped.isalnum():
+                atom = escaped
+            elif escaped in ("x", "u", "U", "N", "0") or escaped.isdigit():
+                return ""  # spelled characters and references: left to the full check
+            at += 2
+        elif one == "[":
+            at += 1
+            if pattern[at : at + 1] == "^":
+                at += 1
+            if pattern[at : at + 1] == "]":
+                at += 1
+            while at < n and pattern[at] != "]":
+                at += 2 if pattern[at] == "\\" else 1
+            at += 1
+        else:
+            if one == "(":
+                depth += 1
+            elif one == ")":
+                depth -= 1
+            elif one == "|" and depth == 0:
+                return ""
+            elif one not in "|.^$*+?{}":
+                atom = one
+            elif one == "{" and not re.match(r"\{\d*,?\d*\}", pattern[at:]) or one == "}":
+                return ""  # a plain brace: left to the full check
+            at += 1
+        counted = re.match(r"(\*|\+|\?|\{\d*,?\d*\})[?+]?", pattern[at:])
+        if depth or one == ")" or atom is None:
+            runs.append(run)
+            run = ""
+        elif counted is None:
+            run += atom
+        else:
+            runs.append(run + atom if counted[1] == "+" else run)
+            run = ""
+        if counted is not None and one not in "(|":
+            at += counted.end()
+    return max([*runs, run], key=len)
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``v`` evaluated once.
 
@@ -63,8 +115,15 @@ def non_blank(value: Column) -> Column:
 
 
 def capture(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
-    """The group's text, NULL where the pattern or the group did not match."""
-    return non_blank(F.regexp_extract(text, dialect(pattern, ignore_case), group))
+    """The group's text, NULL where the pattern or the group did not match.
+
+    A text that lacks the literal which every match must contain is not scanned by the pattern: looking for a fixed text
+    costs a small part of a scan. Only literals without letter case serve, since patterns fold it.
+    """
+    found = non_blank(F.regexp_extract(text, dialect(pattern, ignore_case), group))
+    needed = required_literal(pattern)
+    plain = len(needed) > 2 and needed.lower() == needed.upper() and (ord(max(needed)) < 0x600 or not ignore_case)
+    return F.when(text.contains(needed), found) if plain else found
 
 
 def strip(text: Column) -> Column:

@@ -10,7 +10,6 @@ but for the rules that have none.
 """
 from __future__ import annotations
 
-import re
 import sys
 
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from paperloom.functions.regex import let
+from paperloom.functions.regex import let, required_literal
 
 # what runs in Python workers travels by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,58 +28,6 @@ LOOSE = 500  # rules without a literal that are checked together
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def required_literal(pattern: str) -> str:
-    """The longest text that every match of a regex must contain, as far as that is plain from the outside; else empty.
-
-    Only what stands outside of groups, classes and alternatives counts, and no character that may be left out.
-    """
-    if re.search(r"\(\?[a-zA-Z]*[ix]", pattern):  # other letter case or free spacing: nothing is literal
-        return ""
-    runs, run, at, depth, n = [], "", 0, 0, len(pattern)
-    while at < n:
-        one, atom = pattern[at], None
-        if one == "\\":
-            escaped = pattern[at + 1 : at + 2]
-            if escaped and not escaped.isalnum():
-                atom = escaped
-            elif escaped in ("x", "u", "U", "N", "0") or escaped.isdigit():
-                return ""  # spelled characters and references: left to the full check
-            at += 2
-        elif one == "[":
-            at += 1
-            if pattern[at : at + 1] == "^":
-                at += 1
-            if pattern[at : at + 1] == "]":
-                at += 1
-            while at < n and pattern[at] != "]":
-                at += 2 if pattern[at] == "\\" else 1
-            at += 1
-        else:
-            if one == "(":
-                depth += 1
-            elif one == ")":
-                depth -= 1
-            elif one == "|" and depth == 0:
-                return ""
-            elif one not in "|.^$*+?{}":
-                atom = one
-            elif one == "{" and not re.match(r"\{\d*,?\d*\}", pattern[at:]) or one == "}":
-                return ""  # a plain brace: left to the full check
-            at += 1
-        counted = re.match(r"(\*|\+|\?|\{\d*,?\d*\})[?+]?", pattern[at:])
-        if depth or one == ")" or atom is None:
-            runs.append(run)
-            run = ""
-        elif counted is None:
-            run += atom
-        else:
-            runs.append(run + atom if counted[1] == "+" else run)
-            run = ""
-        if counted is not None and one not in "(|":
-            at += counted.end()
-    return max([*runs, run], key=len)
-
-
 @F.pandas_udf(StringType())
 def _literals(pattern: pd.Series) -> pd.Series:
     """Runs over the rule table only. ``pattern``: as its writer spelled it."""
