@@ -6,8 +6,8 @@ not exact where a character's bytes fall into several tokens: such tokens of A s
 B have empty spans but for the last. There the decoded bytes of the tokens since the last sure cut give the exact ends.
 
 A space stands in front of every text. Neither tokenizer joins over a space that follows something else than a space and
-precedes no white space, so texts fall into units there, each distinct unit of a block is encoded once (many to a call), and
-both tokenizers end a token with each unit. Offsets where both end cut a text into groups; the two tokens that end there are
+precedes no white space, so texts fall into units there, each distinct unit of a block is encoded once (many to a call; a
+worker keeps what it met first), and both tokenizers end a token with each unit. Offsets where both end cut a text into groups; the two tokens that end there are
 a link. One of the two is a suffix of the other, so the vocabularies alone bound the number of linked id pairs (``Pairs``):
 counts of pairs are arrays of that fixed size, added up per task, then over tasks, and go to all tasks by broadcast.
 
@@ -39,7 +39,8 @@ from paperloom.llm.pieces import row_blocks
 from paperloom.llm.tables import Table
 from paperloom.session import cut_lineage
 
-BLOCK = 6 << 20
+BLOCK = 4 << 20
+CACHED = 400_000  # units whose spans a worker keeps
 TOGETHER = 256  # units to a string
 AT_ONCE = 16  # strings to a call
 MARK = "▁"
@@ -66,6 +67,8 @@ class Both:
         self.is_byte = np.zeros(len(b.text), bool)
         self.is_byte[b.byte_ids] = True
         self.pairs = Pairs([x if i not in a.special.values() else b"" for i, x in enumerate(a.text)], b.text)
+        self.known: dict[str, int] = {}
+        self.bank: Spans | None = None
         self.names_a = [np.array([f"{i}{end}".encode() for i in range(len(a.text))], object) for end in ",|"]
         self.names_b = [np.array([f"{i}{end}".encode() for i in range(len(b.text))], object) for end in ",;"]
 
@@ -185,7 +188,37 @@ class Spans:
     whole: np.ndarray
 
 
+def pick(s: Spans, units: np.ndarray) -> Spans:
+    """The spans of chosen units, in their order."""
+    (a_at, a_places), (b_at, b_places) = gather(s.a_places, units), gather(s.b_places, units)
+    sizes = np.diff(s.starts)[units]
+    return Spans(s.a[a_at], s.a_ends[a_at], a_places, s.b[b_at], s.b_ends[b_at], b_places, np.append(0, np.cumsum(sizes)), s.whole[units])
+
+
+def joined(x: Spans, y: Spans) -> Spans:
+    both = lambda name: np.concatenate((getattr(x, name), getattr(y, name)))
+    after = lambda name: np.concatenate((getattr(x, name), getattr(x, name)[-1] + getattr(y, name)[1:]))
+    return Spans(both("a"), both("a_ends"), after("a_places"), both("b"), both("b_ends"), after("b_places"), after("starts"), both("whole"))
+
+
 def encode_units(both: Both, distinct: pa.Array) -> Spans:
+    """The spans of distinct units. A worker keeps those of the first ``CACHED`` units that it meets."""
+    texts = distinct.to_pylist()
+    place = np.fromiter((both.known.get(t, -1) for t in texts), np.int64, len(texts))
+    new = np.flatnonzero(place < 0)
+    fresh = _encode(both, distinct.take(pa.array(new)))
+    seen = np.flatnonzero(place >= 0)
+    found = fresh if not len(seen) else joined(pick(both.bank, place[seen]), fresh)
+    room = min(CACHED - len(both.known), len(new))
+    if room > 0:
+        both.known.update((texts[i], len(both.known)) for i in new[:room].tolist())
+        more = pick(fresh, np.arange(room))
+        both.bank = more if both.bank is None else joined(both.bank, more)
+    del texts
+    return pick(found, np.argsort(np.concatenate((seen, new))))
+
+
+def _encode(both: Both, distinct: pa.Array) -> Spans:
     data, starts = W.flat(distinct)
     n, sizes = len(starts) - 1, np.diff(starts)
     second = data[np.minimum(starts[:-1] + 1, len(data) - 1)] if n else data
@@ -222,8 +255,7 @@ def encode_units(both: Both, distinct: pa.Array) -> Spans:
         raise ValueError("a unit does not end with a token of both sides")
     base = starts[:-1].astype(np.int32)
     a_ends, b_ends = a_ends - np.repeat(base, np.diff(a_places)), b_ends - np.repeat(base, np.diff(b_places))
-    (a_at, a_places), (b_at, b_places) = gather(a_places, back), gather(b_places, back)
-    return Spans(a[a_at], a_ends[a_at], a_places, b[b_at], b_ends[b_at], b_places, np.append(0, np.cumsum(np.diff(starts)[back])), whole[back])
+    return pick(Spans(a, a_ends, a_places, b, b_ends, b_places, starts, whole), back)
 
 
 def gather(places: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
