@@ -13,8 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
-NOT_AFTER_WORD = rf"(?<!{WORD})"
-NOT_BEFORE_WORD = rf"(?!{WORD})"
 WORD_EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 SPACE = r"[\s\p{Z}]"
 # every character that counts as white space when a text is trimmed
@@ -29,7 +27,7 @@ _ANY_GROUP = re.compile(r"\((?!\?)|\(\?P<(\w+)>")
 
 def dialect(pattern: str, ignore_case: bool = True) -> str:
     """Rule text -> Java pattern with the flags above."""
-    body = _NAMED_GROUP.sub("(", pattern).replace(r"\b", WORD_EDGE).replace(r"[\w", r"[\p{L}\p{N}_")
+    body = _NAMED_GROUP.sub("(", pattern).replace(r"\b", WORD_EDGE).replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\w", WORD)
     return ("(?iud)" if ignore_case else "(?d)") + body
 
 

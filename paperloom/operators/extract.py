@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions.regex import (
-    NOT_AFTER_WORD, NOT_BEFORE_WORD, dialect, first_match, let, literal_array, non_blank, strip,
+    dialect, first_match, let, literal_array, non_blank, strip,
 )
 from paperloom.functions.scalars import chunk_text, excerpt
 
@@ -37,7 +37,7 @@ def date_fact(text: Column) -> Column:
         near = excerpt(strip(_around(text, before, F.length(value), rules.DATE_EXCERPT_MARGIN)))
         return _fact("source_date", value, rules.DATE_CONFIDENCE, near)
 
-    patterns = ["(?d)" + NOT_AFTER_WORD + p + NOT_BEFORE_WORD for p in rules.DATE_PATTERNS]
+    patterns = [dialect(p, ignore_case=False) for p in rules.DATE_PATTERNS]
     return first_match([(text.rlike(p), found(p)) for p in patterns])
 
 

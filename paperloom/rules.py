@@ -124,16 +124,16 @@ DISPLAY_TIME_ZONE = "Asia/Jerusalem"
 
 # Ordered by priority, not by position in the text. The first group is the value.
 DATE_PATTERNS = [
-    r"([0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4})",
-    r"([0-9]{4}-[0-9]{2}-[0-9]{2})",
-    r"([0-9]{1,2}\s+(?:ינואר|פברואר|מרץ|אפריל|מאי|יוני|יולי|אוגוסט|ספטמבר|אוקטובר|נובמבר|דצמבר)\s+[0-9]{4})",
+    r"\b(\d{1,2}[./]\d{1,2}[./]\d{2,4})\b",
+    r"\b(\d{4}-\d{2}-\d{2})\b",
+    r"\b(\d{1,2}\s+(?:ינואר|פברואר|מרץ|אפריל|מאי|יוני|יולי|אוגוסט|ספטמבר|אוקטובר|נובמבר|דצמבר)\s+\d{4})\b",
 ]
 DATE_CONFIDENCE = 0.75
 DATE_EXCERPT_MARGIN = 30
 
 AMOUNT_PATTERN = (
-    r"(?:NIS|ILS|₪|\$|€|USD|EUR)\s*([0-9,]+(?:\.[0-9]{1,2})?)"
-    r"|([0-9,]+(?:\.[0-9]{1,2})?)\s*(?:NIS|ILS|₪|\$|€|USD|EUR|ש\"ח|שקל)"
+    r"(?:NIS|ILS|₪|\$|€|USD|EUR)\s*([\d,]+(?:\.\d{1,2})?)"
+    r"|([\d,]+(?:\.\d{1,2})?)\s*(?:NIS|ILS|₪|\$|€|USD|EUR|ש\"ח|שקל)"
 )
 AMOUNT_CONFIDENCE = 0.8
 AMOUNT_EXCERPT_MARGIN = 20
@@ -163,14 +163,14 @@ GOOD_QUALITY = 0.5
 BORDERLINE_QUALITY = 0.3
 
 # --- personal data masks (fixed values; ordered) ------------------------------------------------
-# (pattern, placeholder label, type, needs word boundaries)
+# (pattern, placeholder label, type)
 PII_PATTERNS = [
-    (r"[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{1,7}", "כרטיס", "credit_card", False),
-    (r"(?:\+?972)[2-9][0-9]{7,8}", "טלפון", "phone", False),
-    (r"0[2-9][0-9]{7,8}", "טלפון", "phone", False),
-    (r"[\p{L}\p{N}_.-]++@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]{2,}", "אימייל", "email", False),
-    (r"[0-9]{2,3}[-/][0-9]{6,9}", "חשבון בנק", "bank_account", False),
-    (r"[0-9]{9}", "ת.ז.", "israeli_id", True),
+    (r"\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{1,7}", "כרטיס", "credit_card"),
+    (r"(?:\+?972)[2-9]\d{7,8}", "טלפון", "phone"),
+    (r"0[2-9]\d{7,8}", "טלפון", "phone"),
+    (r"[\w.-]+@[\w.-]+\.\w{2,}", "אימייל", "email"),
+    (r"\d{2,3}[-/]\d{6,9}", "חשבון בנק", "bank_account"),
+    (r"\b\d{9}\b", "ת.ז.", "israeli_id"),
 ]
 AUDIT_TEXT_CAP = 200
 PII_SUFFIX = "[PII removed]"
@@ -232,65 +232,65 @@ ISSUERS = [
 ISSUER_CONFIDENCE = 0.95
 
 ELECTRICITY_FIELDS = {
-    "issuer_account_number": [r"מספר\s+צרכן\s+אלקטרה(?:\s+פאוור)?\s*[:：]?\s*([0-9]{5,})"],
+    "issuer_account_number": [r"מספר\s+צרכן\s+אלקטרה(?:\s+פאוור)?\s*[:：]?\s*(\d{5,})"],
     "issuer_bill_number": [
-        r"חשבונית\s+מס/?קבלה\s*\(?.{0,20}?\)?\s*([0-9]{5,})",
-        r"חשבונית\s+מס/?קבלה.*?([0-9]{5,})",
+        r"חשבונית\s+מס/?קבלה\s*\(?.{0,20}?\)?\s*(\d{5,})",
+        r"חשבונית\s+מס/?קבלה.*?(\d{5,})",
     ],
-    "issuer_issue_date": [r"תאריך\s+עריכת\s+הח(?:ש|ע)בון\s*[:：]?\s*([0-9]{2}[./][0-9]{2}[./][0-9]{4})"],
+    "issuer_issue_date": [r"תאריך\s+עריכת\s+הח(?:ש|ע)בון\s*[:：]?\s*(\d{2}[./]\d{2}[./]\d{4})"],
 }
 # first date is the period END, second the START
-ELECTRICITY_PERIOD = r"([0-9]{2}[./][0-9]{2}[./][0-9]{4})\s+([0-9]{2}[./][0-9]{2}[./][0-9]{4})"
+ELECTRICITY_PERIOD = r"(\d{2}[./]\d{2}[./]\d{4})\s+(\d{2}[./]\d{2}[./]\d{4})"
 
 WATER_FIELDS = {
-    "issuer_account_number": [r"מספר\s+משלם\s*[:：]?\s*([0-9]{5,})"],
-    "issuer_bill_number": [r"מספר\s+הספח/חשבונית\s+([0-9]+)", r"חשבונית\s*\n?\s*([0-9]{5,})"],
-    "issuer_issue_date": [r"תאריך\s+הוצאת\s+החשבון\s+([0-9]{2}/[0-9]{2}/[0-9]{4})"],
-    "water_consumption_m3": [r"כמות\s+המים\s+לחיוב\s*\n?\s*([0-9]+\.?[0-9]*)\s*מ\"ק"],
-    "private_consumption_m3": [r"סה\"כ\s+צריכה\s+פרטית\s+([0-9]+\.?[0-9]*)"],
-    "shared_consumption_m3": [r"צריכה\s+משותפת\s*\n?\s*([0-9]+\.?[0-9]*)"],
-    "household_size": [r"מספר\s+נפשות\s+מוכר\s+([0-9]+)"],
-    "property_id": [r"מספר\s+הנכס\s*\n?\s*.*?\n?\s*([0-9]{5,})"],
+    "issuer_account_number": [r"מספר\s+משלם\s*[:：]?\s*(\d{5,})"],
+    "issuer_bill_number": [r"מספר\s+הספח/חשבונית\s+(\d+)", r"חשבונית\s*\n?\s*(\d{5,})"],
+    "issuer_issue_date": [r"תאריך\s+הוצאת\s+החשבון\s+(\d{2}/\d{2}/\d{4})"],
+    "water_consumption_m3": [r"כמות\s+המים\s+לחיוב\s*\n?\s*(\d+\.?\d*)\s*מ\"ק"],
+    "private_consumption_m3": [r"סה\"כ\s+צריכה\s+פרטית\s+(\d+\.?\d*)"],
+    "shared_consumption_m3": [r"צריכה\s+משותפת\s*\n?\s*(\d+\.?\d*)"],
+    "household_size": [r"מספר\s+נפשות\s+מוכר\s+(\d+)"],
+    "property_id": [r"מספר\s+הנכס\s*\n?\s*.*?\n?\s*(\d{5,})"],
     "property_address": [r"כתובת\s+הנכס\s*[:：]?\s*(.+?)(?:\n|$)"],
-    "meter_number_private": [r"מד\s+מים\s+פרטי\s*\n?\s*.*?([0-9]{8,})"],
-    "payment_due_date": [r"תאריך\s+אחרון\s+לתשלום\s*\n?\s*([0-9]{2}/[0-9]{2}/[0-9]{4})"],
-    "payment_method": [r"(הוראת\s+קבע\s+באשראי.*?[0-9]{4})"],
-    "median_comparison_pct": [r"מהווה\s+([0-9]+\.?[0-9]*)%"],
+    "meter_number_private": [r"מד\s+מים\s+פרטי\s*\n?\s*.*?(\d{8,})"],
+    "payment_due_date": [r"תאריך\s+אחרון\s+לתשלום\s*\n?\s*(\d{2}/\d{2}/\d{4})"],
+    "payment_method": [r"(הוראת\s+קבע\s+באשראי.*?\d{4})"],
+    "median_comparison_pct": [r"מהווה\s+(\d+\.?\d*)%"],
     "property_type": [r"סוג\s+שימוש\s*\n?\s*(.+?)(?:\n|$)"],
 }
 # start first, end second
-WATER_PERIOD = r"([0-9]{2}/[0-9]{2}/[0-9]{4})\s*-\s*([0-9]{2}/[0-9]{2}/[0-9]{4})"
+WATER_PERIOD = r"(\d{2}/\d{2}/\d{4})\s*-\s*(\d{2}/\d{2}/\d{4})"
 
 UTILITY_ACCOUNT_PATTERNS = [
-    r"מספר\s+צרכן\s+אלקטרה(?:\s+פאוור)?\s*[:：]?\s*([0-9]{5,})",
-    r"consumer\s+number\s*[:：]?\s*([0-9]{5,})",
+    r"מספר\s+צרכן\s+אלקטרה(?:\s+פאוור)?\s*[:：]?\s*(\d{5,})",
+    r"consumer\s+number\s*[:：]?\s*(\d{5,})",
 ]
 UTILITY_BILL_PATTERNS = [
-    r"חשבונית\s+מס/?קבלה\s*\(?.{0,20}?\)?\s*([0-9]{5,})",
-    r"חשבונית\s+מס/?קבלה.*?([0-9]{5,})",
-    r"(?<![\p{L}\p{N}_])([0-9]{5,})(?![\p{L}\p{N}_])",
+    r"חשבונית\s+מס/?קבלה\s*\(?.{0,20}?\)?\s*(\d{5,})",
+    r"חשבונית\s+מס/?קבלה.*?(\d{5,})",
+    r"\b(\d{5,})\b",
 ]
 UTILITY_ISSUE_DATE_PATTERNS = [
-    r"תאריך\s+עריכת\s+הח(?:ש|ע)בון\s*[:：]?\s*([0-9]{2}[./][0-9]{2}[./][0-9]{4})",
-    r"issue\s+date\s*[:：]?\s*([0-9]{2}[./][0-9]{2}[./][0-9]{4})",
+    r"תאריך\s+עריכת\s+הח(?:ש|ע)בון\s*[:：]?\s*(\d{2}[./]\d{2}[./]\d{4})",
+    r"issue\s+date\s*[:：]?\s*(\d{2}[./]\d{2}[./]\d{4})",
 ]
 # column -> (kind, patterns)
 UTILITY_EXTENDED = {
-    "total_with_vat": ("money", [r"סה\"כ\s+כולל\s+מע\"מ.*?([0-9,]+\.[0-9]{2})"]),
-    "vat_amount": ("money", [r"סה\"כ\s+מע\"מ\s*([0-9,]+\.[0-9]{2})"]),
+    "total_with_vat": ("money", [r"סה\"כ\s+כולל\s+מע\"מ.*?([\d,]+\.\d{2})"]),
+    "vat_amount": ("money", [r"סה\"כ\s+מע\"מ\s*([\d,]+\.\d{2})"]),
     "consumption_kwh": (
         "quantity",
-        [r"סה\"כ\s+צריכה.*?([0-9,]+)\s*(?:בקוט|קוט)", r"סה\"כ\s+צריכה\s*\n\s*.*?\n\s*([0-9,]+)"],
+        [r"סה\"כ\s+צריכה.*?([\d,]+)\s*(?:בקוט|קוט)", r"סה\"כ\s+צריכה\s*\n\s*.*?\n\s*([\d,]+)"],
     ),
-    "payment_due_date": ("date", [r"מועד\s+התשלום\s+בתאריך\s+([0-9]{2}/[0-9]{2}/[0-9]{4})"]),
-    "payment_method": ("text", [r"יחויב\s+ב(כרטיס\s+אשראי\s+שמסתיים\s+בספרות\s+[0-9]+)"]),
-    "meter_number": ("text", [r"קריאות\s+מונה\s+מספר[:\s]*\n?.*?([0-9]{8,})"]),
+    "payment_due_date": ("date", [r"מועד\s+התשלום\s+בתאריך\s+(\d{2}/\d{2}/\d{4})"]),
+    "payment_method": ("text", [r"יחויב\s+ב(כרטיס\s+אשראי\s+שמסתיים\s+בספרות\s+\d+)"]),
+    "meter_number": ("text", [r"קריאות\s+מונה\s+מספר[:\s]*\n?.*?(\d{8,})"]),
     "tariff_plan": ("text", [r"מסלול\s+התחשבנות[:\s]*\n?\s*(.+?)(?:\n|$)"]),
-    "contract_number": ("text", [r"מספר\s+חשבון\s+חוזה\s*\n?\s*([0-9]+)"]),
-    "fixed_charges": ("money", [r"סה\"כ\s+תשלומים\s+קבועים.*?([0-9,]+\.[0-9]{2})"]),
-    "kva_charge": ("money", [r"תשלום\s+בגין\s+הספק.*?([0-9,]+\.[0-9]{2})"]),
-    "savings_this_bill": ("money", [r"בחשבון\s+זה\s+חסכת\s+([0-9,]+\.[0-9]{2})"]),
-    "savings_cumulative": ("money", [r"ועד\s+היום\s+([0-9,]+\.[0-9]{2})"]),
+    "contract_number": ("text", [r"מספר\s+חשבון\s+חוזה\s*\n?\s*(\d+)"]),
+    "fixed_charges": ("money", [r"סה\"כ\s+תשלומים\s+קבועים.*?([\d,]+\.\d{2})"]),
+    "kva_charge": ("money", [r"תשלום\s+בגין\s+הספק.*?([\d,]+\.\d{2})"]),
+    "savings_this_bill": ("money", [r"בחשבון\s+זה\s+חסכת\s+([\d,]+\.\d{2})"]),
+    "savings_cumulative": ("money", [r"ועד\s+היום\s+([\d,]+\.\d{2})"]),
     "service_address": (
         "text",
         [
@@ -310,19 +310,19 @@ SALARY_CRITICAL_KEYS = ["pay_month", "gross_salary", "net_salary"]
 SALARY_STRONG_CONFIDENCE = 0.6
 SALARY_PASS_LABELS = ["haiku_text", "sonnet_text"]
 SALARY_EXTENDED = {
-    "employee_id": ("text", [r"מספר\s+זהות\s*\n?\s*([0-9]{5,9})", r"ת\.?ז\.?\s*[:：]?\s*([0-9]{5,9})"]),
-    "employer_id": ("text", [r"חברה\s*[:：]?\s*([0-9]{5,9})"]),
-    "tax_file_number": ("text", [r"תיק\s+ניכויים\s*[:：]?\s*([0-9]{5,12})"]),
-    "department": ("text", [r"מחלקה\s*[:：]?\s*([0-9]+)"]),
-    "job_start_date": ("date", [r"התחלת\s+עבודה\s*\n?\s*([0-9]{2}/[0-9]{2}/[0-9]{4})"]),
-    "job_percentage": ("money", [r"אחוז\s+משרה\s*\n?\s*([0-9]+(?:\.[0-9]+)?)%?"]),
-    "bank_account": ("text", [r"מספר\s+חשבון\s*\n?\s*.*?\n?\s*.*?\n?\s*([0-9]{6,12})"]),
-    "bank_branch": ("text", [r"סניף\s*\n?\s*.*?\n?\s*([0-9]{1,4})\s*\n"]),
-    "bank_code": ("text", [r"בנק\s*\n?\s*.*?\n?\s*.*?\n?\s*([0-9]{1,3})\s*\n"]),
-    "tax_bracket_percent": ("money", [r"אחוז\s+מס\s+שולי\s*\n?\s*([0-9]+)%?"]),
-    "tax_credit_points": ("money", [r"נקודות\s+זיכוי\s*\n?\s*([0-9]+(?:\.[0-9]+)?)"]),
-    "gross_for_tax": ("money", [r"ברוטו\s+למס\s+הכנסה\s+([0-9,]+)"]),
-    "gross_for_national_insurance": ("money", [r"ברוטו\s+לב\.?\s*לאומי\s+([0-9,]+)"]),
+    "employee_id": ("text", [r"מספר\s+זהות\s*\n?\s*(\d{5,9})", r"ת\.?ז\.?\s*[:：]?\s*(\d{5,9})"]),
+    "employer_id": ("text", [r"חברה\s*[:：]?\s*(\d{5,9})"]),
+    "tax_file_number": ("text", [r"תיק\s+ניכויים\s*[:：]?\s*(\d{5,12})"]),
+    "department": ("text", [r"מחלקה\s*[:：]?\s*(\d+)"]),
+    "job_start_date": ("date", [r"התחלת\s+עבודה\s*\n?\s*(\d{2}/\d{2}/\d{4})"]),
+    "job_percentage": ("money", [r"אחוז\s+משרה\s*\n?\s*(\d+(?:\.\d+)?)%?"]),
+    "bank_account": ("text", [r"מספר\s+חשבון\s*\n?\s*.*?\n?\s*.*?\n?\s*(\d{6,12})"]),
+    "bank_branch": ("text", [r"סניף\s*\n?\s*.*?\n?\s*(\d{1,4})\s*\n"]),
+    "bank_code": ("text", [r"בנק\s*\n?\s*.*?\n?\s*.*?\n?\s*(\d{1,3})\s*\n"]),
+    "tax_bracket_percent": ("money", [r"אחוז\s+מס\s+שולי\s*\n?\s*(\d+)%?"]),
+    "tax_credit_points": ("money", [r"נקודות\s+זיכוי\s*\n?\s*(\d+(?:\.\d+)?)"]),
+    "gross_for_tax": ("money", [r"ברוטו\s+למס\s+הכנסה\s+([\d,]+)"]),
+    "gross_for_national_insurance": ("money", [r"ברוטו\s+לב\.?\s*לאומי\s+([\d,]+)"]),
     "marital_status": ("text", [r"מצב\s+משפחתי\s*\n?\s*.*?\n?\s*(נשוי|רווק|גרוש|אלמן)"]),
     "health_fund": ("text", [r"קופת[\s-]*חולים\s*\n?\s*.*?\n?\s*(מכבי|כללית|מאוחדת|לאומית)"]),
     "pension_fund_name": ("text", [r"(הפניקס|מגדל|הראל|מנורה|כלל|אלטשולר|מיטב)\s*(?:פנסיה|ביטוח)"]),
@@ -333,7 +333,7 @@ SALARY_EXTENDED = {
 }
 # follows the employee name and house number; the town list closes the address line
 EMPLOYEE_ADDRESS_TAIL = (
-    r"\s+[0-9]+\s*.*?\n\s*(.+?)\n\s*(?:כפר|רעננה|תל אביב|ירושלים|חיפה|נתניה|הרצליה|ראשון|פתח|חולון|אשדוד)"
+    r"\s+\d+\s*.*?\n\s*(.+?)\n\s*(?:כפר|רעננה|תל אביב|ירושלים|חיפה|נתניה|הרצליה|ראשון|פתח|חולון|אשדוד)"
 )
 
 # --- display names (fixed values); salary_slip has no label and is shown like "other" -----------
@@ -452,13 +452,13 @@ PRIORITY_WORDS = [
     ("דחוף", "urgent"), ("urgent", "urgent"), ("גבוה", "high"), ("high", "high"), ("רגיל", "normal"),
     ("normal", "normal"), ("נמוך", "low"), ("low", "low"),
 ]
-DUE_DATE_PATTERN = r"(?:עד|due|תאריך)\s*([0-9]{4}-[0-9]{2}-[0-9]{2})"
+DUE_DATE_PATTERN = r"(?:עד|due|תאריך)\s*(\d{4}-\d{2}-\d{2})"
 TITLE_PATTERN = r"(?:כותרת|title)\s+(.+?)(?:\s+(?:עד|due|עדיפות|priority)|$)"
 ASSIGNEE_SHORTHAND = r"^\s*(?:ל|עבור\s+)([^:-]+?)\s*[:\-]\s*(.+?)\s*$"
 ASSIGNEE_PREFIXES = ["ל", "של "]
 FREQUENCY_WORDS = {"יומי": "daily", "שבועי": "weekly", "חודשי": "monthly", "שנתי": "yearly"}
 DEFAULT_FREQUENCY = "monthly"
-DAY_OF_MONTH_PATTERN = r"ב[־\-]([0-9]{1,2})"
+DAY_OF_MONTH_PATTERN = r"ב[־\-](\d{1,2})"
 DUPLICATE_TASK_SECONDS = 300
 ENUM_DOMAINS = {
     "role": ["parent", "child", "grandparent", "other"],
@@ -501,12 +501,12 @@ NUDGE_PHRASES = [
 NUDGE_CONTENT_CAP = 500
 
 BIRTH_STATEMENT = (
-    r"([\p{L}\p{N}_]+)\s+(?:was born|נולדה|נולד)\s+(?:on|ב)\s*([0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4})"
+    r"(\w+)\s+(?:was born|נולדה|נולד)\s+(?:on|ב)\s*(\d{1,2}[./]\d{1,2}[./]\d{2,4})"
 )
-ID_STATEMENT = r"([\p{L}\p{N}_]+).{0,12}(?:id|תעודת זהות|תז)[^0-9]*([0-9]{5,12})"
+ID_STATEMENT = r"(\w+).{0,12}(?:id|תעודת זהות|תז)[^\d]*(\d{5,12})"
 BUILDING_CODE_STATEMENTS = [
-    r"([\p{L}\p{N}_\s\-']+?)\s+(?:building\s*code|code|קוד כניסה|קוד בניין|קוד)[^0-9]*([0-9]{3,10})",
-    r"(?:building\s*code|קוד בניין|קוד כניסה)\s+(?:of|for|של)\s+([\p{L}\p{N}_\s\-']+)[^0-9]*([0-9]{3,10})",
+    r"([\w\s\-']+?)\s+(?:building\s*code|code|קוד כניסה|קוד בניין|קוד)[^\d]*(\d{3,10})",
+    r"(?:building\s*code|קוד בניין|קוד כניסה)\s+(?:of|for|של)\s+([\w\s\-']+)[^\d]*(\d{3,10})",
 ]
 
 # --- messages (fixed values; ordered) -----------------------------------------------------------

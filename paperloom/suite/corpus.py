@@ -13,8 +13,8 @@ from paperloom.suite.shapes import texts
 def _mask_sql() -> str:
     """The ordered masks as one chain of CTEs: split at the matches, join the pieces around placeholders."""
     steps = ["t0 AS (SELECT doc_id, text AS original, text AS t, 0 AS n_phone, CAST([] AS VARCHAR[]) AS kinds FROM documents)"]
-    for i, (pattern, label, kind, bounded) in enumerate(rules.PII_PATTERNS, start=1):
-        p = (r"\b" + pattern + r"\b" if bounded else pattern).replace("++", "+").replace("'", "''")
+    for i, (pattern, label, kind) in enumerate(rules.PII_PATTERNS, start=1):
+        p = pattern.replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\w", r"[\p{L}\p{N}_]").replace("'", "''")
         offset = "n_phone" if kind == "phone" else "0"
         steps.append(
             f"""t{i} AS (SELECT doc_id, original,
