@@ -178,14 +178,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, component_id) from (doc_id, fingerprint): the least doc_id reachable from each fingerprint."""
+    """(fingerprint, component_id, root) from (doc_id, fingerprint): the least doc_id reachable from each fingerprint, and the group
+    itself (unrelated groups can share a component_id if rows share a doc_id)."""
     distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(distinct, radius))
     rooted = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(names, "root").select("fingerprint", "component_id")
+    return rooted.join(names, "root").select("fingerprint", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -197,10 +198,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group: the one that names it (repeated rows of it: one). Rows without doc_id all stay."""
-    found = near_duplicates(docs, radius)
-    first = cut_lineage(found.where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct(), "first")
-    kept = docs.join(first, F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group: the one that names it. Rows without doc_id all stay.
+
+    Of several texts of a group under that doc_id the one with the least fingerprint stays, of repeated rows one. Unrelated
+    texts that share a doc_id are groups of their own, and each keeps its row.
+    """
+    digest = F.xxhash64("text")
+    found = fingerprints(docs.select("doc_id", "text", digest.alias("digest")))
+    prints = cut_lineage(found.select(F.col("c0").alias("doc_id"), F.col("c2").alias("digest"), "fingerprint"), "simhash")
+    names = cut_lineage(groups(prints, radius), "components")
+    namers = prints.join(names, "fingerprint").where("doc_id = component_id")
+    first = namers.groupBy("root").agg(F.min(F.struct("fingerprint", "doc_id", "digest")).alias("f"))
+    first = cut_lineage(first.select(F.col("f.doc_id").alias("first_id"), F.col("f.digest").alias("first_digest")).distinct(), "first")
+    mark = "digest"
+    while mark in docs.columns:
+        mark += "_"
+    kept = docs.join(first, (docs["doc_id"] == first["first_id"]) & (F.xxhash64(docs["text"]) == first["first_digest"]), "left_semi")
+    kept = kept.withColumn(mark, digest).dropDuplicates(["doc_id", mark]).drop(mark)
     return kept.unionAll(docs.where(F.col("doc_id").isNull()))
 
 

@@ -58,3 +58,14 @@ def test_one_of_each_group_stays(spark):
     kept = neardup.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 2), (False, 9), (True, None)]
+
+
+def test_unrelated_texts_that_share_a_doc_id_all_stay(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(80)) for c in "abc")
+    # 5 names two groups; in a third group it is not the least; 7 has two spellings of one text and a copy
+    rows = [(5, one, "x"), (5, two, "x"), (8, one, "x"), (9, two, "x"), (4, three, "x"), (5, three, "x"), (7, "Some other Words", "x"), (7, "some other words", "x"), (7, "some other words", "x"), (1, None, "x"), (1, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first_id string").withColumnRenamed("first_id", "digest").selectExpr("*", "1 AS first_id", "2 AS root")
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    assert found == sorted([(5, one), (5, two), (4, three), (7, "some other words"), (1, "")])

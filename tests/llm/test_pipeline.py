@@ -81,7 +81,7 @@ def test_last_stage_gives_the_training_sequences(spark, sf):
 
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(names) == sorted(f"op{k}" for k in range(1, 14))
 
 
 def test_no_rows(spark, sf):
