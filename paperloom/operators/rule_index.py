@@ -1,12 +1,15 @@
 """Many text rules against many texts (P-01, C-01).
 
 A keyword rule holds where its text occurs in the folded content; a regex rule can only hold where the literal text that
-every match must contain occurs. So a rule is filed under one four-letter piece of that literal, the one that the fewest
-rules share, and a text is compared only with the rules filed under one of its own pieces: an equality join finds the
-candidates, the full check decides. Rules without such a literal are checked against every text, in arrays of bounded size.
+every match must contain occurs. So a rule is filed under one piece of that literal, as long as the literal allows (``WIDTHS``)
+and the one that the fewest rules share, and a text is compared only with the rules filed under one of its own pieces: an
+equality join finds the candidates, the full check decides. Four letters alone would not do: a million numbers share ten
+thousand such pieces, and the candidates of a text would grow with the rules. Rules without such a literal are checked against
+every text, in arrays of bounded size.
 
 Equal texts are judged once per scope. No array holds all rules, and no pair of text and rule is made without a shared piece,
-but for the rules that have none.
+but for the rules that have none. Exploded sides are joined by shuffles: their size is estimated from the table before the explode,
+and such a broadcast would fill the driver.
 """
 from __future__ import annotations
 
@@ -18,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from paperloom.functions.regex import let, required_literal
+from paperloom.functions.regex import first_match, let, required_literal
 
 # what runs in Python workers travels by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[required_literal.__module__])
 
-PIECE = 4
+WIDTHS = (4, 6, 8, 12)  # lengths of pieces; a literal has pieces of the largest that it holds
+SALT = 32  # parts of the texts that meet the rules without a literal
 LOOSE = 500  # rules without a literal that are checked together
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,24 +43,39 @@ def _ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def pieces(text: Column) -> Column:
-    """The distinct four-letter pieces of a text, in one walk over its characters."""
-    cut = lambda c: F.transform(
-        F.slice(c, 1, F.greatest(F.size(c) - (PIECE - 1), F.lit(0))), lambda x, i: F.concat(x, *[F.element_at(c, (i + 1 + k).cast("int")) for k in range(1, PIECE)])
-    )
-    long_enough = F.length(text) >= PIECE
-    return F.when(long_enough, F.array_distinct(let(F.filter(F.split(text, ""), lambda x: x != ""), cut))).otherwise(F.array().cast("array<string>"))
+def _cut(letters: Column, width: int) -> Column:
+    starts = F.slice(letters, 1, F.greatest(F.size(letters) - (width - 1), F.lit(0)))
+    return F.transform(starts, lambda x, i: F.concat(x, *[F.element_at(letters, (i + 1 + k).cast("int")) for k in range(1, width)]))
+
+
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda x: x != "")
+
+
+def literal_pieces(text: Column) -> Column:
+    """The distinct pieces of a literal, of the largest width that it holds."""
+    none = F.array().cast("array<string>")
+    cut = lambda c: first_match([(F.size(c) >= w, _cut(c, w)) for w in reversed(WIDTHS)], none)
+    return F.when(F.length(text) >= WIDTHS[0], F.array_distinct(let(_letters(text), cut))).otherwise(none)
+
+
+def pieces(text: Column, widths: Column | None = None) -> Column:
+    """The distinct pieces of a text, of the widths that rules are filed under (an array; the least width alone by default)."""
+    widths = F.array(F.lit(WIDTHS[0])) if widths is None else widths
+    none = F.array().cast("array<string>")
+    cut = lambda c: F.concat(*[F.when(F.array_contains(widths, w), _cut(c, w)).otherwise(none) for w in WIDTHS])
+    return F.when(F.length(text) >= WIDTHS[0], F.array_distinct(let(_letters(text), cut))).otherwise(none)
 
 
 def file_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rules under their piece, and those without one. ``rules``: scope, pattern, exclusion_type, written (regex as its writer spelled it)."""
     literal = F.when(F.col("exclusion_type") == "keyword", F.col("pattern")).otherwise(_ascii_lower(_literals(F.col("written"))))
-    marked = rules.withColumn("_id", F.xxhash64("scope", "pattern", "exclusion_type")).dropDuplicates(["scope", "pattern", "exclusion_type"]).withColumn("_pieces", pieces(literal))
+    marked = rules.dropDuplicates(["scope", "pattern", "exclusion_type"]).withColumn("_pieces", literal_pieces(literal))
     plain = marked.select("scope", "pattern", "exclusion_type", "_pieces")
     loose = plain.filter(F.size("_pieces") == 0).drop("_pieces")
     spread = plain.filter(F.size("_pieces") > 0).select("scope", "pattern", "exclusion_type", F.explode("_pieces").alias("piece"))
     shared = spread.groupBy("piece").agg(F.count(F.lit(1)).alias("_shared"))
-    best = spread.join(shared, "piece").groupBy("scope", "pattern", "exclusion_type").agg(F.min_by("piece", F.struct("_shared", "piece")).alias("piece"))
+    best = spread.join(shared.hint("merge"), "piece").groupBy("scope", "pattern", "exclusion_type").agg(F.min_by("piece", F.struct("_shared", "piece")).alias("piece"))
     return best, loose
 
 
@@ -73,22 +93,26 @@ def matched(texts: DataFrame, rules: DataFrame, loose_rules: int = LOOSE) -> Dat
     scope = F.coalesce(own, everyone)
     lowered = F.lower("content")
     spelled = _ascii_lower(F.col("content"))
-    found = pieces(lowered)
-    found = F.when(lowered == spelled, found).otherwise(F.array_union(found, pieces(spelled)))
-    asked = texts.select("scope", "digest", F.explode(found).alias("piece"))
+    # the widths that literals have: at most as many numbers as ``WIDTHS`` holds
+    texts_of = lambda t: pieces(t, F.col("_widths"))
+    found = F.when(lowered == spelled, texts_of(lowered)).otherwise(F.array_union(texts_of(lowered), texts_of(spelled)))
+    widths = filed.agg(F.collect_set(F.length("piece")).alias("w")).scalar()
+    asked = texts.withColumn("_widths", widths).select("scope", "digest", F.explode(found).alias("piece"))
     asked = asked.withColumn("_scope", F.explode(F.array_compact(F.array(everyone, own))))
     filed = filed.select(scope.alias("_scope"), "piece", "pattern", "exclusion_type")
-    candidates = asked.join(filed, ["piece", "_scope"]).select("scope", "digest", "pattern", "exclusion_type")
+    candidates = asked.join(filed.hint("merge"), ["piece", "_scope"]).select("scope", "digest", "pattern", "exclusion_type")
     same = lambda a, b: a["digest"].eqNullSafe(b["digest"]) & a["scope"].eqNullSafe(b["scope"])
-    checked = candidates.alias("c").join(texts.alias("t"), same({k: F.col(f"c.{k}") for k in ("scope", "digest")}, {k: F.col(f"t.{k}") for k in ("scope", "digest")}))
+    checked = candidates.alias("c").join(texts.alias("t").hint("merge"), same({k: F.col(f"c.{k}") for k in ("scope", "digest")}, {k: F.col(f"t.{k}") for k in ("scope", "digest")}))
     hits = checked.filter(holds(F.col("t.content"), F.col("c.pattern"), F.col("c.exclusion_type"))).select("t.scope", "t.digest")
     # rules without a literal: arrays of at most about ``loose_rules``, each text meets those of its scopes
     sizes = loose.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / loose_rules).alias("_parts"))
-    parts = loose.alias("l").join(sizes.alias("s"), F.col("l.scope").eqNullSafe(F.col("s.scope"))).select(
+    parts = loose.alias("l").join(sizes.alias("s").hint("merge"), F.col("l.scope").eqNullSafe(F.col("s.scope"))).select(
         F.when(F.col("l.scope").isNull(), everyone).otherwise(F.concat(F.lit("="), F.col("l.scope").cast("string"))).alias("_scope"),
         F.pmod(F.xxhash64("pattern"), F.col("_parts")).alias("_part"), F.struct("pattern", "exclusion_type").alias("_rule"),
     )
     arrays = parts.groupBy("_scope", "_part").agg(F.collect_list("_rule").alias("_rules"))
-    met = texts.withColumn("_scope", F.explode(F.array_compact(F.array(everyone, own)))).join(arrays, "_scope")
+    arrays = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    asking = texts.withColumn("_scope", F.explode(F.array_compact(F.array(everyone, own)))).withColumn("_salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int"))
+    met = asking.join(arrays.hint("merge"), ["_scope", "_salt"])
     rest = met.filter(F.exists("_rules", lambda r: F.coalesce(holds(F.col("content"), r["pattern"], r["exclusion_type"]), F.lit(False)))).select("scope", "digest")
     return hits.unionByName(rest).distinct()

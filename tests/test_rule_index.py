@@ -83,3 +83,20 @@ def test_a_hundred_thousand_rules(spark):
     marked = P.mark_excluded(rows, table, "memory_id")
     got = marked.groupBy("excluded").count().collect()
     assert {r["excluded"] for r in got} == {True, False} and sum(r["count"] for r in got) == 20_001
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_share_no_piece(spark):
+    """Dense numbers as rules: each is filed under a piece that few others have, and no exploded side is broadcast."""
+    rules = spark.range(100_000, 900_000, 9).select(
+        F.concat(F.lit(" "), F.col("id").cast("string")).alias("pattern"), F.lit("keyword").alias("exclusion_type"), F.lit(None).cast("long").alias("member_id"), F.lit(True).alias("is_active")
+    )
+    filed, _ = R.file_rules(P._usable(rules))
+    assert filed.groupBy("piece").count().agg(F.max("count")).first()[0] <= 4
+    rows = spark.range(100_000, 901_000, 500).select(F.col("id").alias("memory_id"), (F.col("id") % 7).alias("member_id"), F.concat(F.lit("note "), F.col("id").cast("string"), F.lit("x")).alias("content"))
+    marked = P.mark_excluded(rows, rules, "memory_id")
+    assert "BroadcastHashJoin" not in plan_of(marked)
+    assert {r.memory_id for r in marked.filter("excluded").collect()} == {i for i in range(100_000, 900_000, 500) if (i - 100_000) % 9 == 0}
