@@ -138,26 +138,26 @@ def resolve_people(requests: DataFrame, members: DataFrame, latest_facts: DataFr
     return wed.select(*requests.columns, target.alias("target_id"))
 
 
-def _substrings(name: Column) -> Column:
-    """Every distinct substring; names are short, so this stays a small array."""
-    starts = F.sequence(F.lit(1), F.length(name))
-    pieces = F.flatten(
-        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substring(name, i, n)))
-    )
+def _substrings(name: Column, lengths: Column) -> Column:
+    """Every distinct substring of the given lengths; names are short, so this stays a small array."""
+    fit = F.filter(lengths, lambda n: (n >= 1) & (n <= F.length(name)))
+    pieces = F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n))))
     return F.array_distinct(pieces)
 
 
 def resolve_assignees(requests: DataFrame, members: DataFrame, name: str = "person") -> DataFrame:
     """A-10: add ``member_id`` and ``outcome``: unique exact name, else unique name containing it, else ambiguous / not_found / unspecified.
 
-    "Contains" is an equality join on the names' substrings, folded per substring first: no pair of a request and
-    a member is ever formed.
+    "Contains" is an equality join on the names' substrings, of the lengths that are asked for, folded per substring first: no
+    pair of a request and a member is ever formed. The folded sides come by shuffle: how much the substrings hold is not seen from the members' table.
     """
     active = members.filter("is_active").select("member_id", normalize_member_name(F.col("name")).alias("_name")).filter(F.col("_name") != "")
-    fold = lambda df: df.groupBy("_name").agg(F.count(F.lit(1)).alias("n"), F.min("member_id").alias("id"))
-    exact = fold(active).select("_name", F.struct("n", "id").alias("exact"))
-    partial = fold(active.select("member_id", F.explode(_substrings(F.col("_name"))).alias("_name"))).select("_name", F.struct("n", "id").alias("partial"))
     wanted = requests.withColumn("_name", non_blank(normalize_member_name(F.coalesce(F.col(name), F.lit("")))))
+    lengths = wanted.agg(F.collect_set(F.length("_name")).alias("n")).scalar()
+    fold = lambda df: df.groupBy("_name").agg(F.count(F.lit(1)).alias("n"), F.min("member_id").alias("id"))
+    exact = fold(active).select("_name", F.struct("n", "id").alias("exact")).hint("merge")
+    cut = active.withColumn("_lengths", lengths).select("member_id", F.explode(_substrings(F.col("_name"), F.col("_lengths"))).alias("_name"))
+    partial = fold(cut).select("_name", F.struct("n", "id").alias("partial")).hint("merge")
     rows = wanted.join(exact, "_name", "left").join(partial, "_name", "left")
     one = F.when(F.col("exact").isNotNull(), F.col("exact")).otherwise(F.col("partial"))
     outcome = first_match(
