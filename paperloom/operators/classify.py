@@ -45,10 +45,11 @@ def parse_class_answer(answer: Column) -> Column:
     return let(body, checked)
 
 
-def classify_documents(df: DataFrame, answer: str | None = None) -> DataFrame:
+def classify_documents(df: DataFrame, answer: str | None = None, known: Column | None = None) -> DataFrame:
     """C-02: keywords first; spreadsheets by name only; a model's answer only where keywords found nothing.
 
-    Needs raw_text and filename; ``answer`` names the column with the model's reply, if there is one.
+    Needs raw_text and filename; ``answer`` names the column with the model's reply, if there is one. Where ``known`` holds, the
+    text is not looked at and the class is NULL.
     """
     sheet = extension(F.col("filename")).isin(rules.SPREADSHEET_EXTENSIONS)
     by_rule = classify_keywords(F.when(~sheet, F.col("raw_text")), F.col("filename"))
@@ -60,7 +61,8 @@ def classify_documents(df: DataFrame, answer: str | None = None) -> DataFrame:
             reply.cast(CLASS),
         )
 
-    return df.withColumn("class", let(by_rule, settle))
+    settled = let(by_rule, settle)
+    return df.withColumn("class", settled if known is None else F.when(~known, settled))
 
 
 def electricity_metadata(text: Column, filename: Column) -> Column:
@@ -113,7 +115,7 @@ def resolve_issuer(text: Column, filename: Column) -> Column:
 
 def resolve_or_classify(df: DataFrame, answer: str | None = None) -> DataFrame:
     """C-07: a known issuer wins over the classifier; adds category, class_confidence, issuer, routing_source."""
-    both = classify_documents(df.withColumn("issuer", resolve_issuer(F.col("raw_text"), F.col("filename"))), answer)
+    both = classify_documents(df.withColumn("issuer", resolve_issuer(F.col("raw_text"), F.col("filename"))), answer, F.col("issuer").isNotNull())
     return both.withColumns(
         {
             "category": F.coalesce("issuer.doc_type", "class.category"),

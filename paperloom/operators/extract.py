@@ -1,6 +1,8 @@
 """Facts from text and from model answers (F-01 ... F-12)."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def _around(text: Column, start: Column, length: Column, margin: int) -> Column:
     return F.substring(text, first + 1, start + length + margin - first)
 
 
+def _before_first(text: Column, pattern: str) -> Column:
+    """The text before a pattern's first match. ``split`` would compile the pattern anew for every row."""
+    flags, body = re.match(r"(\(\?[a-z]+\))(.*)", pattern, re.S).groups()
+    return F.regexp_extract(text, rf"{flags}^([\s\S]*?)(?:{body})", 1)
+
+
 def date_fact(text: Column) -> Column:
     """F-01: the first date by pattern priority, else NULL.
 
@@ -33,7 +41,7 @@ def date_fact(text: Column) -> Column:
 
     def found(pattern: str) -> Column:
         value = F.regexp_extract(text, pattern, 1)
-        before = F.length(F.element_at(F.split(text, pattern, 2), 1))
+        before = F.length(_before_first(text, pattern))
         near = excerpt(strip(_around(text, before, F.length(value), rules.DATE_EXCERPT_MARGIN)))
         return _fact("source_date", value, rules.DATE_CONFIDENCE, near)
 
@@ -56,7 +64,8 @@ def amount_facts(text: Column) -> Column:
 
     def build(m: Column) -> Column:
         pieces = F.slice(F.split(text, pattern, -1), F.lit(1), m["at"] + 1)
-        before = F.array_join(F.transform(pieces, lambda x, i: F.when(i < m["at"], F.concat(x, F.get(m["hits"], i))).otherwise(x)), "")
+        later = F.array_join(F.transform(pieces, lambda x, i: F.when(i < m["at"], F.concat(x, F.get(m["hits"], i))).otherwise(x)), "")
+        before = F.when(m["at"] == 0, _before_first(text, pattern)).otherwise(later)
         place = F.struct(
             F.length(before).alias("start"), F.length(F.get(m["hits"], m["at"])).alias("size"), F.get(m["amounts"], m["at"]).alias("amount")
         )

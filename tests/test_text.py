@@ -85,3 +85,27 @@ def test_quality_against_plain_python(spark):
 @pytest.mark.parametrize("score,band", [(0.0, "LOW"), (0.29, "LOW"), (0.299, "LOW"), (0.3, "BORDERLINE"), (0.49, "BORDERLINE"), (0.5, "GOOD"), (1.0, "GOOD")])
 def test_bands(one, score, band):
     assert one(quality_band, score, "double") == band
+
+
+def test_texts_have_more_tasks_than_cores(spark, tmp_path):
+    """A table of few bytes a row is dealt to several tasks per core once it has several partitions."""
+    from paperloom.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(cores * 2).repartition(cores).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t")).repartition(cores)
+    assert spread(scan).rdd.getNumPartitions() == cores and spread(scan, 8).rdd.getNumPartitions() == 8 * cores
+
+
+def test_offsets_of_the_first_match(spark, one):
+    """The text before a match is cut by a pattern that is compiled once, not by a split per row."""
+    from paperloom.functions.regex import dialect
+    from paperloom.operators.extract import _before_first, amount_facts, date_fact
+    from paperloom import rules
+
+    for pattern in [dialect(p, ignore_case=False) for p in rules.DATE_PATTERNS] + [dialect(rules.AMOUNT_PATTERN)]:
+        for text in ("é🙂\n on 03/04/2021 and 2020-01-02, 5 March 2020", "x\nTotal: NIS 1,200.50 or $3", "2021-03-04"):
+            both = one(lambda x: F.struct(x.rlike(pattern).alias("hit"), _before_first(x, pattern).alias("a"), F.element_at(F.split(x, pattern, 2), 1).alias("b")), text)
+            assert not both.hit or both.a == both.b
+    plan = spark.range(1).select(date_fact(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
