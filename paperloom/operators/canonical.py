@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.regex import capture, first_group, let, literal_array, literal_map, non_blank, strip
+from paperloom.functions.regex import capture, contains_any, first_group, let, literal_array, literal_map, non_blank, strip
 from paperloom.functions.scalars import (
     MONEY, QUANTITY, merge_tags, normalize_tag, parse_amount, parse_date, parse_iso_date, pay_period, year_tag,
 )
@@ -179,10 +179,14 @@ def salary_review_state(payload: Column) -> Column:
 
 
 def employee_address(text: Column, employee: Column) -> Column:
-    """The address line that follows the employee's name and house number, up to a known town."""
+    """The address line that follows the employee's name and house number, up to a known town.
+
+    The pattern differs by row and is compiled for each; a text without any of the towns, which have no letter case, is left alone.
+    """
+    towns = rules.EMPLOYEE_ADDRESS_TAIL[rules.EMPLOYEE_ADDRESS_TAIL.rindex("(?:") + 3 : -1].split("|")
     quoted = F.concat(F.lit("(?iud)\\Q"), F.replace(employee, F.lit("\\E"), F.lit("")), F.lit("\\E" + rules.EMPLOYEE_ADDRESS_TAIL))
     found = F.call_function("regexp_extract", text, quoted, F.lit(1))
-    return F.when(F.coalesce(employee, F.lit("")) != "", non_blank(strip(found)))
+    return F.when((F.coalesce(employee, F.lit("")) != "") & contains_any(text, towns), non_blank(strip(found)))
 
 
 def salary_slips(documents: DataFrame, facts: DataFrame | None) -> DataFrame:
