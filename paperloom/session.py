@@ -79,11 +79,14 @@ def drop_table(table: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, waves: int = 1) -> DataFrame:
     """A scan with at least one partition per core, for work that costs far more than moving the rows.
 
     A few files with one row group each give few tasks, however large the cluster. A scan that already has enough
     partitions, as every large table has, is returned unchanged. Call it on a scan, before anything is joined.
+    ``waves``: up to so many partitions per core and per partition of the scan, so that a larger table has more tasks
+    and not longer ones where few bytes a row make much work.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    cores, parts = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    wanted = max(cores, min(parts, cores) * waves)
+    return scan if parts >= wanted else scan.repartition(wanted)

@@ -16,6 +16,7 @@ from paperloom.streaming import jobs
 
 # texts on which regexes run: spread over the cores before the work starts
 HEAVY_SHAPES = {"documents", "bills", "slips", "messages"}
+WAVES = 8  # the texts are written from narrow rows: a table of few bytes holds very many
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -149,7 +150,7 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     tables, fn = SHAPES[name]
     needed = {t: table(spark, sf, t) for t in tables}
     if name in HEAVY_SHAPES:
-        needed[tables[0]] = spread(needed[tables[0]])
+        needed[tables[0]] = spread(needed[tables[0]], WAVES)
     return spark.sql(fn(SparkDialect()), **needed)
 
 
