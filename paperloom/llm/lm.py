@@ -1,20 +1,22 @@
 """Scoring texts with a hierarchical Pitman-Yor language model.
 
-Restaurants: one per ending of the previous word (its last two bytes), whose parent is that of its last byte, whose
-parent is the root over all words; the root's base measure is uniform over the vocabulary and one unknown word. So 65,536
-context restaurants share 256 parents and a root, whatever the corpus; whole previous words as contexts would make nearly
-half as many restaurants' dishes as there are tokens (see the README). Customers are all training tokens.
+Restaurants: one per previous word (or a text's start). Its parent is that of the word's last two bytes, whose parent is that of
+its last byte, whose parent is the root over all words; the root's base measure is uniform over the vocabulary and one unknown
+word. Customers are all training tokens.
 
 Seating is sampled by Gibbs. A dish's customers at one restaurant leave and take seats again one after another, given all
 other dishes' tables and the parent's probability; tables become the parent's customers. Up to ``EXACT`` customers of a
 dish draw one by one, later ones in blocks of an eighth of those seated, at the probability of the block's middle. Draws
 come from hashes of (word, restaurant, sweep, step), so a task that runs again draws the same. Dishes are spread by word:
 all dishes of a word sit in one task, and the tasks of a pass share the table totals of the pass before. Passes: totals
-from a rough start; totals of each kept sample; probabilities, averaged over the samples with exactly those totals.
+of the first seating, one table a dish; totals after some sweeps; totals of each kept sample; probabilities, averaged over the
+samples with exactly those totals.
 
-Texts are encoded in chunks of ``BLOCK`` bytes. A chunk sends one row per distinct word (counts by ending), which
-pre-aggregates the corpus before the only shuffle by word, and gets the probabilities of its (ending, word) pairs back.
-Words are known by 64-bit hashes. The driver holds totals by restaurant only.
+Texts are encoded in chunks of ``BLOCK`` bytes. A chunk sends one row per distinct word (counts by previous word), which
+pre-aggregates the corpus before the shuffles by word, and gets the probabilities of its (previous word, word) pairs back.
+Words are known by 64-bit hashes; a previous word by 48 bits of its hash beside its ending. Previous words are as many as the
+vocabulary, so their totals are added up in a shuffle by previous word, and each part of the words gets back those it asked
+for. The driver holds totals by ending only.
 
 Null text is empty: the end token only. Null doc_id: scored, neither held out nor learned from. Repeated rows: all learned
 from and scored. Long texts: memory follows the longest. Only doc_id and text are read.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +42,21 @@ ENDINGS = 1 << 16
 BURN_IN = 2
 SAMPLES = 3
 EXACT = 8
-DISCOUNT = (0.6, 0.7, 0.8)  # root, last byte, last two bytes
-STRENGTH = (10.0, 5.0, 5.0)
-WORDS = 1 << 16  # rows that a task seats at once
+DISCOUNT = (0.6, 0.7, 0.8, 0.7)  # root, last byte, last two bytes, previous word
+STRENGTH = (10.0, 5.0, 5.0, 2.0)
+PART = 1 << 20  # (previous word, word) entries of chunks that are seated at once, on average
+PLACES = 258 * 256  # of totals: two-byte endings, last bytes, then the root and the number of known words
 END = np.uint64(0x5851F42D4C957F2D)
+START = np.uint64((32 << 8 | 32) << 48 | 0x14057B7EF767)  # the context at a text's start; no word ends in spaces
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def ending_of(context: np.ndarray) -> np.ndarray:
+    return (context >> np.uint64(48)).astype(np.int64)
+
+
 def encode_chunk(texts: pa.Array, learn: np.ndarray) -> dict:
-    """Tokens of a chunk as indices into its distinct (word, ending) pairs, ordered by word."""
+    """Tokens of a chunk as indices into its distinct (word, previous word) pairs, ordered by word."""
     data, offsets = W.flat(texts)
     block = W.cut(0, W.LOWER[data], offsets)
     n_docs, n_words = len(texts), len(block.starts)
@@ -59,21 +68,21 @@ def encode_chunk(texts: pa.Array, learn: np.ndarray) -> dict:
     word[is_word] = W.hash_spans(block.data, block.starts, block.ends)
     last = block.data[block.ends - 1].astype(np.int64) if n_words else np.zeros(0, np.int64)
     before = np.where(block.ends - block.starts > 1, block.data[np.maximum(block.ends - 2, 0)], 32) if n_words else last
-    ending = np.full(len(word), (32 << 8) | 32, np.int64)  # a text's start; no word holds a space
+    context = np.full(len(word), START)
     after = np.flatnonzero(is_word) + 1
-    ending[after] = (last << 8) | before
-    order = np.lexsort((ending, word))
-    w, e = word[order], ending[order]
+    context[after] = ((last << 8) | before).astype(np.uint64) << np.uint64(48) | word[is_word] >> np.uint64(16)
+    order = np.lexsort((context, word))
+    w, u = word[order], context[order]
     new_word = np.concatenate(([True], w[1:] != w[:-1]))[: len(w)]
-    new_pair = new_word | np.concatenate(([True], e[1:] != e[:-1]))[: len(w)]
+    new_pair = new_word | np.concatenate(([True], u[1:] != u[:-1]))[: len(w)]
     pair = np.empty(len(w), np.int32)
     pair[order] = np.cumsum(new_pair) - 1
     heads = np.flatnonzero(new_pair)
     counts = np.bincount(pair[np.repeat(learn, lengths)], minlength=len(heads)).astype(np.int32)
     places = np.append(np.flatnonzero(new_word[heads]), len(heads))
     return {
-        "lengths": lengths, "pair": pair, "word": w[heads][places[:-1]], "places": places, "ending": e[heads].astype(np.uint16), "counts": counts,
-        "totals": np.bincount(e[heads], counts, ENDINGS).astype(np.int64),
+        "lengths": lengths, "pair": pair, "word": w[heads][places[:-1]], "places": places, "context": u[heads], "ending": ending_of(u[heads]).astype(np.uint16),
+        "counts": counts,
     }
 
 
@@ -83,7 +92,7 @@ def _binaries(values: np.ndarray, places: np.ndarray) -> pa.Array:
 
 
 def encode(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
-    """One row per chunk: its documents, their tokens as pair numbers, its words, and its training tokens by ending."""
+    """One row per chunk: its documents, their tokens as pair numbers, its words, and the numbers of its training tokens and pairs."""
     kind = dict(docs.dtypes)["doc_id"]
     plain = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
@@ -98,24 +107,22 @@ def encode(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
                 x = encode_chunk(texts, part.column("learn").to_numpy(zero_copy_only=False))
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 words = pa.StructArray.from_arrays(
-                    [pa.array(np.arange(len(x["word"]), dtype=np.int32)), pa.array(x["word"].view(np.int64)), _binaries(x["ending"], x["places"]), _binaries(x["counts"], x["places"])],
-                    names=["n", "word", "endings", "counts"],
+                    [pa.array(np.arange(len(x["word"]), dtype=np.int32)), pa.array(x["word"].view(np.int64)), _binaries(x["context"], x["places"]), _binaries(x["counts"], x["places"])],
+                    names=["n", "word", "contexts", "counts"],
                 )
-                at = np.flatnonzero(x["totals"])
-                totals = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(x["totals"][at])], names=["ending", "tokens"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([chunk], pa.int64()), one(part.column("doc_id")), one(part.column("held_out")), one(pa.array(x["lengths"].astype(np.int32))),
-                        pa.array([x["pair"].tobytes()], pa.binary()), one(words), one(totals),
+                        pa.array([x["pair"].tobytes()], pa.binary()), one(words), pa.array([int(x["counts"].sum())], pa.int64()), pa.array([len(x["context"])], pa.int64()),
                     ],
-                    names=["chunk", "doc_ids", "held_out", "lengths", "pairs", "words", "totals"],
+                    names=["chunk", "doc_ids", "held_out", "lengths", "pairs", "words", "tokens", "entries"],
                 )
                 chunk += 1
 
     return plain.mapInArrow(
         run,
         f"chunk long, doc_ids array<{kind}>, held_out array<boolean>, lengths array<int>, pairs binary, "
-        "words array<struct<n: int, word: long, endings: binary, counts: binary>>, totals array<struct<ending: int, tokens: long>>",
+        "words array<struct<n: int, word: long, contexts: binary, counts: binary>>, tokens long, entries long",
     )
 
 
@@ -174,7 +181,7 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, discount
 
 
 class Totals:
-    """Customers and tables of every restaurant: arrays for the two context levels, numbers for the root."""
+    """Customers and tables of the restaurants by ending: arrays for last two bytes and last byte, numbers for the root."""
 
     def __init__(self, customers: tuple, tables: tuple):
         self.customers, self.tables = customers, tables
@@ -222,22 +229,44 @@ class Dishes:
         self.t0 = seat(self.c0, np.full(len(self.keys), base), less(at.tables[0], self.t0), DISCOUNT[0], STRENGTH[0], self.keys + shift)
 
 
-def _whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of rows ordered by word that hold all rows of their words."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += len(batch)
-        if rows >= WORDS:
-            table = pa.Table.from_batches(held)
-            word = table.column("word").to_numpy()
-            cut = int(np.searchsorted(word, word[-1]))
-            if cut:
-                yield table.slice(0, cut)
-                held, rows = table.slice(cut).to_batches(), len(table) - cut
-    if rows:
-        yield pa.Table.from_batches(held)
+class Pairs:
+    """The dishes of some whole words at the restaurants of previous words, over the ``Dishes`` that their tables are served from."""
+
+    def __init__(self, word: np.ndarray, at: np.ndarray, customers: np.ndarray, contexts: np.ndarray, keys: np.ndarray):
+        """word: index per pair, ascending; at: its context, ascending in a word; training tokens; the contexts, ascending; the words' hashes."""
+        self.at, self.c3, self.contexts, self.word = at, customers, contexts, word
+        self.t3 = (customers > 0).astype(np.int64)
+        below = word * np.int64(ENDINGS) + ending_of(contexts)[at]
+        heads = np.concatenate(([True], below[1:] != below[:-1]))[: len(below)]
+        self.up = np.cumsum(heads) - 1
+        first = np.flatnonzero(heads)
+        self.dishes = Dishes(word[first], below[first] % ENDINGS, np.bincount(self.up, self.t3, len(first)).astype(np.int64), keys)
+        self.live = np.flatnonzero(customers > 1)  # a lone customer always has a table
+        self.k3 = W.mix(keys[word[self.live]] ^ W.mix(contexts[at[self.live]]))
+
+    def sweep(self, at: Totals, tables: np.ndarray, base: float, number: int) -> None:
+        """``tables``: of each context's restaurant."""
+        live, shift = self.live, _times(np.uint64(0xD6E8FEB86659FD93), number + 1)
+        parent = self.dishes.chances(at, base)[2][self.up[live]]
+        others = np.maximum(tables[self.at[live]] - self.t3[live], 0)
+        self.t3[live] = seat(self.c3[live], parent, others, DISCOUNT[3], STRENGTH[3], self.k3 + shift)
+        self.dishes.c2 = np.bincount(self.up, self.t3, len(self.dishes.c2)).astype(np.int64)
+        self.dishes.sweep(at, base, number)
+
+    def chances(self, at: Totals, customers: np.ndarray, tables: np.ndarray, base: float) -> np.ndarray:
+        return probability(3, self.c3, self.t3, customers[self.at], tables[self.at], self.dishes.chances(at, base)[2][self.up])
+
+    def by_context(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.contexts)
+        return np.bincount(self.at, self.c3, n).astype(np.int64), np.bincount(self.at, self.t3, n).astype(np.int64)
+
+    def by_ending(self) -> np.ndarray:
+        """Customers and tables by place; the number of known words behind the root."""
+        d, out = self.dishes, np.zeros((2, PLACES))
+        for own, (two, one, root) in zip(out, ((d.c2, d.c1, d.c0), (d.t2, d.t1, d.t0))):
+            own[:ENDINGS], own[ENDINGS : ENDINGS + 256], own[ENDINGS + 256] = np.bincount(d.ending, two, ENDINGS), np.bincount(d.byte, one, 256), root.sum()
+        out[0, ENDINGS + 257] = (d.c0 > 0).sum()
+        return out
 
 
 def _bytes(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -247,97 +276,144 @@ def _bytes(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data.tobytes(), kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
 
 
-def _dishes(table: pa.Table) -> tuple[Dishes, np.ndarray, np.ndarray, np.ndarray]:
-    """The table's dishes, each row's word, each (row, ending) entry's dish, and the rows' offsets among the entries."""
-    word = table.column("word").to_numpy().view(np.uint64)
-    keys, row_word = np.unique(word, return_inverse=True)
-    ending, places = _bytes(table.column("endings"), np.uint16)
+def _pairs(table: pa.Table) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]:
+    """The table's pairs, each row's word, each (row, context) entry's pair, and the rows' offsets among the entries."""
+    keys, row_word = np.unique(table.column("word").to_numpy().view(np.uint64), return_inverse=True)
+    context, places = _bytes(table.column("contexts"), np.uint64)
     counts, _ = _bytes(table.column("counts"), np.int32)
-    entry = np.repeat(row_word, np.diff(places)) * np.int64(ENDINGS) + ending
-    dish, entry_dish = np.unique(entry, return_inverse=True)
-    customers = np.bincount(entry_dish, counts, len(dish)).astype(np.int64)
-    return Dishes(dish // ENDINGS, dish % ENDINGS, customers, keys), row_word, entry_dish, places
-
+    contexts, at = np.unique(context, return_inverse=True)
+    pair, entry_pair = np.unique(np.repeat(row_word, np.diff(places)) * np.int64(len(contexts)) + at, return_inverse=True)
+    customers = np.bincount(entry_pair, counts, len(pair)).astype(np.int64)
+    return Pairs(pair // len(contexts), pair % len(contexts), customers, contexts, keys), row_word, entry_pair, places
+
+
+def _by_bucket(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts' order by bucket, and the buckets' offsets in it."""
+    bucket = ((contexts & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return np.argsort(bucket, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+
+
+def _given(reply: pa.Table, contexts: np.ndarray, parts: int) -> np.ndarray:
+    """What the shuffle by previous word gave back for the contexts: customers, then the tables of each sample."""
+    reply = reply.sort_by("bucket")
+    order, _ = _by_bucket(contexts, parts)
+    rows = [np.frombuffer(x.as_py(), np.int64) for x in reply.column("sums")]
+    kept = reply.column("kept")[0].as_py() if len(reply) else 1
+    out = np.empty((1 + kept, len(contexts)), np.int64)
+    out[:, order] = np.concatenate([x.reshape(1 + kept, -1) for x in rows], axis=1)
+    return out
 
-def _tables(seats: DataFrame, totals: Totals, base: float, kept: int) -> DataFrame:
-    """(sample, level, restaurant, customers, tables) of the last ``kept`` sweeps; level -1 counts known words and tokens."""
-    shared = W.share(seats.sparkSession, totals)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        W.lean()
-        sums = np.zeros((kept, 2, ENDINGS + 257))
-        known = 0
-        for table in _whole_words(batches):
-            dishes = _dishes(table)[0]
-            known += int((np.bincount(dishes.word, dishes.c2, len(dishes.keys)) > 0).sum())
-            for sweep in range(BURN_IN + kept):
-                dishes.sweep(shared(), base, sweep)
-                if sweep >= BURN_IN:
-                    own = sums[sweep - BURN_IN]
-                    for i, (two, one, root) in enumerate(((dishes.c2, dishes.c1, dishes.c0), (dishes.t2, dishes.t1, dishes.t0))):
-                        own[i] += np.concatenate((np.bincount(dishes.ending, two, ENDINGS), np.bincount(dishes.byte, one, 256), [root.sum()]))
-        sample, place = np.nonzero(sums[:, 0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(sample, -1).astype(np.int32)), pa.array(np.append(place, 0).astype(np.int32)), pa.array(np.append(sums[sample, 0, place], known)), pa.array(np.append(sums[sample, 1, place], 0.0))],
-            names=["sample", "place", "customers", "tables"],
+SENT = "bucket int, part int, kept int, contexts binary, sums binary"
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    """A bucket's totals: by place (buckets below zero) one row of sums; by previous word every part's own contexts' sums."""
+    W.lean()
+    sums = [np.frombuffer(x.as_py(), np.int64) for x in rows.column("sums")]
+    if rows.column("bucket")[0].as_py() < 0:
+        return rows.slice(0, 1).set_column(4, "sums", pa.array([np.sum(sums, axis=0).tobytes()], pa.binary()))
+    contexts = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("contexts")]
+    kept = rows.column("kept")[0].as_py()
+    at = np.unique(np.concatenate(contexts), return_inverse=True)[1]
+    flat = np.concatenate([x.reshape(1 + kept, -1) for x in sums], axis=1)
+    totals = np.stack([np.bincount(at, x).astype(np.int64)[at] for x in flat])
+    ends = np.cumsum([len(x) for x in contexts])
+    own = [totals[:, end - len(x) : end].tobytes() for x, end in zip(contexts, ends)]
+    return rows.set_column(3, "contexts", pa.nulls(len(rows), pa.binary())).set_column(4, "sums", pa.array(own, pa.binary()))
+
+
+def _seating(seats: DataFrame, before: DataFrame | None, at: Totals | None, base: float, kept: int, parts: int) -> tuple[DataFrame, list[Totals], int]:
+    """Totals of the last ``kept`` sweeps by previous word (one row per part and bucket) and by ending, and the number of
+    known words; without totals ``before``: those of the first seating."""
+    shared = W.share(seats.sparkSession, at)
+
+    def send(part: int, pairs: Pairs, samples: list) -> pa.Table:
+        order, places = _by_bucket(pairs.contexts, parts)
+        own = np.stack([pairs.by_context()[0], *(tables for tables, _ in samples)])[:, order]
+        contexts = pairs.contexts[order]
+        cuts = list(zip(places[:-1], places[1:]))
+        ending = np.stack([x for _, x in samples]).astype(np.int64).reshape(len(samples), 2, -1, 256)
+        blocks = np.flatnonzero(ending.any(axis=(0, 1, 3)))
+        return pa.table(
+            {
+                "bucket": pa.array([*range(parts), *(-1 - blocks).tolist()], pa.int32()), "part": pa.array([part] * (parts + len(blocks)), pa.int32()),
+                "kept": pa.array([len(samples)] * (parts + len(blocks)), pa.int32()),
+                "contexts": pa.array([contexts[a:b].tobytes() for a, b in cuts] + [None] * len(blocks), pa.binary()),
+                "sums": pa.array([own[:, a:b].tobytes() for a, b in cuts] + [ending[:, :, b].tobytes() for b in blocks], pa.binary()),
+            }
         )
 
-    return seats.mapInArrow(run, "sample int, place int, customers double, tables double").groupBy("sample", "place").agg(
-        F.sum("customers").alias("customers"), F.sum("tables").alias("tables")
-    )
-
-
-def _collect_totals(found: DataFrame, kept: int) -> tuple[list[Totals], int]:
-    """The totals of each sample (restaurants only, a fixed number) and the number of known words."""
-    sums, known = np.zeros((kept, 2, ENDINGS + 257)), 0
-    for r in found.collect():
-        if r["sample"] < 0:
-            known = int(r["customers"])
-        else:
-            sums[r["sample"], :, r["place"]] = r["customers"], r["tables"]
-    cut = lambda x: (x[-1], x[ENDINGS:-1], x[:ENDINGS])
-    return [Totals(cut(c), cut(t)) for c, t in sums], known
-
+    def first(rows: pa.Table) -> pa.Table:
+        W.lean()
+        pairs = _pairs(rows)[0]
+        return send(rows.column("part")[0].as_py(), pairs, [(pairs.by_context()[1], pairs.by_ending())])
 
-def _answers(seats: DataFrame, start: Totals, samples: list[Totals], base: float) -> DataFrame:
-    """(chunk, n, known, chances): each chunk's words, their training tokens, and the averaged probability per ending."""
+    def again(rows: pa.Table, reply: pa.Table) -> pa.Table:
+        W.lean()
+        pairs, samples = _pairs(rows)[0], []
+        tables = _given(reply, pairs.contexts, parts)[1]
+        for sweep in range(BURN_IN + kept):
+            pairs.sweep(shared(), tables, base, sweep)
+            if sweep >= BURN_IN:
+                samples.append((pairs.by_context()[1], pairs.by_ending()))
+        return send(rows.column("part")[0].as_py(), pairs, samples)
+
+    own = seats.select("part", "word", "contexts", "counts").repartition(parts, "part").groupBy("part")
+    sent = own.applyInArrow(first, SENT) if before is None else own.cogroup(_replies(before, parts)).applyInArrow(again, SENT)
+    found = cut_lineage(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_add_up, SENT), "lm-totals", "zstd")
+    sums = np.zeros((kept, 2, PLACES // 256, 256))
+    for r in found.filter("bucket < 0").select("bucket", "sums").collect():  # places only, a fixed number
+        sums[:, :, -1 - r["bucket"]] = np.frombuffer(r["sums"], np.int64).reshape(kept, 2, 256)
+    sums = sums.reshape(kept, 2, PLACES)
+    cut = lambda x: (x[ENDINGS + 256], x[ENDINGS : ENDINGS + 256], x[:ENDINGS])
+    return found, [Totals(cut(c), cut(t)) for c, t in sums], int(sums[0, 0, ENDINGS + 257])
+
+
+def _replies(totals: DataFrame, parts: int):
+    return totals.filter("bucket >= 0").select("part", "bucket", "kept", "sums").repartition(parts, "part").groupBy("part")
+
+
+def _answers(seats: DataFrame, before: DataFrame, start: Totals, totals: DataFrame, samples: list[Totals], base: float, parts: int) -> DataFrame:
+    """(chunk, n, known, chances): each chunk's words, their training tokens, and the averaged probability per previous word."""
     shared = W.share(seats.sparkSession, (start, samples))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table, reply: pa.Table) -> pa.Table:
         W.lean()
         first, kept = shared()
-        for table in _whole_words(batches):
-            dishes, row_word, entry_dish, places = _dishes(table)
-            total = np.zeros(len(dishes.c2))
-            for sweep in range(BURN_IN + len(kept)):
-                dishes.sweep(first, base, sweep)
-                if sweep >= BURN_IN:
-                    total += dishes.chances(kept[sweep - BURN_IN], base)[2]
-            chance = (total / len(kept)).astype(np.float32)[entry_dish]
-            known = np.bincount(dishes.word, dishes.c2, len(dishes.keys)).astype(np.int64)[row_word]
-            yield pa.RecordBatch.from_arrays(
-                [table.column("chunk").combine_chunks(), table.column("n").combine_chunks(), pa.array(known), _binaries(chance, places)], names=["chunk", "n", "known", "chances"]
-            )
-
-    return seats.mapInArrow(run, "chunk long, n int, known long, chances binary")
+        pairs, row_word, entry_pair, places = _pairs(rows)
+        old = pc.equal(reply.column("old"), True)
+        tables = _given(reply.filter(old), pairs.contexts, parts)[1]
+        given = _given(reply.filter(pc.invert(old)), pairs.contexts, parts)
+        total = np.zeros(len(pairs.c3))
+        for sweep in range(BURN_IN + len(kept)):
+            pairs.sweep(first, tables, base, sweep)
+            if sweep >= BURN_IN:
+                total += pairs.chances(kept[sweep - BURN_IN], given[0], given[1 + sweep - BURN_IN], base)
+        chance = (total / len(kept)).astype(np.float32)[entry_pair]
+        known = np.bincount(pairs.word, pairs.c3, len(pairs.dishes.keys)).astype(np.int64)[row_word]
+        return pa.table([rows.column("chunk"), rows.column("n"), pa.array(known), _binaries(chance, places)], names=["chunk", "n", "known", "chances"])
+
+    both = before.withColumn("old", F.lit(True)).unionByName(totals.withColumn("old", F.lit(False))).filter("bucket >= 0")
+    replies = both.select("part", "bucket", "kept", "sums", "old").repartition(parts, "part").groupBy("part")
+    return seats.repartition(parts, "part").groupBy("part").cogroup(replies).applyInArrow(run, "chunk long, n int, known long, chances binary")
 
 
 def score(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
     chunks = cut_lineage(encode(docs, learn, held_out), "lm-chunks", "zstd")
-    seats = cut_lineage(chunks.select("chunk", F.inline("words")).repartition("word").sortWithinPartitions("word", "chunk"), "lm-seats", "zstd")
-    customers = np.zeros(ENDINGS)
-    for r in chunks.select(F.inline("totals")).groupBy("ending").agg(F.sum("tokens").alias("n")).collect():  # ENDINGS rows at most
-        customers[r["ending"]] = r["n"]
-    tokens = int(customers.sum())
-    bytes_ = customers.reshape(256, 256).sum(1)
-    rough = Totals((tokens * 0.1, bytes_ * 0.2, customers), (tokens * 0.05, bytes_ * 0.1, customers * 0.2))
-    (start,), known = _collect_totals(_tables(seats, rough, 1 / (tokens + 1), 1), 1)
+    sizes = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries")).first()
+    tokens, parts = sizes["tokens"], max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes["entries"] // PART))
+    seats = chunks.select("chunk", F.inline("words")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
+    first, (rough,), known = _seating(seats, None, None, 1.0, 1, parts)
     base = 1 / (known + 1)
-    samples, _ = _collect_totals(_tables(seats, start, base, SAMPLES), SAMPLES)
-    answers = cut_lineage(_answers(seats, start, samples, base), "lm-answers", "zstd")
-    drop_table(seats)
+    before, (start,), _ = _seating(seats, first, rough, base, 1, parts)
+    drop_table(first)
+    totals, samples, _ = _seating(seats, before, start, base, SAMPLES, parts)
+    answers = cut_lineage(_answers(seats, before, start, totals, samples, base, parts), "lm-answers", "zstd")
+    drop_table(before)
+    drop_table(totals)
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         W.lean()

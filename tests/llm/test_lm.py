@@ -99,3 +99,46 @@ def test_binomial_draws():
     for n, p in ((1, 0.3), (7, 0.2), (50, 0.9), (400, 0.01), (5000, 0.4), (100_000, 0.00001)):
         got = lm.binomial(np.full(20000, n), np.full(20000, p), rng.integers(0, 2**64, 20000, dtype=np.uint64), 3)
         assert abs(got.mean() - n * p) < 5 * (n * p * (1 - p) / 20000) ** 0.5 and abs(got.var() / (n * p * (1 - p)) - 1) < 0.1
+
+
+def test_previous_words_with_one_ending_are_told_apart(spark):
+    """``cat`` and ``hat`` end alike; only the whole word says what follows. The parts that words are dealt over do not matter."""
+    from pyspark.sql import functions as F
+
+    texts = [(n, "cat sat hat fell") for n in range(40)] + [(100, "cat sat"), (101, "hat sat"), (102, "cat fell"), (103, "hat fell")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    learn, before, found = F.col("doc_id") < 100, spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("3", before):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found.append({r.doc_id: r.score for r in lm.score(docs, learn, ~learn).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    own = found[0]  # first and last tokens cancel out
+    assert own[100] + own[103] > own[101] + own[102] + 1
+
+
+def test_whole_word_contexts_sum_to_one():
+    texts = pa.array(["the cat sat on the mat", "the bat sat", "a cat and a bat and the cat", "on and on the", "a cat sat"])
+    x = lm.encode_chunk(texts, np.array([True] * 5))
+    contexts, n = np.unique(x["context"]), len(x["word"])
+    word = np.repeat(np.arange(n), np.diff(x["places"]))
+    seen = {(w, u): c for w, u, c in zip(word.tolist(), x["context"].tolist(), x["counts"].tolist())}
+    grid = [(w, i) for w in range(n) for i in range(len(contexts))]
+    counts = np.array([seen.get((w, int(contexts[i])), 0) for w, i in grid])
+    pairs, base = lm.Pairs(np.array([w for w, _ in grid]), np.array([i for _, i in grid]), counts, contexts, x["word"]), 1 / (n + 1)
+    cut = lambda v: (v[lm.ENDINGS + 256], v[lm.ENDINGS : lm.ENDINGS + 256], v[: lm.ENDINGS])
+    d, s = lm.DISCOUNT, lm.STRENGTH
+    for sweep in range(4):
+        at, (customers, tables) = lm.Totals(*map(cut, pairs.by_ending())), pairs.by_context()
+        assert (pairs.t3 <= pairs.c3).all() and ((pairs.t3 > 0) == (pairs.c3 > 0)).all() and pairs.dishes.c2.sum() == pairs.t3.sum()
+        chance = pairs.chances(at, customers, tables, base)
+        for i, u in enumerate(contexts):
+            e = int(u >> np.uint64(48))
+            unknown = base * (s[3] + d[3] * tables[i]) / (s[3] + customers[i])
+            for level, place in ((2, e), (1, e >> 8), (0, None)):
+                c, t = (at.customers[level], at.tables[level]) if place is None else (at.customers[level][place], at.tables[level][place])
+                unknown *= (s[level] + d[level] * t) / (s[level] + c)
+            assert abs(chance[pairs.at == i].sum() + unknown - 1) < 1e-9
+        pairs.sweep(at, tables, base, sweep)
