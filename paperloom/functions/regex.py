@@ -25,8 +25,34 @@ _NAMED_GROUP = re.compile(r"\(\?P<(\w+)>")
 _ANY_GROUP = re.compile(r"\((?!\?)|\(\?P<(\w+)>")
 
 
+def _one_number(pattern: str) -> bool:
+    r"""Whether a pattern is one group between ``\b`` that starts and ends with a digit, whatever it matches."""
+    if not re.fullmatch(r"\\b\(\\d(?:\{[1-9].*)?\\d\{[1-9]\d*,?\d*\}\)\\b|\\b\(\\d\{[1-9]\d*,?\d*\}\)\\b", pattern):
+        return False
+    plain = re.sub(r"\[[^\]]*\]", "", re.sub(r"\\.", "", pattern))[1:-1]
+    while "(" in plain:  # alternatives inside of inner groups do not matter
+        inner = re.sub(r"\((?:\?:)?[^()]*\)", "", plain)
+        if inner == plain:
+            return False
+        plain = inner
+    return "|" not in plain and ")" not in plain
+
+
+def _has_case(pattern: str) -> bool:
+    """Whether the pattern spells a character that letter case could matter for; Hebrew has none."""
+    plain = re.sub(r"\\[pP]\{\w+\}|\(\?P<\w+>|\\[bdnsw]", "", pattern)
+    return "\\" in re.sub(r"\\[^a-zA-Z0-9]", "", plain) or any(c.isalpha() and not "\u05d0" <= c <= "\u05ea" or "\u0300" <= c <= "\u036f" for c in plain)
+
+
 def dialect(pattern: str, ignore_case: bool = True) -> str:
-    """Rule text -> Java pattern with the flags above."""
+    """Rule text -> Java pattern with the flags above.
+
+    Case is folded only where a pattern has letters with case: folding keeps Java from its quick search for a fixed text. A
+    number between word edges is looked for by its first digit; its edges need one look each.
+    """
+    ignore_case = ignore_case and _has_case(pattern)
+    if _one_number(pattern):
+        return ("(?iud)" if ignore_case else "(?d)") + rf"(?=\d)(?<!{WORD})" + pattern[2:-2].replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\w", WORD) + f"(?!{WORD})"
     body = _NAMED_GROUP.sub("(", pattern).replace(r"\b", WORD_EDGE).replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\w", WORD)
     return ("(?iud)" if ignore_case else "(?d)") + body
 
@@ -108,8 +134,8 @@ def let(value: Column, body) -> Column:
 
 
 def non_blank(value: Column) -> Column:
-    """NULL for ''. Unlike a lambda, this stays inside generated code."""
-    return F.nullif(value, F.lit(""))
+    """NULL for ''. The value is evaluated once: inside of a lambda ``nullif`` computes it twice, and nested ones four times."""
+    return F.get(F.array_remove(F.array(value), ""), F.lit(0))
 
 
 def capture(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:

@@ -30,7 +30,7 @@ def _around(text: Column, start: Column, length: Column, margin: int) -> Column:
 def _before_first(text: Column, pattern: str) -> Column:
     """The text before a pattern's first match. ``split`` would compile the pattern anew for every row."""
     flags, body = re.match(r"(\(\?[a-z]+\))(.*)", pattern, re.S).groups()
-    return F.regexp_extract(text, rf"{flags}^([\s\S]*?)(?:{body})", 1)
+    return F.regexp_extract(text, rf"{flags}^((?s:.*?))(?:{body})", 1)
 
 
 def date_fact(text: Column) -> Column:
@@ -51,7 +51,8 @@ def date_fact(text: Column) -> Column:
 
 def amount_facts(text: Column) -> Column:
     """F-02: array of an amount fact and a currency fact for the first amount that has digits; empty if none."""
-    pattern = dialect(rules.AMOUNT_PATTERN)
+    flags, body = re.match(r"(\(\?[a-z]+\))(.*)", dialect(rules.AMOUNT_PATTERN), re.S).groups()
+    pattern = f"{flags}{rules.AMOUNT_START}(?:{body})"  # one look rules most characters out, before all the signs are tried
 
     def amount_of(hit: Column) -> Column:
         digits = F.coalesce(non_blank(F.regexp_extract(hit, pattern, 1)), F.regexp_extract(hit, pattern, 2))
@@ -62,26 +63,28 @@ def amount_facts(text: Column) -> Column:
         index = F.array_position(F.transform(amounts, lambda a: a != ""), True).cast("int") - 1
         return F.struct(hits.alias("hits"), amounts.alias("amounts"), index.alias("at"))
 
-    def build(m: Column) -> Column:
-        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), m["at"] + 1)
-        later = F.array_join(F.transform(pieces, lambda x, i: F.when(i < m["at"], F.concat(x, F.get(m["hits"], i))).otherwise(x)), "")
-        before = F.when(m["at"] == 0, _before_first(text, pattern)).otherwise(later)
-        place = F.struct(
-            F.length(before).alias("start"), F.length(F.get(m["hits"], m["at"])).alias("size"), F.get(m["amounts"], m["at"]).alias("amount")
-        )
+    def facts(p: Column) -> Column:
+        near = _around(text, p["start"], p["size"], rules.CURRENCY_MARGIN)
+        currency = let(near, lambda c: first_match([(c.contains(s), F.lit(code)) for s, code in rules.CURRENCY_SYMBOLS], F.lit(rules.DEFAULT_CURRENCY)))
+        around = excerpt(strip(_around(text, p["start"], p["size"], rules.AMOUNT_EXCERPT_MARGIN)))
+        both = lambda quote: F.array(_fact("amount", p["amount"], rules.AMOUNT_CONFIDENCE, quote), _fact("currency", currency, rules.AMOUNT_CONFIDENCE, quote))
+        return let(around, both)
 
-        def facts(p: Column) -> Column:
-            near = _around(text, p["start"], p["size"], rules.CURRENCY_MARGIN)
-            currency = let(near, lambda c: first_match([(c.contains(s), F.lit(code)) for s, code in rules.CURRENCY_SYMBOLS], F.lit(rules.DEFAULT_CURRENCY)))
-            quote = excerpt(strip(_around(text, p["start"], p["size"], rules.AMOUNT_EXCERPT_MARGIN)))
-            return F.array(
-                _fact("amount", p["amount"], rules.AMOUNT_CONFIDENCE, quote), _fact("currency", currency, rules.AMOUNT_CONFIDENCE, quote)
-            )
+    place = lambda before, size, amount: F.struct(F.length(before).alias("start"), size.alias("size"), amount.alias("amount"))
+    none = F.array().cast(f"array<{FACT}>")
+
+    def later(m: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), m["at"] + 1)
+        before = F.array_join(F.transform(pieces, lambda x, i: F.when(i < m["at"], F.concat(x, F.get(m["hits"], i))).otherwise(x)), "")
+        return F.when(m["at"] >= 0, let(place(before, F.length(F.get(m["hits"], m["at"])), F.get(m["amounts"], m["at"])), facts)).otherwise(none)
 
-        return F.when(m["at"] >= 0, let(place, facts)).otherwise(F.array().cast(f"array<{FACT}>"))
+    def first(amount: Column) -> Column:
+        """Nearly always the first hit has digits: the others are looked for only if it has none."""
+        at_once = let(place(_before_first(text, pattern), F.length(F.regexp_extract(text, pattern, 0)), amount), facts)
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.when(amount != "", at_once).otherwise(let(let(hits, locate), later))
 
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(text.rlike(pattern), let(let(hits, locate), build)).otherwise(F.array().cast(f"array<{FACT}>"))
+    return F.when(text.rlike(pattern), let(amount_of(text), first)).otherwise(none)
 
 
 def regex_facts(text: Column) -> Column:

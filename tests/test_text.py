@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom import rules
+from paperloom.functions import regex
 from paperloom.functions.pii import mask_pii, masked_text, restore_pii
 from paperloom.functions.quality import quality_band, quality_score
+from paperloom.operators import extract
 
 
 def mask(one, text):
@@ -109,3 +111,27 @@ def test_offsets_of_the_first_match(spark, one):
             assert not both.hit or both.a == both.b
     plan = spark.range(1).select(date_fact(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan
+
+
+def test_patterns_without_letter_case_are_not_folded_and_keep_their_matches(spark):
+    assert regex.dialect(r"מספר\s+חשבון\s*\n?\s*(\d+)").startswith("(?d)") and regex.dialect(r"issue\s+date").startswith("(?iud)")
+    assert regex.dialect(r"\x41").startswith("(?iud)") and regex.dialect("é").startswith("(?iud)")
+    # alternatives may begin or end without a digit: the edges stay as they are
+    assert regex.WORD_EDGE in regex.dialect(r"\b(\d{1}|a\d{2})\b") and regex.WORD_EDGE not in regex.dialect(r"\b(\d{5,})\b")
+    texts = ["12345", "x12345", "12345x", "_12345", "٣12345", "12345٣", "a 12345, 67890", "é12345 99999", "1234", "שלום12345 54321"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(regex.capture(F.col("t"), r"\b(\d{5,})\b").alias("n")).collect()
+    assert [r.n for r in rows] == ["12345", None, None, None, None, None, "12345", "99999", None, "54321"]
+
+
+def test_a_value_inside_of_a_lambda_is_computed_once(spark):
+    nested = regex.let(F.col("t"), lambda t: regex.first_group(t, [r"a(\d+)"]))
+    frame = spark.createDataFrame([("xa12",), ("a",), (None,)], "t string").select(nested.alias("n"))
+    assert [r.n for r in frame.collect()] == ["12", None, None]
+    assert frame._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract(") == 1
+
+
+def test_amounts_whose_first_hits_have_no_digits(spark):
+    texts = ["NIS , and then 5 USD", "niſ 3", "nis 7", "NİS 8", "ıls 9", "€ ,, $ 4.50 x", "ILS", None, "sum 1,200.5 שקל"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t"), extract.amount_facts(F.col("t")).alias("f")).collect()
+    assert [r.f[0].fact_value if r.f else None for r in got] == ["5", "3", "7", "8", "9", "4.50", None, None, "1200.5"]
+    assert [r.f[1].fact_value for r in got if r.f][0] == "USD"
