@@ -12,8 +12,10 @@ all dishes of a word sit in one task, and the tasks of a pass share the table to
 of the first seating, one table a dish; totals after some sweeps; totals of each kept sample; probabilities, averaged over the
 samples with exactly those totals.
 
-Texts are encoded in chunks of ``BLOCK`` bytes. A chunk sends one row per distinct word (counts by previous word), which
-pre-aggregates the corpus before the shuffles by word, and gets the probabilities of its (previous word, word) pairs back.
+Texts are encoded in chunks of ``BLOCK`` bytes, kept as numbers of the chunk's words. A chunk sends one row per part of the
+words (counts by previous word), which pre-aggregates the corpus before its only shuffle by word. The parts' dishes are written
+once, in a table bucketed by part, so that the passes shuffle totals only; it also keeps which dish each entry of a chunk is, and so
+a chunk gets the probabilities of its (previous word, word) pairs back in its own order. What is kept or sent is packed in byte planes.
 Words are known by 64-bit hashes; a previous word by 48 bits of its hash beside its ending. Previous words are as many as the
 vocabulary, so their totals are added up in a shuffle by previous word, and each part of the words gets back those it asked
 for. The driver holds totals by ending only.
@@ -23,6 +25,7 @@ from and scored. Long texts: memory follows the longest. Only doc_id and text ar
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import words as W
 from paperloom.llm.frames import documents
 from paperloom.llm.pieces import row_blocks
-from paperloom.session import cut_lineage, drop_table
+from paperloom.session import SHUFFLE_CLEANUP, cut_lineage, drop_table, shared_folder
 
 BLOCK = 12 << 20
 ENDINGS = 1 << 16
@@ -44,7 +47,7 @@ SAMPLES = 3
 EXACT = 8
 DISCOUNT = (0.6, 0.7, 0.8, 0.7)  # root, last byte, last two bytes, previous word
 STRENGTH = (10.0, 5.0, 5.0, 2.0)
-PART = 1 << 20  # (previous word, word) entries of chunks that are seated at once, on average
+PART = 3 << 20  # tokens whose words are seated at once, on average
 PLACES = 258 * 256  # of totals: two-byte endings, last bytes, then the root and the number of known words
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64((32 << 8 | 32) << 48 | 0x14057B7EF767)  # the context at a text's start; no word ends in spaces
@@ -55,44 +58,83 @@ def ending_of(context: np.ndarray) -> np.ndarray:
     return (context >> np.uint64(48)).astype(np.int64)
 
 
-def encode_chunk(texts: pa.Array, learn: np.ndarray) -> dict:
-    """Tokens of a chunk as indices into its distinct (word, previous word) pairs, ordered by word."""
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 below 2^64, compressed byte plane by byte plane."""
+    values = np.ascontiguousarray(values.astype("<u8", copy=False))
+    planes = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T[:planes])
+    return len(values).to_bytes(8, "little") + bytes([planes]) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n, planes = int.from_bytes(packed[:8], "little"), packed[8]
+    out = np.zeros((n, 8), np.uint8)
+    if planes:
+        out[:, :planes] = np.frombuffer(pa.Codec("zstd").decompress(packed[9:], n * planes), np.uint8).reshape(planes, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def pack_steps(values: np.ndarray) -> bytes:
+    """Mostly ascending numbers by their differences, modulo 2^64."""
+    values = values.astype(np.uint64, copy=False)
+    return pack(np.concatenate((values[:1], values[1:] - values[:-1])))
+
+
+def unpack_steps(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed), dtype=np.uint64)
+
+
+def encode_words(texts: pa.Array) -> dict:
+    """Tokens of a chunk as indices into its distinct words, which are ordered by hash; each word's ending as a context."""
     data, offsets = W.flat(texts)
     block = W.cut(0, W.LOWER[data], offsets)
-    n_docs, n_words = len(texts), len(block.starts)
     lengths = np.diff(block.word_offsets) + 1
-    first = np.cumsum(lengths) - lengths
     is_word = np.ones(int(lengths.sum()), bool)
-    is_word[first + lengths - 1] = False
-    word = np.full(len(is_word), END)
-    word[is_word] = W.hash_spans(block.data, block.starts, block.ends)
-    last = block.data[block.ends - 1].astype(np.int64) if n_words else np.zeros(0, np.int64)
-    before = np.where(block.ends - block.starts > 1, block.data[np.maximum(block.ends - 2, 0)], 32) if n_words else last
-    context = np.full(len(word), START)
-    after = np.flatnonzero(is_word) + 1
-    context[after] = ((last << 8) | before).astype(np.uint64) << np.uint64(48) | word[is_word] >> np.uint64(16)
-    order = np.lexsort((context, word))
-    w, u = word[order], context[order]
-    new_word = np.concatenate(([True], w[1:] != w[:-1]))[: len(w)]
-    new_pair = new_word | np.concatenate(([True], u[1:] != u[:-1]))[: len(w)]
-    pair = np.empty(len(w), np.int32)
-    pair[order] = np.cumsum(new_pair) - 1
-    heads = np.flatnonzero(new_pair)
-    counts = np.bincount(pair[np.repeat(learn, lengths)], minlength=len(heads)).astype(np.int32)
-    places = np.append(np.flatnonzero(new_word[heads]), len(heads))
-    return {
-        "lengths": lengths, "pair": pair, "word": w[heads][places[:-1]], "places": places, "context": u[heads], "ending": ending_of(u[heads]).astype(np.uint16),
-        "counts": counts,
-    }
-
-
-def _binaries(values: np.ndarray, places: np.ndarray) -> pa.Array:
-    offsets = (places * values.itemsize).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+    is_word[np.cumsum(lengths) - 1] = False
+    hashes = np.full(len(is_word), END)
+    hashes[is_word] = W.hash_spans(block.data, block.starts, block.ends)
+    word, token = np.unique(hashes, return_inverse=True)
+    ending = np.zeros(len(word), np.uint16)
+    if len(block.starts):
+        last = block.data[block.ends - 1].astype(np.uint16)
+        before = np.where(block.ends - block.starts > 1, block.data[np.maximum(block.ends - 2, 0)], 32).astype(np.uint16)
+        ending[token[is_word]] = last << 8 | before
+    return {"lengths": lengths, "token": token, "word": word, "word_ending": ending}
+
+
+def previous(token: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each token's context: 0 for a text's start, else the word before and 1."""
+    before = np.empty(len(token), np.int64)
+    before[1:] = token[:-1] + 1
+    before[np.cumsum(lengths) - lengths] = 0
+    return before
+
+
+def contexts_of(word: np.ndarray, ending: np.ndarray) -> np.ndarray:
+    return np.concatenate(([START], ending.astype(np.uint64) << np.uint64(48) | word >> np.uint64(16)))
+
+
+def entries(x: dict, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct (word, previous word) pairs in this order: offsets by word, contexts, and training tokens."""
+    n, lengths = len(x["word"]), x["lengths"]
+    keys = (x["token"] * np.int64(n + 1) + previous(x["token"], lengths)) << 1 | np.repeat(learn, lengths)
+    keys.sort()
+    pair = keys >> 1
+    heads = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)])
+    counts = np.add.reduceat(keys & 1, heads) if len(heads) else keys
+    pair = pair[heads]
+    return np.searchsorted(pair, np.arange(n + 1) * (n + 1)), contexts_of(x["word"], x["word_ending"])[pair % (n + 1)], counts
+
+
+def encode_chunk(texts: pa.Array, learn: np.ndarray) -> dict:
+    """A chunk's tokens, words and (word, previous word) pairs, ordered by word."""
+    x = encode_words(texts)
+    places, context, counts = entries(x, learn)
+    return x | {"places": places, "context": context, "ending": ending_of(context).astype(np.uint16), "counts": counts}
 
 
 def encode(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
-    """One row per chunk: its documents, their tokens as pair numbers, its words, and the numbers of its training tokens and pairs."""
+    """One row per chunk: its documents, their tokens, its words, and the numbers of its training tokens and of all its tokens."""
     kind = dict(docs.dtypes)["doc_id"]
     plain = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
@@ -104,25 +146,22 @@ def encode(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
             for texts in row_blocks(batch.column("text"), BLOCK):
                 part = batch.slice(row, len(texts))
                 row += len(texts)
-                x = encode_chunk(texts, part.column("learn").to_numpy(zero_copy_only=False))
+                x = encode_words(texts)
+                learned = int(x["lengths"][part.column("learn").to_numpy(zero_copy_only=False)].sum())
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                words = pa.StructArray.from_arrays(
-                    [pa.array(np.arange(len(x["word"]), dtype=np.int32)), pa.array(x["word"].view(np.int64)), _binaries(x["context"], x["places"]), _binaries(x["counts"], x["places"])],
-                    names=["n", "word", "contexts", "counts"],
-                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([chunk], pa.int64()), one(part.column("doc_id")), one(part.column("held_out")), one(pa.array(x["lengths"].astype(np.int32))),
-                        pa.array([x["pair"].tobytes()], pa.binary()), one(words), pa.array([int(x["counts"].sum())], pa.int64()), pa.array([len(x["context"])], pa.int64()),
+                        pa.array([chunk], pa.int64()), one(part.column("doc_id")), one(part.column("held_out")), one(part.column("learn")),
+                        *(pa.array([v], pa.binary()) for v in (pack(x["lengths"]), pack(x["token"]), pack_steps(x["word"]), pack(x["word_ending"]))),
+                        pa.array([learned], pa.int64()), pa.array([len(x["token"])], pa.int64()),
                     ],
-                    names=["chunk", "doc_ids", "held_out", "lengths", "pairs", "words", "tokens", "entries"],
+                    names=["chunk", "doc_ids", "held_out", "learn", "lengths", "token", "word", "ending", "tokens", "size"],
                 )
                 chunk += 1
 
     return plain.mapInArrow(
         run,
-        f"chunk long, doc_ids array<{kind}>, held_out array<boolean>, lengths array<int>, pairs binary, "
-        "words array<struct<n: int, word: long, contexts: binary, counts: binary>>, tokens long, entries long",
+        f"chunk long, doc_ids array<{kind}>, held_out array<boolean>, learn array<boolean>, lengths binary, token binary, word binary, ending binary, tokens long, size long",
     )
 
 
@@ -269,22 +308,93 @@ class Pairs:
         return out
 
 
-def _bytes(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    array = column.combine_chunks().cast(pa.large_binary())
-    offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
-    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return np.frombuffer(data.tobytes(), kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+def _turn(context: np.ndarray) -> np.ndarray:
+    """A context with its hash before its ending: the order of the words' hashes."""
+    return context << np.uint64(16) | context >> np.uint64(48)
 
 
-def _pairs(table: pa.Table) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]:
-    """The table's pairs, each row's word, each (row, context) entry's pair, and the rows' offsets among the entries."""
-    keys, row_word = np.unique(table.column("word").to_numpy().view(np.uint64), return_inverse=True)
-    context, places = _bytes(table.column("contexts"), np.uint64)
-    counts, _ = _bytes(table.column("counts"), np.int32)
-    contexts, at = np.unique(context, return_inverse=True)
-    pair, entry_pair = np.unique(np.repeat(row_word, np.diff(places)) * np.int64(len(contexts)) + at, return_inverse=True)
-    customers = np.bincount(entry_pair, counts, len(pair)).astype(np.int64)
-    return Pairs(pair // len(contexts), pair % len(contexts), customers, contexts, keys), row_word, entry_pair, places
+def _asked(chunks: DataFrame, parts: int) -> DataFrame:
+    """(part, chunk, words, sizes, contexts, counts): a chunk's distinct words in the part and their entries, in the chunk's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lengths, token = (unpack(batch.column(c)[i].as_py()).astype(np.int64) for c in ("lengths", "token"))
+                x = {"lengths": lengths, "token": token, "word": unpack_steps(batch.column("word")[i].as_py()), "word_ending": unpack(batch.column("ending")[i].as_py())}
+                places, context, counts = entries(x, batch.column("learn")[i].values.to_numpy(zero_copy_only=False))
+                at = ((x["word"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending, as the hashes
+                found = np.unique(at)
+                cuts = list(zip(np.searchsorted(at, found), np.searchsorted(at, found, "right")))
+                sizes, blob = np.diff(places), lambda f, v: pa.array([f(v(a, b)) for a, b in cuts], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found.astype(np.int32)), pa.array([batch.column("chunk")[i].as_py()] * len(found), pa.int64()), blob(pack_steps, lambda a, b: x["word"][a:b]),
+                        blob(pack, lambda a, b: sizes[a:b]), blob(pack, lambda a, b: context[places[a] : places[b]]), blob(pack, lambda a, b: counts[places[a] : places[b]]),
+                    ],
+                    names=["part", "chunk", "words", "sizes", "contexts", "counts"],
+                )
+
+    return chunks.select("chunk", "lengths", "learn", "token", "word", "ending").mapInArrow(
+        run, "part int, chunk long, words binary, sizes binary, contexts binary, counts binary"
+    )
+
+
+def _all(rows: pa.Table, column: str, read=unpack) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' numbers after one another, and the rows' offsets."""
+    values = [read(x.as_py()) for x in rows.column(column)]
+    return np.concatenate(values), np.concatenate(([0], np.cumsum([len(x) for x in values])))
+
+
+SEATS = "part int, keys binary, contexts binary, pairs binary, customers binary, chunks array<long>, entries array<binary>, words array<binary>"
+
+
+def _merge(rows: pa.Table) -> pa.Table:
+    """A part's words, contexts and (word, context) pairs with their customers, each ascending; of each chunk's entries and
+    words those that they are, pairs being numbered by word and turned context there."""
+    W.lean()
+    words, word_ends = _all(rows, "words", unpack_steps)
+    keys, row_word = np.unique(words, return_inverse=True)
+    context, ends = _all(rows, "contexts")
+    turned, at = np.unique(_turn(context), return_inverse=True)
+    n = len(turned)
+    pair, entry_pair = np.unique(np.repeat(row_word, _all(rows, "sizes")[0].astype(np.int64)) * np.int64(n) + at, return_inverse=True)
+    customers = np.bincount(entry_pair, _all(rows, "counts")[0], len(pair)).astype(np.int64)
+    contexts = turned >> np.uint64(16) | turned << np.uint64(48)
+    order, rank = np.argsort(contexts), np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    pair = pair - pair % n + rank[pair % n]
+    by_pair = np.argsort(pair)
+    blobs = [pack_steps(keys), pack_steps(contexts[order]), pack_steps(pair[by_pair]), pack(customers[by_pair])]
+    cut = lambda values, at: pa.array([[pack_steps(values[a:b]) for a, b in zip(at[:-1], at[1:])]], pa.list_(pa.binary()))
+    return pa.table(
+        [
+            rows.column("part").combine_chunks()[:1], *(pa.array([x], pa.binary()) for x in blobs), pa.array([rows.column("chunk").to_pylist()], pa.list_(pa.int64())),
+            cut(entry_pair, ends), cut(row_word, word_ends),
+        ],
+        names=["part", "keys", "contexts", "pairs", "customers", "chunks", "entries", "words"],
+    )
+
+
+def _kept_by_part(merged: DataFrame, parts: int) -> tuple[DataFrame, str]:
+    """``merged`` as a table bucketed by part, which groups by part without another shuffle, and the table's name."""
+    spark = merged.sparkSession
+    name, path = f"lm_seats_{uuid.uuid4().hex}", shared_folder(spark, "lm-seats")
+    spark.sql(f"CREATE TABLE {name} ({SEATS}) USING parquet CLUSTERED BY (part) INTO {parts} BUCKETS LOCATION '{path}'")
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        merged.write.insertInto(name)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.table(name), name
+
+
+def _pairs(table: pa.Table) -> Pairs:
+    """The pairs of a part's row."""
+    one = {c: table.column(c)[0].as_py() for c in ("keys", "contexts", "pairs", "customers")}
+    contexts, pair = unpack_steps(one["contexts"]), unpack_steps(one["pairs"]).astype(np.int64)
+    return Pairs(pair // len(contexts), pair % len(contexts), unpack(one["customers"]).astype(np.int64), contexts, unpack_steps(one["keys"]))
 
 
 def _by_bucket(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +407,7 @@ def _given(reply: pa.Table, contexts: np.ndarray, parts: int) -> np.ndarray:
     """What the shuffle by previous word gave back for the contexts: customers, then the tables of each sample."""
     reply = reply.sort_by("bucket")
     order, _ = _by_bucket(contexts, parts)
-    rows = [np.frombuffer(x.as_py(), np.int64) for x in reply.column("sums")]
+    rows = [unpack(x.as_py()).astype(np.int64) for x in reply.column("sums")]
     kept = reply.column("kept")[0].as_py() if len(reply) else 1
     out = np.empty((1 + kept, len(contexts)), np.int64)
     out[:, order] = np.concatenate([x.reshape(1 + kept, -1) for x in rows], axis=1)
@@ -310,16 +420,16 @@ SENT = "bucket int, part int, kept int, contexts binary, sums binary"
 def _add_up(rows: pa.Table) -> pa.Table:
     """A bucket's totals: by place (buckets below zero) one row of sums; by previous word every part's own contexts' sums."""
     W.lean()
-    sums = [np.frombuffer(x.as_py(), np.int64) for x in rows.column("sums")]
+    sums = [unpack(x.as_py()).astype(np.int64) for x in rows.column("sums")]
     if rows.column("bucket")[0].as_py() < 0:
-        return rows.slice(0, 1).set_column(4, "sums", pa.array([np.sum(sums, axis=0).tobytes()], pa.binary()))
-    contexts = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("contexts")]
+        return rows.slice(0, 1).set_column(4, "sums", pa.array([pack(np.sum(sums, axis=0))], pa.binary()))
+    contexts = [unpack_steps(x.as_py()) for x in rows.column("contexts")]
     kept = rows.column("kept")[0].as_py()
     at = np.unique(np.concatenate(contexts), return_inverse=True)[1]
     flat = np.concatenate([x.reshape(1 + kept, -1) for x in sums], axis=1)
     totals = np.stack([np.bincount(at, x).astype(np.int64)[at] for x in flat])
     ends = np.cumsum([len(x) for x in contexts])
-    own = [totals[:, end - len(x) : end].tobytes() for x, end in zip(contexts, ends)]
+    own = [pack(totals[:, end - len(x) : end].reshape(-1)) for x, end in zip(contexts, ends)]
     return rows.set_column(3, "contexts", pa.nulls(len(rows), pa.binary())).set_column(4, "sums", pa.array(own, pa.binary()))
 
 
@@ -339,19 +449,19 @@ def _seating(seats: DataFrame, before: DataFrame | None, at: Totals | None, base
             {
                 "bucket": pa.array([*range(parts), *(-1 - blocks).tolist()], pa.int32()), "part": pa.array([part] * (parts + len(blocks)), pa.int32()),
                 "kept": pa.array([len(samples)] * (parts + len(blocks)), pa.int32()),
-                "contexts": pa.array([contexts[a:b].tobytes() for a, b in cuts] + [None] * len(blocks), pa.binary()),
-                "sums": pa.array([own[:, a:b].tobytes() for a, b in cuts] + [ending[:, :, b].tobytes() for b in blocks], pa.binary()),
+                "contexts": pa.array([pack_steps(contexts[a:b]) for a, b in cuts] + [None] * len(blocks), pa.binary()),
+                "sums": pa.array([pack(own[:, a:b].reshape(-1)) for a, b in cuts] + [pack(ending[:, :, b].reshape(-1)) for b in blocks], pa.binary()),
             }
         )
 
     def first(rows: pa.Table) -> pa.Table:
         W.lean()
-        pairs = _pairs(rows)[0]
+        pairs = _pairs(rows)
         return send(rows.column("part")[0].as_py(), pairs, [(pairs.by_context()[1], pairs.by_ending())])
 
     def again(rows: pa.Table, reply: pa.Table) -> pa.Table:
         W.lean()
-        pairs, samples = _pairs(rows)[0], []
+        pairs, samples = _pairs(rows), []
         tables = _given(reply, pairs.contexts, parts)[1]
         for sweep in range(BURN_IN + kept):
             pairs.sweep(shared(), tables, base, sweep)
@@ -359,12 +469,12 @@ def _seating(seats: DataFrame, before: DataFrame | None, at: Totals | None, base
                 samples.append((pairs.by_context()[1], pairs.by_ending()))
         return send(rows.column("part")[0].as_py(), pairs, samples)
 
-    own = seats.select("part", "word", "contexts", "counts").repartition(parts, "part").groupBy("part")
+    own = seats.select("part", "keys", "contexts", "pairs", "customers").groupBy("part")
     sent = own.applyInArrow(first, SENT) if before is None else own.cogroup(_replies(before, parts)).applyInArrow(again, SENT)
-    found = cut_lineage(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_add_up, SENT), "lm-totals", "zstd")
+    found = cut_lineage(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_add_up, SENT), "lm-totals", "uncompressed")
     sums = np.zeros((kept, 2, PLACES // 256, 256))
     for r in found.filter("bucket < 0").select("bucket", "sums").collect():  # places only, a fixed number
-        sums[:, :, -1 - r["bucket"]] = np.frombuffer(r["sums"], np.int64).reshape(kept, 2, 256)
+        sums[:, :, -1 - r["bucket"]] = unpack(r["sums"]).reshape(kept, 2, 256)
     sums = sums.reshape(kept, 2, PLACES)
     cut = lambda x: (x[ENDINGS + 256], x[ENDINGS : ENDINGS + 256], x[:ENDINGS])
     return found, [Totals(cut(c), cut(t)) for c, t in sums], int(sums[0, 0, ENDINGS + 257])
@@ -375,13 +485,13 @@ def _replies(totals: DataFrame, parts: int):
 
 
 def _answers(seats: DataFrame, before: DataFrame, start: Totals, totals: DataFrame, samples: list[Totals], base: float, parts: int) -> DataFrame:
-    """(chunk, n, known, chances): each chunk's words, their training tokens, and the averaged probability per previous word."""
+    """(chunk, part, known, chances): training tokens of a chunk's words, and the averaged probability of each of its entries."""
     shared = W.share(seats.sparkSession, (start, samples))
 
     def run(rows: pa.Table, reply: pa.Table) -> pa.Table:
         W.lean()
         first, kept = shared()
-        pairs, row_word, entry_pair, places = _pairs(rows)
+        pairs = _pairs(rows)
         old = pc.equal(reply.column("old"), True)
         tables = _given(reply.filter(old), pairs.contexts, parts)[1]
         given = _given(reply.filter(pc.invert(old)), pairs.contexts, parts)
@@ -390,52 +500,63 @@ def _answers(seats: DataFrame, before: DataFrame, start: Totals, totals: DataFra
             pairs.sweep(first, tables, base, sweep)
             if sweep >= BURN_IN:
                 total += pairs.chances(kept[sweep - BURN_IN], given[0], given[1 + sweep - BURN_IN], base)
-        chance = (total / len(kept)).astype(np.float32)[entry_pair]
-        known = np.bincount(pairs.word, pairs.c3, len(pairs.dishes.keys)).astype(np.int64)[row_word]
-        return pa.table([rows.column("chunk"), rows.column("n"), pa.array(known), _binaries(chance, places)], names=["chunk", "n", "known", "chances"])
+        known = np.bincount(pairs.word, pairs.c3, len(pairs.dishes.keys)).astype(np.int64)
+        rank = np.empty(len(pairs.contexts), np.int64)
+        rank[np.argsort(_turn(pairs.contexts))] = np.arange(len(rank))
+        chance = (total / len(kept)).astype(np.float32)[np.argsort(pairs.word * len(rank) + rank[pairs.at])].view(np.uint32)
+        row = {c: rows.column(c)[0].as_py() for c in ("part", "chunks", "entries", "words")}
+        number = lambda x: unpack_steps(x).astype(np.int64)
+        return pa.table(
+            [
+                pa.array(row["chunks"], pa.int64()), pa.array([row["part"]] * len(row["chunks"]), pa.int32()),
+                pa.array([pack(known[number(x)]) for x in row["words"]], pa.binary()), pa.array([pack(chance[number(x)]) for x in row["entries"]], pa.binary()),
+            ],
+            names=["chunk", "part", "known", "chances"],
+        )
 
     both = before.withColumn("old", F.lit(True)).unionByName(totals.withColumn("old", F.lit(False))).filter("bucket >= 0")
     replies = both.select("part", "bucket", "kept", "sums", "old").repartition(parts, "part").groupBy("part")
-    return seats.repartition(parts, "part").groupBy("part").cogroup(replies).applyInArrow(run, "chunk long, n int, known long, chances binary")
+    return seats.groupBy("part").cogroup(replies).applyInArrow(run, "chunk long, part int, known binary, chances binary")
 
 
 def score(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
+    spark = docs.sparkSession
     chunks = cut_lineage(encode(docs, learn, held_out), "lm-chunks", "zstd")
-    sizes = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries")).first()
-    tokens, parts = sizes["tokens"], max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes["entries"] // PART))
-    seats = chunks.select("chunk", F.inline("words")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
+    sizes = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    tokens, parts = sizes["tokens"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes["size"] // PART))
+    seats, table = _kept_by_part(_asked(chunks, parts).repartition(parts, "part").groupBy("part").applyInArrow(_merge, SEATS), parts)
     first, (rough,), known = _seating(seats, None, None, 1.0, 1, parts)
     base = 1 / (known + 1)
     before, (start,), _ = _seating(seats, first, rough, base, 1, parts)
     drop_table(first)
     totals, samples, _ = _seating(seats, before, start, base, SAMPLES, parts)
-    answers = cut_lineage(_answers(seats, before, start, totals, samples, base, parts), "lm-answers", "zstd")
-    drop_table(before)
-    drop_table(totals)
+    answers = cut_lineage(_answers(seats, before, start, totals, samples, base, parts), "lm-answers", "uncompressed")
+    for done in (before, totals, seats):
+        drop_table(done)
+    spark.sql(f"DROP TABLE {table}")
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         W.lean()
-        right = right.sort_by("n")
-        chances, places = _bytes(right.column("chances"), np.float32)
-        count = right.column("known").to_numpy()
-        word = np.repeat(np.arange(len(count)), np.diff(places))
+        right = right.sort_by("part")
+        chances = _all(right, "chances")[0].astype(np.uint32).view(np.float32)
+        count = _all(right, "known")[0].astype(np.int64)
         logs = np.log10(np.maximum(chances.astype(np.float64), 1e-300))
         flat = np.log10((count + 0.1) / (tokens + 0.1 * (known + 1)))
         row = left.slice(0, 1).combine_chunks()
-        pair = np.frombuffer(row.column("pairs")[0].as_py(), np.int32)
-        lengths = row.column("lengths").chunk(0).values.to_numpy()
+        lengths, word = (unpack(row.column(c)[0].as_py()).astype(np.int64) for c in ("lengths", "token"))
+        pair = np.unique(word * np.int64(len(count) + 1) + previous(word, lengths), return_inverse=True)[1]
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         summed = lambda values: np.add.reduceat(values, offsets[:-1])  # noqa: E731  every text has its end token
         return pa.table(
             {
-                "doc_id": row.column("doc_ids").chunk(0).flatten(), "held_out": row.column("held_out").chunk(0).flatten(), "n_tokens": lengths.astype(np.int64),
-                "n_known": summed((count[word[pair]] > 0).astype(np.int64)), "base_score": summed(flat[word[pair]]), "score": summed(logs[pair]),
+                "doc_id": row.column("doc_ids").chunk(0).flatten(), "held_out": row.column("held_out").chunk(0).flatten(), "n_tokens": lengths,
+                "n_known": summed((count[word] > 0).astype(np.int64)), "base_score": summed(flat[word]), "score": summed(logs[pair]),
             }
         )
 
-    own = chunks.select("chunk", "doc_ids", "held_out", "lengths", "pairs")
+    own = chunks.select("chunk", "doc_ids", "held_out", "lengths", "token")
     rated = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )

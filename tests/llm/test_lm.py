@@ -142,3 +142,45 @@ def test_whole_word_contexts_sum_to_one():
                 unknown *= (s[level] + d[level] * t) / (s[level] + c)
             assert abs(chance[pairs.at == i].sum() + unknown - 1) < 1e-9
         pairs.sweep(at, tables, base, sweep)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for values in ([], [0], [0] * 5, [7, 300, 2], [2**64 - 1, 0, 5], rng.integers(0, 2**64, 1000, dtype=np.uint64), rng.integers(0, 90_000, 1000)):
+        values = np.array(values, np.uint64)
+        assert lm.unpack(lm.pack(values)).tolist() == values.tolist()
+        assert lm.unpack_steps(lm.pack_steps(values)).tolist() == values.tolist()
+
+
+def test_chunks_on_disk_hold_no_entries(spark, tmp_path):
+    """A chunk's (previous word, word) entries are nearly as many as its tokens, and hashes do not compress: a token takes a few bytes without them."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    words = [f"w{n}" for n in range(3000)]
+    texts = [(i, " ".join(words[n] for n in rng.integers(0, 3000, 2000).tolist())) for i in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(1)
+    lm.encode(docs, F.lit(True), F.lit(False)).write.parquet(f"{tmp_path}/chunks", compression="zstd")
+    size = sum(f.stat().st_size for f in (tmp_path / "chunks").glob("*.parquet"))
+    assert size < 3 * 50 * 2001
+
+
+def test_passes_shuffle_totals_only_and_leave_no_table(spark, monkeypatch):
+    """The parts' dishes are grouped where they lie: one side of a pass has no exchange by part, and its rows keep all pairs."""
+    from pyspark.sql import functions as F
+
+    plans, made = [], lm._kept_by_part
+
+    def kept(merged, parts):
+        seats, name = made(merged, parts)
+        grouped = seats.groupBy("part").applyInArrow(lambda rows: rows.select(["part"]), "part int")
+        plans.append(grouped._jdf.queryExecution().executedPlan().toString())
+        rows = [lm._pairs(pa.table({c: pa.array([r[c]], pa.binary()) for c in ("keys", "contexts", "pairs", "customers")})) for r in seats.collect()]
+        assert sum(int(x.c3.sum()) for x in rows) == 40 * 5 and sum(len(x.c3) for x in rows) == 6
+        return seats, name
+
+    monkeypatch.setattr(lm, "_kept_by_part", kept)
+    docs = spark.createDataFrame([(n, "cat sat hat fell") for n in range(40)] + [(50, "fell")], "doc_id long, text string")
+    assert lm.score(docs, F.col("doc_id") < 50, F.col("doc_id") >= 50).count() == 41
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    assert not spark.sql("SHOW TABLES LIKE 'lm_seats*'").collect()
