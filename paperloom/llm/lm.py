@@ -177,6 +177,8 @@ def binomial(n: np.ndarray, p: np.ndarray, key: np.ndarray, step: int) -> np.nda
     """Draws by inversion; beyond a variance of 30 by the normal distribution."""
     u = draw(key, step)
     out = (u < p).astype(np.int64)  # n = 1
+    if n.max(initial=0) <= 1:
+        return out
     spread = n * p * (1 - p)
     small = np.flatnonzero((n > 1) & (spread <= 30))
     if len(small):
@@ -208,7 +210,7 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, discount
     while len(live):
         block = np.minimum(np.maximum(1, seated // EXACT), customers[live] - seated)
         middle, at = (block - 1) / 2, tables[live].astype(float)
-        for _ in range(2):  # the second time with the tables expected in the middle of the block
+        for _ in range(2 if middle.any() else 1):  # the second time with the tables expected in the middle of the block
             new = (strength + discount * (others[live] + at)) * parent[live]
             chance = new / (new + seated + middle - discount * at)
             at = tables[live] + middle * chance
@@ -257,9 +259,10 @@ class Dishes:
         p2 = probability(2, self.c2, self.t2, at.customers[2][self.ending], at.tables[2][self.ending], p1[self.up])
         return p0, p1, p2
 
-    def sweep(self, at: Totals, base: float, number: int) -> None:
+    def sweep(self, at: Totals, base: float, number: int, above: tuple | None = None) -> None:
+        """``above``: the chances at the root and by last byte, if they are known."""
         shift = _times(np.uint64(0xD6E8FEB86659FD93), number + 1)
-        p0, p1, _ = self.chances(at, base)
+        p0, p1 = above or self.chances(at, base)[:2]
         less = lambda all_tables, own: np.maximum(all_tables - own, 0)
         self.t2 = seat(self.c2, p1[self.up], less(at.tables[2][self.ending], self.t2), DISCOUNT[2], STRENGTH[2], self.k2 + shift)
         self.c1 = np.bincount(self.up, self.t2, len(self.fine)).astype(np.int64)
@@ -286,11 +289,12 @@ class Pairs:
     def sweep(self, at: Totals, tables: np.ndarray, base: float, number: int) -> None:
         """``tables``: of each context's restaurant."""
         live, shift = self.live, _times(np.uint64(0xD6E8FEB86659FD93), number + 1)
-        parent = self.dishes.chances(at, base)[2][self.up[live]]
+        p0, p1, p2 = self.dishes.chances(at, base)
+        parent = p2[self.up[live]]
         others = np.maximum(tables[self.at[live]] - self.t3[live], 0)
         self.t3[live] = seat(self.c3[live], parent, others, DISCOUNT[3], STRENGTH[3], self.k3 + shift)
         self.dishes.c2 = np.bincount(self.up, self.t3, len(self.dishes.c2)).astype(np.int64)
-        self.dishes.sweep(at, base, number)
+        self.dishes.sweep(at, base, number, (p0, p1))
 
     def chances(self, at: Totals, customers: np.ndarray, tables: np.ndarray, base: float) -> np.ndarray:
         return probability(3, self.c3, self.t3, customers[self.at], tables[self.at], self.dishes.chances(at, base)[2][self.up])
