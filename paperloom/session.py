@@ -19,6 +19,7 @@ SQL_SETTINGS = {
 STATE_STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def local_session(name: str = "paperloom", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,20 +54,26 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, purpose: str = "stage", compression: str | None = None) -> DataFrame:
+def cut_lineage(
+    df: DataFrame, purpose: str = "stage", compression: str | None = None, options: dict[str, str] | None = None, batch_bytes: int | None = None
+) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: survives lost executors, unlike a cache.
 
     The write's own shuffle files go as soon as the table stands, so a chain of such steps needs the disk of its
-    largest step only. ``drop_table`` removes the table when nothing reads it any more.
+    largest step only. ``drop_table`` removes the table when nothing reads it any more. ``options``: of the writer.
+    ``batch_bytes``: how much of a partition goes to a Python worker at once, for steps over few, very large rows.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    settings = {SHUFFLE_CLEANUP: "true"} | ({ARROW_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        df.write.mode("errorifexists").parquet(path, compression=compression)
+        df.write.mode("errorifexists").options(**options or {}).parquet(path, compression=compression)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from paperloom.llm import substring
@@ -71,3 +74,17 @@ def test_query_equals_brute_force_and_sql(spark, sf):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     got = duck.execute(substring.ORACLE)
     assert compare(found, df.columns, got.fetchall(), [c[0] for c in got.description]) is None
+
+
+def test_an_index_block_of_copies_is_small():
+    """Every window of two chunks occurs twice: a worker needs little memory for the block, and answers for the later chunk only."""
+    n = substring.INDEX_BYTES // 12
+    keys = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, (2, n), dtype=np.uint64)
+    table = pa.Table.from_batches([substring._entries(c, keys[0], keys[1], np.full(n, 10 * c), 1) for c in (1, 2)])
+    tracemalloc.start()
+    found = substring._index(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    assert found["chunk"].to_pylist() == [2] and set(substring._joined(found, "least", np.int64).tolist()) == {10}
+    assert np.array_equal(substring._joined(found, "keys", np.uint64), np.sort(keys[0]))
