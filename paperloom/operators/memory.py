@@ -117,11 +117,12 @@ def mark_excluded(
         out = rows.join(own, ["_scope", "_none"], "left").drop("_scope", "_none")
         hits.append(_matches(F.col("_own"), F.col(content)))
     if filed is not None:
-        scope, digest = F.col(member).cast("long"), F.sha2(F.col(content), 256)
+        # 128 bits for a scope and its text
+        scope = F.col(member).cast("long")
+        digest = F.unhex(F.left(F.sha2(F.concat(F.coalesce(scope.cast("string"), F.lit("*")), F.lit("="), F.col(content)), 256), F.lit(32)))
         texts = contents.filter(F.col(content).isNotNull()).select(scope.alias("scope"), digest.alias("digest"), F.col(content).alias("content"))
-        found = rule_index.matched(texts.dropDuplicates(["scope", "digest"]), filed).withColumn("_hit", F.lit(True))
-        out = out.withColumn("_digest", digest)
-        out = out.join(found, F.col("_digest").eqNullSafe(found["digest"]) & scope.eqNullSafe(found["scope"]), "left").drop("scope", "digest", "_digest")
+        found = rule_index.matched(texts, filed).select(F.col("digest").alias("_digest"), F.lit(True).alias("_hit"))
+        out = out.withColumn("_digest", digest).join(found, "_digest", "left").drop("_digest")
         hits.append(F.coalesce("_hit", F.lit(False)))
     return out.withColumn("excluded", reduce(lambda a, b: a | b, hits, F.lit(False))).drop("_everyone", "_own", "_hit")
 

@@ -7,13 +7,15 @@ equality join finds the candidates, the full check decides. Four letters alone w
 thousand such pieces, and the candidates of a text would grow with the rules. Rules without such a literal are checked against
 every text, in arrays of bounded size.
 
-Equal texts are judged once per scope. No array holds all rules, and no pair of text and rule is made without a shared piece,
-but for the rules that have none. Exploded sides are joined by shuffles: their size is estimated from the table before the explode,
-and such a broadcast would fill the driver.
+No array holds all rules, and no pair of text and rule is made without a shared piece,
+but for the rules that have none. The filed pieces set bits in a Bloom filter of bounded size, and only those pieces of a text that
+it lets through leave the task that reads the text: a text has a hundred pieces and hardly any of them is filed. Exploded sides
+are joined by shuffles: their size is estimated from the table before the explode, and such a broadcast would fill the driver.
 """
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from paperloom.functions.regex import first_match, let, required_literal
+from paperloom.session import cut_lineage
 
 # what runs in Python workers travels by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[required_literal.__module__])
 WIDTHS = (4, 6, 8, 12)  # lengths of pieces; a literal has pieces of the largest that it holds
 SALT = 32  # parts of the texts that meet the rules without a literal
 LOOSE = 500  # rules without a literal that are checked together
+SHORT = 200  # letters of a text that goes along with its pieces; a longer one is looked up
+FILTER_WORDS = (1 << 6, 1 << 20)  # least and most 64-bit words of the filter over filed pieces
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,12 +76,28 @@ def file_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rules under their piece, and those without one. ``rules``: scope, pattern, exclusion_type, written (regex as its writer spelled it)."""
     literal = F.when(F.col("exclusion_type") == "keyword", F.col("pattern")).otherwise(_ascii_lower(_literals(F.col("written"))))
     marked = rules.dropDuplicates(["scope", "pattern", "exclusion_type"]).withColumn("_pieces", literal_pieces(literal))
-    plain = marked.select("scope", "pattern", "exclusion_type", "_pieces")
+    plain = cut_lineage(marked.select("scope", "pattern", "exclusion_type", "_pieces"), "rules")  # literals are read once, by Python
     loose = plain.filter(F.size("_pieces") == 0).drop("_pieces")
     spread = plain.filter(F.size("_pieces") > 0).select("scope", "pattern", "exclusion_type", F.explode("_pieces").alias("piece"))
     shared = spread.groupBy("piece").agg(F.count(F.lit(1)).alias("_shared"))
     best = spread.join(shared.hint("merge"), "piece").groupBy("scope", "pattern", "exclusion_type").agg(F.min_by("piece", F.struct("_shared", "piece")).alias("piece"))
-    return best, loose
+    return cut_lineage(best, "filed-rules"), loose
+
+
+def _place(scope: Column, piece: Column, words: int) -> tuple[Column, Column]:
+    """A filed piece's word in the filter (from 1), and the four bits that it sets there."""
+    hashed = F.xxhash64(scope, piece)
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 40 + 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+    bits = one(0).bitwiseOR(one(1)).bitwiseOR(one(2)).bitwiseOR(one(3))
+    return hashed.bitwiseAND(F.lit(words - 1)).cast("int") + 1, bits
+
+
+def _filter_words(filed: DataFrame, words: int) -> Column:
+    """All words of the filter over ``filed`` (_scope, piece), as one array."""
+    word, bits = _place(F.col("_scope"), F.col("piece"), words)
+    every = filed.sparkSession.range(1, words + 1).select(F.col("id").cast("int").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    held = filed.select(word.alias("_word"), bits.alias("_bits")).unionByName(every).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    return held.agg(F.transform(F.array_sort(F.collect_list(F.struct("_word", "_bits"))), lambda x: x["_bits"]).alias("w")).scalar()
 
 
 def holds(content: Column, pattern: Column, kind: Column) -> Column:
@@ -84,35 +105,50 @@ def holds(content: Column, pattern: Column, kind: Column) -> Column:
 
 
 def matched(texts: DataFrame, rules: DataFrame, loose_rules: int = LOOSE) -> DataFrame:
-    """(scope, digest) of the texts that a rule of their scope or a rule for everyone (scope NULL) matches.
+    """The digests of the texts that a rule of their scope or a rule for everyone (scope NULL) matches, each once.
 
-    ``texts``: scope, digest, content, one row per scope and digest. ``rules``: scope, pattern (Java's spelling), written, exclusion_type.
+    ``texts``: scope, digest, content; the digest stands for scope and content. ``rules``: scope, pattern (Java's spelling), written,
+    exclusion_type.
     """
     filed, loose = file_rules(rules)
     everyone, own = F.lit("*"), F.concat(F.lit("="), F.col("scope").cast("string"))
     scope = F.coalesce(own, everyone)
-    lowered = F.lower("content")
-    spelled = _ascii_lower(F.col("content"))
-    # the widths that literals have: at most as many numbers as ``WIDTHS`` holds
-    texts_of = lambda t: pieces(t, F.col("_widths"))
-    found = F.when(lowered == spelled, texts_of(lowered)).otherwise(F.array_union(texts_of(lowered), texts_of(spelled)))
-    widths = filed.agg(F.collect_set(F.length("piece")).alias("w")).scalar()
-    asked = texts.withColumn("_widths", widths).select("scope", "digest", F.explode(found).alias("piece"))
-    asked = asked.withColumn("_scope", F.explode(F.array_compact(F.array(everyone, own))))
-    filed = filed.select(scope.alias("_scope"), "piece", "pattern", "exclusion_type")
-    candidates = asked.join(filed.hint("merge"), ["piece", "_scope"]).select("scope", "digest", "pattern", "exclusion_type")
-    same = lambda a, b: a["digest"].eqNullSafe(b["digest"]) & a["scope"].eqNullSafe(b["scope"])
-    checked = candidates.alias("c").join(texts.alias("t").hint("merge"), same({k: F.col(f"c.{k}") for k in ("scope", "digest")}, {k: F.col(f"t.{k}") for k in ("scope", "digest")}))
-    hits = checked.filter(holds(F.col("t.content"), F.col("c.pattern"), F.col("c.exclusion_type"))).select("t.scope", "t.digest")
-    # rules without a literal: arrays of at most about ``loose_rules``, each text meets those of its scopes
-    sizes = loose.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / loose_rules).alias("_parts"))
-    parts = loose.alias("l").join(sizes.alias("s").hint("merge"), F.col("l.scope").eqNullSafe(F.col("s.scope"))).select(
-        F.when(F.col("l.scope").isNull(), everyone).otherwise(F.concat(F.lit("="), F.col("l.scope").cast("string"))).alias("_scope"),
-        F.pmod(F.xxhash64("pattern"), F.col("_parts")).alias("_part"), F.struct("pattern", "exclusion_type").alias("_rule"),
-    )
-    arrays = parts.groupBy("_scope", "_part").agg(F.collect_list("_rule").alias("_rules"))
-    arrays = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    asking = texts.withColumn("_scope", F.explode(F.array_compact(F.array(everyone, own)))).withColumn("_salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int"))
-    met = asking.join(arrays.hint("merge"), ["_scope", "_salt"])
-    rest = met.filter(F.exists("_rules", lambda r: F.coalesce(holds(F.col("content"), r["pattern"], r["exclusion_type"]), F.lit(False)))).select("scope", "digest")
-    return hits.unionByName(rest).distinct()
+    scoped = F.count_if(F.col("scope").isNotNull()).alias("own")
+    # a few numbers: how many rules, and the widths that their pieces have
+    n_filed, n_loose = filed.agg(F.count(F.lit(1)).alias("all"), scoped, F.collect_set(F.length("piece")).alias("widths")).first(), loose.agg(F.count(F.lit(1)).alias("all"), scoped).first()
+    asking = lambda n: F.explode(F.array_compact(F.array(*[everyone] * (n["all"] > n["own"]), *[own] * (n["own"] > 0))))
+    hits = []
+    if n_filed["all"]:
+        widths = F.array(*[F.lit(w) for w in sorted(n_filed["widths"])])
+        lowered, spelled = F.lower("content"), _ascii_lower(F.col("content"))
+        found = F.when(lowered == spelled, pieces(lowered, widths)).otherwise(F.array_union(pieces(lowered, widths), pieces(spelled, widths)))
+        filed = filed.select(scope.alias("_scope"), "piece", "pattern", "exclusion_type")
+        words = min(max(1 << (n_filed["all"] // 4).bit_length(), FILTER_WORDS[0]), FILTER_WORDS[1])
+        word, bits = _place(F.col("_scope"), F.col("piece"), words)
+        short = F.length("content") <= SHORT
+        asked = texts.select("scope", "digest", F.when(short, F.col("content")).alias("content"), F.explode(found).alias("piece")).withColumn("_scope", asking(n_filed)).drop("scope")
+        asked = asked.filter(F.element_at(_filter_words(filed, words), word).bitwiseAND(bits) == bits)
+        candidates = asked.join(filed.hint("merge"), ["piece", "_scope"])
+        held = F.col("content").isNotNull()
+        right = holds(F.col("content"), F.col("pattern"), F.col("exclusion_type"))
+        hits.append(candidates.filter(held & right).select("digest"))
+        long = texts.filter(~short).select("digest", "content").dropDuplicates(["digest"])
+        hits.append(candidates.filter(~held).drop("content").join(long.hint("merge"), "digest").filter(right).select("digest"))
+    met = lambda t: t.filter(F.exists("_rules", lambda r: F.coalesce(holds(F.col("content"), r["pattern"], r["exclusion_type"]), F.lit(False)))).select("digest")
+    rule = F.struct("pattern", "exclusion_type")
+    if 0 < n_loose["all"] - n_loose["own"] <= loose_rules:
+        # the few rules for everyone that have no literal meet each text where it is read
+        hits.append(met(texts.withColumn("_rules", loose.filter(F.col("scope").isNull()).agg(F.collect_list(rule).alias("r")).scalar())))
+        loose, n_loose = loose.filter(F.col("scope").isNotNull()), {"all": n_loose["own"], "own": n_loose["own"]}
+    if n_loose["all"]:
+        # rules without a literal: arrays of at most about ``loose_rules``, each text meets those of its scopes
+        sizes = loose.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / loose_rules).alias("_parts"))
+        parts = loose.alias("l").join(sizes.alias("s").hint("merge"), F.col("l.scope").eqNullSafe(F.col("s.scope"))).select(
+            F.when(F.col("l.scope").isNull(), everyone).otherwise(F.concat(F.lit("="), F.col("l.scope").cast("string"))).alias("_scope"),
+            F.pmod(F.xxhash64("pattern"), F.col("_parts")).alias("_part"), rule.alias("_rule"),
+        )
+        arrays = parts.groupBy("_scope", "_part").agg(F.collect_list("_rule").alias("_rules"))
+        arrays = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salted = texts.dropDuplicates(["digest"]).withColumn("_scope", asking(n_loose)).withColumn("_salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int"))
+        hits.append(met(salted.join(arrays.hint("merge"), ["_scope", "_salt"])))
+    return reduce(DataFrame.unionByName, hits, texts.limit(0).select("digest")).distinct()

@@ -100,3 +100,17 @@ def test_numbers_share_no_piece(spark):
     marked = P.mark_excluded(rows, rules, "memory_id")
     assert "BroadcastHashJoin" not in plan_of(marked)
     assert {r.memory_id for r in marked.filter("excluded").collect()} == {i for i in range(100_000, 900_000, 500) if (i - 100_000) % 9 == 0}
+
+
+def test_hardly_any_piece_leaves_its_task(spark):
+    """The filter lets through all filed pieces and few others; texts too long to go along are judged as in arrays."""
+    filed = spark.range(100_000, 140_000).select(F.lit("*").alias("_scope"), F.concat(F.lit(" "), F.col("id").cast("string")).alias("piece"))
+    words = 1 << 14
+    word, bits = R._place(F.col("_scope"), F.col("piece"), words)
+    passed = lambda rows: rows.filter(F.element_at(R._filter_words(filed, words), word).bitwiseAND(bits) == bits).count()
+    assert passed(filed) == 40_000
+    assert passed(spark.range(200_000, 240_000).select(F.lit("*").alias("_scope"), F.concat(F.lit(" "), F.col("id").cast("string")).alias("piece"))) < 2_000
+    table = many(spark, 3000)
+    rows = contents(spark, 1000).withColumn("content", F.concat(F.when(F.col("memory_id") % 2 == 0, F.repeat(F.lit("long "), 100)).otherwise(F.lit("")), "content"))
+    by = lambda few: sorted(tuple(r) for r in P.mark_excluded(rows, table, "memory_id", few=few).select("memory_id", F.coalesce("content", F.lit("~")), "excluded").collect())
+    assert by(0) == by(10**9)
