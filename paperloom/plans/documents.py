@@ -39,7 +39,7 @@ def read_texts(documents: DataFrame, answer: str | None = None, slip_answers: tu
     read = classed.withColumn("_chosen", chosen).withColumns({"payload": F.col("_chosen.payload"), "payload_model": F.col("_chosen.model")}).drop("_chosen")
     facts = F.when(slip, payload_fact_array(F.col("payload"))).otherwise(regex_facts(F.when(~slip, F.col("raw_text"))))
     read = read.withColumns({"facts": facts, "text_quality": quality_score(F.col("raw_text"))})
-    return cut_lineage(read, "texts")
+    return cut_lineage(read, "texts", "zstd")
 
 
 def add_model_facts(read: DataFrame, answers: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def add_model_facts(read: DataFrame, answers: DataFrame) -> DataFrame:
     plain = F.transform("_new", lambda f: F.struct(f["fact_key"], f["fact_value"], f["confidence"], f["source_excerpt"])).cast(f"array<{FACT}>")
     facts = F.concat("facts", F.coalesce(plain, F.array().cast(f"array<{FACT}>")))
     out = joined.withColumns({"facts": facts, "answers_unread": F.coalesce("_wanted", F.lit(False)) & F.col("_new").isNull()}).drop("_new", "_wanted")
-    return cut_lineage(out, "model-facts")
+    return cut_lineage(out, "model-facts", "zstd")
 
 
 def catalog_documents(read: DataFrame) -> DataFrame:

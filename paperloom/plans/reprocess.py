@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators.ingest import reprocess_plan
 from paperloom.plans.documents import build_library
+from paperloom.session import passing_tables
 from paperloom.sources import versions
 
 INPUT = ["doc_id", "uploaded_by", "source", "filename", "file_path", "raw_text", "created_at"]
@@ -20,15 +21,20 @@ def table_key(name: str) -> list[str]:
 
 def create_library(spark: SparkSession, root: str, empty: DataFrame, build: Build = build_library, buckets: int = 64) -> versions.Version:
     """An empty library with the tables that ``build`` makes of documents like ``empty`` (its rows are not read)."""
-    tables = build(empty.limit(0))
+    with passing_tables():
+        tables = build(empty.limit(0))
     return versions.create(spark, root, {n: (t.schema, table_key(n)) for n, t in tables.items()}, buckets)
 
 
 def store_documents(base: versions.Version, documents: DataFrame, build: Build = build_library, marker: tuple[str, int] | None = None) -> versions.Version:
-    """Run the plan over new documents and add all its tables in one version. A ``marker`` that is in already: nothing runs."""
+    """Run the plan over new documents and add all its tables in one version. A ``marker`` that is in already: nothing runs.
+
+    What the plan wrote on its way goes when the version stands.
+    """
     if marker and base.applied(marker):
         return base
-    return versions.commit(base, [versions.Change(n, t) for n, t in build(documents).items()], marker=marker)
+    with passing_tables():
+        return versions.commit(base, [versions.Change(n, t) for n, t in build(documents).items()], marker=marker)
 
 
 def reprocess(
@@ -51,7 +57,8 @@ def reprocess(
             joined = rerun.join(read, "doc_id", "left")
             rerun = joined.withColumn("raw_text", F.when(F.col("_found"), F.col("_read")).otherwise(F.col("raw_text"))).drop("_read", "_found")
         try:
-            after = versions.replace_keys(base, rerun, "doc_id", build(rerun))
+            with passing_tables():
+                after = versions.replace_keys(base, rerun, "doc_id", build(rerun))
             return after, plan.select("doc_id", "plan")
         except versions.Conflict:
             if attempt + 1 == attempts:

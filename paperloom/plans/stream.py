@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.plans.documents import build_library
 from paperloom.plans.reprocess import Build, table_key
-from paperloom.session import cut_lineage, drop_table
+from paperloom.session import cut_lineage, drop_table, passing_tables
 from paperloom.sources import hash_index, versions
 from paperloom.sources.versions import Change, Conflict, Version
 from paperloom.streaming.intake import run_key
@@ -18,7 +18,8 @@ from paperloom.streaming.intake import run_key
 
 def create_streamed_library(spark: SparkSession, root: str, like: DataFrame, build: Build = build_library, buckets: int = 64, blocks: int = 4096) -> Version:
     """An empty library with the tables that ``build`` makes of documents like ``like``, and a hash index over (uploader, file_hash)."""
-    tables = build(spark.createDataFrame([], like.schema))
+    with passing_tables():
+        tables = build(spark.createDataFrame([], like.schema))
     schemas = {n: (t.schema, table_key(n)) for n, t in tables.items()}
     index = {"hashes": (hash_index.KEYS_SCHEMA, hash_index.KEY), "filters": (hash_index.FILTER_SCHEMA, ["=bucket"])}
     return versions.create(spark, root, schemas | index, buckets, {"blocks": blocks})
@@ -36,9 +37,10 @@ def ingest_batch(spark: SparkSession, root: str, batch: DataFrame, marker: tuple
             return version
         judged, buckets = hash_index.judge(version, batch)
         fresh = cut_lineage(judged.filter(F.col("existing_id").isNull()).drop("existing_id"), "fresh-documents")
-        changes = [Change(n, t) for n, t in build(fresh).items()] + hash_index.index_changes(version, fresh)
         try:
-            return versions.commit(version, changes, reads={"hashes": buckets, "filters": buckets}, marker=marker)
+            with passing_tables():
+                changes = [Change(n, t) for n, t in build(fresh).items()] + hash_index.index_changes(version, fresh)
+                return versions.commit(version, changes, reads={"hashes": buckets, "filters": buckets}, marker=marker)
         except Conflict:
             if attempt + 1 == attempts:
                 raise

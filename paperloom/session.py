@@ -4,6 +4,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,7 @@ STATE_STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_steps: ContextVar[list | None] = ContextVar("_steps", default=None)
 
 
 def local_session(name: str = "paperloom", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -54,6 +58,32 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session with other values of some settings for a while."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@contextmanager
+def passing_tables() -> Iterator[None]:
+    """Tables that ``cut_lineage`` makes inside are dropped at the end: nothing that outlives the block may read them."""
+    token = _steps.set([])
+    try:
+        yield
+    finally:
+        made = _steps.get()
+        _steps.reset(token)
+        for table in made:
+            drop_table(table)
+
+
 def cut_lineage(
     df: DataFrame, purpose: str = "stage", compression: str | None = None, options: dict[str, str] | None = None, batch_bytes: int | None = None
 ) -> DataFrame:
@@ -65,16 +95,12 @@ def cut_lineage(
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    settings = {SHUFFLE_CLEANUP: "true"} | ({ARROW_BYTES: str(batch_bytes)} if batch_bytes else {})
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, **{SHUFFLE_CLEANUP: "true"}, **({ARROW_BYTES: str(batch_bytes)} if batch_bytes else {})):
         df.write.mode("errorifexists").options(**options or {}).parquet(path, compression=compression)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if (steps := _steps.get()) is not None:
+        steps.append(table)
+    return table
 
 
 def drop_table(table: DataFrame) -> None:

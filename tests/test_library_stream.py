@@ -92,3 +92,24 @@ def test_model_answers_by_mode(spark):
     outcomes = {r["doc_id"]: (r["outcome"]["result"], r["outcome"]["failed"]) for r in library["documents"].collect()}
     assert outcomes[5] == ("partial", "fact_extraction") and all(outcomes[i] == ("complete", "") for i in (1, 2, 3, 4))
     assert {r["document_id"]: r["counterparty"] for r in library["contracts"].collect()} == {1: "strong", 2: "first", 5: None}
+
+
+def test_stored_library_leaves_no_steps_behind(spark, tmp_path, monkeypatch):
+    """What the plan writes on its way, for new documents and for those that are read again, is gone when the version stands."""
+    made = []
+
+    def folder(_, purpose):
+        made.append(tmp_path / f"{purpose}-{len(made)}")
+        return str(made[-1])
+
+    monkeypatch.setattr("paperloom.session.shared_folder", folder)
+    kind = "doc_id long, uploaded_by long, source string, filename string, file_path string, raw_text string, created_at timestamp"
+    docs = spark.createDataFrame([(i, 1, "email", f"a{i}.pdf", f"/store/{i}", f"Invoice {i} Date: 01/02/2024 Total: NIS 12.50", None) for i in range(8)], kind)
+    root, cleanup = str(tmp_path / "library"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(cleanup)
+    before = R.store_documents(R.create_library(spark, root, docs, buckets=2), docs)
+    after, plan = R.reprocess(spark, root, F.col("doc_id") % 2 == 0)
+    assert len(made) >= 2 and not any(f.exists() for f in made)
+    assert before.read("documents").count() == after.read("documents").count() == 8
+    assert sorted(r.doc_id for r in plan.collect()) == [0, 2, 4, 6]
+    assert spark.conf.get(cleanup) == was
